@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, neardup, rules, sharding, substring
+from . import decontaminate, lines, neardup, rules, sharding, substring
 from .common import table
 
 
@@ -27,8 +27,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_summary(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_substring_dedup, op6_decontamination, op7_sharding, op8_quality_rules, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op3_substring_dedup, op6_decontamination, op7_sharding, op8_quality_rules, op9_line_dedup, op10_minhash)}
