@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, neardup, rules, sharding, substring
+from . import decontaminate, lines, neardup, quality, rules, sharding, substring
 from .common import table
 
 
@@ -13,6 +13,11 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_summary(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.grade_documents(docs, table(spark, sf_dir, "labels")).select("doc_id", "expected_grade", "p_high", "kept")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -35,4 +40,4 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_substring_dedup, op6_decontamination, op7_sharding, op8_quality_rules, op9_line_dedup, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op3_substring_dedup, op5_quality_classifier, op6_decontamination, op7_sharding, op8_quality_rules, op9_line_dedup, op10_minhash)}

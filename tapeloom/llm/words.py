@@ -18,8 +18,14 @@ ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 _rng = np.random.default_rng(20_240_607)
 _VALUE = _rng.integers(1, 1 << 63, size=256, dtype=np.uint64)
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[list(SPACES)] = True
+#: Byte classes by which a text falls into tokens; class 0 separates.
+WORDS = np.ones(256, np.uint8)
+WORDS[list(SPACES)] = 0
+#: Letters (with all bytes of other scripts), digits, and signs, which are tokens of their own.
+LETTERS_DIGITS_SIGNS = np.full(256, 3, np.uint8)
+LETTERS_DIGITS_SIGNS[list(SPACES)] = 0
+LETTERS_DIGITS_SIGNS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+LETTERS_DIGITS_SIGNS[48:58] = 2
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _GRAM = np.uint64(0xD6E8FEB86659FD93)
@@ -42,12 +48,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _hash_chunk(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Start offsets and hashes of the words of ``data``."""
+def _hash_chunk(data: bytes, classes: np.ndarray = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Start offsets and hashes of the tokens of ``data``: its runs of one class other than 0."""
     raw = np.frombuffer(data, np.uint8)
-    gap = np.concatenate(([True], _IS_SPACE[raw], [True]))
-    edge = np.flatnonzero(gap[1:] != gap[:-1])
-    starts, ends = edge[::2], edge[1::2]
+    kind = np.concatenate(([0], classes[raw], [0])).astype(np.uint8)
+    edge = np.flatnonzero(kind[1:] != kind[:-1])
+    opens = kind[1:][edge] > 0
+    starts, ends = edge[opens], edge[1:][opens[:-1]]
     up, down = _powers_to(len(raw) + 1)
     sums = np.concatenate(([np.uint64(0)], np.cumsum(_VALUE[raw] * up[: len(raw)])))
     return starts, mix((sums[ends] - sums[starts]) * down[starts])
@@ -67,18 +74,18 @@ def _pieces(text: bytes) -> Iterator[bytes]:
     yield text[at:]
 
 
-def hash_words(text: bytes) -> np.ndarray:
-    """The hashes of the words of one text of any length."""
+def hash_words(text: bytes, classes: np.ndarray = WORDS) -> np.ndarray:
+    """The hashes of the tokens of one text of any length."""
     out = []
     for piece in _pieces(text):
         if len(piece) > CHUNK and len(word := piece.split()) == 1:
             out.append(np.frombuffer(hashlib.blake2b(word[0], digest_size=8).digest(), np.uint64))
         else:
-            out.append(_hash_chunk(piece)[1])
+            out.append(_hash_chunk(piece, classes)[1])
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def hash_batches(texts: list[bytes | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def hash_batches(texts: list[bytes | None], classes: np.ndarray = WORDS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``(first, last, hashes, offsets)`` for runs of texts of about CHUNK bytes: text first + i has the words hashes[offsets[i]:offsets[i + 1]]."""
     first, held, length = 0, [], 0
     for i, text in enumerate(texts):
@@ -87,15 +94,15 @@ def hash_batches(texts: list[bytes | None]) -> Iterator[tuple[int, int, np.ndarr
         if length < CHUNK and i + 1 < len(texts):
             continue
         if len(held) == 1 and length > CHUNK:
-            hashes = hash_words(held[0])
+            hashes = hash_words(held[0], classes)
             offsets = np.array([0, len(hashes)])
         else:
             ends = np.cumsum([len(x) + 1 for x in held])
             if length > 2 * CHUNK:  # a long text came last
-                own = [hash_words(x) for x in held]
+                own = [hash_words(x, classes) for x in held]
                 hashes, offsets = np.concatenate(own), np.concatenate(([0], np.cumsum([len(x) for x in own])))
             else:
-                starts, hashes = _hash_chunk(b"\n".join(held))
+                starts, hashes = _hash_chunk(b"\n".join(held), classes)
                 offsets = np.concatenate(([0], np.searchsorted(starts, ends)))
         yield first, i + 1, hashes, offsets
         first, held, length = i + 1, [], 0
