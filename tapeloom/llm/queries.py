@@ -5,14 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, neardup, quality, rules, sharding, substring
+from . import decontaminate, language, lines, neardup, pieces, quality, rules, sharding, substring, urls
 from .common import table
 
 
+#: Vocabulary file of the SentencePiece query.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    found = urls.evaluate(urls.captures_of(pages), urls.entries_of(pages))
+    return found.select(F.col("capture_id").alias("page_id"), "host", "n_matches", F.array_join("matches", " ").alias("matches"), "blocked")
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = pieces.Vocabulary.load(PIECES)
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), vocabulary, ["doc_id"], digest_only=True)
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_summary(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = language.held_out()
+    model = language.train(docs.select("doc_id", "text", "lang").where(F.col("doc_id").isNotNull() & ~out))
+    marked = docs.select("doc_id", "text", out.alias("held_out"))
+    return language.identify(marked, model, ["doc_id", "held_out"])
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.grade_documents(docs, table(spark, sf_dir, "labels")).select("doc_id", "expected_grade", "p_high", "kept")
@@ -40,4 +63,4 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_substring_dedup, op5_quality_classifier, op6_decontamination, op7_sharding, op8_quality_rules, op9_line_dedup, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_sentencepiece, op3_substring_dedup, op4_language_id, op5_quality_classifier, op6_decontamination, op7_sharding, op8_quality_rules, op9_line_dedup, op10_minhash)}
