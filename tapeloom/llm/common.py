@@ -44,6 +44,18 @@ def row_key(doc_id: Column | str = "doc_id", text: Column | str = "text") -> lis
     return [F.coalesce(doc_id.cast("long"), F.lit(0)).alias("k1"), F.xxhash64(doc_id, text).alias("k2")]
 
 
+def sealed(docs: DataFrame, *also: str) -> tuple[DataFrame, list[Column]]:
+    """``docs`` as doc_id, text, ``also`` and one struct of all other columns, and the columns that undo this.
+
+    An operator that passes columns through works on the sealed form, where no name of its own can clash with theirs.
+    """
+    own = ["doc_id", "text", *also]
+    rest = [c for c in docs.columns if c not in own]
+    inner = docs.select(*own, F.struct(F.lit(0).alias("c"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)]).alias("_rest"))
+    back = {c: F.col(f"_rest.c{i}").alias(c) for i, c in enumerate(rest)}
+    return inner, [back.get(c, F.col(c) if c in own else None) for c in docs.columns]
+
+
 def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint when the counted ``rows`` are within ``limit``; otherwise the join shuffles."""
     return F.broadcast(df) if rows <= limit else df

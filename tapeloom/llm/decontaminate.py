@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialize, maybe_broadcast, row_key
+from .common import BROADCAST_ROWS, materialize, maybe_broadcast, row_key, sealed
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -92,12 +92,12 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10
     A document left without a word goes too. All columns of ``docs`` stay.
     """
     hits = find_hits(docs, benchmark, length).select("k1", "k2", F.col("spans").alias("_spans"))
-    named = docs.withColumns(dict(zip(("_k1", "_k2"), row_key(), strict=True)))
-    joined = named.join(hits, (F.col("_k1") == hits.k1) & (F.col("_k2") == hits.k2), "left")
+    inner, back = sealed(docs)
+    joined = inner.select("*", *row_key()).join(hits, ["k1", "k2"], "left")
     if whole:
-        return joined.where(F.col("_spans").isNull()).select(*docs.columns)
+        return joined.where(F.col("_spans").isNull()).select(*back)
     tokens = F.expr(r"if(_spans IS NULL, array(), regexp_extract_all(text, '(?s)[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+', 0))")
     joined = joined.withColumn("_tokens", tokens)
     hit = "flatten(transform(_spans, x -> sequence(x.start, x.start + x.len - 1)))"
     left = F.expr(f"array_join(transform(array_except(sequence(0, size(_tokens) - 1), {hit}), i -> get(_tokens, i)), '')")
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(left)).where("_spans IS NULL OR text <> ''").select(*docs.columns)
+    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(left)).where("_spans IS NULL OR text <> ''").select(*back)

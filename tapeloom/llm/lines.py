@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, row_key
+from .common import materialize, row_key, sealed
 
 RARE_CHARS = 20
 #: A line's hash is odd if the line is rare; a line without a word is 0.
@@ -103,28 +103,28 @@ def find_copied_lines(docs: DataFrame) -> DataFrame:
     return aligned.groupBy("k1", "k2").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")).where("size(gone) > 0")
 
 
-def with_deletions(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_gone``, the number of deleted lines, and ``_left``, the text that stays.
-
-    A null text stays null. Documents are ordered by doc_id (null counts as 0) and then by text hash; rows with
-    equal doc_id and text are one document and are treated alike. Lines are compared without surrounding spaces.
-    """
-    gone = find_copied_lines(docs)
-    named = docs.withColumns(dict(zip(("_k1", "_k2"), row_key(), strict=True)))
-    joined = named.join(gone.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("gone").alias("_lines")), ["_k1", "_k2"], "left")
+def with_deletions(inner: DataFrame) -> DataFrame:
+    """``inner`` with ``_gone``, the number of deleted lines, and ``_left``, the text that stays."""
+    gone = find_copied_lines(inner).withColumnRenamed("gone", "_lines")
+    joined = inner.select("*", *row_key()).join(gone, ["k1", "k2"], "left")
     joined = joined.withColumn("_split", F.when(F.col("_lines").isNotNull(), F.split("text", "\n")))
     left = F.expr("array_join(transform(array_except(sequence(0, size(_split) - 1), _lines), i -> get(_split, i)), '\n')")
-    return joined.select(*docs.columns, F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("_gone"), F.when(F.col("_lines").isNull(), F.col("text")).otherwise(left).alias("_left"))
+    return joined.select(*inner.columns, F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("_gone"), F.when(F.col("_lines").isNull(), F.col("text")).otherwise(left).alias("_left"))
 
 
 def line_summary(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_lines, n_removed, kept_sha256`` of every document; null text has no lines and the digest of nothing."""
+    """``doc_id, n_lines, n_removed, kept_sha256`` of every document; null text has no lines and the digest of nothing.
+
+    Documents are ordered by doc_id (null counts as 0) and then by text hash; rows with equal doc_id and text are one document and
+    are treated alike. Lines are compared without surrounding spaces. An empty table gives no rows.
+    """
     found = with_deletions(docs.select("doc_id", "text"))
     return found.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"), F.col("_gone").alias("n_removed"), F.sha2(F.coalesce(F.col("_left"), F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 def drop_copied_lines(docs: DataFrame) -> DataFrame:
     """``docs`` without the copied lines; a document that had words and loses them all goes."""
-    found = with_deletions(docs)
+    inner, back = sealed(docs)
+    found = with_deletions(inner)
     emptied = (F.col("_gone") > 0) & ~F.col("_left").rlike(r"[^\x20\x09-\x0D]")
-    return found.where(~F.coalesce(emptied, F.lit(False))).select(*[F.col("_left").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    return found.where(~F.coalesce(emptied, F.lit(False))).withColumn("text", F.col("_left")).select(*back)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, row_key
+from .common import connected_components, materialize, row_key, sealed
 from .words import ASCII_LOWER, gram_hashes, hash_batches, hash_words
 
 SHINGLE, PERCENT = 5, 75
@@ -245,7 +245,6 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     found = components(docs).dropDuplicates(["k1", "k2"])
     first = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct("k1", "k2")).alias("m")).select("m.k1", "m.k2")
     wordless = found.where("n_shingles = 0").select("k1", "k2")
-    stay = first.union(wordless).distinct().select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
-    named = docs.withColumns(dict(zip(("_k1", "_k2"), row_key(), strict=True)))
-    kept = named.join(stay, ["_k1", "_k2"], "left_semi")
-    return kept.dropDuplicates(["_k1", "_k2"]).select(*docs.columns)
+    stay = first.union(wordless).distinct()
+    inner, back = sealed(docs)
+    return inner.select("*", *row_key()).join(stay, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select(*back)

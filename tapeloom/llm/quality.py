@@ -121,15 +121,12 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     return fit(got.column("grade").to_numpy().astype(np.int64), [flat[a:b] for a, b in zip(offsets, offsets[1:], strict=False)])
 
 
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` with ``expected_grade`` and ``p_high``; both are null without a model (no labels, or of one grade only).
-
-    Null, empty and wordless texts have no features and score by the thresholds alone.
-    """
+def _scored(docs: DataFrame, model: Model | None) -> tuple[DataFrame, list[str]]:
+    """The columns of ``docs`` under neutral names, which are returned too, with ``expected_grade`` and ``p_high``."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
     if model is None:
-        return docs.withColumns({"expected_grade": F.lit(None).cast("double"), "p_high": F.lit(None).cast("double")})
+        return docs.toDF(*names).withColumns({"expected_grade": F.lit(None).cast("double"), "p_high": F.lit(None).cast("double")}), names
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [f"c{i}" for i in range(len(docs.columns))]
     text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,16 +137,23 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 yield pa.record_batch([*part.columns, pa.array(tails.sum(axis=1)), pa.array(tails[:, -1])], names=[*names, "expected_grade", "p_high"])
 
     fields = [f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True)]
-    out = docs.toDF(*names).mapInArrow(run, ", ".join([*fields, "expected_grade double", "p_high double"]))
-    return out.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)], "expected_grade", "p_high")
+    return docs.toDF(*names).mapInArrow(run, ", ".join([*fields, "expected_grade double", "p_high double"])), names
 
 
 def grade_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with ``expected_grade``, ``p_high`` and ``kept`` (true without a model)."""
-    return score(docs, train(docs, labels)).withColumn("kept", F.coalesce(F.col("p_high") >= CUT, F.lit(True)))
+    """``docs`` with ``expected_grade``, ``p_high`` and ``kept``; columns of ``docs`` with these names are replaced.
+
+    Without a model (no labels, or of one grade only) both figures are null and all documents are kept. Null, empty and wordless texts
+    have no features and score by the thresholds alone. Repeated rows score alike.
+    """
+    docs = docs.drop("expected_grade", "p_high", "kept")
+    scored, names = _scored(docs, train(docs, labels))
+    kept = F.coalesce(F.col("p_high") >= CUT, F.lit(True)).alias("kept")
+    return scored.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)], "expected_grade", "p_high", kept)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier keeps, with all their columns and no other."""
-    found = score(docs, train(docs, labels))
-    return found.where(F.coalesce(found["p_high"] >= CUT, F.lit(True))).select(*docs.columns)
+    scored, names = _scored(docs, train(docs, labels))
+    good = scored.where(F.coalesce(F.col("p_high") >= CUT, F.lit(True)))
+    return good.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])

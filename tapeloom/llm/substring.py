@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, row_key
+from .common import materialize, row_key, sealed
 from .words import gram_hashes, hash_batches
 
 K, M = 35, 8
@@ -251,10 +251,9 @@ def substring_summary(docs: DataFrame) -> DataFrame:
 
 def drop_substrings(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated windows' words cut from the texts; texts that lose words are joined by single spaces."""
-    rest = [c for c in docs.columns if c != "text"]
-    named = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)], F.col("text"), *row_key())
-    joined = named.join(find_repeats(docs), ["k1", "k2"], "left").withColumn("text", F.col("text").cast("binary")).drop("k1", "k2")
-    fields = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(rest))
-    out = joined.select(*[f"c{i}" for i in range(len(rest))], "text", "runs").mapInArrow(_rewrite, f"{fields}, text binary")
-    back = {c: F.col(f"c{i}") for i, c in enumerate(rest)} | {"text": F.col("text").cast("string")}
-    return out.select(*[back[c].alias(c) for c in docs.columns])
+    inner, back = sealed(docs)
+    joined = inner.withColumn("text", F.col("text").cast("binary")).select("doc_id", "_rest", F.col("text"), *row_key("doc_id", F.col("text").cast("string")))
+    joined = joined.join(find_repeats(docs), ["k1", "k2"], "left").select("doc_id", "_rest", "text", "runs")
+    fields = ", ".join(f"{c} {inner.schema[c].dataType.simpleString()}" for c in ("doc_id", "_rest"))
+    out = joined.mapInArrow(_rewrite, f"{fields}, text binary").withColumn("text", F.col("text").cast("string"))
+    return out.select(*back)
