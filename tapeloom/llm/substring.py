@@ -75,7 +75,7 @@ def _digest(packed: bytes) -> bytes:
 
 def _pack(with_strings: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Documents with ``at`` (start, n, h) to the packed strings there, or to their digests and places."""
+        """Documents with ``at`` (start * 64 + n, h) to the packed strings there, or to their digests and places."""
         for batch in batches:
             rows: list[list] = [[] for _ in range(4)]
             for i in range(batch.num_rows):
@@ -85,8 +85,9 @@ def _pack(with_strings: bool):
                 words = batch.column("text")[i].as_py().split()
                 k1, k2 = batch.column("k1")[i].as_py(), batch.column("k2")[i].as_py()
                 for x in at:
-                    packed = b" ".join(words[x["start"] : x["start"] + x["n"] + K - 1])
-                    for column, value in zip(rows, (x["h"], packed) if with_strings else (x["h"], _digest(packed), (k1, k2), x["start"]), strict=False):
+                    start, n = divmod(x["at"], 64)
+                    packed = b" ".join(words[start : start + n + K - 1])
+                    for column, value in zip(rows, (x["h"], packed) if with_strings else (x["h"], _digest(packed), (k1, k2), start), strict=False):
                         column.append(value)
                 if len(rows[0]) > 50_000:
                     yield _packed_batch(rows, with_strings)
@@ -178,26 +179,28 @@ def _bucket_rows(bucket: tuple[int, int] | None, held: list[tuple]) -> list[tupl
     return [(bucket[0], dig, mask << shift) for (dig, shift, _, _), mask in zip(held, masks, strict=True) if mask]
 
 
-def find_repeats(docs: DataFrame) -> DataFrame:
-    """``k1, k2, runs array<struct<start, mask>>``: the windows of each document whose words also start elsewhere.
+def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents that may hold repeats, ``k1, k2, text``, and ``k1, k2, runs array<struct<start, mask>>``.
 
-    Bit i of mask stands for the window at word start + i. Documents without such windows are absent.
+    Bit i of mask stands for a window at word start + i whose words also start elsewhere. Documents without such windows have no
+    row in the second table. What a skewed join reads is written first: Spark splits the hot partitions of plain inputs only.
     """
     keyed = docs.select(*row_key(), F.col("text").cast("binary").alias("text"))
-    kmers = keyed.mapInArrow(_scan, "h long, k1 long, k2 long, start int, n int")
-    shared = kmers.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
-    at = kmers.join(shared, "h", "left_semi").groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "n", "h")).alias("at"))
-    at = materialize(at, "substring-at")
-    strings = keyed.join(at, ["k1", "k2"], "left").mapInArrow(_pack(True), "h long, packed binary")
+    kmers = keyed.mapInArrow(_scan, "h long, k1 long, k2 long, start int, n int").withColumn("at", F.col("start").cast("long") * 64 + F.col("n"))
+    shared = materialize(kmers.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"), "substring-shared")
+    at = kmers.select("h", "k1", "k2", "at").join(shared, "h", "left_semi").groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "h")).alias("at"))
+    some = materialize(keyed.join(at, ["k1", "k2"]), "substring-texts")
+    strings = some.mapInArrow(_pack(True), "h long, packed binary")
     distinct = materialize(strings.groupBy("h", "packed").agg(F.count(F.lit(1)).alias("cnt")), "substring-strings")
     crowded = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("d")).where(F.col("d") > BUCKET_STRINGS)
-    crowded = crowded.select("h", F.ceil(F.col("d") * K / BUCKET_STRINGS).alias("subs"))
+    crowded = materialize(crowded.select("h", F.ceil(F.col("d") * K / BUCKET_STRINGS).alias("subs")), "substring-crowded")
     dealt = distinct.join(crowded, "h", "left").select("h", "packed", "cnt", F.coalesce("subs", F.lit(1)).alias("subs"))
     split = dealt.mapInArrow(_split_windows, "h long, sub long, dig binary, shift long, packed binary, cnt long")
     counted = split.repartition("h", "sub").sortWithinPartitions("h", "sub").mapInArrow(_count_buckets, "h long, dig binary, mask long")
-    masks = counted.groupBy("h", "dig").agg(F.bit_or("mask").alias("mask"))
-    places = keyed.join(at, ["k1", "k2"], "left").mapInArrow(_pack(False), "h long, dig binary, k1 long, k2 long, start int")
-    return places.join(masks, ["h", "dig"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "mask")).alias("runs"))
+    masks = materialize(counted.groupBy("h", "dig").agg(F.bit_or("mask").alias("mask")), "substring-masks")
+    places = some.mapInArrow(_pack(False), "h long, dig binary, k1 long, k2 long, start int")
+    runs = places.join(masks, ["h", "dig"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "mask")).alias("runs"))
+    return some.select("k1", "k2", "text"), runs
 
 
 def kept_words(text: bytes, runs: list[dict] | None) -> tuple[list[bytes], int]:
@@ -218,13 +221,16 @@ def kept_words(text: bytes, runs: list[dict] | None) -> tuple[list[bytes], int]:
 
 
 def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with text, and runs if there are any, to their other columns with the counts and the digest of what stays."""
     for batch in batches:
         out = []
-        for text, runs in zip(batch.column("text"), batch.column("runs"), strict=True):
-            kept, n = kept_words(text.as_py() or b"", runs.as_py())
+        runs = batch.column("runs").to_pylist() if "runs" in batch.schema.names else [None] * batch.num_rows
+        for text, own in zip(batch.column("text"), runs, strict=True):
+            kept, n = kept_words(text.as_py() or b"", own)
             out.append((n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
         n, removed, sha = zip(*out, strict=True) if out else ((), (), ())
-        yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+        rest = [c for c in batch.schema.names if c not in ("text", "runs")]
+        yield pa.record_batch([*[batch.column(c) for c in rest], pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], names=[*rest, "n_words", "n_removed", "kept_sha256"])
 
 
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,18 +248,21 @@ def substring_summary(docs: DataFrame) -> DataFrame:
     Windows are judged on the input. Null text has no words; texts under 35 words have no window. A row that occurs
     twice, or a null or repeated doc_id, is a document of its own.
     """
-    runs = find_repeats(docs)
-    keyed = docs.select("doc_id", *row_key(), F.col("text").cast("binary").alias("text"))
-    joined = keyed.join(runs, ["k1", "k2"], "left").select("doc_id", "text", "runs")
+    some, runs = find_repeats(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(_summary, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
+    figures = "n_words long, n_removed long, kept_sha256 string"
+    changed = some.join(runs, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).mapInArrow(_summary, f"k1 long, k2 long, {figures}")
+    changed = changed.select("k1", "k2", F.col("n_removed").alias("cut"), F.col("kept_sha256").alias("sha"))
+    every = docs.select("doc_id", *row_key(), F.col("text").cast("binary").alias("text")).mapInArrow(_summary, f"doc_id {kind}, k1 long, k2 long, {figures}")
+    joined = every.join(changed, ["k1", "k2"], "left")
+    return joined.select("doc_id", "n_words", F.coalesce("cut", "n_removed").alias("n_removed"), F.coalesce("sha", "kept_sha256").alias("kept_sha256"))
 
 
 def drop_substrings(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated windows' words cut from the texts; texts that lose words are joined by single spaces."""
     inner, back = sealed(docs)
     joined = inner.withColumn("text", F.col("text").cast("binary")).select("doc_id", "_rest", F.col("text"), *row_key("doc_id", F.col("text").cast("string")))
-    joined = joined.join(find_repeats(docs), ["k1", "k2"], "left").select("doc_id", "_rest", "text", "runs")
+    joined = joined.join(find_repeats(docs)[1], ["k1", "k2"], "left").select("doc_id", "_rest", "text", "runs")
     fields = ", ".join(f"{c} {inner.schema[c].dataType.simpleString()}" for c in ("doc_id", "_rest"))
     out = joined.mapInArrow(_rewrite, f"{fields}, text binary").withColumn("text", F.col("text").cast("string"))
     return out.select(*back)
