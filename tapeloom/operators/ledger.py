@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import MONEY, has_flag, is_open_order
+from ..sources.scratch import stored
 
 LEDGER = (
     "run_id long, symbol string, seq long, ts_ms long, n_price long, n_qty long, is_long boolean, is_buy boolean, is_open boolean, n_entry long, "
@@ -175,7 +176,7 @@ def recovery_factor(net, dynamic, static):
 
 def run_stats(fills: DataFrame, equity: DataFrame, runs: DataFrame, price_mult: int = 100, qty_mult: int = 1000) -> DataFrame:
     """One wide row of statistics for each run."""
-    ledger = position_ledger(fills, runs, price_mult, qty_mult)
+    ledger = stored(position_ledger(fills, runs, price_mult, qty_mult), "ledger")
     opened, closed = opened_trades(ledger, price_mult), closed_trades(ledger, price_mult, qty_mult)
     out = net_profit(ledger, runs).join(runs.drop("start_balance"), "run_id")
     parts = [

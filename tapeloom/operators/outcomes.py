@@ -14,7 +14,7 @@ from ..functions.scalars import bar_start, floor_div, pnl, slipped_price
 AT = ["symbol", "bar_start"]
 
 
-def entry_fill(orders: DataFrame, trades: DataFrame, bars: DataFrame, tf: int, latency: int = 100, slip_bps: int = 5) -> DataFrame:
+def entry_fill(orders: DataFrame, trades: DataFrame, tf: int, latency: int = 100, slip_bps: int = 5) -> DataFrame:
     """Market orders (``order_id, symbol, ts_ms, is_buy``) with ``fill_ts, fill_id, fill_price`` of the first trade from ts_ms + latency on.
 
     The trade is in the same bar, or it is the first of the next bar with trades.

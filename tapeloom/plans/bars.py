@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from ..operators import cells as c
 from ..operators import indicators as i
 from ..operators.flags import cell_flags
+from ..sources.scratch import stored
 
 BAR = ["symbol", "bar_start"]
 
@@ -26,8 +27,8 @@ def close_bars(trades: DataFrame, tf: int, scale: int, bar_count: int, mode: str
     Trades are shuffled twice, by (symbol, bar) for bars and by (symbol, bar, level) for cells, both after partial aggregation; all else
     runs on bars.
     """
-    bars = session_bars(trades, tf, bar_count, mode)
-    cells = session_cells(trades, bars, tf, scale)
+    bars = stored(session_bars(trades, tf, bar_count, mode), "session-bars")
+    cells = stored(session_cells(trades, bars, tf, scale), "session-cells")
     full = i.vwap_bands(i.cvd(i.fill_missing_bars(bars, tf, bar_count)), k)
     full = i.moving_averages(i.parkinson(i.atr(full, atr_period, gap_mode), park_period, gap_mode), ma)
     own = c.value_area(c.bar_volume_profile(cells), BAR, scale)
@@ -35,7 +36,8 @@ def close_bars(trades: DataFrame, tf: int, scale: int, bar_count: int, mode: str
     return full.join(own, BAR, "left").join(session, ["symbol", "session_no", "bar_start"], "left").drop("pq", "ppq")
 
 
-def flagged_cells(trades: DataFrame, tf: int, scale: int, bar_count: int, mult: float = 0.33) -> DataFrame:
-    """All flags of each (bar, level)."""
-    bars = close_bars(trades, tf, scale, bar_count)
-    return cell_flags(session_cells(trades, session_bars(trades, tf, bar_count), tf, scale), bars, scale, True, mult)
+def flagged_cells(trades: DataFrame, tf: int, scale: int, bar_count: int, mult: float = 0.33) -> tuple[DataFrame, DataFrame]:
+    """The full bars, and all flags of each (bar, level). Bars and cells feed ten flag rules, so each is written once."""
+    bars = stored(close_bars(trades, tf, scale, bar_count), "bars")
+    cells = stored(c.footprint_cells(trades, tf, scale).join(bars.select(*BAR, "session_no"), BAR), "cells")
+    return bars, cell_flags(cells, bars, scale, True, mult)

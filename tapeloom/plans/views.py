@@ -36,7 +36,7 @@ def item_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-TRADES = """trades AS (SELECT event_type AS symbol, event_id AS trade_id, epoch_ms(ts) AS ts_ms, CAST(round(value * 100) AS BIGINT) AS n_price,
+TRADES = """trades AS (SELECT event_type AS symbol, event_id AS trade_id, epoch_us(ts) // 1000 AS ts_ms, CAST(round(value * 100) AS BIGINT) AS n_price,
  CAST(json_extract_string(props, '$.k') AS BIGINT) + 1 AS n_qty, user_id % 2 = 0 AS is_sell FROM events)"""
 
 BARS = """bars AS (SELECT symbol, ts_ms - ts_ms % 3600000 AS bar_start, arg_min(n_price, (ts_ms, trade_id)) AS open, max(n_price) AS high, min(n_price) AS low,

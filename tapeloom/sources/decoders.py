@@ -11,8 +11,9 @@ from ..functions.scalars import ORDER_FLAGS
 
 TRADE = "struct<p:string,q:string,T:bigint,m:boolean,a:bigint>"
 ENVELOPE = "struct<topic:string,data:array<struct<p:string,v:string,S:string,T:bigint,a:bigint>>>"
-ORDER = "struct<e:string,E:bigint,o:struct<s:string,c:string,S:string,o:string,X:string,i:bigint,p:string,q:string,n:string,ps:string,T:bigint>>"
-BALANCE = "struct<e:string,E:bigint,a:struct<B:array<struct<a:string,wb:string,cw:string,bc:string>>>>"
+ITEMS = "array<struct<a:string,wb:string,cw:string,bc:string>>"
+#: Field names of events differ in case only (e, E), which a struct cannot hold; a map can.
+FIELDS = "map<string,string>"
 INSTRUMENTS = "struct<symbols:array<struct<symbol:string,filters:array<struct<filterType:string,tickSize:string,stepSize:string,notional:string>>>>>"
 
 
@@ -75,27 +76,30 @@ def scale_trades(df: DataFrame, price_mult: int, qty_mult: int, mode: str = "exa
 
 def decode_order_events(df: DataFrame, price_mult: int = 100, qty_mult: int = 1000, money: int = 10**8, id_prefix: str = "im_") -> DataFrame:
     """Order updates: flag mask, ids (0 without the prefix), scaled price, quantity and commission; event time where there is no order time."""
-    e = df.withColumn("_e", F.from_json("message", ORDER)).where("_e.e = 'ORDER_TRADE_UPDATE' AND _e.o IS NOT NULL")
-    bit = lambda c, *pairs: sum((F.when(F.col(c).isin(*v), ORDER_FLAGS[f]).otherwise(0) for f, v in pairs), F.lit(0))
+    rest = [c for c in df.columns if c != "message"]
+    e = df.withColumn("_m", F.from_json("message", FIELDS)).where("_m['e'] = 'ORDER_TRADE_UPDATE'")
+    e = e.withColumn("_o", F.from_json(F.col("_m")["o"], FIELDS)).where("_o IS NOT NULL")
+    o = lambda k: F.col("_o")[k]
+    bit = lambda k, *pairs: sum((F.when(o(k).isin(*v), ORDER_FLAGS[f]).otherwise(0) for f, v in pairs), F.lit(0))
     mask = (
-        bit("_e.o.ps", ("LONG", ["LONG"]), ("SHORT", ["SHORT"])) + bit("_e.o.S", ("BUY", ["BUY"]), ("SELL", ["SELL"])) + bit("_e.o.o", ("LIMIT", ["LIMIT"]), ("MARKET", ["MARKET"]))
-        + bit("_e.o.X", ("NEW", ["NEW"]), ("FILLED", ["FILLED", "PARTIALLY_FILLED"]), ("CANCELED", ["CANCELED", "EXPIRED", "REJECTED"]))
+        bit("ps", ("LONG", ["LONG"]), ("SHORT", ["SHORT"])) + bit("S", ("BUY", ["BUY"]), ("SELL", ["SELL"])) + bit("o", ("LIMIT", ["LIMIT"]), ("MARKET", ["MARKET"]))
+        + bit("X", ("NEW", ["NEW"]), ("FILLED", ["FILLED", "PARTIALLY_FILLED"]), ("CANCELED", ["CANCELED", "EXPIRED", "REJECTED"]))
     )
-    own = F.regexp_extract("_e.o.c", f"^{id_prefix}([0-9]+)", 1)
-    scaled = lambda c, m: F.round(F.col(c).cast("decimal(38,12)") * m).cast("long")
+    own = F.nullif(F.regexp_extract(o("c"), f"^{id_prefix}([0-9]+)", 1), F.lit("")).try_cast("long")
+    scaled = lambda k, m: F.round(o(k).cast("decimal(38,12)") * m).cast("long")
     return e.select(
-        *[c for c in df.columns if c != "message"], F.coalesce(F.nullif("_e.o.T", F.lit(0)), "_e.E").alias("ts_ms"), mask.cast("long").alias("order_param"), F.col("_e.o.i").alias("order_id"),
-        F.when(own == "", 0).otherwise(F.expr("try_cast(nullif(regexp_extract(_e.o.c, '" + f"^{id_prefix}([0-9]+)" + "', 1), '') AS bigint)")).cast("long").alias("client_order_id"),
-        scaled("_e.o.p", price_mult).alias("n_price"), scaled("_e.o.q", qty_mult).alias("n_qty"), scaled("_e.o.n", money).alias("n_commission"), F.col("_e.o.s").alias("symbol"),
+        *rest, F.coalesce(F.nullif(o("T").cast("long"), F.lit(0).cast("long")), F.col("_m")["E"].cast("long")).alias("ts_ms"), mask.cast("long").alias("order_param"), o("i").cast("long").alias("order_id"),
+        F.coalesce(own, F.lit(0).cast("long")).alias("client_order_id"), scaled("p", price_mult).alias("n_price"), scaled("q", qty_mult).alias("n_qty"), scaled("n", money).alias("n_commission"), o("s").alias("symbol"),
     )
 
 
 def decode_balance_events(df: DataFrame, asset: str = "USDT", money: int = 10**8) -> DataFrame:
     """The first balance item of ``asset``: balance, available, and locked = max(0, balance - available)."""
-    e = df.withColumn("_e", F.from_json("message", BALANCE)).where("_e.e = 'ACCOUNT_UPDATE'")
-    e = e.withColumn("_b", F.get(F.filter("_e.a.B", lambda b: b["a"] == asset), F.lit(0))).where("_b IS NOT NULL")
+    e = df.withColumn("_m", F.from_json("message", FIELDS)).where("_m['e'] = 'ACCOUNT_UPDATE'")
+    items = F.from_json(F.from_json(F.col("_m")["a"], FIELDS)["B"], ITEMS)
+    e = e.withColumn("_b", F.get(F.filter(items, lambda b: b["a"] == asset), F.lit(0))).where("_b IS NOT NULL")
     scaled = lambda c: F.round(F.col(c).cast("decimal(38,12)") * money).cast("long")
-    out = e.select(*[c for c in df.columns if c != "message"], F.col("_e.E").alias("ts_ms"), scaled("_b.wb").alias("n_balance"), scaled("_b.cw").alias("n_available"))
+    out = e.select(*[c for c in df.columns if c != "message"], F.col("_m")["E"].cast("long").alias("ts_ms"), scaled("_b.wb").alias("n_balance"), scaled("_b.cw").alias("n_available"))
     return out.withColumn("n_locked", F.greatest(F.lit(0).cast("long"), F.col("n_balance") - F.col("n_available")))
 
 
