@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, language, lines, neardup, pieces, quality, rules, sharding, substring, urls
 from .common import table
+from .oracles import ORACLES as ORACLES
 
 
 #: Vocabulary file of the SentencePiece query.
