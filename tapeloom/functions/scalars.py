@@ -27,6 +27,10 @@ def _c(x: Column | str | float) -> Column:
     return x if isinstance(x, Column) else F.col(x) if isinstance(x, str) else F.lit(x)
 
 
+def _long(x: Column | str | int) -> Column:
+    return _c(x).cast("long")
+
+
 def floor_div(a: Column | str | int, b: Column | str | int) -> Column:
     """Integer quotient rounded down, for either sign; null on a zero divisor."""
     a, b = _c(a).cast("long"), F.nullif(_c(b).cast("long"), F.lit(0).cast("long"))
@@ -120,7 +124,7 @@ def is_open_order(mask: Column | str) -> Column:
 
 
 def tp_sl_price(entry: Column | str, dev_bps: Column | str, is_long: Column | str, is_tp: bool) -> Column:
-    ticks = floor_div(_c(entry) * _c(dev_bps), 10_000)
+    ticks = floor_div(_long(entry) * _c(dev_bps), 10_000)
     return F.when(_c(is_long) == F.lit(is_tp), _c(entry) + ticks).otherwise(_c(entry) - ticks)
 
 
@@ -144,7 +148,7 @@ def sl_id(order_id: Column | str) -> Column:
 
 def position_size(available: Column | str, entry_bps: Column | str | int, leverage: Column | str | int, min_size: Column | str | int) -> Column:
     """Money put into a position, null unless above ``min_size`` (all in scaled money)."""
-    size = floor_div(_c(available) * _c(entry_bps), 10_000) * _c(leverage)
+    size = floor_div(_long(available) * _c(entry_bps), 10_000) * _c(leverage)
     return F.when(size > _c(min_size), size)
 
 
@@ -153,11 +157,11 @@ def size_to_qty(nominal: Column | str, n_price: Column | str, price_mult: int, q
 
 
 def loss_ok(balance: Column | str, start: Column | str, max_loss_bps: int | Column = 1000) -> Column:
-    return _c(balance) > _c(start) - floor_div(_c(start) * max_loss_bps, 10_000)
+    return _c(balance) > _c(start) - floor_div(_long(start) * max_loss_bps, 10_000)
 
 
 def lock_ok(locked: Column | str, balance: Column | str, max_lock_bps: int | Column = 1000) -> Column:
-    return _c(locked) < floor_div(_c(balance) * max_lock_bps, 10_000)
+    return _c(locked) < floor_div(_long(balance) * max_lock_bps, 10_000)
 
 
 def signal_fresh(ts_ms: Column | str, now_ms: Column | str, expiry_ms: int = 1000) -> Column:
@@ -183,7 +187,7 @@ def commission(n_price: Column | str, n_qty: Column | str, is_maker: Column | st
 
 
 def slipped_price(n_price: Column | str, is_buy: Column | str, slip_bps: int | Column = 5) -> Column:
-    ticks = floor_div(_c(n_price) * slip_bps, 10_000)
+    ticks = floor_div(_long(n_price) * slip_bps, 10_000)
     return F.when(_c(is_buy), _c(n_price) + ticks).otherwise(_c(n_price) - ticks)
 
 
