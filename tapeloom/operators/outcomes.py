@@ -33,29 +33,39 @@ def entry_fill(orders: DataFrame, trades: DataFrame, tf: int, latency: int = 100
     return out.select(*orders.columns, "f.fill_ts", "f.fill_id", slipped_price(F.col("f.px"), "is_buy", slip_bps).alias("fill_price"))
 
 
-def first_touch(orders: DataFrame, trades: DataFrame, bars: DataFrame, tf: int, slip_bps: int = 5, coarse: int = 64) -> DataFrame:
+def first_touch(orders: DataFrame, trades: DataFrame, bars: DataFrame, tf: int, slip_bps: int = 5, fan: int = 64, levels: int = 2) -> DataFrame:
     """Limit and stop orders with the first trade that meets them.
 
     ``orders``: order_id, symbol, active_ts, n_price, is_buy, is_stop. A limit buys at or below and sells at or above its price and fills there; a stop
-    is triggered the other way round and fills at the slipped trade price. The trade is sought (1) in the bar of active_ts and (2)
-    in the earliest later bar whose high or low reaches the price. That bar is found through blocks of ``coarse`` bars: the rest of the
-    order's own block, then the first block that reaches, then inside it.
+    is triggered the other way round and fills at the slipped trade price. The trade is sought in the bar of active_ts first, and then in
+    the earliest later bar whose high or low reaches the price. That bar is found in a tree over the bars: ``fan`` bars make a block, ``fan``
+    blocks the next larger one. An order climbs through the later siblings of its own bar and blocks, and descends from the first that
+    reaches, so it meets about fan rows a level; only the largest blocks are compared across a whole symbol.
     """
     above = F.col("is_buy") == F.col("is_stop")  # met by prices at or above
-    live = orders.withColumns({"above": above, "bar_start": bar_start("active_ts", tf), "block": floor_div("active_ts", tf * coarse)})
+    live = orders.select("order_id", "symbol", "active_ts", "n_price", above.alias("above"), bar_start("active_ts", tf).alias("bar_start"))
     t = trades.select("symbol", bar_start("ts_ms", tf).alias("bar_start"), F.col("ts_ms").alias("t_ms"), "trade_id", F.col("n_price").alias("px"))
     meets = "(above AND px >= n_price) OR (NOT above AND px <= n_price)"
+    reaches = "(above AND high >= n_price) OR (NOT above AND low <= n_price)"
     pick = F.min(F.struct(F.col("t_ms").alias("touch_ts"), F.col("trade_id").alias("touch_id"), "px")).alias("t")
     same = live.join(t, AT).where(f"t_ms >= active_ts AND ({meets})").groupBy("order_id").agg(pick)
-    rest = live.join(same, "order_id", "left_anti")
-    b = bars.where("n_trades > 0").select("symbol", F.col("bar_start").alias("at"), floor_div("bar_start", tf * coarse).alias("block"), "high", "low")
-    reaches = "(above AND high >= n_price) OR (NOT above AND low <= n_price)"
-    near = rest.join(b, ["symbol", "block"]).where(f"at > bar_start AND ({reaches})").groupBy("order_id").agg(F.min("at").alias("at"))
-    blocks = b.groupBy("symbol", "block").agg(F.max("high").alias("high"), F.min("low").alias("low")).withColumnRenamed("block", "ahead")
-    far = rest.join(near, "order_id", "left_anti")
-    reach = far.join(blocks, "symbol").where(f"ahead > block AND ({reaches})").groupBy("order_id").agg(F.min("ahead").alias("ahead"))
-    inside = far.drop("block").join(reach, "order_id").withColumnRenamed("ahead", "block").join(b, ["symbol", "block"]).where(reaches).groupBy("order_id").agg(F.min("at").alias("at"))
-    where = rest.drop("bar_start").join(near.union(inside), "order_id").withColumnRenamed("at", "bar_start")
+    widths = [tf * fan**k for k in range(levels + 1)]
+    traded = bars.where("n_trades > 0")
+    nodes = [
+        traded.groupBy("symbol", floor_div("bar_start", w).alias("node"), floor_div("bar_start", w * fan).alias("parent")).agg(F.max("high").alias("high"), F.min("low").alias("low")) for w in widths
+    ]
+    pending = live.drop("bar_start").join(same, "order_id", "left_anti")
+    hit = None
+    for k, w in enumerate(widths):
+        asked = pending.withColumns({"own": floor_div("active_ts", w), "parent": floor_div("active_ts", w * fan)})
+        near = asked.join(nodes[k], ["symbol", "parent"]) if k < levels else asked.drop("parent").join(nodes[k].drop("parent"), "symbol")
+        found = near.where(f"node > own AND ({reaches})").groupBy("order_id").agg(F.min("node").alias("node"))
+        pending = pending.join(found, "order_id", "left_anti")
+        for j in range(k - 1, -1, -1):
+            inside = live.join(found.withColumnRenamed("node", "parent"), "order_id").join(nodes[j], ["symbol", "parent"]).where(reaches)
+            found = inside.groupBy("order_id").agg(F.min("node").alias("node"))
+        hit = found if hit is None else hit.union(found)
+    where = live.drop("bar_start").join(hit, "order_id").withColumn("bar_start", F.col("node") * tf)
     later = where.join(t, AT).where(meets).groupBy("order_id").agg(pick)
     out = orders.join(same.union(later), "order_id", "left")
     price = F.when(F.col("t").isNotNull(), F.when(F.col("is_stop"), slipped_price(F.col("t.px"), "is_buy", slip_bps)).otherwise(F.col("n_price")))
@@ -152,17 +162,25 @@ def cancel_effective(touched: DataFrame, cancels: DataFrame, latency: int = 100)
     return joined.where("_gone IS NULL OR (touch_ts IS NOT NULL AND touch_ts < _gone)").drop("_gone")
 
 
-def mae_mfe(positions: DataFrame, trades: DataFrame, bars: DataFrame, tf: int, price_mult: int = 100, qty_mult: int = 1000) -> DataFrame:
+def mae_mfe(positions: DataFrame, trades: DataFrame, bars: DataFrame, tf: int, price_mult: int = 100, qty_mult: int = 1000, fan: int = 64) -> DataFrame:
     """Positions (``order_id, symbol, is_long, n_qty, fill_ts, fill_price, exit_ts``) with the least and greatest unrealised result while open,
-    never above and below 0. Interior bars give their high and low, the two edge bars their trades; both ends are included.
+    never above and below 0. Both ends are included: the two edge bars give their trades, bars in between their high and low, and whole blocks
+    of ``fan`` bars theirs, so a position meets n / fan + 2 fan rows and not n.
     """
     held = positions.where("fill_ts IS NOT NULL AND exit_ts IS NOT NULL").select("order_id", "symbol", "fill_ts", "exit_ts", bar_start("fill_ts", tf).alias("b0"), bar_start("exit_ts", tf).alias("b1"))
-    spread = held.withColumn("bar_start", F.explode(F.sequence("b0", "b1", F.lit(tf).cast("long"))))
-    edge = (F.col("bar_start") == F.col("b0")) | (F.col("bar_start") == F.col("b1"))
-    inner = spread.where(~edge).join(bars.where("n_trades > 0").select(*AT, "high", "low"), AT).select("order_id", "high", "low")
+    block = tf * fan
+    held = held.withColumns({"f0": -floor_div(-(F.col("b0") + tf), block) * block, "f1": floor_div("b1", block) * block})
+    whole = F.col("f0") < F.col("f1")
+    steps = lambda a, b, w: F.when(b > a, F.sequence(a, b - w, F.lit(w).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    between = F.when(whole, F.concat(steps(F.col("b0") + tf, F.col("f0"), tf), steps(F.col("f1"), F.col("b1"), tf))).otherwise(steps(F.col("b0") + tf, F.col("b1"), tf))
+    traded = bars.where("n_trades > 0")
+    inner = held.select("order_id", "symbol", F.explode(between).alias("bar_start")).join(traded.select(*AT, "high", "low"), AT).select("order_id", "high", "low")
+    blocks = traded.groupBy("symbol", (floor_div("bar_start", block) * block).alias("block")).agg(F.max("high").alias("high"), F.min("low").alias("low"))
+    large = held.where(whole).select("order_id", "symbol", F.explode(steps(F.col("f0"), F.col("f1"), block)).alias("block")).join(blocks, ["symbol", "block"]).select("order_id", "high", "low")
     t = trades.select("symbol", bar_start("ts_ms", tf).alias("bar_start"), F.col("ts_ms").alias("t_ms"), "n_price")
-    outer = spread.where(edge).join(t, AT).where("t_ms BETWEEN fill_ts AND exit_ts").select("order_id", F.col("n_price").alias("high"), F.col("n_price").alias("low"))
-    seen = inner.union(outer).groupBy("order_id").agg(F.max("high").alias("_hi"), F.min("low").alias("_lo"))
+    edges = held.select("order_id", "symbol", "fill_ts", "exit_ts", F.explode(F.array_distinct(F.array("b0", "b1"))).alias("bar_start"))
+    outer = edges.join(t, AT).where("t_ms BETWEEN fill_ts AND exit_ts").select("order_id", F.col("n_price").alias("high"), F.col("n_price").alias("low"))
+    seen = inner.union(large).union(outer).groupBy("order_id").agg(F.max("high").alias("_hi"), F.min("low").alias("_lo"))
     joined = positions.join(seen, "order_id", "left")
     result = lambda worst: pnl("fill_price", F.when(F.col("is_long") == F.lit(worst), F.col("_lo")).otherwise(F.col("_hi")), "n_qty", "is_long", price_mult, qty_mult)
     return joined.select(*positions.columns, F.least(F.lit(0).cast("long"), result(True)).alias("n_mae"), F.greatest(F.lit(0).cast("long"), result(False)).alias("n_mfe"))
@@ -174,24 +192,29 @@ def locked_margin(events: DataFrame) -> DataFrame:
     return events.withColumn("locked", F.sum("amount").over(over))
 
 
-def equity_ohlc(states: DataFrame, trades: DataFrame, tf: int, price_mult: int = 100, qty_mult: int = 1000) -> DataFrame:
+def equity_ohlc(states: DataFrame, trades: DataFrame, bars: DataFrame, tf: int, price_mult: int = 100, qty_mult: int = 1000) -> DataFrame:
     """Equity bars of each run: balance plus the unrealised result, sampled at every trade while a state holds.
 
-    ``states``: run_id, symbol, since, until (exclusive, null for open), balance, n_qty, entry, is_long. Each state is joined to the trades of the bars it spans.
+    ``states``: run_id, symbol, since, until (exclusive, null for open), balance, n_qty, entry, is_long. Equity is linear in price, so a bar that lies inside one
+    state takes its figures from the price bar; only the bars in which a state begins or ends are joined to their trades.
     Bars without samples carry the close of the one before.
     """
-    last = trades.groupBy("symbol").agg(F.max("ts_ms").alias("_end"))
-    spans = states.join(last, "symbol").withColumn("_to", F.coalesce("until", F.col("_end") + 1))
-    spread = spans.where("_to > since").withColumn("bar_start", F.explode(F.sequence(bar_start("since", tf), bar_start(F.col("_to") - 1, tf), F.lit(tf).cast("long"))))
+    last = bars.groupBy("symbol").agg(F.max("last_trade_time").alias("_end"))
+    spans = states.join(last, "symbol").withColumn("_to", F.coalesce("until", F.col("_end") + 1)).where("_to > since")
+    spans = spans.withColumns({"b0": bar_start("since", tf), "b1": bar_start(F.col("_to") - 1, tf)})
+    value = lambda px: F.col("balance") + F.when(F.col("n_qty") > 0, pnl("entry", px, "n_qty", "is_long", price_mult, qty_mult)).otherwise(0)
     t = trades.select("symbol", bar_start("ts_ms", tf).alias("bar_start"), F.col("ts_ms").alias("t_ms"), "trade_id", "n_price")
-    sampled = spread.join(t, AT).where("t_ms >= since AND t_ms < _to")
-    value = F.col("balance") + F.when(F.col("n_qty") > 0, pnl("entry", "n_price", "n_qty", "is_long", price_mult, qty_mult)).otherwise(0)
+    edges = spans.withColumn("bar_start", F.explode(F.array_distinct(F.array("b0", "b1")))).join(t, AT).where("t_ms >= since AND t_ms < _to")
     at = F.struct("t_ms", "trade_id")
-    bars = sampled.withColumn("v", value).groupBy("run_id", "bar_start").agg(F.min_by("v", at).alias("open"), F.max("v").alias("high"), F.min("v").alias("low"), F.max_by("v", at).alias("close"))
-    ends = bars.groupBy("run_id").agg(F.min("bar_start").alias("a"), F.max("bar_start").alias("b"))
+    sampled = edges.withColumn("v", value("n_price")).groupBy("run_id", "bar_start").agg(F.min_by("v", at).alias("open"), F.max("v").alias("high"), F.min("v").alias("low"), F.max_by("v", at).alias("close"))
+    inside = spans.where(F.col("b1") - F.col("b0") > tf).withColumn("bar_start", F.explode(F.sequence(F.col("b0") + tf, F.col("b1") - tf, F.lit(tf).cast("long"))))
+    priced = inside.join(bars.where("n_trades > 0").select(*AT, "open", "high", "low", "close"), AT)
+    quiet = priced.select("run_id", "bar_start", value("open").alias("open"), F.greatest(value("high"), value("low")).alias("high"), F.least(value("high"), value("low")).alias("low"), value("close").alias("close"))
+    found = sampled.union(quiet)
+    ends = found.groupBy("run_id").agg(F.min("bar_start").alias("a"), F.max("bar_start").alias("b"))
     frame = ends.select("run_id", F.explode(F.sequence("a", "b", F.lit(tf).cast("long"))).alias("bar_start"))
     before = F.last("close", ignorenulls=True).over(Window.partitionBy("run_id").orderBy("bar_start").rowsBetween(Window.unboundedPreceding, 0))
-    filled = frame.join(bars, ["run_id", "bar_start"], "left").withColumn("_c", before)
+    filled = frame.join(found, ["run_id", "bar_start"], "left").withColumn("_c", before)
     return filled.select("run_id", "bar_start", *[F.coalesce(c, "_c").alias(c) for c in ("open", "high", "low", "close")])
 
 

@@ -432,7 +432,8 @@ def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
  j AS (SELECT f.run_id, f.bar_start, b.open, b.high, b.low, b.close, last_value(b.close IGNORE NULLS) OVER (PARTITION BY f.run_id ORDER BY f.bar_start) AS k FROM frame f LEFT JOIN b USING (run_id, bar_start))
  SELECT run_id, bar_start, coalesce(open, k) AS open, coalesce(high, k) AS high, coalesce(low, k) AS low, coalesce(close, k) AS close FROM j""")
 def g8_equity_ohlc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return out.equity_ohlc(_states(spark, sf_dir), v.event_trades(spark, sf_dir), HOUR)
+    t = v.event_trades(spark, sf_dir)
+    return out.equity_ohlc(stored(_states(spark, sf_dir), "states"), t, stored(c.bars_ohlcv(t, HOUR), "bars"), HOUR)
 
 
 @query(with_(v.TRADES, v.BARS, v.FILLS) + "SELECT run_id, seq, CAST(sum(CASE WHEN is_open THEN n_price * n_qty ELSE -prev END) OVER (PARTITION BY run_id ORDER BY seq) AS BIGINT) AS locked FROM (SELECT *, lag(n_price * n_qty) OVER (PARTITION BY run_id ORDER BY seq) AS prev FROM fills)")

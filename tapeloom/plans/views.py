@@ -56,7 +56,7 @@ def run_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = hourly_bars(spark, sf_dir)
     number = F.dense_rank().over(Window.orderBy("symbol"))
     names = b.select("symbol").distinct().withColumn("no", number)
-    b = b.join(F.broadcast(names.limit(1000)), "symbol").withColumn("run_id", (F.call_function("div", F.col("bar_start"), F.lit(DAY)) - 19_000) * 100 + F.col("no"))
+    b = b.join(names, "symbol").withColumn("run_id", (F.call_function("div", F.col("bar_start"), F.lit(DAY)) - 19_000) * 100 + F.col("no"))
     b = b.withColumn("seq", F.row_number().over(Window.partitionBy("run_id").orderBy("bar_start")).cast("long"))
     opens, long = F.col("seq") % 2 == 1, F.call_function("div", F.col("seq") + 1, F.lit(2).cast("long")) % 2 == 1
     qty = F.col("run_id") % 7 * 100 + 1000
