@@ -7,7 +7,7 @@ hash set of all g-grams of the item windows; what the probes find is verified on
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, materialize, maybe_broadcast, row_key, sealed
@@ -39,7 +39,10 @@ def item_windows(benchmark: DataFrame, length: int) -> DataFrame:
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, length: int = 10) -> DataFrame:
-    """``k1, k2, spans array<struct<start, len>>, items array<bigint>`` for each document with an occurring window."""
+    """``k1, k2, n_hit, mask array<boolean>, items array<bigint>`` for each document with an occurring window.
+
+    mask tells for each word up to the last hit whether it is hit; it is built in one pass over the sorted windows.
+    """
     windows = materialize(item_windows(benchmark, length).distinct(), "decon-windows")
     lengths = sorted(r[0] for r in windows.select("len").distinct().collect())  # at most ``length`` values
     keyed = docs.select(*row_key(), "text")
@@ -54,7 +57,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, length: int = 10) -> DataFr
         probes = words.select("k1", "k2", F.posexplode_outer(F.expr(f"if(size(w) >= {n}, transform(sequence(0, size(w) - {gram}, {stride}), i -> xxhash64(slice(w, i + 1, {gram}))), array())")).alias("i", "h"))
         found = probes.join(maybe_broadcast(grams, grams.count()), "h")
         at = found.groupBy("k1", "k2").agg(F.collect_set("i").alias("at"))
-        near = words.join(at, ["k1", "k2"])
+        near = keyed.join(at, ["k1", "k2"]).select("k1", "k2", "at", item_words(F.col("text")).alias("w"))
         starts = f"array_distinct(flatten(transform(at, i -> sequence(greatest(0, i * {stride} - {stride - 1}), least(i * {stride}, size(w) - {n})))))"
         near = near.select("k1", "k2", F.explode_outer(F.expr(f"transform(filter({starts}, s -> s >= 0 and s + {n} <= size(w)), s -> struct(s, array_join(slice(w, s + 1, {n}), ' ') AS win))")).alias("x")).select("k1", "k2", "x.s", "x.win")
         by_win = own.select(F.array_join("win", " ").alias("win"), "item_id")
@@ -63,12 +66,13 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, length: int = 10) -> DataFr
         hits = hit if hits is None else hits.union(hit)
     if hits is None:
         hits = keyed.where("false").select("k1", "k2", F.lit(0).alias("s"), F.lit(0).alias("len"), F.lit(0).cast("long").alias("item_id"))
-    return hits.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct(F.col("s").alias("start"), "len"))).alias("spans"), F.collect_set("item_id").alias("items"))
-
-
-def covered(spans: str = "spans") -> Column:
-    """Number of words in the union of sorted ``spans``."""
-    return F.expr(f"coalesce(aggregate({spans}, named_struct('upto', 0, 'n', 0L), (a, x) -> named_struct('upto', greatest(a.upto, x.start + x.len), 'n', a.n + greatest(0, x.start + x.len - greatest(a.upto, x.start))), a -> a.n), 0L)")
+    before = F.max(F.col("s") + F.col("len")).over(Window.partitionBy("k1", "k2").orderBy("s", "len").rowsBetween(Window.unboundedPreceding, -1))
+    spans = hits.select("k1", "k2", "s", "len").distinct().withColumn("upto", F.coalesce(before, F.lit(0)))
+    spans = spans.withColumns({"gap": F.greatest(F.lit(0), F.col("s") - F.col("upto")), "fresh": F.greatest(F.lit(0), F.col("s") + F.col("len") - F.greatest("s", "upto"))})
+    marks = spans.groupBy("k1", "k2").agg(F.sum("fresh").alias("n_hit"), F.array_sort(F.collect_list(F.struct("s", "len", "gap", "fresh"))).alias("marks"))
+    mask = F.flatten(F.transform("marks", lambda x: F.concat(F.array_repeat(F.lit(False), x["gap"]), F.array_repeat(F.lit(True), x["fresh"]))))
+    items = hits.groupBy("k1", "k2").agg(F.collect_set("item_id").alias("items"))
+    return marks.select("k1", "k2", "n_hit", mask.alias("mask")).join(items, ["k1", "k2"])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10) -> DataFrame:
@@ -81,7 +85,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10) -> Da
     base = docs.select("doc_id", *row_key(), F.size(F.array_remove(F.split(F.coalesce(F.col("text"), F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), "")).cast("long").alias("n_words"))
     names = F.expr("array_sort(transform(coalesce(items, array()), x -> cast(x AS string)))")
     return base.join(hits, ["k1", "k2"], "left").select(
-        "doc_id", "n_words", covered().alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"), F.col("items").isNotNull().alias("contaminated"),
     )
 
@@ -91,13 +95,13 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10
 
     A document left without a word goes too. All columns of ``docs`` stay.
     """
-    hits = find_hits(docs, benchmark, length).select("k1", "k2", F.col("spans").alias("_spans"))
+    hits = find_hits(docs, benchmark, length).select("k1", "k2", "mask")
     inner, back = sealed(docs)
     joined = inner.select("*", *row_key()).join(hits, ["k1", "k2"], "left")
     if whole:
-        return joined.where(F.col("_spans").isNull()).select(*back)
-    tokens = F.expr(r"if(_spans IS NULL, array(), regexp_extract_all(text, '(?s)[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+', 0))")
-    joined = joined.withColumn("_tokens", tokens)
-    hit = "flatten(transform(_spans, x -> sequence(x.start, x.start + x.len - 1)))"
-    left = F.expr(f"array_join(transform(array_except(sequence(0, size(_tokens) - 1), {hit}), i -> get(_tokens, i)), '')")
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(left)).where("_spans IS NULL OR text <> ''").select(*back)
+        return joined.where(F.col("mask").isNull()).select(*back)
+    # a token is a word with the separators before it; arguments of filter are evaluated once a row, its body once a token
+    tokens = r"regexp_extract_all(text, '(?s)[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]*[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+', 0)"
+    left = F.expr(f"array_join(transform(filter(arrays_zip({tokens}, mask), x -> NOT coalesce(x.mask, false)), x -> x.`0`), '')")
+    cut = joined.withColumn("text", F.when(F.col("mask").isNull(), F.col("text")).otherwise(left))
+    return cut.where("mask IS NULL OR text <> ''").select(*back)
