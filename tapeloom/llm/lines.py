@@ -100,16 +100,17 @@ def find_copied_lines(docs: DataFrame) -> DataFrame:
     hashed = materialize(keyed.select("k1", "k2", line_hashes(2).alias("late")), "lines-hashes").dropDuplicates(["k1", "k2"])
     early = hashed.select(F.col("k1").alias("e1"), F.col("k2").alias("e2"), F.col("late").alias("early"))
     aligned = pairs.join(early, ["e1", "e2"]).join(hashed, ["k1", "k2"]).select("k1", "k2", "early", "late").mapInArrow(_align, "k1 long, k2 long, gone array<int>")
-    return aligned.groupBy("k1", "k2").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")).where("size(gone) > 0")
+    return aligned.groupBy("k1", "k2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone")).where("size(gone) > 0")
 
 
 def with_deletions(inner: DataFrame) -> DataFrame:
     """``inner`` with ``_gone``, the number of deleted lines, and ``_left``, the text that stays."""
-    gone = find_copied_lines(inner).withColumnRenamed("gone", "_lines")
-    joined = inner.select("*", *row_key()).join(gone, ["k1", "k2"], "left")
-    joined = joined.withColumn("_split", F.when(F.col("_lines").isNotNull(), F.split("text", "\n")))
-    left = F.expr("array_join(transform(array_except(sequence(0, size(_split) - 1), _lines), i -> get(_split, i)), '\n')")
-    return joined.select(*inner.columns, F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("_gone"), F.when(F.col("_lines").isNull(), F.col("text")).otherwise(left).alias("_left"))
+    gone = find_copied_lines(inner)
+    # a mask of the lines up to the last deleted one: arguments of these functions are evaluated once a row, their bodies once a line
+    mask = F.expr("flatten(zip_with(gone, concat(array(-1), gone), (x, p) -> if(x IS NULL, array(), concat(array_repeat(false, x - p - 1), array(true)))))")
+    joined = inner.select("*", *row_key()).join(gone.select("k1", "k2", F.size("gone").cast("long").alias("n_gone"), mask.alias("mask")), ["k1", "k2"], "left")
+    left = F.expr("array_join(transform(filter(arrays_zip(split(text, '\n'), mask), x -> NOT coalesce(x.mask, false)), x -> x.`0`), '\n')")
+    return joined.select(*inner.columns, F.coalesce("n_gone", F.lit(0)).cast("long").alias("_gone"), F.when(F.col("mask").isNull(), F.col("text")).otherwise(left).alias("_left"))
 
 
 def line_summary(docs: DataFrame) -> DataFrame:
