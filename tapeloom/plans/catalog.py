@@ -210,9 +210,9 @@ def c15_multi_timeframe_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FILLED = """spans AS (SELECT symbol, session_no, session_start, CASE WHEN session_no < max(session_no) OVER (PARTITION BY symbol) THEN session_start + 23 * 3600000 ELSE l END AS last FROM (SELECT symbol, session_no, session_start, max(bar_start) AS l FROM sbars GROUP BY symbol, session_no, session_start)),
  frame AS (SELECT symbol, session_no, session_start, unnest(range(session_start, last + 1, 3600000)) AS bar_start FROM spans),
- joined AS (SELECT f.symbol, f.session_no, f.session_start, f.bar_start, b.open, b.high, b.low, b.close, coalesce(b.volume, 0) AS volume, coalesce(b.delta, 0) AS delta, coalesce(b.n_trades, 0) AS n_trades, coalesce(b.open_time, f.bar_start) AS open_time, coalesce(b.pq, 0) AS pq, coalesce(b.ppq, 0) AS ppq, b.n_trades IS NULL AS is_filled,
+ joined AS (SELECT f.symbol, f.session_no, f.session_start, f.bar_start, b.open, b.high, b.low, b.close, coalesce(b.volume, 0) AS volume, coalesce(b.delta, 0) AS delta, coalesce(b.n_trades, 0) AS n_trades, coalesce(b.open_time, f.bar_start) AS open_time, coalesce(b.last_trade_time, f.bar_start) AS last_trade_time, coalesce(b.pq, 0) AS pq, coalesce(b.ppq, 0) AS ppq, b.n_trades IS NULL AS is_filled,
  last_value(b.close IGNORE NULLS) OVER (PARTITION BY f.symbol, f.session_no ORDER BY f.bar_start) AS carried FROM frame f LEFT JOIN sbars b ON b.symbol = f.symbol AND b.session_no = f.session_no AND b.bar_start = f.bar_start),
- filled AS (SELECT symbol, session_no, session_start, bar_start, (bar_start - session_start) // 3600000 AS bar_idx, coalesce(open, carried) AS open, coalesce(high, carried) AS high, coalesce(low, carried) AS low, coalesce(close, carried) AS close, volume, delta, n_trades, open_time, pq, ppq, is_filled FROM joined)"""
+ filled AS (SELECT symbol, session_no, session_start, bar_start, (bar_start - session_start) // 3600000 AS bar_idx, coalesce(open, carried) AS open, coalesce(high, carried) AS high, coalesce(low, carried) AS low, coalesce(close, carried) AS close, volume, delta, n_trades, open_time, last_trade_time, pq, ppq, is_filled FROM joined)"""
 _FILL = with_(v.TRADES, v.BARS, _SESSIONS, _FILLED, recursive=True)
 
 
@@ -245,6 +245,23 @@ def d8_d10_moving_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ind.moving_averages(_filled(spark, sf_dir)).select("symbol", "session_no", "bar_start", "ma_volume", "ma_trades", "ma_trade_size")
 
 
+#: The session's profile as of each bar, and its value area on a grid without ends.
+_SESSION_AREA = """run AS (SELECT b.symbol, b.session_no, b.bar_start, x.level, CAST(sum(x.bid_qty + x.ask_qty) AS BIGINT) AS v FROM sbars b JOIN scells x ON x.symbol = b.symbol AND x.session_no = b.session_no AND x.bar_start <= b.bar_start GROUP BY ALL),
+ sends AS (SELECT symbol, session_no, bar_start, CAST(sum(v) AS BIGINT) AS tot, arg_max(level, (v, level)) AS poc, max(v) AS top FROM run GROUP BY ALL),
+ sgrown AS (SELECT symbol, session_no, bar_start, tot, poc, poc + 100 AS u, poc - 100 AS d, top AS cur FROM sends
+ UNION ALL SELECT symbol, session_no, bar_start, tot, poc, CASE WHEN a >= b THEN u + 100 ELSE u END, CASE WHEN b >= a THEN d - 100 ELSE d END, cur + CASE WHEN a >= b THEN a ELSE 0 END + CASE WHEN b >= a THEN b ELSE 0 END
+ FROM (SELECT g.*, coalesce(x.v, 0) AS a, coalesce(y.v, 0) AS b FROM sgrown g LEFT JOIN run x ON x.symbol = g.symbol AND x.session_no = g.session_no AND x.bar_start = g.bar_start AND x.level = g.u LEFT JOIN run y ON y.symbol = g.symbol AND y.session_no = g.session_no AND y.bar_start = g.bar_start AND y.level = g.d WHERE g.cur * 10 < g.tot * 7)),
+ sarea AS (SELECT symbol, bar_start, poc AS session_poc, max(u) - 100 AS session_vah, min(d) + 100 AS session_val FROM sgrown GROUP BY symbol, bar_start, poc),
+ area AS (SELECT symbol, bar_start, poc, max(u) - 100 AS vah, min(d) + 100 AS val FROM grown GROUP BY symbol, bar_start, poc)"""
+_ALL_BARS = """summed AS (SELECT f.*, CAST(sum(delta) OVER s AS BIGINT) AS cvd, CAST(sum(pq) OVER s AS DOUBLE) / CAST(sum(volume) OVER s AS DOUBLE) AS mean, CAST(sum(ppq) OVER s AS DOUBLE) / CAST(sum(volume) OVER s AS DOUBLE) AS sq, CASE WHEN count(*) OVER w >= 21 THEN CAST(sum(volume) OVER w // 21 AS BIGINT) END AS ma_volume,
+ CASE WHEN count(*) OVER w >= 21 THEN CAST(sum(n_trades) OVER w // 21 AS BIGINT) END AS ma_trades, CASE WHEN count(*) OVER w >= 21 AND count(*) FILTER (n_trades > 0) OVER w > 0 THEN CAST(sum(CASE WHEN n_trades > 0 THEN volume // n_trades END) OVER w // count(*) FILTER (n_trades > 0) OVER w AS BIGINT) END AS ma_trade_size
+ FROM filled f WINDOW s AS (PARTITION BY symbol, session_no ORDER BY bar_start), w AS (PARTITION BY symbol ORDER BY session_no, bar_start ROWS BETWEEN 21 PRECEDING AND 1 PRECEDING)),
+ allbars AS (SELECT m.symbol, m.session_no, m.session_start, m.bar_start, m.bar_idx, m.open, m.high, m.low, m.close, m.volume, m.delta, m.n_trades, m.open_time, m.last_trade_time, m.is_filled, cvd, CAST(round_even(mean, 0) AS BIGINT) AS vwap, CAST(round_even(mean + 2 * sqrt(greatest(0, sq - mean * mean)), 0) AS BIGINT) AS vwap_up,
+ CAST(round_even(mean - 2 * sqrt(greatest(0, sq - mean * mean)), 0) AS BIGINT) AS vwap_low, r.tr AS true_range, r.pt AS park_term, x.atr, x.parkinson, ma_volume, ma_trades, ma_trade_size, poc, vah, val, session_poc, session_vah, session_val
+ FROM summed m JOIN ranged r USING (symbol, session_no, bar_start) JOIN folded x USING (symbol, session_no, bar_start) LEFT JOIN area USING (symbol, bar_start) LEFT JOIN sarea USING (symbol, bar_start))"""
+_EVERYTHING = with_(v.TRADES, v.BARS, _SESSIONS, _FILLED, _RANGED, v.CELLS, _SCELLS, _AREA, _SESSION_AREA, _ALL_BARS, recursive=True)
+
+
 def _full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.close_bars(v.event_trades(spark, sf_dir), HOUR, SCALE, N)
 
@@ -253,13 +270,14 @@ def _flagged(spark: SparkSession, sf_dir: str, mult: float = 0.33) -> tuple[Data
     return plan.flagged_cells(v.event_trades(spark, sf_dir), HOUR, SCALE, N, mult)
 
 
-@query()
+@query(_EVERYTHING + """SELECT *, CASE WHEN n_trades > 0 THEN volume // n_trades END AS avg_trade_size, round(delta / nullif(volume, 0), 9) AS delta_ratio, high - low AS "range", round(high / low - 1, 9) AS range_percent, close - open AS change, round(close / open - 1, 9) AS change_percent,
+ round((atr + close) / close - 1, 9) AS atr_percent, round(sqrt(parkinson / 1e9 / (4 * ln(2.0))), 9) AS parkinson_percent FROM allbars""")
 def d11_close_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _full(spark, sf_dir)
     return b.withColumns({k: F.round(x, 9) if k not in ("avg_trade_size", "range", "change") else x for k, x in s.bar_measures().items()})
 
 
-@query()
+@query(_EVERYTHING + "SELECT symbol, session_no, arg_max(session_poc, bar_start) AS session_poc, arg_max(session_vah, bar_start) AS session_vah, arg_max(session_val, bar_start) AS session_val, arg_max(vwap, bar_start) AS vwap, arg_max(vwap_up, bar_start) AS vwap_up, arg_max(vwap_low, bar_start) AS vwap_low, arg_max(close, bar_start) AS close FROM allbars WHERE n_trades > 0 GROUP BY symbol, session_no")
 def c14_session_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.session_last(_full(spark, sf_dir).where("n_trades > 0"), ["session_poc", "session_vah", "session_val", "vwap", "vwap_up", "vwap_low", "close"])
 
@@ -291,7 +309,23 @@ def e9_auctions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fl.flag_auction(cells, bars, SCALE)
 
 
-@query()
+def _flags_sql(mult: float) -> str:
+    """All flags, for a big-cluster multiple."""
+    marks = lambda names: " UNION ALL ".join(f"SELECT symbol, bar_start, {level} AS level, {bit} AS b, 0 AS a FROM traded" for level, bit in names)
+    up = lambda c_: f"CAST(ceil({c_} / 100.0) AS BIGINT) * 100"
+    named = marks([(up("open"), 256), (up("close"), 512), (up("high"), 1024), (up("low"), 2048), ("poc", 4096), ("val", 8192), ("vah", 16384), ("session_poc", 32), ("session_val", 64), ("session_vah", 128), (up("vwap"), 4), (up("vwap_up"), 8), (up("vwap_low"), 16)])
+    return f"""traded AS (SELECT * FROM allbars WHERE n_trades > 0), ready AS (SELECT symbol, bar_start, ma FROM (SELECT *, lag(ma_volume) OVER (PARTITION BY symbol ORDER BY session_no, bar_start) AS ma FROM allbars) WHERE ma > 0),
+ side AS (SELECT *, CASE WHEN lead(level) OVER w = level + 100 THEN lead(ask_qty) OVER w ELSE 0 END AS up, CASE WHEN lag(level) OVER w = level - 100 THEN lag(bid_qty) OVER w ELSE 0 END AS down, max(level) OVER (PARTITION BY symbol, bar_start) AS hi, min(level) OVER (PARTITION BY symbol, bar_start) AS lo, sum(ask_qty - bid_qty) OVER (PARTITION BY symbol, session_no, level ORDER BY bar_start) AS so_far FROM scells WINDOW w AS (PARTITION BY symbol, bar_start ORDER BY level)),
+ e AS (SELECT symbol, bar_start, session_no, {up("high")} AS hi, {up("low")} AS lo FROM traded),
+ au AS (SELECT e.symbol, e.bar_start, e.session_no, c.level, 'ask' AS side, c.ask_qty = 0 AS done FROM e JOIN cells c ON c.symbol = e.symbol AND c.bar_start = e.bar_start AND c.level = e.hi UNION ALL SELECT e.symbol, e.bar_start, e.session_no, c.level, 'bid', c.bid_qty = 0 FROM e JOIN cells c ON c.symbol = e.symbol AND c.bar_start = e.bar_start AND c.level = e.lo),
+ rows_ AS ({named} UNION ALL SELECT symbol, bar_start, level, (CASE WHEN bid_qty = 0 AND ask_qty > 0 THEN 262144 ELSE 0 END) + (CASE WHEN bid_qty > ask_qty THEN 131072 ELSE 0 END) + (CASE WHEN level < hi AND bid_qty > up * 3 THEN 524288 ELSE 0 END), (CASE WHEN ask_qty = 0 AND bid_qty > 0 THEN 262144 ELSE 0 END) + (CASE WHEN ask_qty > bid_qty THEN 131072 ELSE 0 END) + (CASE WHEN level > lo AND ask_qty > down * 3 THEN 524288 ELSE 0 END) FROM side
+ UNION ALL SELECT symbol, bar_start, level, CASE WHEN bid_qty > ma * {round(mult * 10_000)} // 10000 THEN 1048576 ELSE 0 END, CASE WHEN ask_qty > ma * {round(mult * 10_000)} // 10000 THEN 1048576 ELSE 0 END FROM side JOIN ready USING (symbol, bar_start)
+ UNION ALL SELECT symbol, bar_start, level, CASE WHEN so_far < 0 THEN 1 ELSE 0 END, CASE WHEN so_far < 0 THEN 0 ELSE 2 END FROM side JOIN ready USING (symbol, bar_start)
+ UNION ALL SELECT symbol, bar_start, level, CASE WHEN side = 'ask' THEN 0 WHEN done THEN 65536 ELSE 32768 END, CASE WHEN side = 'bid' THEN 0 WHEN done THEN 65536 ELSE 32768 END FROM au WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.symbol = au.symbol AND e.session_no = au.session_no AND e.bar_start > au.bar_start AND au.level BETWEEN e.lo AND e.hi)),
+ flags AS (SELECT symbol, bar_start, level, CAST(bit_or(b) AS BIGINT) AS bid_flags, CAST(bit_or(a) AS BIGINT) AS ask_flags FROM rows_ GROUP BY symbol, bar_start, level HAVING bit_or(b) <> 0 OR bit_or(a) <> 0)"""
+
+
+@query(_EVERYTHING + ", " + _flags_sql(0.33) + " SELECT * FROM flags")
 def e12_cell_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flagged(spark, sf_dir)[1]
 
@@ -312,17 +346,20 @@ def f1_f2_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _signals(spark, sf_dir)
 
 
-@query()
+@query(_EVERYTHING + ", " + _flags_sql(0.1) + """, big AS (SELECT symbol, bar_start, bool_or(bid_flags & 1048576 <> 0) AS bb, bool_or(ask_flags & 1048576 <> 0) AS ba FROM flags JOIN (SELECT symbol, bar_start, poc FROM traded) USING (symbol, bar_start) WHERE level >= poc AND (bid_flags | ask_flags) & 1048576 <> 0 GROUP BY ALL),
+ t AS (SELECT *, (atr + close) / close - 1 AS p, close > poc AND poc > vwap_low AND bb AS go_long, vwap_up > poc AND poc > close AND ba AS go_short FROM traded JOIN big USING (symbol, bar_start) WHERE bar_idx > 2),
+ s AS (SELECT symbol, last_trade_time AS ts_ms, close AS n_price, CAST(CASE WHEN go_long THEN 149 ELSE 154 END AS BIGINT) AS order_param, CAST(round_even(p * 10000 * 2, 0) AS BIGINT) AS tp, CAST(round_even(p * 10000 * 4, 0) AS BIGINT) AS sl FROM t WHERE p >= 0.0025 AND (go_long OR go_short))
+ SELECT symbol, ts_ms, n_price, order_param, CASE WHEN tp = 0 THEN 500 ELSE tp END AS tp_bps, CASE WHEN sl = 0 THEN 500 ELSE sl END AS sl_bps, row_number() OVER (PARTITION BY symbol ORDER BY ts_ms, n_price, order_param) AS signal_id FROM s""")
 def f3_trapped_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sig.number_signals(sig.trapped_orders_rule(*_flagged(spark, sf_dir, 0.1), least_bars=2))
 
 
-@query()
+@query(_CHAIN + "SELECT symbol, session_no, bar_start, high FROM (SELECT *, coalesce(max(high) OVER (PARTITION BY symbol, session_no ORDER BY bar_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS m FROM sbars) WHERE high > m")
 def f4_on_bar_close(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def second_highs(pdf):
+    def new_highs(pdf):
         return pdf[pdf["high"] > pdf["high"].cummax().shift(1).fillna(0)][["symbol", "session_no", "bar_start", "high"]]
 
-    return sig.on_bar_close(plan.session_bars(v.event_trades(spark, sf_dir), HOUR, N), second_highs, "symbol string, session_no long, bar_start long, high long")
+    return sig.on_bar_close(plan.session_bars(v.event_trades(spark, sf_dir), HOUR, N), new_highs, "symbol string, session_no long, bar_start long, high long")
 
 
 # --- 2.7 outcomes -----------------------------------------------------------------------------------------------
