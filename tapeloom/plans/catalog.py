@@ -576,15 +576,33 @@ def h15_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return led.streaks(led.closed_trades(_ledger(spark, sf_dir)[0]))
 
 
+#: All statistics of a run (rounded after adding 1e-10, so that exact halves round alike in both engines), without the grade of its SQN; absent ones are 0.
+_STATS = _W + """, tf AS (SELECT run_id, arg_max(n_balance, seq) / 1e8 AS end_balance, sum(n_commission) / 1e8 AS fees, CAST(sum(CAST(n_price AS HUGEINT) * n_qty) AS DOUBLE) / 100000 AS turnover, CAST(make_timestamp(min(bar_start) * 1000) AS DATE) AS day FROM balanced GROUP BY run_id),
+ ho AS (SELECT run_id, avg((c.ts_ms - o.ts_ms) / 60000) AS hold FROM (SELECT run_id, ts_ms, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS i FROM fills WHERE is_open) o JOIN (SELECT run_id, ts_ms, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS i FROM fills WHERE NOT is_open) c USING (run_id, i) GROUP BY run_id),
+ re AS (SELECT run_id, avg(r) AS m, stddev_samp(r) AS s, stddev_pop(r) AS p, sqrt(avg(r * r) FILTER (r < 0)) AS d FROM (SELECT run_id, close / lag(close) OVER (PARTITION BY run_id ORDER BY ts_ms) - 1 AS r FROM equity) WHERE r IS NOT NULL GROUP BY run_id),
+ sr AS (SELECT run_id, CASE WHEN p > 0 THEN m / s * sqrt(365.0 * 24) ELSE 0 END AS sharpe, CASE WHEN p > 0 THEN CASE WHEN d IS NULL THEN m / s * sqrt(365.0 * 24) WHEN d > 0 THEN m / d * sqrt(365.0 * 24) ELSE 0 END ELSE 0 END AS sortino FROM re),
+ sp AS (SELECT run_id, seq, balance, greatest(1000, max(balance) OVER (PARTITION BY run_id ORDER BY seq)) AS peak FROM closed), dp AS (SELECT run_id, ts_ms AS seq, max(high) OVER (PARTITION BY run_id ORDER BY ts_ms) AS peak, low FROM equity),
+ sd AS (SELECT run_id, arg_max(peak - balance, ((peak - balance) / peak * 100, -seq)) AS sv, max((peak - balance) / peak * 100) AS spct FROM sp GROUP BY run_id), dd AS (SELECT run_id, arg_max(peak - low, ((peak - low) / peak * 100, -seq)) AS dv, max((peak - low) / peak * 100) AS dpct FROM dp GROUP BY run_id),
+ isl AS (SELECT run_id, side, count(*) AS n FROM (SELECT run_id, sign(pnl) AS side, row_number() OVER (PARTITION BY run_id ORDER BY seq) - row_number() OVER (PARTITION BY run_id, sign(pnl) ORDER BY seq) AS i FROM closed) GROUP BY run_id, side, i), st AS (SELECT run_id, coalesce(max(n) FILTER (side = 1), 0) AS ws, coalesce(max(n) FILTER (side = -1), 0) AS ls FROM isl GROUP BY run_id),
+ js AS (SELECT run_id, end_balance, end_balance - 1000 AS net_profit, day, turnover, fees, coalesce(hold, 0) AS hold, coalesce(sharpe, 0) AS sharpe, coalesce(sortino, 0) AS sortino, coalesce(sv, 0) AS sv, coalesce(spct, 0) AS spct, coalesce(dv, 0) AS dv, coalesce(dpct, 0) AS dpct, coalesce(ws, 0) AS ws, coalesce(ls, 0) AS ls,
+ coalesce(n_closed, 0) AS n_closed, coalesce(n_win, 0) AS n_win, coalesce(n_loss, 0) AS n_loss, coalesce(sum_win, 0) AS sum_win, coalesce(sum_loss, 0) AS sum_loss, coalesce(wr, 0) * 100 AS win_rate, coalesce(avg_win, 0) AS avg_win, coalesce(avg_loss, 0) AS avg_loss, coalesce(wr * avg_win - n_loss / n_closed * abs(avg_loss), 0) AS expectancy, coalesce(payoff, 0) AS payoff_ratio,
+ CASE WHEN payoff > 0 THEN (wr - (1 - wr) / payoff) * 100 ELSE 0 END AS kelly_pct, CASE WHEN n_closed >= 5 AND sd > 0 THEN sqrt(n_closed) * m / sd ELSE 0 END AS sqn, coalesce(avg_mfe_pct, 0) AS avg_mfe_pct, coalesce(avg_mae_pct, 0) AS avg_mae_pct, coalesce(long_count, 0) AS long_count, CASE WHEN long_count > 0 THEN lw / long_count * 100 ELSE 0 END AS long_wr, coalesce(long_pnl, 0) AS long_pnl,
+ coalesce(short_count, 0) AS short_count, CASE WHEN short_count > 0 THEN sw / short_count * 100 ELSE 0 END AS short_wr, coalesce(short_pnl, 0) AS short_pnl FROM tf LEFT JOIN y USING (run_id) LEFT JOIN ho USING (run_id) LEFT JOIN sr USING (run_id) LEFT JOIN sd USING (run_id) LEFT JOIN dd USING (run_id) LEFT JOIN st USING (run_id)),
+ stats AS (SELECT *, CASE WHEN abs(sum_loss - fees) > 0 THEN sum_win / abs(sum_loss - fees) WHEN sum_win > 0 THEN sum_win ELSE 1 END AS profit_factor, CASE WHEN spct > 0 THEN net_profit / 1000 * 365.0 * 100 / spct ELSE 0 END AS calmar, CASE WHEN dv > 0 THEN net_profit / dv WHEN sv > 0 THEN net_profit / sv ELSE 0 END AS recovery_factor FROM js)"""
+
+
 def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = stored(v.run_fills(spark, sf_dir), "fills")
     return led.run_stats(f, v.run_equity(f), v.runs_of(f))
 
 
-@query()
+@query(_RUNS + f", {_STATS}" + """ SELECT run_id, 1000.0::DOUBLE AS start_balance, round(end_balance + 1e-10, 7) AS end_balance, round(net_profit + 1e-10, 7) AS net_profit, day AS start_date, day AS end_date, CAST(3600000 AS BIGINT) AS timeframe_ms, round(turnover + 1e-10, 7) AS turnover, round(fees + 1e-10, 7) AS fees, n_closed, n_win, n_loss, round(sum_win + 1e-10, 7) AS sum_win, round(sum_loss + 1e-10, 7) AS sum_loss,
+ round(avg_mfe_pct + 1e-10, 7) AS avg_mfe_pct, round(avg_mae_pct + 1e-10, 7) AS avg_mae_pct, long_count, round(long_pnl + 1e-10, 7) AS long_pnl, short_count, round(short_pnl + 1e-10, 7) AS short_pnl, round(win_rate + 1e-10, 7) AS win_rate, round(long_wr + 1e-10, 7) AS long_wr, round(short_wr + 1e-10, 7) AS short_wr, round(avg_win + 1e-10, 7) AS avg_win, round(avg_loss + 1e-10, 7) AS avg_loss, round(expectancy + 1e-10, 7) AS expectancy,
+ round(payoff_ratio + 1e-10, 7) AS payoff_ratio, round(sqn + 1e-10, 7) AS sqn, round(kelly_pct + 1e-10, 7) AS kelly_pct, CASE WHEN sqn >= 3 THEN 'excellent' WHEN sqn >= 2 THEN 'good' WHEN sqn >= 1.6 THEN 'average' ELSE 'poor' END AS sqn_grade, round(hold + 1e-10, 7) AS avg_hold_minutes, round(sharpe + 1e-10, 7) AS sharpe, round(sortino + 1e-10, 7) AS sortino, round(sv + 1e-10, 7) AS static_dd_val, round(spct + 1e-10, 7) AS static_dd_pct,
+ round(dv + 1e-10, 7) AS dynamic_dd_val, round(dpct + 1e-10, 7) AS dynamic_dd_pct, ws AS max_win_streak, ls AS max_loss_streak, round(profit_factor + 1e-10, 7) AS profit_factor, round(calmar + 1e-10, 7) AS calmar, round(recovery_factor + 1e-10, 7) AS recovery_factor FROM stats""")
 def h18_h20_h21_run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     st_ = _stats(spark, sf_dir)
-    return st_.select([F.round(x, 4).alias(x) if t == "double" else x for x, t in st_.dtypes])
+    return st_.select([F.round(F.col(x) + 1e-10, 7).alias(x) if t == "double" else x for x, t in st_.dtypes])
 
 
 @query(_RUNS + ", n AS (SELECT run_id, round(arg_max(n_balance, seq) / 1e8 - 1000, 6) AS np FROM balanced GROUP BY run_id) SELECT count(*) AS total_runs, count(*) FILTER (np > 0) AS profitable_runs, round(count(*) FILTER (np > 0) / count(*) * 100, 4) AS profitable_pct, arg_max(run_id, (np, -run_id)) AS best_run, max(np) AS best_net_profit FROM n")
@@ -665,9 +683,13 @@ def i10_equity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return res.equity_bands(equity, runs)
 
 
-@query()
+_NAMES = {"static_dd_val": "sv", "static_dd_pct": "spct", "dynamic_dd_val": "dv", "dynamic_dd_pct": "dpct", "max_win_streak": "ws", "max_loss_streak": "ls", "avg_hold_minutes": "hold", "start_balance": "1000.0"}
+_KPIS = " UNION ALL ".join(f"SELECT run_id, '{section}' AS section, '{m}' AS metric, round(CAST({_NAMES.get(m, m)} AS DOUBLE) + 1e-10, 7) AS value FROM stats" for section, ms in res.KPIS.items() for m in ms)
+
+
+@query(_RUNS + f", {_STATS} {_KPIS}")
 def i11_kpi_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return res.kpi_table(_stats(spark, sf_dir)).withColumn("value", F.round("value", 4))
+    return res.kpi_table(_stats(spark, sf_dir)).withColumn("value", F.round(F.col("value") + 1e-10, 7))
 
 
 # --- 2.1 sources and stores -------------------------------------------------------------------------------------
