@@ -95,9 +95,10 @@ def find_copied_lines(docs: DataFrame) -> DataFrame:
     keyed = docs.select(*row_key(), "text").where("text IS NOT NULL")
     lines = keyed.select("k1", "k2", F.explode_outer(F.array_distinct(line_hashes(1))).alias("h")).where("h % 2 <> 0")
     first = lines.groupBy("h").agg(F.min(F.struct("k1", "k2")).alias("e"), F.max(F.struct("k1", "k2")).alias("z")).where("e <> z").select("h", "e")
+    first = materialize(first, "lines-first")  # plain inputs let Spark split the partition of a very common line
     pairs = lines.join(first, "h").where("e <> struct(k1, k2)").select("k1", "k2", F.col("e.k1").alias("e1"), F.col("e.k2").alias("e2")).distinct()
     pairs = materialize(pairs, "lines-pairs")
-    hashed = materialize(keyed.select("k1", "k2", line_hashes(2).alias("late")), "lines-hashes").dropDuplicates(["k1", "k2"])
+    hashed = materialize(keyed.select("k1", "k2", line_hashes(2).alias("late")).dropDuplicates(["k1", "k2"]), "lines-hashes")
     early = hashed.select(F.col("k1").alias("e1"), F.col("k2").alias("e2"), F.col("late").alias("early"))
     aligned = pairs.join(early, ["e1", "e2"]).join(hashed, ["k1", "k2"]).select("k1", "k2", "early", "late").mapInArrow(_align, "k1 long, k2 long, gone array<int>")
     return aligned.groupBy("k1", "k2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone")).where("size(gone) > 0")
