@@ -6,6 +6,8 @@ looked at inside that bar only.
 
 from __future__ import annotations
 
+from typing import Protocol
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,12 @@ from ..functions.scalars import bar_start, floor_div, pnl, slipped_price
 AT = ["symbol", "bar_start"]
 
 
+class OrderPolicy(Protocol):
+    """A user's reaction to a candidate in ``size_and_gate``: the size to put in, or None to let it pass."""
+
+    def __call__(self, candidate, size: int) -> int | None: ...
+
+
 def entry_fill(orders: DataFrame, trades: DataFrame, tf: int, latency: int = 100, slip_bps: int = 5) -> DataFrame:
     """Market orders (``order_id, symbol, ts_ms, is_buy``) with ``fill_ts, fill_id, fill_price`` of the first trade from ts_ms + latency on.
 
@@ -107,7 +115,7 @@ def one_position_per_side(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("run_id", "symbol", "is_long").applyInPandas(walk, candidates.schema)
 
 
-def size_and_gate(candidates: DataFrame, policy=None, start: int = 100 * 10**8, leverage: int = 20, entry_bps: int = 100, max_loss_bps: int = 1000, max_lock_bps: int = 1000, min_size: int = 5 * 10**8, price_mult: int = 100, qty_mult: int = 1000, taker_bps: int = 5, maker_bps: int = 2, money: int = 10**8) -> DataFrame:
+def size_and_gate(candidates: DataFrame, policy: OrderPolicy | None = None, start: int = 100 * 10**8, leverage: int = 20, entry_bps: int = 100, max_loss_bps: int = 1000, max_lock_bps: int = 1000, min_size: int = 5 * 10**8, price_mult: int = 100, qty_mult: int = 1000, taker_bps: int = 5, maker_bps: int = 2, money: int = 10**8) -> DataFrame:
     """Walk each run's signals in time order: stop at the loss limit or when the size is too small, skip while too much is locked, else size
     the position, take fees and the result of its exit.
 
