@@ -210,11 +210,11 @@ def components(docs: DataFrame) -> DataFrame:
     """``k1, k2, n_shingles, node, root``: the node of each document and the least node reachable by links."""
     keyed = docs.select(*row_key(), F.col("text").cast("binary").alias("text"))
     signed = materialize(keyed.mapInArrow(_sign, _SIGNED), "neardup-signed")
-    nodes = signed.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("own"))
-    signatures = signed.where("n_shingles > 0").select("node", "sig").dropDuplicates(["node"])
-    entries = signed.where("n_shingles > 0").select("node", F.explode_outer("bands").alias("bucket")).distinct()
-    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    crowded = entries.join(shared, "bucket").join(signatures, "node").select("bucket", "n", "node", "sig")
+    # one row a node, so that a group of copies has one set of entries; plain inputs let Spark split hot buckets
+    nodes = materialize(signed.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("own"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "neardup-nodes")
+    entries = nodes.select("node", F.explode_outer("bands").alias("bucket"))
+    shared = materialize(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "neardup-shared")
+    crowded = entries.join(shared, "bucket").join(nodes.select("node", "sig"), "node").select("bucket", "n", "node", "sig")
     stars = _pairs_of_blocks(crowded, "bucket", BUCKET_BLOCK).mapInArrow(_match_buckets, "a long, b long")
     families = connected_components(stars, "neardup-families").select("node", F.col("root").alias("family"))
     sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
