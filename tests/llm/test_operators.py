@@ -366,3 +366,16 @@ def test_urls_are_judged_at_fetch_time(spark):
     got = {r.capture_id: r.blocked for r in urls.evaluate(captures, entries).collect()}
     assert got == {1: False, 2: True, 3: True, 4: False, 5: True, 6: False, 7: False, 8: False, 9: False, 10: False, 11: True}
     assert urls.evaluate(captures, entries.where("false")).where("blocked").count() == 0
+
+
+def test_empty_tables_give_empty_results(docs):
+    none = docs.where("false")
+    assert substring.substring_summary(none).count() == 0 and substring.drop_substrings(none).columns == none.columns
+    assert neardup.near_duplicates(none).count() == 0 and neardup.drop_near_duplicates(none).count() == 0
+    assert rules.judge(none).count() == 0 and lines.drop_copied_lines(none).count() == 0
+
+
+def test_rules_judge_unknown_languages_by_all_documents(spark, docs):
+    mixed = docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, F.lit(None).cast("string")).otherwise("en"))
+    got = rules.judge(mixed.where("doc_id IN (2, 12)")).collect()
+    assert len(got) == 2 and all(r.class_js is not None and r.word_js is not None for r in got)
