@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import row_key
+
 WIDTH_BITS, ORDERS = 14, 3
 WIDTH = 1 << WIDTH_BITS
 LANDMARKS, TRAIN_PER_LANGUAGE, MAX_LANGUAGES, MAX_TEXTS = 128, 500, 200, 20_000
@@ -106,8 +108,11 @@ def train(docs: DataFrame) -> Model | None:
     if not names:
         return None
     each = min(TRAIN_PER_LANGUAGE, MAX_TEXTS // len(names))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    chosen = usable.where(F.col("lang").isin(names)).withColumn("r", F.row_number().over(order)).where(F.col("r") <= each)
+    # keys are ranked without their texts; at most MAX_TEXTS of them are broadcast to fetch these
+    keyed = usable.where(F.col("lang").isin(names)).select("doc_id", "text", "lang", *row_key())
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "k1", "k2")
+    ranked = keyed.select("lang", "doc_id", "k1", "k2").withColumn("r", F.row_number().over(order)).where(F.col("r") <= each)
+    chosen = keyed.join(F.broadcast(ranked.groupBy("k1", "k2").agg(F.min("r").alias("r"))), ["k1", "k2"])
     got = chosen.select("lang", "r", "text").mapInArrow(_presence_rows, "lang string, r int, bits binary").toArrow()
     bits = np.unpackbits(np.frombuffer(b"".join(got.column("bits").to_pylist()), np.uint8).reshape(got.num_rows, -1), axis=1).astype(bool)
     return fit(bits, got.column("lang").to_pylist(), got.column("r").to_pylist())
