@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast
+from .common import materialize, maybe_broadcast
 
 MAX_DOMAIN_LABELS, MAX_PATH_PARTS = 8, 4
 
@@ -63,7 +63,7 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     A null or unparsable URL has no host and matches nothing; a null fetch time is at no interval's inside. An entry is active from its
     listing (included) to its removal (excluded). Repeated captures are evaluated together and each returned.
     """
-    spans = intervals(entries)
+    spans = materialize(intervals(entries), "url-intervals")
     n = spans.count()
     keyed = captures.select("capture_id", "fetched_at", F.explode_outer(list_keys(F.col("url"))).alias("k")).distinct()
     asked = keyed.select("capture_id", "fetched_at", F.col("k.kind").alias("kind"), F.col("k.value").alias("value")).where("value IS NOT NULL AND fetched_at IS NOT NULL")
