@@ -24,6 +24,8 @@ WIDTH_BITS, ORDERS = 14, 3
 WIDTH = 1 << WIDTH_BITS
 LANDMARKS, TRAIN_PER_LANGUAGE, MAX_LANGUAGES, MAX_TEXTS = 128, 500, 200, 20_000
 RIDGE = 1e-2
+#: Hashes that choose training rows fall below this.
+RANGE = 1_000_000_000
 #: Characters taken at a time, and texts of a batch.
 PIECE, BATCH = 1 << 19, 128
 UNKNOWN = "und"
@@ -104,16 +106,18 @@ def train(docs: DataFrame) -> Model | None:
     """Fit on (doc_id, text, lang); rows without language or letters teach nothing. None if nothing is left."""
     usable = docs.where(F.col("lang").isNotNull() & has_letter(F.col("text")))
     frequent = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    names = [r[0] for r in frequent.collect()]  # at most MAX_LANGUAGES
-    if not names:
+    counts = [(r[0], r[1]) for r in frequent.collect()]  # at most MAX_LANGUAGES
+    if not counts:
         return None
-    each = min(TRAIN_PER_LANGUAGE, MAX_TEXTS // len(names))
-    # keys are ranked without their texts; at most MAX_TEXTS of them are broadcast to fetch these
-    keyed = usable.where(F.col("lang").isin(names)).select("doc_id", "text", "lang", *row_key())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "k1", "k2")
-    ranked = keyed.select("lang", "doc_id", "k1", "k2").withColumn("r", F.row_number().over(order)).where(F.col("r") <= each)
+    each = min(TRAIN_PER_LANGUAGE, MAX_TEXTS // len(counts))
+    # the rows of least hash are taken: about four times as many pass a bound on the hash, and only these are ranked, without their texts
+    bounds = docs.sparkSession.createDataFrame([(name, 4 * each * RANGE // n if n > 4 * each else RANGE) for name, n in counts], "lang string, below long")
+    keyed = usable.select("doc_id", "text", "lang", *row_key()).join(F.broadcast(bounds), "lang")
+    keyed = keyed.withColumn("u", F.pmod("k2", F.lit(RANGE))).where("u < below")
+    order = Window.partitionBy("lang").orderBy("u", "k1", "k2")
+    ranked = keyed.select("lang", "u", "k1", "k2").withColumn("r", F.row_number().over(order)).where(F.col("r") <= each)
     chosen = keyed.join(F.broadcast(ranked.groupBy("k1", "k2").agg(F.min("r").alias("r"))), ["k1", "k2"])
-    got = chosen.select("lang", "r", "text").mapInArrow(_presence_rows, "lang string, r int, bits binary").toArrow()
+    got = chosen.dropDuplicates(["k1", "k2"]).select("lang", "r", "text").mapInArrow(_presence_rows, "lang string, r int, bits binary").toArrow()
     bits = np.unpackbits(np.frombuffer(b"".join(got.column("bits").to_pylist()), np.uint8).reshape(got.num_rows, -1), axis=1).astype(bool)
     return fit(bits, got.column("lang").to_pylist(), got.column("r").to_pylist())
 
