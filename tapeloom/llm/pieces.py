@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-BATCH_CHARS, CACHE_WORDS = 1 << 20, 800_000
+#: Characters of a batch; words and pairs of pieces that a task's process remembers, at about 200 bytes each.
+BATCH_CHARS, CACHE_WORDS, CACHE_PAIRS = 1 << 20, 300_000, 300_000
 
 
 class Vocabulary:
@@ -146,7 +147,9 @@ class Vocabulary:
         """The ids of each text as packed 32-bit integers."""
         cut = [None if t is None else self.word.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         if len(self._words) > CACHE_WORDS:
-            self._words = {}
+            self._words.clear()
+        if len(self._pairs) > CACHE_PAIRS:
+            self._pairs.clear()
         new = sorted({w for c in cut if c for w in c}.difference(self._words))
         for word, parts in self.segment(new):
             self._words[word] = np.array(self.ids(parts), np.int32).tobytes()
