@@ -44,7 +44,7 @@ def _leftmost_minima(g: np.ndarray, width: int) -> np.ndarray:
 def super_kmers(words: np.ndarray, offsets: np.ndarray, k: int = K, m: int = M) -> tuple[np.ndarray, ...]:
     """``(text, start, windows, minimiser)`` arrays for the texts of a batch; start counts words from the text's own first."""
     if len(words) < k:
-        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.int64),)
+        return (np.empty(0, np.int64),) * 4
     grams = gram_hashes(words, m)
     at = _leftmost_minima(grams, k - m + 1)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(at)]
