@@ -30,8 +30,9 @@ SHINGLE, PERCENT = 5, 75
 PERMUTATIONS, ROWS = 64, 4
 BANDS = 2 * PERMUTATIONS // ROWS
 LEAST_AGREEMENT = 0.55
-#: Documents of a block; a larger bucket or family becomes pairs of blocks.
-BUCKET_BLOCK, FAMILY_BLOCK = 512, 192
+#: Least documents of a block; a larger bucket or family becomes pairs of blocks. Blocks grow with the square root of the group up to
+#: BLOCK_GROWTH times this, which bounds a task's memory and keeps a row from being copied to too many pairs.
+BUCKET_BLOCK, FAMILY_BLOCK, BLOCK_GROWTH = 512, 192, 5
 
 _rng = np.random.default_rng(1_234_577)
 _A = _rng.integers(1, 1 << 63, size=PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
@@ -197,12 +198,13 @@ def _confirm_families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     yield _edges(found)
 
 
-def _pairs_of_blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """Rows with ``bi, bj``: each row goes to every pair of blocks that holds its own; ``n`` rows of a key make n / size blocks."""
+def _pairs_of_blocks(rows: DataFrame, key: str, least: int) -> DataFrame:
+    """Rows with ``bi, bj``: each row goes to every pair of blocks that holds its own; a key of ``n`` rows makes n / block size blocks."""
+    size = F.greatest(F.lit(least), F.least(F.lit(least * BLOCK_GROWTH), F.floor(F.sqrt("n") * 4)))
     blocks = F.ceil(F.col("n") / size)
-    mine = F.when(F.col("n") <= size, 0).otherwise(F.pmod(F.xxhash64("node"), blocks)).cast("int")
-    every = F.transform(F.sequence(F.lit(0), (blocks - 1).cast("int")), lambda o: F.struct(F.least(F.col("mine"), o).alias("bi"), F.greatest(F.col("mine"), o).alias("bj")))
-    dealt = rows.withColumn("mine", mine).withColumn("pair", F.explode_outer(every))
+    mine = F.when(blocks == 1, 0).otherwise(F.pmod(F.xxhash64("node"), blocks)).cast("int")
+    every = F.transform(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")), lambda o: F.struct(F.least(F.col("mine"), o).alias("bi"), F.greatest(F.col("mine"), o).alias("bj")))
+    dealt = rows.withColumns({"mine": mine, "blocks": blocks}).withColumn("pair", F.explode_outer(every))
     return dealt.select(*[c for c in rows.columns if c != "n"], "pair.bi", "pair.bj").repartition(key, "bi", "bj").sortWithinPartitions(key, "bi", "bj")
 
 
