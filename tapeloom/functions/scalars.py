@@ -153,7 +153,7 @@ def position_size(available: Column | str, entry_bps: Column | str | int, levera
 
 
 def size_to_qty(nominal: Column | str, n_price: Column | str, price_mult: int, qty_mult: int, money: int = MONEY) -> Column:
-    return F.bround(_c(nominal) / money * price_mult * qty_mult / _c(n_price)).cast("long")
+    return F.bround(_c(nominal) / money * price_mult * qty_mult / F.nullif(_c(n_price), F.lit(0))).cast("long")
 
 
 def loss_ok(balance: Column | str, start: Column | str, max_loss_bps: int | Column = 1000) -> Column:

@@ -82,9 +82,9 @@ def vwap_bands(bars: DataFrame, k: int = 2) -> DataFrame:
     over = Window.partitionBy(*SESSION).orderBy("bar_start").rowsBetween(Window.unboundedPreceding, 0)
     w, pq, ppq = (F.sum(c).over(over) for c in ("volume", "pq", "ppq"))
     out = bars.withColumns({"_w": w, "_pq": pq, "_ppq": ppq})
-    mean = F.col("_pq").cast("double") / F.col("_w").cast("double")
-    # variance = (W * sum(ppq) - sum(pq)^2) / W^2, with an exact numerator where it fits 38 digits
-    spread = F.col("_ppq").cast("double") / F.col("_w").cast("double") - mean * mean
+    weight = F.nullif(F.col("_w").cast("double"), F.lit(0.0))
+    mean = F.col("_pq").cast("double") / weight
+    spread = F.col("_ppq").cast("double") / weight - mean * mean
     deviation = F.sqrt(F.greatest(F.lit(0.0), spread))
     return out.withColumns({"vwap": F.bround(mean).cast("long"), "vwap_up": F.bround(mean + k * deviation).cast("long"), "vwap_low": F.bround(mean - k * deviation).cast("long")}).drop("_w", "_pq", "_ppq")
 
@@ -96,9 +96,9 @@ def true_range(bars: DataFrame) -> DataFrame:
 
 
 def parkinson_term(bars: DataFrame) -> DataFrame:
-    """round(ln(high / low)^2 * 1e9)."""
-    ratio = F.ln(F.col("high") / F.col("low"))
-    return bars.withColumn("park_term", F.bround(ratio * ratio * 1_000_000_000).cast("long"))
+    """round(ln(high / low)^2 * 1e9); 0 where the low is 0."""
+    ratio = F.ln(F.col("high") / F.nullif("low", F.lit(0)))
+    return bars.withColumn("park_term", F.bround(F.coalesce(ratio * ratio * 1_000_000_000, F.lit(0.0))).cast("long"))
 
 
 def smoothed(bars: DataFrame, source: str, out: str, period: int, gap_mode: str = "carry") -> DataFrame:

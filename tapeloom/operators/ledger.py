@@ -61,7 +61,7 @@ def opened_trades(ledger: DataFrame, price_mult: int = 100) -> DataFrame:
 def closed_trades(ledger: DataFrame, price_mult: int = 100, qty_mult: int = 1000) -> DataFrame:
     """Closing fills with pnl, pnl %, excursions as % of the entry notional (MAE never above 0, MFE never below), planned tp / sl %, and colour."""
     entry, price = F.nullif(F.col("n_entry"), F.lit(0)) / price_mult, F.col("n_price") / price_mult
-    notional = entry * (F.col("n_qty") / qty_mult)
+    notional = F.nullif(entry * (F.col("n_qty") / qty_mult), F.lit(0.0))
     result = F.col("n_pnl") / MONEY
     return ledger.where("NOT is_open").select(
         "run_id", "symbol", "seq", "ts_ms", F.when(result > 0, "green").otherwise("red").alias("color"), "is_long", (F.col("n_balance") / MONEY).alias("balance"), price.alias("price"),

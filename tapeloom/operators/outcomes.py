@@ -141,7 +141,7 @@ def size_and_gate(candidates: DataFrame, policy: OrderPolicy | None = None, star
             if size <= min_size:
                 break
             size = policy(r, size) if policy else size
-            if size is None:
+            if size is None or not r.fill_price:
                 continue
             qty = round(size / money * price_mult * qty_mult / r.fill_price)
             notional = r.fill_price / price_mult * qty / qty_mult

@@ -51,7 +51,7 @@ def trapped_orders_rule(bars: DataFrame, flags: DataFrame, least_atr: float = 0.
     big = flags.withColumns({"_bid": F.col("bid_flags").bitwiseAND(F.lit(bit)) != 0, "_ask": F.col("ask_flags").bitwiseAND(F.lit(bit)) != 0}).where("_bid OR _ask")
     marks = bars.select("symbol", "bar_start", "poc").join(big, ["symbol", "bar_start"]).where("level >= poc")
     sides = marks.groupBy("symbol", "bar_start").agg(F.bool_or("_bid").alias("big_bid"), F.bool_or("_ask").alias("big_ask"))
-    atr_pct = (F.col("atr") + F.col("close")) / F.col("close") - 1
+    atr_pct = (F.col("atr") + F.col("close")) / F.nullif("close", F.lit(0)) - 1
     able = bars.join(sides, ["symbol", "bar_start"]).withColumn("_atr", atr_pct).where((F.col("bar_idx") > least_bars) & (F.col("_atr") >= least_atr))
     short = (F.col("vwap_up") > F.col("poc")) & (F.col("poc") > F.col("close")) & F.col("big_ask")
     long = (F.col("close") > F.col("poc")) & (F.col("poc") > F.col("vwap_low")) & F.col("big_bid")

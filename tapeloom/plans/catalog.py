@@ -221,13 +221,13 @@ def _filled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_FILL + """SELECT symbol, session_no, bar_start, bar_idx, open, high, low, close, volume, open_time, is_filled, CAST(sum(delta) OVER s AS BIGINT) AS cvd, CAST(round_even(CAST(sum(pq) OVER s AS DOUBLE) / CAST(sum(volume) OVER s AS DOUBLE), 0) AS BIGINT) AS vwap,
- greatest(high - low, abs(high - lag(close) OVER s), abs(low - lag(close) OVER s)) AS true_range, CAST(round_even(ln(high / low) * ln(high / low) * 1000000000, 0) AS BIGINT) AS park_term FROM filled WINDOW s AS (PARTITION BY symbol, session_no ORDER BY bar_start)""")
+ greatest(high - low, abs(high - lag(close) OVER s), abs(low - lag(close) OVER s)) AS true_range, CAST(round_even(coalesce(ln(high / nullif(low, 0)) * ln(high / nullif(low, 0)) * 1000000000, 0), 0) AS BIGINT) AS park_term FROM filled WINDOW s AS (PARTITION BY symbol, session_no ORDER BY bar_start)""")
 def d2_d5_filled_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = ind.parkinson_term(ind.true_range(ind.vwap_bands(ind.cvd(_filled(spark, sf_dir)))))
     return b.select("symbol", "session_no", "bar_start", "bar_idx", "open", "high", "low", "close", "volume", "open_time", "is_filled", "cvd", "vwap", "true_range", "park_term")
 
 
-_RANGED = """ranged AS (SELECT *, greatest(high - low, abs(high - lag(close) OVER s), abs(low - lag(close) OVER s)) AS tr, CAST(round_even(ln(high / low) * ln(high / low) * 1000000000, 0) AS BIGINT) AS pt FROM filled WINDOW s AS (PARTITION BY symbol, session_no ORDER BY bar_start)),
+_RANGED = """ranged AS (SELECT *, greatest(high - low, abs(high - lag(close) OVER s), abs(low - lag(close) OVER s)) AS tr, CAST(round_even(coalesce(ln(high / nullif(low, 0)) * ln(high / nullif(low, 0)) * 1000000000, 0), 0) AS BIGINT) AS pt FROM filled WINDOW s AS (PARTITION BY symbol, session_no ORDER BY bar_start)),
  folded AS (SELECT symbol, session_no, bar_start, bar_idx, tr AS atr, pt AS parkinson FROM ranged WHERE bar_idx = 0
  UNION ALL SELECT r.symbol, r.session_no, r.bar_start, r.bar_idx, CASE WHEN r.is_filled THEN f.atr ELSE (f.atr * 13 + r.tr) // 14 END, CASE WHEN r.is_filled THEN f.parkinson ELSE (f.parkinson * 11 + r.pt) // 12 END
  FROM folded f JOIN ranged r ON r.symbol = f.symbol AND r.session_no = f.session_no AND r.bar_idx = f.bar_idx + 1)"""

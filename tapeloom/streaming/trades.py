@@ -125,7 +125,7 @@ class _IndicatorState:
         s = self.state.get() if self.state.exists() else None
         out = []
         for r in pd.concat(list(rows)).sort_values("bar_start").itertuples(index=False):
-            term = round(math.log(r.high / r.low) ** 2 * 1_000_000_000)
+            term = round(math.log(r.high / r.low) ** 2 * 1_000_000_000) if r.low > 0 else 0
             if s is None or r.bar_start >= s[0] + self.tf * self.bar_count:
                 s = (int(r.bar_start), int(r.delta), int(r.high - r.low), term, int(r.close))
             else:
