@@ -3,7 +3,7 @@
 Two documents overlap when they share a rare line: one of at least ``RARE_CHARS`` characters, which chance does not repeat as it does
 short lines. For each shared rare line the document is paired with the earliest one that holds it, so a line in n
 documents makes n - 1 pairs, whatever n is, and copies need no pairs among themselves. Each pair's line hashes are
-aligned by patience diff, and aligned common blocks with a rare line are deleted from the later document.
+aligned by patience diff, ranges without unique common lines by a longest common subsequence, and aligned common blocks with a rare line are deleted from the later document.
 """
 
 from __future__ import annotations
@@ -27,6 +27,72 @@ def line_hashes(seed: int, rare: int = RARE_CHARS) -> Column:
     return F.expr(_LINES.format(seed=seed, rare=rare))
 
 
+#: Rows of the longest-common-subsequence table are kept while they have no more bits than this; longer ranges are halved first.
+_TABLE_BITS = 1 << 26
+
+
+def _lcs_rows(a: list[int], b: list[int], keep: bool) -> list[int]:
+    """Rows of the table, one a prefix of ``a`` (the last only, unless ``keep``): bit j is 0 where b[: j + 1] has one more common line than b[:j]."""
+    at: dict[int, int] = {}
+    for j, x in enumerate(b):
+        at[x] = at.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row, rows = full, []
+    for x in a:
+        hit = row & at.get(x, 0)
+        row = (row + hit | row - hit) & full
+        if keep:
+            rows.append(row)
+    return rows if keep else [row]
+
+
+def _lcs(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Index pairs of a longest common subsequence: bit-parallel, halved as Hirschberg does where the table would be large."""
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        i0, i1, j0, j1 = todo.pop()
+        if i0 == i1 or j0 == j1:
+            continue
+        if i1 - i0 > 1 and (i1 - i0) * (j1 - j0) > _TABLE_BITS:
+            mid, n = (i0 + i1) // 2, j1 - j0
+            head = f"{_lcs_rows(a[i0:mid], b[j0:j1], False)[0]:0{n}b}"[::-1]
+            tail = f"{_lcs_rows(a[mid:i1][::-1], b[j0:j1][::-1], False)[0]:0{n}b}"[::-1]
+            total = tail.count("0")
+            best, cut = total, 0
+            for j in range(n):
+                total += (head[j] == "0") - (tail[n - 1 - j] == "0")
+                if total > best:
+                    best, cut = total, j + 1
+            todo += [(i0, mid, j0, j0 + cut), (mid, i1, j0 + cut, j1)]
+            continue
+        rows = _lcs_rows(a[i0:i1], b[j0:j1], True)
+        i, j = i1 - i0, j1 - j0
+        while i and j:
+            if rows[i - 1] >> (j - 1) & 1:
+                j -= 1
+            elif i > 1 and not rows[i - 2] >> (j - 1) & 1:
+                i -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.append((i0 + i, j0 + j))
+    return sorted(out)
+
+
+def repeated_pairs(a: list[int], b: list[int], i0: int, i1: int, j0: int, j1: int) -> list[tuple[int, int]]:
+    """Aligned lines of a range without lines unique on both sides: a longest common subsequence, moved together into blocks."""
+    common = set(a[i0:i1]) & set(b[j0:j1])
+    if not common:
+        return []
+    left, right = [i for i in range(i0, i1) if a[i] in common], [j for j in range(j0, j1) if b[j] in common]
+    pairs = [(left[i], right[j]) for i, j in _lcs([a[i] for i in left], [b[j] for j in right])]
+    for n in range(len(pairs) - 2, -1, -1):
+        i, j = pairs[n + 1][0] - 1, pairs[n + 1][1] - 1
+        if a[i] == b[j]:
+            pairs[n] = (i, j)
+    return pairs
+
+
 def patience_blocks(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Index pairs (i, j), increasing in both, of aligned equal lines."""
     out: list[tuple[int, int]] = []
@@ -45,6 +111,7 @@ def patience_blocks(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         where = {b[j]: j for j in range(j0, j1) if in_b[b[j]] == 1}
         both = [(i, where[a[i]]) for i in range(i0, i1) if in_a[a[i]] == 1 and a[i] in where]
         if not both:
+            out += repeated_pairs(a, b, i0, i1, j0, j1)
             continue
         # the longest increasing run of positions in b: piles, as in patience sorting, with links back
         tops: list[int] = []

@@ -203,6 +203,31 @@ def test_patience_blocks():
         assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(blocks, blocks[1:], strict=False))
 
 
+def test_repeated_lines_are_aligned(spark, monkeypatch):
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    rng = random.Random(9)
+    for bits in (1 << 26, 4):
+        monkeypatch.setattr(lines, "_TABLE_BITS", bits)
+        for _ in range(300):
+            a, b = ([rng.randrange(4) for _ in range(rng.randrange(14))] for _ in range(2))
+            pairs = lines.repeated_pairs(a, b, 0, len(a), 0, len(b))
+            assert len(pairs) == longest(a, b) and all(a[i] == b[j] for i, j in pairs)
+            assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:], strict=False))
+    x, y = "a licence line that is long enough", "the second line of that licence"
+    rows = [(1, f"top of the first document\n{x}\n{y}\nits middle\n{x}\n{y}\nits end"), (2, f"top of the second one\n{x}\n{y}\nend"), (3, f"own\n{x}\n{y}\nthird\n{x}\n{y}\nlast"), (4, "only once, in the fourth document"), (5, "five\nonly once, in the fourth document\nsome\nonly once, in the fourth document\nrest")]
+    got = {r.doc_id: r.text for r in lines.drop_copied_lines(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOC)).collect()}
+    assert got[1] == rows[0][1] and got[2] == "top of the second one\nend" and got[3] == "own\nthird\nlast"
+    assert got[5].split("\n").count(rows[3][1]) == 1
+
+
 def test_lines_are_deleted_from_the_later_document(spark):
     one, two, three = "a line that is long enough", "another line of some length", "the third line of this text"
     rows = [(1, f"{one}\n{two}\n{three}"), (2, f"own words at the start here\n{two}\n{three}"), (3, f"{one}\n{two}\n{three}"), (4, "short\nlines"), (5, "short\nlines"), (6, None), (7, "")]
