@@ -2,7 +2,8 @@
 
 Dated list entries (add or remove a domain, a host path or a URL) become validity intervals; every capture is evaluated against the
 entries that were active when it was fetched. Only DataFrame functions run. The intervals of one list value are one row,
-so the join is an equi-join that cannot multiply rows, and the as-of test looks into that row.
+so the join is an equi-join that cannot multiply rows, and the as-of test looks into that row. A capture is expanded as far as the longest
+domain and path on the list reach, so no entry is out of reach.
 """
 
 from __future__ import annotations
@@ -12,8 +13,6 @@ from pyspark.sql import functions as F
 
 from .common import materialize, maybe_broadcast
 
-MAX_DOMAIN_LABELS, MAX_PATH_PARTS = 8, 4
-
 
 def host_of(url: Column) -> Column:
     """Lower-cased host without user, port or trailing dot; empty if there is none."""
@@ -38,13 +37,16 @@ def intervals(entries: DataFrame) -> DataFrame:
     return spans.groupBy("kind", "value").agg(F.array_sort(F.collect_list(F.struct(F.col("listed_at").alias("since"), "until"))).alias("spans"))
 
 
-def list_keys(url: Column) -> Column:
-    """The list values that can cover ``url``: its host and parent domains, host and leading path parts, and itself without fragment."""
+def list_keys(url: Column, most_labels: int, most_parts: int) -> Column:
+    """The list values that can cover ``url``: its host and parent domains, host and leading path parts, and itself without fragment.
+
+    Domains of more than ``most_labels`` labels and paths of more than ``most_parts`` parts are left out; no entry may be longer.
+    """
     host, path = host_of(url), path_of(url)
     labels = F.split(host, r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(MAX_DOMAIN_LABELS))), lambda i: F.array_join(F.slice(labels, F.size(labels) - i + 1, i), "."))
+    domains = F.transform(_up_to(F.least(F.size(labels), F.lit(most_labels))), lambda i: F.array_join(F.slice(labels, F.size(labels) - i + 1, i), "."))
     parts = F.array_remove(F.split(F.lower(path), "/"), "")
-    paths = F.transform(F.when(F.size(parts) > 0, F.sequence(F.lit(1), F.least(F.size(parts), F.lit(MAX_PATH_PARTS)))).otherwise(F.array().cast("array<int>")), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")))
+    paths = F.transform(_up_to(F.least(F.size(parts), F.lit(most_parts))), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")))
     tagged = F.concat(
         F.transform(domains, lambda v: F.struct(F.lit("domain").alias("kind"), v.alias("value"))),
         F.transform(paths, lambda v: F.struct(F.lit("path").alias("kind"), v.alias("value"))),
@@ -53,6 +55,10 @@ def list_keys(url: Column) -> Column:
     return F.array_distinct(F.when(host == "", F.array().cast(tagged_type())).otherwise(tagged))
 
 
+def _up_to(n: Column) -> Column:
+    return F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+
+
 def tagged_type() -> str:
     return "array<struct<kind:string,value:string>>"
 
@@ -64,8 +70,9 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     listing (included) to its removal (excluded). Repeated captures are evaluated together and each returned.
     """
     spans = materialize(intervals(entries), "url-intervals")
-    n = spans.count()
-    keyed = captures.select("capture_id", "fetched_at", F.explode_outer(list_keys(F.col("url"))).alias("k")).distinct()
+    longest = lambda kind, mark: F.coalesce(F.max(F.when(F.col("kind") == kind, F.size(F.split("value", mark)))), F.lit(0))
+    n, labels, parts = spans.agg(F.count(F.lit(1)), longest("domain", r"\."), longest("path", "/") - 1).first()
+    keyed = captures.select("capture_id", "fetched_at", F.explode_outer(list_keys(F.col("url"), labels, parts)).alias("k")).distinct()
     asked = keyed.select("capture_id", "fetched_at", F.col("k.kind").alias("kind"), F.col("k.value").alias("value")).where("value IS NOT NULL AND fetched_at IS NOT NULL")
     active = asked.join(maybe_broadcast(spans, n), ["kind", "value"]).where("exists(spans, s -> s.since <= fetched_at AND (s.until IS NULL OR fetched_at < s.until))")
     found = active.groupBy("capture_id").agg(F.array_sort(F.collect_set(F.concat_ws(":", "kind", "value"))).alias("matches"))

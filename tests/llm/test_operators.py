@@ -378,6 +378,17 @@ def test_pieces_match_the_library(spark, docs):
     assert figures.where("NOT round_trip").count() == 0 and figures.where("n_ids = 0").count() == 3
 
 
+def test_long_domains_and_paths_are_listed(spark):
+    at = datetime.datetime(2024, 1, 2)
+    deep = "a.b.c.d.e.f.g.h.bad.example"
+    entries = spark.createDataFrame([("domain", deep, "add", at), ("path", "ok.example/a/b/c/d/e", "add", at)], "kind string, value string, action string, listed_at timestamp")
+    rows = [(1, f"http://{deep}/"), (2, f"http://x.{deep}/a"), (3, "http://b.c.d.e.f.g.h.bad.example/"), (4, "http://ok.example/A/b/c/d/e/f"), (5, "http://ok.example/a/b/c/d"), (6, "http://ok.example//a//b/c/d/e")]
+    captures = spark.createDataFrame([(i, u, at) for i, u in rows], "capture_id long, url string, fetched_at timestamp")
+    got = {r.capture_id: r.blocked for r in urls.evaluate(captures, entries).collect()}
+    assert got == {1: True, 2: True, 3: False, 4: True, 5: False, 6: True}
+    assert {r.capture_id for r in urls.evaluate(captures, entries.where("kind = 'domain'")).where("blocked").collect()} == {1, 2}
+
+
 def test_urls_are_judged_at_fetch_time(spark):
     at = lambda d: datetime.datetime(2024, 1, d)
     entries = spark.createDataFrame(
