@@ -1,8 +1,9 @@
 """Line dedup by pairwise alignment.
 
 Two documents overlap when they share a rare line: one of at least ``RARE_CHARS`` characters, which chance does not repeat as it does
-short lines. For each shared rare line the document is paired with the earliest one that holds it, so a line in n
-documents makes n - 1 pairs, whatever n is, and copies need no pairs among themselves. Each pair's line hashes are
+short lines. For each shared rare line the document is paired with the earliest one that holds it, so a line in n documents makes
+n - 1 pairs, whatever n is. Lines that stay are then paired with their other earlier holders, four times as many each
+round, until none is left; most end with the first. Each pair's line hashes are
 aligned by patience diff, ranges without unique common lines by a longest common subsequence, and aligned common blocks with a rare line are deleted from the later document.
 """
 
@@ -13,12 +14,14 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, row_key, sealed
+from .common import materialize, numbered, row_key, sealed
 
 RARE_CHARS = 20
+_KEYS = "h long, k1 long, k2 long"
 #: A line's hash is odd if the line is rare; a line without a word is 0.
 _LINES = r"""transform(split(text, '\n'), l -> if(l RLIKE '[^\\x20\\x09-\\x0D]', shiftleft(shiftright(xxhash64({seed}, trim(l)), 1), 1) | if(length(trim(l)) >= {rare}, 1, 0), 0L))"""
 
@@ -151,24 +154,81 @@ def lines_to_delete(earlier: list[int], later: list[int]) -> list[int]:
     return gone
 
 
+def _signed(x: int) -> int:
+    return (x + (1 << 63)) % (1 << 64) - (1 << 63)
+
+
+def pairing_keys(hashes: list[int], gone: list[int] | None = None) -> list[int]:
+    """The keys by which a document with these lines is paired, less those that the lines ``gone`` settle.
+
+    A rare line that occurs c times gives c keys, which documents with fewer occurrences share in part; each deleted occurrence settles one.
+    """
+    dropped = set(gone or ())
+    runs: dict[int, list[bool]] = {}
+    for j, h in enumerate(hashes):
+        if h & 1:
+            runs.setdefault(h, []).append(j in dropped)
+    return [_signed(h + n * 0x9E3779B97F4A7C15) for h, there in runs.items() for n in range(sum(there), len(there))]
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        gone = batch.column("gone").to_pylist() if "gone" in batch.schema.names else [None] * batch.num_rows
+        keys = pa.array([pairing_keys(h, g) for h, g in zip(batch.column("keys").to_pylist(), gone, strict=True)], pa.list_(pa.int64()))
+        at = pc.list_parent_indices(keys)
+        yield pa.record_batch([keys.flatten(), batch.column("k1").take(at), batch.column("k2").take(at)], names=["h", "k1", "k2"])
+
+
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         gone = [lines_to_delete(e, d) for e, d in zip(batch.column("early").to_pylist(), batch.column("late").to_pylist(), strict=True)]
         yield pa.record_batch([batch.column("k1"), batch.column("k2"), pa.array(gone, pa.list_(pa.int32()))], names=["k1", "k2", "gone"])
 
 
+def _aligned(pairs: DataFrame, hashed: DataFrame) -> DataFrame:
+    late = hashed.select("k1", "k2", "late")
+    early = late.select(F.col("k1").alias("e1"), F.col("k2").alias("e2"), F.col("late").alias("early"))
+    both = pairs.join(early, ["e1", "e2"]).join(late, ["k1", "k2"]).select("k1", "k2", "early", "late")
+    return both.mapInArrow(_align, "k1 long, k2 long, gone array<int>").where("size(gone) > 0")
+
+
+def _together(gone: DataFrame) -> DataFrame:
+    return gone.groupBy("k1", "k2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+
+
+def _unsettled(hashed: DataFrame, gone: DataFrame) -> DataFrame:
+    """``h, k1, k2``: the pairing keys that a document has still after its deletions."""
+    return hashed.join(gone, ["k1", "k2"], "left").select("k1", "k2", "keys", "gone").mapInArrow(_keys, _KEYS)
+
+
 def find_copied_lines(docs: DataFrame) -> DataFrame:
     """``k1, k2, gone array<int>``: the line numbers to delete from each later document."""
     keyed = docs.select(*row_key(), "text").where("text IS NOT NULL")
-    lines = keyed.select("k1", "k2", F.explode_outer(F.array_distinct(line_hashes(1))).alias("h")).where("h % 2 <> 0")
-    first = lines.groupBy("h").agg(F.min(F.struct("k1", "k2")).alias("e"), F.max(F.struct("k1", "k2")).alias("z")).where("e <> z").select("h", "e")
+    hashed = materialize(keyed.select("k1", "k2", line_hashes(1).alias("keys"), line_hashes(2).alias("late")).dropDuplicates(["k1", "k2"]), "lines-hashes")
+    keys = materialize(hashed.select("k1", "k2", "keys").mapInArrow(_keys, _KEYS), "lines-keys")
+    first = keys.groupBy("h").agg(F.min(F.struct("k1", "k2")).alias("e"), F.max(F.struct("k1", "k2")).alias("z"), F.count(F.lit(1)).alias("n")).where("e <> z").select("h", "e", "n")
     first = materialize(first, "lines-first")  # plain inputs let Spark split the partition of a very common line
-    pairs = lines.join(first, "h").where("e <> struct(k1, k2)").select("k1", "k2", F.col("e.k1").alias("e1"), F.col("e.k2").alias("e2")).distinct()
-    pairs = materialize(pairs, "lines-pairs")
-    hashed = materialize(keyed.select("k1", "k2", line_hashes(2).alias("late")).dropDuplicates(["k1", "k2"]), "lines-hashes")
-    early = hashed.select(F.col("k1").alias("e1"), F.col("k2").alias("e2"), F.col("late").alias("early"))
-    aligned = pairs.join(early, ["e1", "e2"]).join(hashed, ["k1", "k2"]).select("k1", "k2", "early", "late").mapInArrow(_align, "k1 long, k2 long, gone array<int>")
-    return aligned.groupBy("k1", "k2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone")).where("size(gone) > 0")
+    later = keys.join(first, "h").where("e <> struct(k1, k2)")
+    done = materialize(later.select("k1", "k2", F.col("e.k1").alias("e1"), F.col("e.k2").alias("e2")).distinct(), "lines-pairs")
+    gone = materialize(_together(_aligned(done, hashed)), "lines-gone")
+    most = first.agg(F.max("n")).first()[0] or 0
+    if most <= 2:
+        return gone
+    # keys that the earliest holder does not settle meet their other holders, four times as many each round
+    left = materialize(_unsettled(hashed, gone).join(first.where("n > 2"), "h").where("e <> struct(k1, k2)").select("h", "k1", "k2"), "lines-unsettled")
+    if left.isEmpty():
+        return gone
+    ranked = materialize(numbered(keys.join(left.select("h").distinct(), "h", "left_semi"), ["h"], ["k1", "k2"], "r").select("h", F.col("k1").alias("e1"), F.col("k2").alias("e2"), "r"), "lines-holders")
+    low, high = 0, 4
+    while low < most and not left.isEmpty():
+        some = left.join(ranked.where(F.col("r").between(low, high - 1)), "h").where("struct(e1, e2) < struct(k1, k2)")
+        pairs = materialize(some.select("k1", "k2", "e1", "e2").distinct().join(done, ["k1", "k2", "e1", "e2"], "left_anti"), "lines-pairs")
+        gone = materialize(_together(gone.union(_aligned(pairs, hashed))), "lines-gone")
+        done = done.union(pairs)
+        open_docs = hashed.join(left.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi")
+        left = materialize(left.join(_unsettled(open_docs, gone), ["h", "k1", "k2"], "left_semi"), "lines-unsettled")
+        low, high = high, 4 * high
+    return gone
 
 
 def with_deletions(inner: DataFrame) -> DataFrame:

@@ -228,6 +228,19 @@ def test_repeated_lines_are_aligned(spark, monkeypatch):
     assert got[5].split("\n").count(rows[3][1]) == 1
 
 
+def test_lines_meet_their_later_holders(spark):
+    said = [f"line number {i} of the shared text" for i in range(12)]
+    mixed = said[6:] + said[:6]
+    rows = [(1, said), (2, mixed), (3, ["an opening of the third document", *mixed])] + [(i, [f"another opening, this one of document {i}", *said[::-1]]) for i in range(4, 9)] + [(9, ["the ninth one's opening line", *said[::-1], "and its end"])]
+    got = {r.doc_id: r.text for r in lines.drop_copied_lines(spark.createDataFrame([(i, "\n".join(t), "en", "s", 1) for i, t in rows], DOC)).collect()}
+    assert got[1] == "\n".join(said) and got[3] == rows[2][1][0] and got[9] == "the ninth one's opening line\nand its end"
+    want = {}
+    for n, (i, t) in enumerate(rows):
+        gone = {j for _, e in rows[:n] for j in lines.lines_to_delete([2 * hash(x) + 1 for x in e], [2 * hash(x) + 1 for x in t])}
+        want[i] = "\n".join(x for j, x in enumerate(t) if j not in gone)
+    assert got == {i: t for i, t in want.items() if t}
+
+
 def test_lines_are_deleted_from_the_later_document(spark):
     one, two, three = "a line that is long enough", "another line of some length", "the third line of this text"
     rows = [(1, f"{one}\n{two}\n{three}"), (2, f"own words at the start here\n{two}\n{three}"), (3, f"{one}\n{two}\n{three}"), (4, "short\nlines"), (5, "short\nlines"), (6, None), (7, "")]
