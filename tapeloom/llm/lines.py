@@ -1,17 +1,18 @@
 """Line dedup by pairwise alignment.
 
-Two documents overlap when they share a rare line: one of at least ``RARE_CHARS`` characters, which chance does not repeat as it does
-short lines. For each shared rare line the document is paired with the earliest one that holds it, so a line in n documents makes
-n - 1 pairs, whatever n is. Lines that stay are then paired with their other earlier holders, four times as many each
+Two documents overlap when they share a rare run of lines: one line of at least ``RARE_CHARS`` characters, which chance does not repeat
+as it does short lines, or consecutive lines that have as many together. For each shared rare run the document is paired with the earliest one that holds it, so a run in n documents makes
+n - 1 pairs, whatever n is. Runs that stay are then paired with their other earlier holders, four times as many each
 round, until none is left; most end with the first. Each pair's line hashes are
-aligned by patience diff, ranges without unique common lines by a longest common subsequence, and aligned common blocks with a rare line are deleted from the later document.
+aligned by patience diff, ranges without unique common lines by a longest common subsequence, and aligned common blocks with a rare run are deleted from the later document.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,11 +24,17 @@ from .common import materialize, numbered, row_key, sealed
 RARE_CHARS = 20
 _KEYS = "h long, k1 long, k2 long"
 #: A line's hash is odd if the line is rare; a line without a word is 0.
-_LINES = r"""transform(split(text, '\n'), l -> if(l RLIKE '[^\\x20\\x09-\\x0D]', shiftleft(shiftright(xxhash64({seed}, trim(l)), 1), 1) | if(length(trim(l)) >= {rare}, 1, 0), 0L))"""
+_LINES = r"""transform(split(text, '\n'), l -> if(l RLIKE '[^\\x20\\x09-\\x0D]', shiftleft(shiftright(xxhash64({seed}, {trimmed}), 1), 1) | if(length({trimmed}) >= {rare}, 1, 0), 0L))"""
+_TRIMMED = r"trim(BOTH ' \t\r\u000B\u000C' FROM l)"
 
 
 def line_hashes(seed: int, rare: int = RARE_CHARS) -> Column:
-    return F.expr(_LINES.format(seed=seed, rare=rare))
+    return F.expr(_LINES.format(seed=seed, rare=rare, trimmed=_TRIMMED))
+
+
+def line_sizes() -> Column:
+    """Characters of each line, up to ``RARE_CHARS``."""
+    return F.expr(rf"transform(split(text, '\n'), l -> least(length({_TRIMMED}), {RARE_CHARS}))")
 
 
 #: Rows of the longest-common-subsequence table are kept while they have no more bits than this; longer ranges are halved first.
@@ -141,12 +148,12 @@ def patience_blocks(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def lines_to_delete(earlier: list[int], later: list[int]) -> list[int]:
-    """Line numbers of ``later`` in aligned blocks that hold a rare line."""
+def lines_to_delete(earlier: list[int], later: list[int], sizes: list[int] | None = None) -> list[int]:
+    """Line numbers of ``later`` in aligned blocks that hold a rare line, or as many characters (by the ``sizes`` of its lines) as one."""
     gone, block, last = [], [], None
     for i, j in [*patience_blocks(earlier, later), (-2, -2)]:
         if last != (i - 1, j - 1):
-            if any(later[x] & 1 for x in block):
+            if any(later[x] & 1 for x in block) or (sizes and sum(sizes[x] for x in block) >= RARE_CHARS):
                 gone += block
             block = []
         block.append(j)
@@ -158,37 +165,58 @@ def _signed(x: int) -> int:
     return (x + (1 << 63)) % (1 << 64) - (1 << 63)
 
 
-def pairing_keys(hashes: list[int], gone: list[int] | None = None) -> list[int]:
+def rare_runs(hashes: list[int], sizes: list[int]) -> set[tuple[int, int]]:
+    """Bounds (first, last + 1) of the shortest runs of lines, from each line on and up to each line, with ``RARE_CHARS`` characters.
+
+    A rare line is such a run; no run starts or ends with a line without a word.
+    """
+    total = [0, *accumulate(sizes)]
+    out = set()
+    for j, h in enumerate(hashes):
+        if h & 1:
+            out.add((j, j + 1))
+        elif h:
+            end = bisect_left(total, total[j] + RARE_CHARS)
+            if end < len(total):
+                out.add((j, end))
+            if total[j + 1] >= RARE_CHARS:
+                out.add((bisect_right(total, total[j + 1] - RARE_CHARS) - 1, j + 1))
+    return out
+
+
+def pairing_keys(hashes: list[int], sizes: list[int], gone: list[int] | None = None) -> list[int]:
     """The keys by which a document with these lines is paired, less those that the lines ``gone`` settle.
 
-    A rare line that occurs c times gives c keys, which documents with fewer occurrences share in part; each deleted occurrence settles one.
+    A rare run that occurs c times gives c keys, which documents with fewer occurrences share in part; each deleted occurrence settles one.
     """
     dropped = set(gone or ())
     runs: dict[int, list[bool]] = {}
-    for j, h in enumerate(hashes):
-        if h & 1:
-            runs.setdefault(h, []).append(j in dropped)
-    return [_signed(h + n * 0x9E3779B97F4A7C15) for h, there in runs.items() for n in range(sum(there), len(there))]
+    for first, end in rare_runs(hashes, sizes):
+        key = 0
+        for h in hashes[first:end]:
+            key = (key * 0xD6E8FEB86659FD93 + h) % (1 << 64)
+        runs.setdefault(key, []).append(not dropped.isdisjoint(range(first, end)) and all(j in dropped or not hashes[j] for j in range(first, end)))
+    return [_signed(key + n * 0x9E3779B97F4A7C15) for key, there in runs.items() for n in range(sum(there), len(there))]
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         gone = batch.column("gone").to_pylist() if "gone" in batch.schema.names else [None] * batch.num_rows
-        keys = pa.array([pairing_keys(h, g) for h, g in zip(batch.column("keys").to_pylist(), gone, strict=True)], pa.list_(pa.int64()))
+        keys = pa.array([pairing_keys(*x) for x in zip(batch.column("keys").to_pylist(), batch.column("sizes").to_pylist(), gone, strict=True)], pa.list_(pa.int64()))
         at = pc.list_parent_indices(keys)
         yield pa.record_batch([keys.flatten(), batch.column("k1").take(at), batch.column("k2").take(at)], names=["h", "k1", "k2"])
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        gone = [lines_to_delete(e, d) for e, d in zip(batch.column("early").to_pylist(), batch.column("late").to_pylist(), strict=True)]
+        gone = [lines_to_delete(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("early", "late", "sizes")), strict=True)]
         yield pa.record_batch([batch.column("k1"), batch.column("k2"), pa.array(gone, pa.list_(pa.int32()))], names=["k1", "k2", "gone"])
 
 
 def _aligned(pairs: DataFrame, hashed: DataFrame) -> DataFrame:
-    late = hashed.select("k1", "k2", "late")
-    early = late.select(F.col("k1").alias("e1"), F.col("k2").alias("e2"), F.col("late").alias("early"))
-    both = pairs.join(early, ["e1", "e2"]).join(late, ["k1", "k2"]).select("k1", "k2", "early", "late")
+    late = hashed.select("k1", "k2", "late", "sizes")
+    early = hashed.select(F.col("k1").alias("e1"), F.col("k2").alias("e2"), F.col("late").alias("early"))
+    both = pairs.join(early, ["e1", "e2"]).join(late, ["k1", "k2"]).select("k1", "k2", "early", "late", "sizes")
     return both.mapInArrow(_align, "k1 long, k2 long, gone array<int>").where("size(gone) > 0")
 
 
@@ -198,14 +226,14 @@ def _together(gone: DataFrame) -> DataFrame:
 
 def _unsettled(hashed: DataFrame, gone: DataFrame) -> DataFrame:
     """``h, k1, k2``: the pairing keys that a document has still after its deletions."""
-    return hashed.join(gone, ["k1", "k2"], "left").select("k1", "k2", "keys", "gone").mapInArrow(_keys, _KEYS)
+    return hashed.join(gone, ["k1", "k2"], "left").select("k1", "k2", "keys", "sizes", "gone").mapInArrow(_keys, _KEYS)
 
 
 def find_copied_lines(docs: DataFrame) -> DataFrame:
     """``k1, k2, gone array<int>``: the line numbers to delete from each later document."""
     keyed = docs.select(*row_key(), "text").where("text IS NOT NULL")
-    hashed = materialize(keyed.select("k1", "k2", line_hashes(1).alias("keys"), line_hashes(2).alias("late")).dropDuplicates(["k1", "k2"]), "lines-hashes")
-    keys = materialize(hashed.select("k1", "k2", "keys").mapInArrow(_keys, _KEYS), "lines-keys")
+    hashed = materialize(keyed.select("k1", "k2", line_hashes(1).alias("keys"), line_hashes(2).alias("late"), line_sizes().alias("sizes")).dropDuplicates(["k1", "k2"]), "lines-hashes")
+    keys = materialize(hashed.select("k1", "k2", "keys", "sizes").mapInArrow(_keys, _KEYS), "lines-keys")
     first = keys.groupBy("h").agg(F.min(F.struct("k1", "k2")).alias("e"), F.max(F.struct("k1", "k2")).alias("z"), F.count(F.lit(1)).alias("n")).where("e <> z").select("h", "e", "n")
     first = materialize(first, "lines-first")  # plain inputs let Spark split the partition of a very common line
     later = keys.join(first, "h").where("e <> struct(k1, k2)")
@@ -245,7 +273,7 @@ def line_summary(docs: DataFrame) -> DataFrame:
     """``doc_id, n_lines, n_removed, kept_sha256`` of every document; null text has no lines and the digest of nothing.
 
     Documents are ordered by doc_id (null counts as 0) and then by text hash; rows with equal doc_id and text are one document and
-    are treated alike. Lines are compared without surrounding spaces. An empty table gives no rows.
+    are treated alike. Lines are compared without surrounding white space. An empty table gives no rows.
     """
     found = with_deletions(docs.select("doc_id", "text"))
     return found.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"), F.col("_gone").alias("n_removed"), F.sha2(F.coalesce(F.col("_left"), F.lit("")).cast("binary"), 256).alias("kept_sha256"))

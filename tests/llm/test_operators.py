@@ -241,6 +241,16 @@ def test_lines_meet_their_later_holders(spark):
     assert got == {i: t for i, t in want.items() if t}
 
 
+def test_runs_of_short_lines_are_copied_lines(spark):
+    verse = ["the sea", "so blue", "and deep", "", "we sail", "all day"]
+    one, two = "a licence line that is long enough", "the second line of that licence"
+    rows = [(1, verse), (2, ["mine", *verse, "end"]), (3, [x + "\t\r" for x in verse]), (4, ["first", one]), (5, ["other", two]), (6, ["sixth", one, "so", two]), (7, ["seven", one, "so", two, "and more"]), (8, ["the sea", "so blue"]), (9, ["now", one, "tail"]), (10, ["then", one, "tail"])]
+    docs = spark.createDataFrame([(i, "\n".join(t), "en", "s", 1) for i, t in rows], DOC)
+    got = {r.doc_id: r.text for r in lines.drop_copied_lines(docs).collect()}
+    assert got == {1: "\n".join(verse), 2: "mine\nend", 4: f"first\n{one}", 5: f"other\n{two}", 6: "sixth\nso", 7: "seven\nand more", 8: "the sea\nso blue", 9: "now\ntail", 10: "then"}
+    assert lines.rare_runs([2, 0, 4, 7, 6], [8, 0, 12, 20, 3]) == {(0, 3), (2, 4), (3, 4), (3, 5)}
+
+
 def test_lines_are_deleted_from_the_later_document(spark):
     one, two, three = "a line that is long enough", "another line of some length", "the third line of this text"
     rows = [(1, f"{one}\n{two}\n{three}"), (2, f"own words at the start here\n{two}\n{three}"), (3, f"{one}\n{two}\n{three}"), (4, "short\nlines"), (5, "short\nlines"), (6, None), (7, "")]
