@@ -6,8 +6,8 @@ counts their windows exactly.
 
 Windows with equal words have equal minimisers, so only minimisers with two or more super-k-mers matter: a first pass counts them
 (8 bytes each, combined before the shuffle) and the packed strings of all others never travel. Equal packed strings
-are counted before the bucket sees them, so a group of copies is one string, and a bucket with very many different strings is
-split by a hash of the window.
+are counted before the bucket sees them, so a group of copies is one string. In a bucket with very many different strings
+Spark counts single windows by 128 bits of their SHA-256.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from .common import materialize, row_key, sealed
 from .words import gram_hashes, hash_batches
 
 K, M = 35, 8
-#: A bucket with more different strings than this is split into about one sub-bucket for each as many.
+#: The windows of a bucket with more different strings than this are counted by Spark and not in one task.
 BUCKET_STRINGS = 2000
 
 
@@ -104,27 +104,19 @@ def _packed_batch(rows: list[list], with_strings: bool) -> pa.RecordBatch:
     return pa.record_batch([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary()), *keys, pa.array(rows[3], pa.int32())], names=["h", "dig", "k1", "k2", "start"])
 
 
-def _split_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Strings of crowded buckets (``subs`` > 1) to single windows dealt to sub-buckets; others stay whole."""
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Strings (h, packed, cnt) to their single windows, by digest: (h, win, dig, shift, cnt)."""
+    schema = pa.schema([("h", pa.int64()), ("win", pa.binary()), ("dig", pa.binary()), ("shift", pa.int32()), ("cnt", pa.int64())])
     for batch in batches:
         out: list[tuple] = []
-        for h, packed, cnt, subs in zip(*(batch.column(c).to_pylist() for c in ("h", "packed", "cnt", "subs")), strict=True):
-            dig = _digest(packed)
-            if subs <= 1:
-                out.append((h, 0, dig, 0, packed, cnt))
-            else:
-                words = packed.split(b" ")
-                for i in range(len(words) - K + 1):
-                    window = b" ".join(words[i : i + K])
-                    out.append((h, int.from_bytes(hashlib.blake2b(window, digest_size=4).digest()) % subs, dig, i, window, cnt))
+        for h, packed, cnt in zip(*(batch.column(c).to_pylist() for c in ("h", "packed", "cnt")), strict=True):
+            dig, words = _digest(packed), packed.split(b" ")
+            out += [(h, _digest(b" ".join(words[i : i + K])), dig, i, cnt) for i in range(len(words) - K + 1)]
             if len(out) > 50_000:
-                yield pa.record_batch([pa.array(c) for c in zip(*out, strict=True)], schema=_SPLIT)
+                yield pa.record_batch([pa.array(c) for c in zip(*out, strict=True)], schema=schema)
                 out = []
         if out:
-            yield pa.record_batch([pa.array(c) for c in zip(*out, strict=True)], schema=_SPLIT)
-
-
-_SPLIT = pa.schema([("h", pa.int64()), ("sub", pa.int64()), ("dig", pa.binary()), ("shift", pa.int64()), ("packed", pa.binary()), ("cnt", pa.int64())])
+            yield pa.record_batch([pa.array(c) for c in zip(*out, strict=True)], schema=schema)
 
 
 def repeated_windows(strings: list[tuple[bytes, int]]) -> list[int]:
@@ -156,27 +148,33 @@ def repeated_windows(strings: list[tuple[bytes, int]]) -> list[int]:
 
 
 def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (h, sub), a bucket's rows together, to (h, dig, mask) of strings with repeated windows."""
+    """Rows (h, packed, cnt) sorted by h, a bucket's rows together, to (h, dig, mask) of strings with repeated windows."""
     bucket, held = None, []
     schema = pa.schema([("h", pa.int64()), ("dig", pa.binary()), ("mask", pa.int64())])
     for batch in batches:
         out: list[tuple] = []
-        for h, sub, dig, shift, packed, cnt in zip(*(batch.column(c).to_pylist() for c in _SPLIT.names), strict=True):
-            if bucket != (h, sub):
+        for h, packed, cnt in zip(*(batch.column(c).to_pylist() for c in ("h", "packed", "cnt")), strict=True):
+            if bucket != h:
                 out += _bucket_rows(bucket, held)
-                bucket, held = (h, sub), []
-            held.append((dig, shift, packed, cnt))
+                bucket, held = h, []
+            held.append((packed, cnt))
         if out:
             yield pa.record_batch([pa.array(c) for c in zip(*out, strict=True)], schema=schema)
     if out := _bucket_rows(bucket, held):
         yield pa.record_batch([pa.array(c) for c in zip(*out, strict=True)], schema=schema)
 
 
-def _bucket_rows(bucket: tuple[int, int] | None, held: list[tuple]) -> list[tuple]:
-    if not held or (len(held) == 1 and held[0][3] == 1):
+def _bucket_rows(bucket: int | None, held: list[tuple[bytes, int]]) -> list[tuple]:
+    if not held or (len(held) == 1 and held[0][1] == 1):
         return []
-    masks = repeated_windows([(packed, cnt) for _, _, packed, cnt in held])
-    return [(bucket[0], dig, mask << shift) for (dig, shift, _, _), mask in zip(held, masks, strict=True) if mask]
+    return [(bucket, _digest(packed), mask) for (packed, _), mask in zip(held, repeated_windows(held), strict=True) if mask]
+
+
+def _crowded_masks(strings: DataFrame) -> DataFrame:
+    """``h, dig, mask`` of strings in crowded buckets: Spark counts the windows, combined before the shuffle, and no task holds a group."""
+    windows = materialize(strings.mapInArrow(_windows, "h long, win binary, dig binary, shift int, cnt long"), "substring-windows")
+    repeated = materialize(windows.groupBy("h", "win").agg(F.sum("cnt").alias("c")).where("c > 1").select("h", "win"), "substring-repeated")
+    return windows.join(repeated, ["h", "win"]).select("h", "dig", F.expr("shiftleft(1L, shift)").alias("mask"))
 
 
 def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -193,10 +191,10 @@ def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     strings = some.mapInArrow(_pack(True), "h long, packed binary")
     distinct = materialize(strings.groupBy("h", "packed").agg(F.count(F.lit(1)).alias("cnt")), "substring-strings")
     crowded = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("d")).where(F.col("d") > BUCKET_STRINGS)
-    crowded = materialize(crowded.select("h", F.ceil(F.col("d") * K / BUCKET_STRINGS).alias("subs")), "substring-crowded")
-    dealt = distinct.join(crowded, "h", "left").select("h", "packed", "cnt", F.coalesce("subs", F.lit(1)).alias("subs"))
-    split = dealt.mapInArrow(_split_windows, "h long, sub long, dig binary, shift long, packed binary, cnt long")
-    counted = split.repartition("h", "sub").sortWithinPartitions("h", "sub").mapInArrow(_count_buckets, "h long, dig binary, mask long")
+    crowded = materialize(crowded.select("h"), "substring-crowded")
+    whole = distinct.join(crowded, "h", "left_anti").select("h", "packed", "cnt")
+    counted = whole.repartition("h").sortWithinPartitions("h").mapInArrow(_count_buckets, "h long, dig binary, mask long")
+    counted = counted.union(_crowded_masks(distinct.join(crowded, "h", "left_semi").select("h", "packed", "cnt")))
     masks = materialize(counted.groupBy("h", "dig").agg(F.bit_or("mask").alias("mask")), "substring-masks")
     places = some.mapInArrow(_pack(False), "h long, dig binary, k1 long, k2 long, start int")
     runs = places.join(masks, ["h", "dig"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "mask")).alias("runs"))

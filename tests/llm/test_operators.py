@@ -73,6 +73,18 @@ def test_crowded_buckets_are_split_without_loss(docs, monkeypatch):
     assert Counter(map(tuple, substring.substring_summary(docs).collect())) == want
 
 
+def test_no_task_holds_a_common_passage(spark, monkeypatch):
+    passage = " ".join(f"common{i}" for i in range(45))
+    docs = spark.createDataFrame([(i, f"a{i} b{i} c{i} {passage} x{i} y{i}", "en", "s", 1) for i in range(60)], DOC)
+    want = Counter(map(tuple, substring.substring_summary(docs).collect()))
+    monkeypatch.setattr(substring, "BUCKET_STRINGS", 5)
+    tables, real = {}, substring.materialize
+    monkeypatch.setattr(substring, "materialize", lambda df, label: tables.setdefault(label, real(df, label)))
+    assert Counter(map(tuple, substring.substring_summary(docs).collect())) == want
+    assert {r.n_removed for r in substring.substring_summary(docs).collect()} == {45}
+    assert tables["substring-windows"].count() > 60 and 0 < tables["substring-repeated"].count() <= 11
+
+
 def test_drop_substrings_keeps_columns_and_other_texts(docs):
     wide = docs.withColumns({"k1": F.lit("x"), "runs": F.lit(1), "at": F.lit(2)})
     got = substring.drop_substrings(wide)
