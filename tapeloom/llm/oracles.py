@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from . import rules
 
-OP1 = r"""WITH p AS (SELECT page_id, url, lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), '\.+$', '')) AS host, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path, 1704067200 + (page_id * 7919 % 2160) * 3600 AS ts FROM pages),
+OP1 = r"""WITH p AS (SELECT page_id, url, lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#]+)', 1), '\.+$', '')) AS host, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path, 1704067200 + (page_id * 7919 % 2160) * 3600 AS ts FROM pages),
  vs AS (SELECT 'domain' AS kind, host AS value FROM p WHERE host <> '' UNION SELECT 'path', host || '/' || lower(split_part(path, '/', 2)) FROM p WHERE host <> '' AND path NOT IN ('', '/')),
  v AS (SELECT kind, value, CAST('0x' || substr(md5(value), 1, 7) AS BIGINT) AS c FROM vs),
  e AS (SELECT kind, value, 'add' AS action, 1704067200 + c % 50 * 86400 AS ts FROM v WHERE c % 3 = 0 UNION ALL SELECT kind, value, 'remove', 1704067200 + (c % 50 + 10 + c % 17) * 86400 FROM v WHERE c % 3 = 0 AND c % 4 > 0 UNION ALL SELECT kind, value, 'add', 1704067200 + (c % 50 + 33) * 86400 FROM v WHERE c % 3 = 0 AND c % 8 = 1),
  t AS (SELECT * FROM (SELECT *, lag(action) OVER (PARTITION BY kind, value ORDER BY ts, action DESC) AS before FROM e) WHERE action <> coalesce(before, 'remove')),
  s AS (SELECT kind, value, ts AS since, until FROM (SELECT *, lead(ts) OVER (PARTITION BY kind, value ORDER BY ts, action DESC) AS until FROM t) WHERE action = 'add'),
  k AS (SELECT page_id, ts, host, string_split(host, '.') AS ls, list_filter(string_split(lower(path), '/'), lambda x: x <> '') AS ps, lower(regexp_replace(url, '#.*$', '')) AS u FROM p WHERE host <> ''),
- q AS (SELECT page_id, ts, 'domain' AS kind, array_to_string(ls[len(ls) - i + 1:], '.') AS value FROM (SELECT *, unnest(range(1, least(len(ls), 8) + 1)) AS i FROM k) UNION ALL SELECT page_id, ts, 'path', host || '/' || array_to_string(ps[1:i], '/') FROM (SELECT *, unnest(range(1, least(len(ps), 4) + 1)) AS i FROM k) UNION ALL SELECT page_id, ts, 'url', u FROM k),
+ q AS (SELECT page_id, ts, 'domain' AS kind, array_to_string(ls[len(ls) - i + 1:], '.') AS value FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM k) UNION ALL SELECT page_id, ts, 'path', host || '/' || array_to_string(ps[1:i], '/') FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM k) UNION ALL SELECT page_id, ts, 'url', u FROM k),
  m AS (SELECT page_id, list_sort(list(DISTINCT q.kind || ':' || q.value)) AS ms FROM q JOIN s ON s.kind = q.kind AND s.value = q.value AND s.since <= q.ts AND (until IS NULL OR q.ts < until) GROUP BY page_id)
 SELECT p.page_id, host, CAST(coalesce(len(ms), 0) AS BIGINT) AS n_matches, coalesce(array_to_string(ms, ' '), '') AS matches, ms IS NOT NULL AS blocked FROM p LEFT JOIN m USING (page_id)"""
 

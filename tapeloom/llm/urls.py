@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from .common import materialize, maybe_broadcast
 
+MADE = ["host", "n_matches", "matches", "blocked"]
+
 
 def host_of(url: Column) -> Column:
-    """Lower-cased host without user, port or trailing dot; empty if there is none."""
-    return F.lower(F.regexp_replace(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1), r"\.+$", ""))
+    """Lower-cased host without user, port or trailing dot, an IPv6 address in its brackets; empty if there is none."""
+    return F.lower(F.regexp_replace(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#]+)", 1), r"\.+$", ""))
 
 
 def path_of(url: Column) -> Column:
@@ -27,9 +29,9 @@ def intervals(entries: DataFrame) -> DataFrame:
     """``kind, value, spans array<struct<since, until>>`` from ``kind, value, action, listed_at``.
 
     An ``add`` opens an interval and the next ``remove`` closes it; adds to an open one and removes from a closed one change nothing. At
-    one instant removals come first, so a value removed and added at once is listed. Rows with a null are left out.
+    one instant removals come first, so a value removed and added at once is listed. Rows with a null are left out, repeated rows count once.
     """
-    dated = entries.select(F.lower("kind").alias("kind"), F.lower("value").alias("value"), F.lower("action").alias("action"), "listed_at").dropna().where("action IN ('add', 'remove')")
+    dated = entries.select(F.lower("kind").alias("kind"), F.lower("value").alias("value"), F.lower("action").alias("action"), "listed_at").dropna().where("action IN ('add', 'remove')").distinct()
     order = Window.partitionBy("kind", "value").orderBy("listed_at", F.desc("action"))
     turns = dated.withColumn("before", F.lag("action").over(order)).where("action <> coalesce(before, 'remove')")
     spans = turns.withColumn("until", F.lead("listed_at").over(order)).where("action = 'add'")
@@ -64,20 +66,26 @@ def tagged_type() -> str:
 
 
 def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
-    """``captures`` (``url, fetched_at`` and a unique ``capture_id``) with ``host``, ``n_matches``, ``matches`` and ``blocked``.
+    """``captures`` (any columns with ``url`` and ``fetched_at``) with ``host``, ``n_matches``, ``matches`` and ``blocked``; columns of these names are
+    replaced.
 
-    A null or unparsable URL has no host and matches nothing; a null fetch time is at no interval's inside. An entry is active from its
-    listing (included) to its removal (excluded). Repeated captures are evaluated together and each returned.
+    A null or unparsable URL has no host and matches nothing; a null fetch time is inside no interval. An entry is active from its
+    listing (included) to its removal (excluded). The verdict follows from URL and fetch time alone: captures that repeat both are
+    evaluated together and each returned, and no other column, an id neither, takes part. Empty tables give no rows, or no matches.
     """
     spans = materialize(intervals(entries), "url-intervals")
     longest = lambda kind, mark: F.coalesce(F.max(F.when(F.col("kind") == kind, F.size(F.split("value", mark)))), F.lit(0))
-    n, labels, parts = spans.agg(F.count(F.lit(1)), longest("domain", r"\."), longest("path", "/") - 1).first()
-    keyed = captures.select("capture_id", "fetched_at", F.explode_outer(list_keys(F.col("url"), labels, parts)).alias("k")).distinct()
-    asked = keyed.select("capture_id", "fetched_at", F.col("k.kind").alias("kind"), F.col("k.value").alias("value")).where("value IS NOT NULL AND fetched_at IS NOT NULL")
-    active = asked.join(maybe_broadcast(spans, n), ["kind", "value"]).where("exists(spans, s -> s.since <= fetched_at AND (s.until IS NULL OR fetched_at < s.until))")
-    found = active.groupBy("capture_id").agg(F.array_sort(F.collect_set(F.concat_ws(":", "kind", "value"))).alias("matches"))
-    out = captures.join(found, "capture_id", "left").withColumn("matches", F.coalesce("matches", F.array().cast("array<string>")))
-    return out.withColumns({"host": host_of(F.col("url")), "n_matches": F.size("matches").cast("long"), "blocked": F.size("matches") > 0})
+    labels, parts = spans.agg(longest("domain", r"\."), longest("path", "/") - 1).first()
+    kept = [c for c in captures.columns if c not in MADE]
+    sealed = captures.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)]).alias("c"), "url", "fetched_at", F.xxhash64("url").alias("u1"), F.xxhash64(F.lit(1), "url").alias("u2"))
+    asked = sealed.where("url IS NOT NULL AND fetched_at IS NOT NULL").select("u1", "u2", "fetched_at", F.explode_outer(list_keys(F.col("url"), labels, parts)).alias("k")).distinct()
+    asked = asked.select("u1", "u2", "fetched_at", "k.kind", "k.value").where("value IS NOT NULL")
+    listed = maybe_broadcast(spans, F.octet_length("value") + 32 * F.size("spans"))
+    active = asked.join(listed, ["kind", "value"]).where("exists(spans, s -> s.since <= fetched_at AND (s.until IS NULL OR fetched_at < s.until))")
+    found = active.groupBy("u1", "u2", "fetched_at").agg(F.array_sort(F.collect_set(F.concat_ws(":", "kind", "value"))).alias("matches"))
+    out = sealed.join(found, ["u1", "u2", "fetched_at"], "left").withColumn("matches", F.coalesce("matches", F.array().cast("array<string>")))
+    made = [host_of(F.col("url")).alias("host"), F.size("matches").cast("long").alias("n_matches"), F.col("matches"), (F.size("matches") > 0).alias("blocked")]
+    return out.select(*[F.col(f"c.c{i}").alias(c) for i, c in enumerate(kept)], *made)
 
 
 def captures_of(pages: DataFrame) -> DataFrame:
