@@ -1,10 +1,15 @@
 """Line dedup by pairwise alignment.
 
-Two documents overlap when they share a rare run of lines: one line of at least ``RARE_CHARS`` characters, which chance does not repeat
-as it does short lines, or consecutive lines that have as many together. For each shared rare run the document is paired with the earliest one that holds it, so a run in n documents makes
-n - 1 pairs, whatever n is. Runs that stay are then paired with their other earlier holders, four times as many each
-round, until none is left; most end with the first. Each pair's line hashes are
-aligned by patience diff, ranges without unique common lines by a longest common subsequence, and aligned common blocks with a rare run are deleted from the later document.
+Two documents overlap when they share a rare line, one that few documents hold. The hashes found for that are of single lines of ``LEAST_CHARS``
+characters or more, and of runs: the shortest stretches of consecutive lines, from each line on and up to each line, that have ``RUN_CHARS`` characters
+together (a line as long is one), which chance does not repeat. A hash with at most ``RARE_HOLDERS`` holders pairs each later holder with the
+earliest. A pair's lines are aligned by patience diff, ranges without unique common lines by a longest common subsequence, and aligned blocks with a
+run or a rare line are deleted from the later document; so are runs that both hold but in another order, which a second alignment of what is left
+would bring together. So after one pass no run of a document stands in any earlier one: whichever holder it is paired with,
+the block around a run goes as far as that run's own, and the lines beside it are in runs with holders of their own.
+
+Two kinds need no alignment. Documents with equal lines are one class: its first member stands for it, all lines of the others go. A run with more
+than ``RARE_HOLDERS`` holders would make its first holder the hub of all others; its alignment with that one is known, the run itself, and it goes.
 """
 
 from __future__ import annotations
@@ -16,25 +21,27 @@ from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, numbered, row_key, sealed
+from .common import materialize, row_key, sealed, split_by_keys
 
-RARE_CHARS = 20
-_KEYS = "h long, k1 long, k2 long"
-#: A line's hash is odd if the line is rare; a line without a word is 0.
-_LINES = r"""transform(split(text, '\n'), l -> if(l RLIKE '[^\\x20\\x09-\\x0D]', shiftleft(shiftright(xxhash64({seed}, {trimmed}), 1), 1) | if(length({trimmed}) >= {rare}, 1, 0), 0L))"""
+#: Characters of a run, and of a line that counts by itself where it is rare; shorter lines go only within a run.
+RUN_CHARS, LEAST_CHARS = 20, 8
+#: Most documents (classes of equal ones) that hold a rare line.
+RARE_HOLDERS = 64
 _TRIMMED = r"trim(BOTH ' \t\r\u000B\u000C' FROM l)"
+_LINES = r"""transform(split(text, '\n'), l -> if(l RLIKE '[^\\x20\\x09-\\x0D]', xxhash64({seed}, {trimmed}) | 1L, 0L))"""
 
 
-def line_hashes(seed: int, rare: int = RARE_CHARS) -> Column:
-    return F.expr(_LINES.format(seed=seed, rare=rare, trimmed=_TRIMMED))
-
-
-def line_sizes() -> Column:
-    """Characters of each line, up to ``RARE_CHARS``."""
-    return F.expr(rf"transform(split(text, '\n'), l -> least(length({_TRIMMED}), {RARE_CHARS}))")
+def hashed_lines(docs: DataFrame) -> DataFrame:
+    """``k1, k2, class, lines, checks, sizes`` of every document with words: two hashes of each line without surrounding white space (0 if it has
+    no word), its characters up to ``RUN_CHARS``, and 128 bits of all hashes."""
+    keyed = docs.select(*row_key(), "text").where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    lines, checks = (F.expr(_LINES.format(seed=seed, trimmed=_TRIMMED)) for seed in (1, 2))
+    sizes = F.expr(rf"transform(split(text, '\n'), l -> least(length({_TRIMMED}), {RUN_CHARS}))")
+    hashed = keyed.select("k1", "k2", lines.alias("lines"), checks.alias("checks"), sizes.alias("sizes"))
+    return hashed.withColumn("class", F.struct(F.xxhash64("lines"), F.xxhash64("checks"))).dropDuplicates(["k1", "k2"])
 
 
 #: Rows of the longest-common-subsequence table are kept while they have no more bits than this; longer ranges are halved first.
@@ -148,115 +155,127 @@ def patience_blocks(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def lines_to_delete(earlier: list[int], later: list[int], sizes: list[int] | None = None) -> list[int]:
-    """Line numbers of ``later`` in aligned blocks that hold a rare line, or as many characters (by the ``sizes`` of its lines) as one."""
-    gone, block, last = [], [], None
-    for i, j in [*patience_blocks(earlier, later), (-2, -2)]:
-        if last != (i - 1, j - 1):
-            if any(later[x] & 1 for x in block) or (sizes and sum(sizes[x] for x in block) >= RARE_CHARS):
-                gone += block
-            block = []
-        block.append(j)
-        last = (i, j)
-    return gone
-
-
-def _signed(x: int) -> int:
-    return (x + (1 << 63)) % (1 << 64) - (1 << 63)
-
-
 def rare_runs(hashes: list[int], sizes: list[int]) -> set[tuple[int, int]]:
-    """Bounds (first, last + 1) of the shortest runs of lines, from each line on and up to each line, with ``RARE_CHARS`` characters.
+    """Bounds (first, last + 1) of the shortest runs of lines, from each line on and up to each line, with ``RUN_CHARS`` characters.
 
-    A rare line is such a run; no run starts or ends with a line without a word.
+    A line as long is such a run; no run starts or ends with a line without a word.
     """
     total = [0, *accumulate(sizes)]
     out = set()
     for j, h in enumerate(hashes):
-        if h & 1:
+        if not h:
+            continue
+        if sizes[j] >= RUN_CHARS:
             out.add((j, j + 1))
-        elif h:
-            end = bisect_left(total, total[j] + RARE_CHARS)
-            if end < len(total):
-                out.add((j, end))
-            if total[j + 1] >= RARE_CHARS:
-                out.add((bisect_right(total, total[j + 1] - RARE_CHARS) - 1, j + 1))
+            continue
+        end = bisect_left(total, total[j] + RUN_CHARS)
+        if end < len(total):
+            out.add((j, end))
+        if total[j + 1] >= RUN_CHARS:
+            out.add((bisect_right(total, total[j + 1] - RUN_CHARS) - 1, j + 1))
     return out
 
 
-def pairing_keys(hashes: list[int], sizes: list[int], gone: list[int] | None = None) -> list[int]:
-    """The keys by which a document with these lines is paired, less those that the lines ``gone`` settle.
+def _signed(x: int) -> int:
+    return (x + (1 << 63)) % (1 << 64) - (1 << 63)
 
-    A rare run that occurs c times gives c keys, which documents with fewer occurrences share in part; each deleted occurrence settles one.
-    """
-    dropped = set(gone or ())
-    runs: dict[int, list[bool]] = {}
-    for first, end in rare_runs(hashes, sizes):
-        key = 0
-        for h in hashes[first:end]:
-            key = (key * 0xD6E8FEB86659FD93 + h) % (1 << 64)
-        runs.setdefault(key, []).append(not dropped.isdisjoint(range(first, end)) and all(j in dropped or not hashes[j] for j in range(first, end)))
-    return [_signed(key + n * 0x9E3779B97F4A7C15) for key, there in runs.items() for n in range(sum(there), len(there))]
+
+def run_key(hashes: list[int]) -> int:
+    """The hash of a run, which is even."""
+    key = 0
+    for h in hashes:
+        key = (key * 0xD6E8FEB86659FD93 + h) % (1 << 64)
+    return _signed((key ^ key >> 29) << 1)
+
+
+def pairing_keys(hashes: list[int], sizes: list[int]) -> set[int]:
+    """The hashes by which a document is paired: of its runs (even), and its single lines of middle length (odd)."""
+    runs = {run_key(hashes[first:end]) for first, end in rare_runs(hashes, sizes)}
+    return runs | {h for h, n in zip(hashes, sizes, strict=True) if h and LEAST_CHARS <= n < RUN_CHARS}
+
+
+def lines_to_delete(early: list[int], early_sizes: list[int], late: list[int], sizes: list[int], rare: set[int]) -> set[int]:
+    """Line numbers of ``late`` that go: aligned blocks with ``RUN_CHARS`` characters, the lines ``rare`` that ``early`` holds, and runs that moved."""
+    gone: set[int] = set()
+    block, last = [], None
+    for i, j in [*patience_blocks(early, late), (-2, -2)]:
+        if last != (i - 1, j - 1):
+            if sum(sizes[x] for x in block) >= RUN_CHARS:
+                gone.update(block)
+            block = []
+        block.append(j)
+        last = (i, j)
+    held = set(early)
+    gone.update(j for j in rare if late[j] in held)
+    moved = [run for run in rare_runs(late, sizes) if not gone.issuperset(range(*run))]
+    if moved:
+        there = {run_key(early[first:end]) for first, end in rare_runs(early, early_sizes)}
+        gone.update(j for first, end in moved if run_key(late[first:end]) in there for j in range(first, end))
+    return gone
+
+
+def with_empty_lines(gone: set[int], hashes: list[int]) -> list[int]:
+    """``gone`` in order, with the lines without words between two lines that go, or between one and the text's edge; no other such line."""
+    out, held, open_ = [], [], True
+    for j, h in enumerate(hashes):
+        if not h:
+            held.append(j)
+        elif j in gone:
+            out += [*(held if open_ else ()), j]
+            held, open_ = [], True
+        else:
+            held, open_ = [], False
+    return out + (held if open_ else [])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        gone = batch.column("gone").to_pylist() if "gone" in batch.schema.names else [None] * batch.num_rows
-        keys = pa.array([pairing_keys(*x) for x in zip(batch.column("keys").to_pylist(), batch.column("sizes").to_pylist(), gone, strict=True)], pa.list_(pa.int64()))
+        keys = pa.array([list(pairing_keys(*x)) for x in zip(batch.column("lines").to_pylist(), batch.column("sizes").to_pylist(), strict=True)], pa.list_(pa.int64()))
         at = pc.list_parent_indices(keys)
         yield pa.record_batch([keys.flatten(), batch.column("k1").take(at), batch.column("k2").take(at)], names=["h", "k1", "k2"])
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        gone = [lines_to_delete(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("early", "late", "sizes")), strict=True)]
+        gone = []
+        for early, early_sizes, lines, late, sizes, via in zip(*(batch.column(c).to_pylist() for c in ("early", "early_sizes", "lines", "checks", "sizes", "via")), strict=True):
+            short = set(via)
+            gone.append(sorted(lines_to_delete(early, early_sizes, late, sizes, {j for j, h in enumerate(lines) if h in short})))
         yield pa.record_batch([batch.column("k1"), batch.column("k2"), pa.array(gone, pa.list_(pa.int32()))], names=["k1", "k2", "gone"])
 
 
-def _aligned(pairs: DataFrame, hashed: DataFrame) -> DataFrame:
-    late = hashed.select("k1", "k2", "late", "sizes")
-    early = hashed.select(F.col("k1").alias("e1"), F.col("k2").alias("e2"), F.col("late").alias("early"))
-    both = pairs.join(early, ["e1", "e2"]).join(late, ["k1", "k2"]).select("k1", "k2", "early", "late", "sizes")
-    return both.mapInArrow(_align, "k1 long, k2 long, gone array<int>").where("size(gone) > 0")
-
-
-def _together(gone: DataFrame) -> DataFrame:
-    return gone.groupBy("k1", "k2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
-
-
-def _unsettled(hashed: DataFrame, gone: DataFrame) -> DataFrame:
-    """``h, k1, k2``: the pairing keys that a document has still after its deletions."""
-    return hashed.join(gone, ["k1", "k2"], "left").select("k1", "k2", "keys", "sizes", "gone").mapInArrow(_keys, _KEYS)
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Aligned lines and common runs of a document to all its lines that go."""
+    for batch in batches:
+        out = []
+        for lines, sizes, aligned, common in zip(*(batch.column(c).to_pylist() for c in ("lines", "sizes", "aligned", "common")), strict=True):
+            gone, common = set(aligned), set(common)
+            if common:
+                gone.update(j for first, end in rare_runs(lines, sizes) if run_key(lines[first:end]) in common for j in range(first, end))
+            out.append(with_empty_lines(gone, lines))
+        yield pa.record_batch([batch.column("k1"), batch.column("k2"), pa.array(out, pa.list_(pa.int32()))], names=["k1", "k2", "gone"])
 
 
 def find_copied_lines(docs: DataFrame) -> DataFrame:
-    """``k1, k2, gone array<int>``: the line numbers to delete from each later document."""
-    keyed = docs.select(*row_key(), "text").where("text IS NOT NULL")
-    hashed = materialize(keyed.select("k1", "k2", line_hashes(1).alias("keys"), line_hashes(2).alias("late"), line_sizes().alias("sizes")).dropDuplicates(["k1", "k2"]), "lines-hashes")
-    keys = materialize(hashed.select("k1", "k2", "keys", "sizes").mapInArrow(_keys, _KEYS), "lines-keys")
-    first = keys.groupBy("h").agg(F.min(F.struct("k1", "k2")).alias("e"), F.max(F.struct("k1", "k2")).alias("z"), F.count(F.lit(1)).alias("n")).where("e <> z").select("h", "e", "n")
-    first = materialize(first, "lines-first")  # plain inputs let Spark split the partition of a very common line
-    later = keys.join(first, "h").where("e <> struct(k1, k2)")
-    done = materialize(later.select("k1", "k2", F.col("e.k1").alias("e1"), F.col("e.k2").alias("e2")).distinct(), "lines-pairs")
-    gone = materialize(_together(_aligned(done, hashed)), "lines-gone")
-    most = first.agg(F.max("n")).first()[0] or 0
-    if most <= 2:
-        return gone
-    # keys that the earliest holder does not settle meet their other holders, four times as many each round
-    left = materialize(_unsettled(hashed, gone).join(first.where("n > 2"), "h").where("e <> struct(k1, k2)").select("h", "k1", "k2"), "lines-unsettled")
-    if left.isEmpty():
-        return gone
-    ranked = materialize(numbered(keys.join(left.select("h").distinct(), "h", "left_semi"), ["h"], ["k1", "k2"], "r").select("h", F.col("k1").alias("e1"), F.col("k2").alias("e2"), "r"), "lines-holders")
-    low, high = 0, 4
-    while low < most and not left.isEmpty():
-        some = left.join(ranked.where(F.col("r").between(low, high - 1)), "h").where("struct(e1, e2) < struct(k1, k2)")
-        pairs = materialize(some.select("k1", "k2", "e1", "e2").distinct().join(done, ["k1", "k2", "e1", "e2"], "left_anti"), "lines-pairs")
-        gone = materialize(_together(gone.union(_aligned(pairs, hashed))), "lines-gone")
-        done = done.union(pairs)
-        open_docs = hashed.join(left.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi")
-        left = materialize(left.join(_unsettled(open_docs, gone), ["h", "k1", "k2"], "left_semi"), "lines-unsettled")
-        low, high = high, 4 * high
-    return gone
+    """``k1, k2, gone array<int>``: the line numbers to delete from each later document; null stands for all lines."""
+    hashed = materialize(hashed_lines(docs), "lines-hashes")
+    classes = hashed.groupBy("class").agg(F.min(F.struct("k1", "k2")).alias("e"), F.count(F.lit(1)).alias("n")).where("n > 1").select("class", "e")
+    classes = materialize(classes, "lines-classes")  # plain inputs let Spark split the partition of a large class or a very common line
+    copies = materialize(hashed.select("class", "k1", "k2").join(classes, "class").where("e <> struct(k1, k2)").select("k1", "k2"), "lines-copies")
+    firsts = materialize(hashed.join(copies, ["k1", "k2"], "left_anti").select("k1", "k2", "lines", "checks", "sizes"), "lines-firsts")
+    keys = materialize(firsts.select("k1", "k2", "lines", "sizes").mapInArrow(_keys, "h long, k1 long, k2 long"), "lines-keys")
+    held = keys.groupBy("h").agg(F.min(F.struct("k1", "k2")).alias("e"), F.count(F.lit(1)).alias("n")).where(f"n > 1 AND (n <= {RARE_HOLDERS} OR h & 1 = 0)")
+    held = materialize(held, "lines-held")
+    later = materialize(keys.join(held, "h").where("e <> struct(k1, k2)"), "lines-later")
+    pairs = later.where(F.col("n") <= RARE_HOLDERS).groupBy("k1", "k2", F.col("e.k1").alias("e1"), F.col("e.k2").alias("e2"))
+    pairs = materialize(pairs.agg(F.collect_set(F.expr("if(h & 1 = 1, h, NULL)")).alias("via")), "lines-pairs")
+    early = firsts.select(F.col("k1").alias("e1"), F.col("k2").alias("e2"), F.col("checks").alias("early"), F.col("sizes").alias("early_sizes"))
+    aligned = pairs.join(early, ["e1", "e2"]).join(firsts, ["k1", "k2"]).select("k1", "k2", "early", "early_sizes", "lines", "checks", "sizes", "via").mapInArrow(_align, "k1 long, k2 long, gone array<int>")
+    common = later.where(F.col("n") > RARE_HOLDERS).select("k1", "k2", F.expr("cast(NULL AS int)").alias("j"), "h")
+    found = aligned.select("k1", "k2", F.explode("gone").alias("j"), F.expr("cast(NULL AS long)").alias("h")).union(common)
+    found = found.groupBy("k1", "k2").agg(F.collect_set("j").alias("aligned"), F.collect_set("h").alias("common"))
+    gone = found.join(firsts, ["k1", "k2"]).select("k1", "k2", "lines", "sizes", "aligned", "common").mapInArrow(_settle, "k1 long, k2 long, gone array<int>")
+    return materialize(gone.union(copies.withColumn("gone", F.expr("cast(NULL AS array<int>)"))), "lines-gone")
 
 
 def with_deletions(inner: DataFrame) -> DataFrame:
@@ -264,16 +283,20 @@ def with_deletions(inner: DataFrame) -> DataFrame:
     gone = find_copied_lines(inner)
     # a mask of the lines up to the last deleted one: arguments of these functions are evaluated once a row, their bodies once a line
     mask = F.expr("flatten(zip_with(gone, concat(array(-1), gone), (x, p) -> if(x IS NULL, array(), concat(array_repeat(false, x - p - 1), array(true)))))")
-    joined = inner.select("*", *row_key()).join(gone.select("k1", "k2", F.size("gone").cast("long").alias("n_gone"), mask.alias("mask")), ["k1", "k2"], "left")
-    left = F.expr("array_join(transform(filter(arrays_zip(split(text, '\n'), mask), x -> NOT coalesce(x.mask, false)), x -> x.`0`), '\n')")
-    return joined.select(*inner.columns, F.coalesce("n_gone", F.lit(0)).cast("long").alias("_gone"), F.when(F.col("mask").isNull(), F.col("text")).otherwise(left).alias("_left"))
+    some, rest = split_by_keys(inner.select("*", *row_key()), gone.select("k2"))
+    joined = some.join(gone.select("k1", "k2", "gone", mask.alias("mask"), F.lit(True).alias("cut")), ["k1", "k2"], "left")
+    left = F.expr(r"array_join(transform(filter(arrays_zip(split(text, '\n'), mask), x -> NOT coalesce(x.mask, false)), x -> x.`0`), '\n')")
+    n_gone = F.when(F.col("cut").isNull(), 0).otherwise(F.coalesce(F.size("gone"), F.size(F.split("text", "\n")))).cast("long")
+    text = F.when(F.col("cut").isNull(), F.col("text")).when(F.col("gone").isNull(), F.lit("")).otherwise(left)
+    return joined.select(*inner.columns, n_gone.alias("_gone"), text.alias("_left")).union(rest.select(*inner.columns, F.lit(0).cast("long").alias("_gone"), F.col("text").alias("_left")))
 
 
 def line_summary(docs: DataFrame) -> DataFrame:
     """``doc_id, n_lines, n_removed, kept_sha256`` of every document; null text has no lines and the digest of nothing.
 
-    Documents are ordered by doc_id (null counts as 0) and then by text hash; rows with equal doc_id and text are one document and
-    are treated alike. Lines are compared without surrounding white space. An empty table gives no rows.
+    Documents are ordered by doc_id (null counts as 0, an id that is no whole number by its hash) and then by text hash; rows with equal doc_id and
+    text are one document and are treated alike. Lines are compared without surrounding white space, so line ends do not matter; lines without
+    words go only between others that go. An empty table gives no rows.
     """
     found = with_deletions(docs.select("doc_id", "text"))
     return found.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"), F.col("_gone").alias("n_removed"), F.sha2(F.coalesce(F.col("_left"), F.lit("")).cast("binary"), 256).alias("kept_sha256"))
