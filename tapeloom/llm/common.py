@@ -8,8 +8,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Upper bound, in rows, of a table that may be broadcast after its rows have been counted.
-BROADCAST_ROWS = 500_000
+#: Upper bound, in counted bytes, of a table that may be broadcast.
+BROADCAST_BYTES = 64 << 20
+#: Most keys that a broadcast bitmap is made of.
+FILTER_KEYS = 1 << 26
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder in ``spark.checkpoint.dir``; where it is unset (tests), a temporary one is set."""
+    """The shared folder in ``spark.checkpoint.dir``; where it is unset, a local session (as in tests) gets a temporary one."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="tapeloom-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return shared.rstrip("/")
@@ -38,10 +42,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def row_key(doc_id: Column | str = "doc_id", text: Column | str = "text") -> list[Column]:
     """Two columns that address a document, null ids and repeated ids included.
 
-    Rows with equal id and equal text are interchangeable, so they may share a key; any others differ.
+    Rows with equal id and equal text are interchangeable, so they may share a key; any others differ. The first column orders documents as
+    whole-number ids do; an id that is no whole number stands there by its hash, a null as 0.
     """
     doc_id, text = (F.col(c) if isinstance(c, str) else c for c in (doc_id, text))
-    return [F.coalesce(doc_id.cast("long"), F.lit(0)).alias("k1"), F.xxhash64(doc_id, text).alias("k2")]
+    number = F.coalesce(doc_id.try_cast("long"), F.when(doc_id.isNotNull(), F.xxhash64(doc_id)), F.lit(0))
+    return [number.alias("k1"), F.xxhash64(doc_id, text).alias("k2")]
 
 
 def sealed(docs: DataFrame, *also: str) -> tuple[DataFrame, list[Column]]:
@@ -56,9 +62,30 @@ def sealed(docs: DataFrame, *also: str) -> tuple[DataFrame, list[Column]]:
     return inner, [back.get(c, F.col(c) if c in own else None) for c in docs.columns]
 
 
-def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint when the counted ``rows`` are within ``limit``; otherwise the join shuffles."""
-    return F.broadcast(df) if rows <= limit else df
+def maybe_broadcast(df: DataFrame, size: Column, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint when the rows of ``df``, a written table, are counted to have at most ``limit`` bytes by ``size``; otherwise the join shuffles."""
+    held = df.agg(F.sum(size.cast("long") + 32)).first()[0] or 0
+    return F.broadcast(df) if held <= limit else df
+
+
+def split_by_keys(rows: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two by their column k2: those that may be among the rows of ``found`` (all that are, and few others), and the rest.
+
+    A bitmap of hashed keys is broadcast, of 64 bits a key and at most 32 MB, so that a join with ``found`` shuffles hardly more than the
+    rows it needs. Beyond ``FILTER_KEYS`` keys, where the bitmap would let most rows through, all rows are in the first part.
+    """
+    n = found.count()
+    if n > FILTER_KEYS:
+        return rows, rows.where("false")
+    bits = 1 << max(16, min(28, (64 * n).bit_length()))
+    place = F.pmod(F.xxhash64("k2"), F.lit(bits)) + 1
+    marked = found.select(place.alias("_place")).groupBy(F.bitmap_bucket_number("_place").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("_bits"))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_at div 8 + 1 AS int), 1)")), 16, 10).cast("int")
+    tested = rows.withColumns({"_bucket": F.bitmap_bucket_number(place), "_at": at}).join(F.broadcast(marked), "_bucket", "left")
+    hit = F.coalesce(F.expr("shiftright(_byte, cast(_at % 8 AS int)) & 1 = 1"), F.lit(False))
+    tested = tested.withColumn("_byte", byte).withColumn("_hit", hit)
+    return tested.where("_hit").select(*rows.columns), tested.where("NOT _hit").select(*rows.columns)
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str], out: str, salts: int = 256) -> DataFrame:
@@ -79,27 +106,27 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], out: str, salts:
 def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
     """``(node, root)`` for every node of ``edges(a, b)``; ``root`` is the least node of its component.
 
-    Each round hooks every node to its least neighbour and contracts the graph, so the edge table shrinks; star-shaped
-    inputs end in two or three rounds. Both tables are written each round, which cuts lineage.
+    Large-star and small-star in turn (Kiveris et al., 2014): every node sends its larger neighbours, and then its smaller ones and itself, to
+    the least of its neighbourhood. Distances halve each round, so ordered paths too end in logarithmically many; the number of edges does not grow.
+    Each round is written, which cuts lineage, and the round before it is removed.
     """
     pairs = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     pairs = materialize(pairs, f"{label}-edges")
-    labels = None
-    while not pairs.isEmpty():
+    # done when no node is the lesser end of one edge and the greater of another: all are stars around their least node
+    while not pairs.select("a").join(pairs.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
         both = pairs.union(pairs.select("b", "a"))
-        hook = materialize(both.groupBy("a").agg(F.min("b").alias("p")).select(F.col("a").alias("node"), F.least("a", "p").alias("up")), f"{label}-hook")
-        # a node hooked to a node that is itself hooked further: jump once, the next round does the rest
-        jump = hook.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        step = materialize(hook.join(jump, "up").select("node", F.col("top").alias("root")), f"{label}-step")
-        if labels is None:
-            labels = step
-        else:
-            moved = step.select(F.col("node").alias("root"), F.col("root").alias("new"))
-            labels = materialize(labels.join(moved, "root", "left").select("node", F.coalesce("new", "root").alias("root")), f"{label}-labels")
-        ra = step.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-        rb = step.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        pairs = pairs.join(ra, "a").join(rb, "b").where("ra <> rb")
-        pairs = materialize(pairs.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), f"{label}-edges")
-    if labels is None:
-        return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return labels
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = pairs.join(least, "a").select(F.col("m").alias("a"), "b").distinct()
+        small = large.groupBy("b").agg(F.min("a").alias("m"))
+        sent = large.join(small, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), "b"))).alias("e"))
+        before, pairs = pairs, materialize(sent.select("e.a", "e.b").where("a < b").distinct(), f"{label}-edges")
+        discard(before)
+    return pairs.select("b", "a").union(pairs.select("a", "a").distinct()).toDF("node", "root")
+
+
+def discard(written: DataFrame) -> None:
+    """Remove a scratch table that nothing reads any more."""
+    jvm, files = written.sparkSession._jvm, written.inputFiles()
+    if files:
+        path = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(written.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
