@@ -9,8 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tapeloom.llm import decontaminate, language, lines, neardup, pieces, quality, rules, sharding, substring, urls, words
-from tapeloom.llm.common import connected_components, numbered
+from tapeloom.llm import common, decontaminate, language, lines, neardup, pieces, quality, rules, sharding, substring, urls, words
+from tapeloom.llm.common import connected_components, numbered, split_by_keys
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -199,7 +199,7 @@ def test_decontamination_matches_brute_force(spark, docs):
 def test_large_benchmarks_are_joined_without_broadcast(spark, docs, monkeypatch):
     bench = spark.createDataFrame([(1, prose(2, 60))], "item_id long, text string")
     want = Counter(map(tuple, decontaminate.contamination(docs, bench).collect()))
-    monkeypatch.setattr(decontaminate, "maybe_broadcast", lambda df, n, limit=0: df)
+    monkeypatch.setattr(decontaminate, "maybe_broadcast", lambda df, size: df)
     assert Counter(map(tuple, decontaminate.contamination(docs, bench).collect())) == want
 
 
@@ -236,8 +236,89 @@ def test_repeated_lines_are_aligned(spark, monkeypatch):
     x, y = "a licence line that is long enough", "the second line of that licence"
     rows = [(1, f"top of the first document\n{x}\n{y}\nits middle\n{x}\n{y}\nits end"), (2, f"top of the second one\n{x}\n{y}\nend"), (3, f"own\n{x}\n{y}\nthird\n{x}\n{y}\nlast"), (4, "only once, in the fourth document"), (5, "five\nonly once, in the fourth document\nsome\nonly once, in the fourth document\nrest")]
     got = {r.doc_id: r.text for r in lines.drop_copied_lines(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOC)).collect()}
-    assert got[1] == rows[0][1] and got[2] == "top of the second one\nend" and got[3] == "own\nthird\nlast"
-    assert got[5].split("\n").count(rows[3][1]) == 1
+    assert got == {1: rows[0][1], 2: "top of the second one\nend", 3: "own\nthird\nlast", 4: rows[3][1], 5: "five\nsome\nrest"}
+
+
+def brute_patience(a, b):
+    """Aligned index pairs, by recursion on the longest increasing chain of lines that are unique in both; other ranges by plain dynamic programming."""
+    if not a or not b:
+        return []
+    unique = [(i, b.index(x)) for i, x in enumerate(a) if a.count(x) == 1 and b.count(x) == 1]
+    if not unique:
+        best = [[()] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                best[i + 1][j + 1] = max((best[i][j] + ((i, j),)) if a[i] == b[j] else (), best[i][j + 1], best[i + 1][j], key=len)
+        return list(best[-1][-1])
+    chains = []
+    for n, (i, j) in enumerate(unique):
+        chains.append(max((c for c in chains[:n] if c[-1][1] < j), key=len, default=()) + ((i, j),))
+    out, at = [], (0, 0)
+    for i, j in [*max(chains, key=len), (len(a), len(b))]:
+        out += [(at[0] + x, at[1] + y) for x, y in brute_patience(a[at[0] : i], b[at[1] : j])]
+        out += [(i, j)] if i < len(a) else []
+        at = (i + 1, j + 1)
+    return out
+
+
+def lines_by_force(rows):
+    """Each document against every earlier one: aligned blocks, rare lines and moved stretches of 20 characters go. Returns {id: text} of what stays."""
+    blank = lambda x: not x.strip(" \t\r\x0b\x0c")
+    cut = {d: [x.strip(" \t\r\x0b\x0c") for x in t.split("\n")] for d, t in rows}
+    classes = {}
+    for d in sorted(cut):
+        classes.setdefault(tuple(cut[d]), d)
+    holders = Counter(x for c in classes for x in set(c))
+    size = lambda xs: sum(min(20, len(x)) for x in xs)
+    out = {}
+    for d, t in rows:
+        own, gone = cut[d], set()
+        if classes[tuple(own)] != d and any(own):
+            continue
+        for e in classes.values():
+            if e >= d:
+                continue
+            block, last = [], None
+            for i, j in [*brute_patience(cut[e], own), (-9, -9)]:
+                if last != (i - 1, j - 1):
+                    gone |= set(block) if size(own[x] for x in block) >= 20 else set()
+                    block = []
+                block, last = [*block, j], (i, j)
+            gone |= {j for j, x in enumerate(own) if len(x) >= 8 and x in cut[e] and holders[x] <= lines.RARE_HOLDERS}
+            for a in range(len(own)):
+                for b in range(a + 1, len(own) + 1):
+                    run = own[a:b]
+                    if run[0] and run[-1] and size(run) >= 20 and any(cut[e][p : p + b - a] == run for p in range(len(cut[e]))):
+                        gone |= set(range(a, b))
+        gone = {j for j in gone if not blank(own[j])}
+        worded = [j for j, x in enumerate(own) if not blank(x)]
+        if gone:
+            gone |= {j for j, x in enumerate(own) if blank(x) and all(k in gone for k in (max((w for w in worded if w < j), default=None), min((w for w in worded if w > j), default=None)) if k is not None)}
+        left = "\n".join(x for j, x in enumerate(t.split("\n")) if j not in gone)
+        if not gone or left.split():
+            out[d] = left
+    return out
+
+
+def test_copied_lines_match_brute_force(spark, monkeypatch):
+    rng = random.Random(12)
+    said = [f"sentence number {i} of the text" for i in range(9)] + ["so blue", "and deep", "a middle line", "", "  ", "x", "the short 15ch.", "the short 15ch.\r"]
+    rows = [(i, "\n".join(rng.choice(said) for _ in range(rng.randrange(1, 11)))) for i in range(60)]
+    rows += [(i + 100, "\n".join(rng.sample([f"verse {i // 8} {j}" for j in range(12)], 9))) for i in range(24)]
+    rows += [(i + 200, rows[i][1] + "\r") for i in range(0, 60, 7)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOC)
+    for holders in (64, 3):
+        monkeypatch.setattr(lines, "RARE_HOLDERS", holders)
+        assert {r.doc_id: r.text for r in lines.drop_copied_lines(docs).collect()} == lines_by_force(rows)
+
+
+def test_no_copy_is_shielded_by_another_order(spark):
+    a, b = "the first line, long enough to count", "the second line, long enough too"
+    same = "\n".join(f"{i:02d} of nineteen char" for i in range(12))
+    rows = [(1, f"{b}\n{a}"), (2, f"{a}\n{b}"), (3, f"{a}\n{b}"), (4, same), (5, "x\n" + same), (6, f"own\r\n{a}\r\nend\r\n")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOC)
+    got = {r.doc_id: r.n_removed for r in lines.line_summary(docs).collect()}
+    assert got == {1: 0, 2: 2, 3: 2, 4: 0, 5: 12, 6: 1}
 
 
 def test_lines_meet_their_later_holders(spark):
@@ -246,11 +327,7 @@ def test_lines_meet_their_later_holders(spark):
     rows = [(1, said), (2, mixed), (3, ["an opening of the third document", *mixed])] + [(i, [f"another opening, this one of document {i}", *said[::-1]]) for i in range(4, 9)] + [(9, ["the ninth one's opening line", *said[::-1], "and its end"])]
     got = {r.doc_id: r.text for r in lines.drop_copied_lines(spark.createDataFrame([(i, "\n".join(t), "en", "s", 1) for i, t in rows], DOC)).collect()}
     assert got[1] == "\n".join(said) and got[3] == rows[2][1][0] and got[9] == "the ninth one's opening line\nand its end"
-    want = {}
-    for n, (i, t) in enumerate(rows):
-        gone = {j for _, e in rows[:n] for j in lines.lines_to_delete([2 * hash(x) + 1 for x in e], [2 * hash(x) + 1 for x in t])}
-        want[i] = "\n".join(x for j, x in enumerate(t) if j not in gone)
-    assert got == {i: t for i, t in want.items() if t}
+    assert got == lines_by_force([(i, "\n".join(t)) for i, t in rows])
 
 
 def test_runs_of_short_lines_are_copied_lines(spark):
@@ -260,7 +337,8 @@ def test_runs_of_short_lines_are_copied_lines(spark):
     docs = spark.createDataFrame([(i, "\n".join(t), "en", "s", 1) for i, t in rows], DOC)
     got = {r.doc_id: r.text for r in lines.drop_copied_lines(docs).collect()}
     assert got == {1: "\n".join(verse), 2: "mine\nend", 4: f"first\n{one}", 5: f"other\n{two}", 6: "sixth\nso", 7: "seven\nand more", 8: "the sea\nso blue", 9: "now\ntail", 10: "then"}
-    assert lines.rare_runs([2, 0, 4, 7, 6], [8, 0, 12, 20, 3]) == {(0, 3), (2, 4), (3, 4), (3, 5)}
+    assert got == lines_by_force([(i, "\n".join(t)) for i, t in rows])
+    assert lines.rare_runs([3, 0, 5, 7, 9], [8, 0, 12, 20, 3]) == {(0, 3), (2, 4), (3, 4), (3, 5)}
 
 
 def test_lines_are_deleted_from_the_later_document(spark):
@@ -268,7 +346,7 @@ def test_lines_are_deleted_from_the_later_document(spark):
     rows = [(1, f"{one}\n{two}\n{three}"), (2, f"own words at the start here\n{two}\n{three}"), (3, f"{one}\n{two}\n{three}"), (4, "short\nlines"), (5, "short\nlines"), (6, None), (7, "")]
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOC)
     got = {r.doc_id: r.text for r in lines.drop_copied_lines(docs).collect()}
-    assert got == {1: rows[0][1], 2: "own words at the start here", 4: "short\nlines", 5: "short\nlines", 6: None, 7: ""}
+    assert got == {1: rows[0][1], 2: "own words at the start here", 4: "short\nlines", 6: None, 7: ""}
     figures = {r.doc_id: (r.n_lines, r.n_removed) for r in lines.line_summary(docs).collect()}
     assert figures[2] == (3, 2) and figures[3] == (3, 3) and figures[6] == (0, 0)
     assert lines.line_summary(docs.where("false")).count() == 0
@@ -439,6 +517,37 @@ def test_urls_are_judged_at_fetch_time(spark):
     assert urls.evaluate(captures, entries.where("false")).where("blocked").count() == 0
 
 
+def test_captures_are_judged_by_url_and_time_alone(spark):
+    at = datetime.datetime(2024, 1, 2)
+    entries = spark.createDataFrame([("domain", "bad.example", "add", at), ("domain", "[2001:db8::1]", "add", at), ("domain", "bad.example", "add", at)], "kind string, value string, action string, listed_at timestamp")
+    rows = [(1, "http://bad.example/"), (1, "http://clean.example/"), (None, "http://bad.example/x"), (2, "http://[2001:DB8::1]:80/x"), (3, "http://bad.example/"), (3, "http://bad.example/")]
+    captures = spark.createDataFrame([(i, u, at, "m", "h") for i, u in rows], "capture_id long, url string, fetched_at timestamp, matches string, kind string")
+    got = urls.evaluate(captures, entries)
+    assert got.columns == ["capture_id", "url", "fetched_at", "kind", "host", "n_matches", "matches", "blocked"]
+    assert Counter((r.capture_id, r.blocked) for r in got.collect()) == Counter([(1, True), (1, False), (None, True), (2, True), (3, True), (3, True)])
+    assert urls.evaluate(captures.where("false"), entries).count() == 0
+
+
+def test_bitmaps_split_rows_without_loss(spark, monkeypatch):
+    rows = spark.range(3000).select("id", F.xxhash64("id").alias("k2"))
+    found = rows.where("id % 100 = 7").select("k2")
+    some, rest = split_by_keys(rows, found)
+    ids = {r.id for r in some.collect()}
+    assert ids >= set(range(7, 3000, 100)) and len(ids) < 200 and len(ids) + rest.count() == 3000
+    assert split_by_keys(rows, found.where("false"))[0].count() == 0
+    monkeypatch.setattr(common, "FILTER_KEYS", 3)
+    assert split_by_keys(rows, found)[0].count() == 3000 and split_by_keys(rows, found)[1].count() == 0
+
+
+def test_rounds_of_components_grow_with_the_logarithm(spark, monkeypatch):
+    real, written = common.materialize, []
+    monkeypatch.setattr(common, "materialize", lambda df, label: written.append(label) or real(df, label))
+    for n, most in ((24, 7), (192, 10)):
+        written.clear()
+        got = connected_components(spark.createDataFrame([(i, i + 1) for i in range(n)], "a long, b long")).collect()
+        assert {r.root for r in got} == {0} and len(got) == n + 1 and len(written) <= most
+
+
 def test_empty_tables_give_empty_results(docs):
     none = docs.where("false")
     assert substring.substring_summary(none).count() == 0 and substring.drop_substrings(none).columns == none.columns
