@@ -37,21 +37,23 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hit, 0) AS n_hit, C
 OP8 = rf"""WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
  c AS (SELECT *, [length(regexp_replace(t, '[^a-z]+', '', 'g')), length(regexp_replace(t, '[^\x20\x09-\x0D]+', '', 'g')), length(regexp_replace(t, '[^A-Z]+', '', 'g')), length(regexp_replace(t, '[^0-9]+', '', 'g')), length(regexp_replace(t, '[^.,;:!?''\x22()-]+', '', 'g'))] AS k5, length(regexp_replace(t, '[\x00-\x7F]+', '', 'g')) AS other FROM d),
  m AS (SELECT *, list_concat(k5, [length(t) - list_sum(k5) - other, other]) AS k FROM c),
- x AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(w) AS word FROM d) WHERE length(word) <= {rules.COMMON_CHARS} GROUP BY ALL),
- x2 AS (SELECT lang, word, n FROM x WHERE lang IS NOT NULL UNION ALL SELECT NULL, word, sum(n) FROM x GROUP BY word),
+ x AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(w) AS word FROM d) GROUP BY ALL),
+ ks AS (SELECT lang, sum(len(w)) AS nw, [sum(k[1]), sum(k[2]), sum(k[3]), sum(k[4]), sum(k[5]), sum(k[6]), sum(k[7])] AS rk FROM m GROUP BY lang),
+ al AS (SELECT NULL AS lang, sum(len(w)) AS nw, [sum(k[1]), sum(k[2]), sum(k[3]), sum(k[4]), sum(k[5]), sum(k[6]), sum(k[7])] AS rk FROM m),
+ kk AS (SELECT * FROM ks WHERE lang IS NOT NULL AND nw >= {rules.LEAST_REFERENCE} AND nw * {rules.LEAST_SHARE} >= (SELECT nw FROM al) UNION ALL SELECT * FROM al),
+ x2 AS (SELECT lang, word, n FROM x WHERE lang IN (SELECT lang FROM kk WHERE lang IS NOT NULL) UNION ALL SELECT NULL, word, sum(n) FROM x GROUP BY word),
  top AS (SELECT lang, list(word ORDER BY r) AS ws, list(CAST(n AS BIGINT) ORDER BY r) AS ns FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS r FROM x2) WHERE r <= {rules.COMMON} GROUP BY lang),
- ks AS (SELECT lang, sum(len(w)) AS nw, list_transform(range(1, 8), lambda i: 0) AS z, [sum(k[1]), sum(k[2]), sum(k[3]), sum(k[4]), sum(k[5]), sum(k[6]), sum(k[7])] AS rk FROM m WHERE lang IS NOT NULL GROUP BY lang),
- ref AS (SELECT ks.lang, ws, list_concat(ns, [nw - list_sum(ns)]) AS rn, rk FROM ks JOIN top ON top.lang = ks.lang),
+ ref AS (SELECT kk.lang, ws, list_concat(ns, [nw - list_sum(ns)]) AS rn, rk FROM kk JOIN top ON top.lang IS NOT DISTINCT FROM kk.lang),
  g AS (SELECT doc_id, i, hash FROM (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS hash FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3))),
  rp AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, hash) AS c FROM g), range(3) t(j) WHERE c > 1 GROUP BY doc_id),
  ln AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
  s AS (SELECT m.doc_id, len(w) AS nw, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS wc, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS ns, coalesce(ln.n, 0) AS nd, coalesce(rp.n, 0) AS nr, k, rk, rn,
-  list_concat(list_transform(ws, lambda v: len(list_filter(w, lambda q: q = v))), [len(list_filter(w, lambda q: NOT list_contains(ws, q)))]) AS hist FROM m LEFT JOIN ref ON ref.lang = m.lang LEFT JOIN rp ON rp.doc_id = m.doc_id LEFT JOIN ln ON ln.doc_id = m.doc_id),
+  list_concat(list_transform(ws, lambda v: len(list_filter(w, lambda q: q = v))), [len(list_filter(w, lambda q: NOT list_contains(ws, q)))]) AS hist FROM m LEFT JOIN ref ON ref.lang IS NOT DISTINCT FROM CASE WHEN m.lang IN (SELECT lang FROM kk WHERE lang IS NOT NULL) THEN m.lang END LEFT JOIN rp ON rp.doc_id = m.doc_id LEFT JOIN ln ON ln.doc_id = m.doc_id),
  j AS (SELECT *, list_transform(k, lambda v: v / nullif(list_sum(k), 0)) AS p1, list_transform(rk, lambda v: v / list_sum(rk)) AS q1, list_transform(hist, lambda v: v / nullif(list_sum(hist), 0)) AS p2, list_transform(rn, lambda v: v / list_sum(rn)) AS q2 FROM s),
  y AS (SELECT *, sqrt(greatest(0, list_sum(list_transform(range(1, 8), lambda i: (CASE WHEN p1[i] > 0 THEN p1[i] * log2(2 * p1[i] / (p1[i] + q1[i])) ELSE 0 END) + (CASE WHEN q1[i] > 0 THEN q1[i] * log2(2 * q1[i] / (p1[i] + q1[i])) ELSE 0 END))) / 2)) AS js1,
   sqrt(greatest(0, list_sum(list_transform(range(1, len(rn) + 1), lambda i: (CASE WHEN p2[i] > 0 THEN p2[i] * log2(2 * p2[i] / (p2[i] + q2[i])) ELSE 0 END) + (CASE WHEN q2[i] > 0 THEN q2[i] * log2(2 * q2[i] / (p2[i] + q2[i])) ELSE 0 END))) / 2)) AS js2 FROM j)
 SELECT doc_id, CAST(nw AS BIGINT) AS n_words, CAST(wc AS BIGINT) AS word_chars, CAST(ns AS BIGINT) AS n_symbols, CAST(nd AS BIGINT) AS n_dup_lines, CAST(nr AS BIGINT) AS n_repeat_words, nw < 50 OR 100 * nr > 50 * nw AS base_failed,
- NOT (nw < 50 OR 100 * nr > 50 * nw) AND NOT (nw >= {rules.MIN_WORDS} AND (js1 > {rules.MAX_CLASS_JS} OR js2 > {rules.MAX_WORD_JS})) AS kept FROM y"""
+ NOT (nw < 50 OR 100 * nr > 50 * nw) AND NOT (wc >= {rules.MIN_CHARS} AND js1 > {rules.MAX_CLASS_JS}) AND NOT (nw >= {rules.MIN_WORDS} AND js2 > {rules.MAX_WORD_JS}) AS kept FROM y"""
 
 OP10 = r"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
  s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
