@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, row_key, sealed
+from .common import materialize, row_key, sealed, split_by_keys
 from .words import gram_hashes, hash_batches
 
 K, M = 35, 8
@@ -187,7 +187,8 @@ def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     kmers = keyed.mapInArrow(_scan, "h long, k1 long, k2 long, start int, n int").withColumn("at", F.col("start").cast("long") * 64 + F.col("n"))
     shared = materialize(kmers.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"), "substring-shared")
     at = kmers.select("h", "k1", "k2", "at").join(shared, "h", "left_semi").groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "h")).alias("at"))
-    some = materialize(keyed.join(at, ["k1", "k2"]), "substring-texts")
+    at = materialize(at, "substring-at")
+    some = materialize(split_by_keys(keyed, at.select("k2"))[0].join(at, ["k1", "k2"]), "substring-texts")
     strings = some.mapInArrow(_pack(True), "h long, packed binary")
     distinct = materialize(strings.groupBy("h", "packed").agg(F.count(F.lit(1)).alias("cnt")), "substring-strings")
     crowded = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("d")).where(F.col("d") > BUCKET_STRINGS)
@@ -259,8 +260,9 @@ def substring_summary(docs: DataFrame) -> DataFrame:
 def drop_substrings(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated windows' words cut from the texts; texts that lose words are joined by single spaces."""
     inner, back = sealed(docs)
-    joined = inner.withColumn("text", F.col("text").cast("binary")).select("doc_id", "_rest", F.col("text"), *row_key("doc_id", F.col("text").cast("string")))
-    joined = joined.join(find_repeats(docs)[1], ["k1", "k2"], "left").select("doc_id", "_rest", "text", "runs")
+    runs = materialize(find_repeats(docs)[1], "substring-runs")
+    some, rest = split_by_keys(inner.select("*", *row_key()), runs.select("k2"))
+    joined = some.join(runs, ["k1", "k2"], "left").select("doc_id", "_rest", F.col("text").cast("binary").alias("text"), "runs")
     fields = ", ".join(f"{c} {inner.schema[c].dataType.simpleString()}" for c in ("doc_id", "_rest"))
     out = joined.mapInArrow(_rewrite, f"{fields}, text binary").withColumn("text", F.col("text").cast("string"))
-    return out.select(*back)
+    return out.select(*back).union(rest.select(*back))
