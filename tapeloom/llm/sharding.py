@@ -1,9 +1,9 @@
 """Sharding by best-fit-decreasing bin packing.
 
 Indivisible groups (documents with equal texts) are sorted by size, and each enters the bin with the tightest remaining
-capacity that still holds it, found in a balanced tree. The packing looks at sizes only, so it runs on the
-histogram of group sizes: with T bytes in all there are at most sqrt(2 T) distinct sizes, whatever the number of
-documents. Groups of one size are interchangeable; Spark ranks them and a range of ranks goes to each bin.
+capacity that still holds it, found in a balanced tree. Groups below one in ``FINE`` of a shard are first tied into ``BUNDLES`` bundles a shard
+by a hash, so at most ``FINE + BUNDLES`` items a shard are packed, whatever the number of documents. The packing looks at sizes only, so the
+driver sees a histogram of item sizes. Items of one size are interchangeable; Spark ranks them and a range of ranks goes to each bin.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, numbered
 
+FINE, BUNDLES = 4096, 1024
+
 
 class CapacityTree:
     """Ordered multiset of (remaining capacity, bin): a treap, balanced in expectation."""
@@ -83,45 +85,63 @@ def best_fit_decreasing(classes: list[tuple[int, int]], capacity: int) -> list[t
 
 
 def fit_shards(classes: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int]]:
-    """The packing into at most ``shards`` bins with the least capacity found: from the mean upwards in small steps."""
+    """The packing into at most ``shards`` bins with the least capacity found: from the mean upwards in small steps.
+
+    An item above the mean of what is left has a bin to itself, so that it does not raise the capacity of the others.
+    """
+    left, runs, used = dict(classes), [], 0
     total = sum(s * n for s, n in classes)
-    if not total:
-        return []
-    least = max(-(-total // shards), max(s for s, _ in classes))
+    while left and shards - used > 1 and max(left) > total / (shards - used):
+        size = max(left)
+        runs.append((size, 1, used))
+        left[size] -= 1
+        left = {s: n for s, n in left.items() if n}
+        total, used = total - size, used + 1
+    if not left:
+        return runs
+    least = max(-(-total // (shards - used)), max(left))
     slack = 0
     while True:
-        runs = best_fit_decreasing(classes, least + slack)
-        if max(b for *_, b in runs) < shards:
-            return runs
+        rest = best_fit_decreasing(list(left.items()), least + slack)
+        if max(b for *_, b in rest) < shards - used:
+            return runs + [(s, n, b + used) for s, n, b in rest]
         slack = slack * 2 or max(1, least // 10_000)
 
 
 def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
-    """``doc_id, size, text_crc32, shard, slot``: equal texts stay together and shard sizes are near equal.
+    """``doc_id, size, text_crc32, shard, slot, cut``: equal texts stay together and shard sizes are near equal.
 
-    size is the UTF-8 length plus 1 (a null text has length 0, crc32 0, and groups with the empty text). A group of copies
-    larger than half a shard cannot be whole in a near-equal packing if it exceeds the mean shard: it is cut, by a hash of doc_id,
-    into pieces of about a quarter of a shard. Fewer than ``shards`` groups exceed the mean, which bounds that broadcast.
-    Repeated rows are packed as rows; ties are numbered in order of text digest and doc_id. An empty table gives no rows.
+    size is the UTF-8 length plus 1 (a null text has length 0, crc32 0, and groups with the empty text). A group of copies larger than the mean
+    shard cannot be whole in a near-equal packing: it is ``cut``, by gapless numbers of its rows, into equal pieces of about a quarter of a shard. Fewer
+    than ``shards`` groups exceed the mean, which bounds that broadcast. Repeated rows, null ids too, are packed as rows and may be cut apart.
+    A single document above the mean has a shard to itself. An empty table gives no rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"))
-    base = materialize(base, "shard-base")
+    # numbers of rows, fixed by being written, tell repeated rows apart
+    base = materialize(base.withColumn("row", F.monotonically_increasing_id()), "shard-base")
     total = base.agg(F.sum("size")).first()[0] or 0
     mean = total / shards
-    copies = base.groupBy("digest").agg(F.sum("size").alias("gsize"))
-    big = copies.where(F.col("gsize") > mean).select("digest", F.ceil(F.col("gsize") * 4 / mean).alias("pieces")).limit(shards)
-    cut = base.join(F.broadcast(big), "digest", "left")
-    cut = cut.withColumn("piece", F.when(F.col("pieces").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), "pieces")).cast("int")).drop("pieces")
-    groups = cut.groupBy("digest", "piece").agg(F.sum("size").alias("gsize"))
-    groups = materialize(groups, "shard-groups")
-    classes = [(r[0], r[1]) for r in groups.groupBy("gsize").count().toLocalIterator()]
+    copies = base.groupBy("digest").agg(F.sum("size").alias("gsize"), F.count(F.lit(1)).alias("n"))
+    big = materialize(copies.where((F.col("gsize") > mean) & (F.col("n") > 1)).select("digest", F.ceil(F.col("gsize") * 4 / mean).alias("pieces")), "shard-big")
+    parts = numbered(base.join(F.broadcast(big), "digest"), ["digest"], ["row"], "number").withColumn("piece", F.pmod("number", "pieces").cast("int"))
+    columns = ["doc_id", "size", "text_crc32", "digest", "row", "piece", "cut"]
+    whole = base.join(F.broadcast(big), "digest", "left_anti").withColumns({"piece": F.lit(0), "cut": F.lit(False)}).select(*columns)
+    rows = whole if big.isEmpty() else materialize(whole.union(parts.withColumn("cut", F.lit(True)).select(*columns)), "shard-rows")
+    groups = rows.groupBy("digest", "piece").agg(F.sum("size").alias("gsize"))
+    tied = F.when(F.col("gsize") * (FINE * shards) < total, F.pmod(F.xxhash64("digest", "piece"), F.lit(BUNDLES * shards)))
+    groups = materialize(groups.withColumn("bundle", tied), "shard-groups")
+    alone = groups.where("bundle IS NULL").select("digest", "piece", "bundle", "gsize")
+    bundles = groups.where("bundle IS NOT NULL").groupBy("bundle").agg(F.sum("gsize").alias("gsize")).select(F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("int").alias("piece"), "bundle", "gsize")
+    items = materialize(alone.union(bundles), "shard-items")
+    classes = [(r[0], r[1]) for r in items.groupBy("gsize").count().collect()]  # at most (FINE + BUNDLES) * shards
     ends: dict[int, list[tuple[int, int]]] = {}
     for size, n, which in fit_shards(classes, shards):
         own = ends.setdefault(size, [])
         own.append(((own[-1][0] if own else 0) + n, which))
     plan = docs.sparkSession.createDataFrame(list(ends.items()), "gsize long, runs array<struct<upto: long, shard: int>>")
-    ranked = numbered(groups, ["gsize"], ["digest", "piece"], "rank")
-    placed = ranked.join(plan, "gsize").select("digest", "piece", F.expr("filter(runs, r -> rank < r.upto)[0].shard").alias("shard"))
-    rows = cut.join(placed, ["digest", "piece"])
-    return numbered(rows, ["shard"], ["digest", "doc_id"], "slot").select("doc_id", "size", "text_crc32", "shard", "slot")
+    ranked = numbered(items, ["gsize"], ["digest", "piece", "bundle"], "rank")
+    placed = materialize(ranked.join(F.broadcast(plan), "gsize").select("digest", "piece", "bundle", F.expr("filter(runs, r -> rank < r.upto)[0].shard").alias("shard")), "shard-placed")
+    tied = groups.where("bundle IS NOT NULL").join(F.broadcast(placed.where("bundle IS NOT NULL").select("bundle", "shard")), "bundle").select("digest", "piece", "shard")
+    units = materialize(placed.where("bundle IS NULL").select("digest", "piece", "shard").union(tied), "shard-units")
+    return numbered(rows.join(units, ["digest", "piece"]), ["shard"], ["row"], "slot").select("doc_id", "size", "text_crc32", "shard", "slot", "cut")
