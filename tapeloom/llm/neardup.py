@@ -2,37 +2,38 @@
 
 Each of ``PERMUTATIONS`` hash functions gives two signature values, its minimum and its maximum over the document's shingles, so a
 signature of 2 x PERMUTATIONS values costs half the hash evaluations; both are unbiased for the Jaccard similarity and
-together vary less. ``ROWS`` values make a band: two documents at similarity 0.75 share none of the 32 bands with probability
-(1 - 0.75^4)^32 = 5e-6.
-
-Documents with equal word sequences are one node. Within a bucket (one band's value) documents whose signatures agree
-in at least ``LEAST_AGREEMENT`` of the values are joined into candidate families, only a spanning star of each leaving the task;
-0.55 is more than five standard deviations below what a pair at 0.75 shows. Inside a family all pairs are confirmed on the full shingle sets,
-by matrix products over blocks, and again only spanning stars leave the task. Crowded buckets and families are cut into blocks and every pair
-of blocks is compared, so no group meets in one task and no candidate is dropped. The number of set comparisons is
-quadratic in the size of a family of different near copies (exact copies cost nothing); that is the price of exact links.
+together vary less. ``ROWS`` values of different permutations, all minima or all maxima, make a band: two documents at similarity 0.75 share none of the
+32 bands with probability (1 - 0.75^4)^32 = 5e-6; in small sets, where a permutation's minimum and maximum depend on each other, with less (1.4e-6 at 3 of 4).
+
+Documents with equal word sequences are one node, named by 128 bits of their SHA-256. Within a bucket (one band's value) documents whose signatures
+agree in at least ``LEAST_AGREEMENT`` of the values are joined into candidate families, only a spanning star of each leaving the task;
+0.55 is more than five standard deviations below what a pair at 0.75 shows. Inside a family links are confirmed on the full shingle sets,
+by matrix products, and again only spanning stars leave the task.
+
+A group of more than a block is first compared with its leader, its least node, in one linear pass dealt over tasks. Whoever agrees with the leader
+is in its component, so pairs of two such need no comparison; the others are compared with all of the group, block by block. No group meets
+in one task and no candidate is dropped. What is quadratic is the number of a group's members that do not agree with its leader, times the group.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, row_key, sealed
+from .common import connected_components, materialize, row_key, sealed, split_by_keys
 from .words import ASCII_LOWER, gram_hashes, hash_batches, hash_words
 
 SHINGLE, PERCENT = 5, 75
 PERMUTATIONS, ROWS = 64, 4
 BANDS = 2 * PERMUTATIONS // ROWS
 LEAST_AGREEMENT = 0.55
-#: Least documents of a block; a larger bucket or family becomes pairs of blocks. Blocks grow with the square root of the group up to
-#: BLOCK_GROWTH times this, which bounds a task's memory and keeps a row from being copied to too many pairs.
-BUCKET_BLOCK, FAMILY_BLOCK, BLOCK_GROWTH = 512, 192, 5
+#: Documents of a block of a bucket, and of a family, and the shingles of a block, which bound a task's memory.
+BUCKET_BLOCK, FAMILY_BLOCK, BLOCK_SHINGLES = 1024, 384, 1 << 22
 
 _rng = np.random.default_rng(1_234_577)
 _A = _rng.integers(1, 1 << 63, size=PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
@@ -59,7 +60,7 @@ def min_max(sets: list[np.ndarray]) -> np.ndarray:
 
 def band_keys(signatures: np.ndarray) -> np.ndarray:
     """One 64-bit key for each row and band."""
-    parts = signatures.reshape(len(signatures), BANDS, ROWS).astype(np.uint64)
+    parts = signatures.reshape(-1, PERMUTATIONS, 2).transpose(0, 2, 1).reshape(len(signatures), BANDS, ROWS).astype(np.uint64)
     key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), parts.shape[:2]).copy()
     for r in range(ROWS):
         key = (key ^ parts[:, :, r]) * np.uint64(0x9E3779B97F4A7C15)
@@ -67,7 +68,7 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-_SIGNED = "k1 long, k2 long, digest binary, node long, n_shingles long, bands array<long>, sig binary"
+_SIGNED = "k1 long, k2 long, node binary, n_shingles long, bands array<long>, sig binary"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,53 +86,49 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sigs.append(small[at].tobytes() if len(s) else None)
                 at += bool(len(s))
             part = batch.slice(first, last - first)
-            nodes = np.frombuffer(b"".join(d[:8] for d in digests), np.int64)
             yield pa.record_batch(
-                [part.column("k1"), part.column("k2"), pa.array(digests, pa.binary()), pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-                names=["k1", "k2", "digest", "node", "n_shingles", "bands", "sig"],
+                [part.column("k1"), part.column("k2"), pa.array(digests, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
+                names=["k1", "k2", "node", "n_shingles", "bands", "sig"],
             )
 
 
 class Groups:
-    """Union-find over the rows of one task's group."""
+    """The groups of one task's rows: a label each, the least row of its group."""
 
     def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
+        self.label = np.arange(n)
 
-    def join(self, i: int, j: int) -> None:
-        i, j = self.root(i), self.root(j)
-        self.up[max(i, j)] = min(i, j)
+    def join(self, i: int, others: np.ndarray) -> None:
+        """Row ``i`` and all rows ``others`` become one group."""
+        old = np.unique(np.append(self.label[others], self.label[i]))
+        if len(old) > 1:
+            self.label[np.isin(self.label, old)] = old[0]
 
     def stars(self, names: list) -> list[tuple]:
-        return [(names[r], names[i]) for i in range(len(self.up)) if (r := self.root(i)) != i]
+        return [(names[r], names[i]) for i, r in enumerate(self.label.tolist()) if r != i]
 
 
-def bucket_stars(nodes: list[int], signatures: np.ndarray) -> list[tuple[int, int]]:
-    """Spanning stars of the documents of a bucket whose signatures agree."""
-    groups, least = Groups(len(nodes)), LEAST_AGREEMENT * signatures.shape[1]
-    for i in range(len(nodes) - 1):
-        agree = (signatures[i + 1 :] == signatures[i]).sum(axis=1)
-        for j in np.flatnonzero(agree >= least).tolist():
-            groups.join(i, i + 1 + j)
-    return groups.stars(nodes)
+def bucket_groups(signatures: np.ndarray, asked: np.ndarray) -> Groups:
+    """Groups of a bucket's documents whose signatures agree; pairs without a row that is ``asked`` need not be compared."""
+    groups, least = Groups(len(signatures)), LEAST_AGREEMENT * signatures.shape[1]
+    for i in np.flatnonzero(asked).tolist():
+        apart = np.flatnonzero(groups.label != groups.label[i])
+        if len(apart):
+            groups.join(i, apart[(signatures[apart] == signatures[i]).sum(axis=1) >= least])
+    return groups
 
 
-def family_links(sets: list[np.ndarray], block: int = FAMILY_BLOCK) -> Groups:
-    """Groups of the sets with 100 * intersection >= 75 * union, over all pairs."""
+def family_groups(sets: list[np.ndarray], asked: np.ndarray) -> Groups:
+    """Groups of the sets with 100 * intersection >= 75 * union, over all pairs with a row that is ``asked``."""
     groups, sizes = Groups(len(sets)), np.array([len(s) for s in sets])
+    rows = np.flatnonzero(asked)
     if len(sets) < 6:
-        for i in range(len(sets)):
-            for j in range(i + 1, len(sets)):
-                if min(sizes[i], sizes[j]) * 100 >= PERCENT * max(sizes[i], sizes[j]):
+        for i in rows.tolist():
+            for j in range(len(sets)):
+                if groups.label[i] != groups.label[j] and min(sizes[i], sizes[j]) * 100 >= PERCENT * max(sizes[i], sizes[j]):
                     both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                     if 100 * both >= PERCENT * (sizes[i] + sizes[j] - both):
-                        groups.join(i, j)
+                        groups.join(i, np.array([j]))
         return groups
     shingles, ids = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(len(sets)), sizes)
@@ -142,70 +139,117 @@ def family_links(sets: list[np.ndarray], block: int = FAMILY_BLOCK) -> Groups:
     keep = common[ids] > 1
     ids, owner = ids[keep], owner[keep]
     column = np.cumsum(np.concatenate(([0], np.diff(ids) > 0))) if len(ids) else ids
-    both = np.zeros((len(sets), len(sets)), np.float32)
+    both = np.zeros((len(rows), len(sets)), np.float32)
     for low in range(0, int(column[-1]) + 1 if len(column) else 0, 8192):
         a, b = np.searchsorted(column, (low, low + 8192))
-        part = np.zeros((len(sets), 8192), np.float32)
+        part = np.zeros((len(sets), min(8192, int(column[-1]) + 1 - low)), np.float32)
         part[owner[a:b], column[a:b] - low] = 1
-        both += part @ part.T
-    linked = 100 * both >= PERCENT * (sizes[:, None] + sizes[None, :] - both)
-    for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
-        groups.join(int(i), int(j))
+        both += part[rows] @ part.T
+    linked = 100 * both >= PERCENT * (sizes[rows][:, None] + sizes[None, :] - both)
+    for n, i in enumerate(rows.tolist()):
+        groups.join(i, np.flatnonzero(linked[n]))
     return groups
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str], values: list[str]) -> Iterator[list[tuple]]:
-    """The rows of each run of equal ``keys`` in sorted input."""
-    now, held = None, []
-    for batch in batches:
-        own = zip(*(batch.column(c).to_pylist() for c in keys), strict=True)
-        rows = zip(*(batch.column(c).to_pylist() for c in values), strict=True)
-        for key, row in zip(own, rows, strict=True):
-            if key != now:
-                if held:
-                    yield held
-                now, held = key, []
-            held.append(row)
-    if held:
-        yield held
-
-
-def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-
-def _match_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: set[tuple[int, int]] = set()
-    for rows in _grouped(batches, ["bucket", "bi", "bj"], ["node", "sig"]):
-        if len(rows) > 1:
-            signatures = np.frombuffer(b"".join(s for _, s in rows), np.uint8).reshape(len(rows), -1)
-            found.update(bucket_stars([n for n, _ in rows], signatures))
-        if len(found) > 20_000:
-            yield _edges(list(found))
-            found = set()
-    yield _edges(list(found))
-
-
-def _confirm_families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: list[tuple[int, int]] = []
-    for rows in _grouped(batches, ["family", "bi", "bj"], ["node", "text"]):
-        if len(rows) > 1:
-            sets = [shingle_set(hash_words((t or b"").translate(ASCII_LOWER))) for _, t in rows]
-            found += family_links(sets).stars([n for n, _ in rows])
-        if len(found) > 20_000:
-            yield _edges(found)
-            found = []
-    yield _edges(found)
-
-
-def _pairs_of_blocks(rows: DataFrame, key: str, least: int) -> DataFrame:
-    """Rows with ``bi, bj``: each row goes to every pair of blocks that holds its own; a key of ``n`` rows makes n / block size blocks."""
-    size = F.greatest(F.lit(least), F.least(F.lit(least * BLOCK_GROWTH), F.floor(F.sqrt("n") * 4)))
-    blocks = F.ceil(F.col("n") / size)
-    mine = F.when(blocks == 1, 0).otherwise(F.pmod(F.xxhash64("node"), blocks)).cast("int")
-    every = F.transform(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")), lambda o: F.struct(F.least(F.col("mine"), o).alias("bi"), F.greatest(F.col("mine"), o).alias("bj")))
-    dealt = rows.withColumns({"mine": mine, "blocks": blocks}).withColumn("pair", F.explode_outer(every))
-    return dealt.select(*[c for c in rows.columns if c != "n"], "pair.bi", "pair.bj").repartition(key, "bi", "bj").sortWithinPartitions(key, "bi", "bj")
+def _signature(sig: bytes) -> np.ndarray:
+    return np.frombuffer(sig, np.uint8)
+
+
+def _set(text: bytes | None) -> np.ndarray:
+    return shingle_set(hash_words((text or b"").translate(ASCII_LOWER)))
+
+
+def _agree(a: np.ndarray, b: np.ndarray) -> bool:
+    return (a == b).sum() >= LEAST_AGREEMENT * len(a)
+
+
+def _linked(a: np.ndarray, b: np.ndarray) -> bool:
+    if min(len(a), len(b)) * 100 < PERCENT * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+
+
+def _edges(found: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], names=["a", "b"])
+
+
+def _within(read: Callable, groups_of: Callable) -> Callable:
+    """Sorted rows (group, bi, bj, node, payload, asked), a block pair's rows together, to the spanning stars of its groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, found = None, [], set()
+
+        def stars() -> list[tuple]:
+            if len(held) < 2:
+                return []
+            values = [read(p) for _, p, _ in held]
+            values = np.stack(values) if read is _signature else values
+            return groups_of(values, np.array([a for *_, a in held], bool)).stars([n for n, *_ in held])
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("key", "bi", "bj", "node", "payload", "asked")]
+            for key, bi, bj, node, payload, asked in zip(*columns, strict=True):
+                if (key, bi, bj) != now:
+                    found.update(stars())
+                    now, held = (key, bi, bj), []
+                held.append((node, payload, asked))
+            if len(found) > 20_000:
+                yield _edges(list(found))
+                found = set()
+        found.update(stars())
+        yield _edges(list(found))
+
+    return run
+
+
+def _with_leader(read: Callable, agrees: Callable) -> Callable:
+    """Sorted rows (key, block, follows, node, payload), a block's leader first, to (key, a, b, agrees): each of the others against the leader."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leader, own = None, None
+        for batch in batches:
+            out = []
+            for key, follows, node, payload in zip(*(batch.column(c).to_pylist() for c in ("key", "follows", "node", "payload")), strict=True):
+                if not follows:
+                    leader, own = node, read(payload)
+                else:
+                    out.append((key, leader, node, bool(agrees(own, read(payload)))))
+            names = ["key", "a", "b", "agrees"]
+            yield pa.record_batch([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.binary(), pa.binary(), pa.binary(), pa.bool_()))], names=names)
+
+    return run
+
+
+def _stars(rows: DataFrame, block: int, read: Callable, groups_of: Callable, agrees: Callable, label: str) -> DataFrame:
+    """Edges ``a, b`` that span the groups of each key's rows. ``rows``: key, n and load (rows and shingles of the key), leader, node, payload."""
+    blocks = F.ceil(F.greatest(F.col("n") / block, F.col("load") / BLOCK_SHINGLES)).cast("int")
+    rows = rows.withColumn("blocks", blocks)
+    in_one = rows.where("blocks <= 1").select("key", F.lit(0).alias("bi"), F.lit(0).alias("bj"), "node", "payload", F.lit(True).alias("asked"))
+    deal = lambda df: df.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(_within(read, groups_of), "a binary, b binary")
+    edges = deal(in_one)
+    large = rows.where("blocks > 1")
+    if large.isEmpty():
+        return edges
+    large = materialize(large, f"{label}-large")
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    dealt = large.withColumn("block", F.explode(F.when(F.col("node") == F.col("leader"), every).otherwise(F.array(mine)))).withColumn("follows", F.col("node") != F.col("leader"))
+    dealt = dealt.select("key", "block", "follows", "node", "payload").repartition("key", "block").sortWithinPartitions("key", "block", "follows")
+    led = materialize(dealt.mapInArrow(_with_leader(read, agrees), "key binary, a binary, b binary, agrees boolean"), f"{label}-led")
+    edges = edges.union(led.where("agrees").select("a", "b"))
+    apart = led.where("NOT agrees").select("key", F.col("b").alias("node"))
+    if apart.isEmpty():
+        return edges
+    # the others against all: both sides in blocks, and every pair of blocks
+    counts = materialize(apart.groupBy("key").agg(F.count(F.lit(1)).alias("m")), f"{label}-apart")
+    open_ = large.join(counts, "key").withColumn("parts", F.ceil(F.greatest(F.col("m") / block, F.col("load") / F.col("n") * F.col("m") / BLOCK_SHINGLES)).cast("int"))
+    ask = open_.join(apart, ["key", "node"], "left_semi").select("key", F.pmod(F.xxhash64("node", F.lit(1)), "parts").cast("int").alias("bi"), F.explode(every).alias("bj"), "node", "payload", F.lit(True).alias("asked"))
+    told = open_.join(apart, ["key", "node"], "left_anti").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("bi"), mine.alias("bj"), "node", "payload", F.lit(False).alias("asked"))
+    among = open_.join(apart, ["key", "node"], "left_semi").withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), "parts").cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct((-1 - F.least(F.col("own"), o)).alias("bi"), (-1 - F.greatest(F.col("own"), o)).alias("bj")))
+    among = among.withColumn("p", F.explode(pairs)).select("key", "p.bi", "p.bj", "node", "payload", F.lit(True).alias("asked"))
+    return edges.union(deal(ask.union(told).union(among)))
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -213,16 +257,20 @@ def components(docs: DataFrame) -> DataFrame:
     keyed = docs.select(*row_key(), F.col("text").cast("binary").alias("text"))
     signed = materialize(keyed.mapInArrow(_sign, _SIGNED), "neardup-signed")
     # one row a node, so that a group of copies has one set of entries; plain inputs let Spark split hot buckets
-    nodes = materialize(signed.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("own"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "neardup-nodes")
+    nodes = signed.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("own"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    nodes = materialize(nodes, "neardup-nodes")
     entries = nodes.select("node", F.explode_outer("bands").alias("bucket"))
-    shared = materialize(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "neardup-shared")
-    crowded = entries.join(shared, "bucket").join(nodes.select("node", "sig"), "node").select("bucket", "n", "node", "sig")
-    stars = _pairs_of_blocks(crowded, "bucket", BUCKET_BLOCK).mapInArrow(_match_buckets, "a long, b long")
-    families = connected_components(stars, "neardup-families").select("node", F.col("root").alias("family"))
-    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
-    members = families.join(sizes, "family").join(nodes, "node").select("family", "n", "node", "own.k1", "own.k2")
-    texts = members.join(keyed, ["k1", "k2"]).dropDuplicates(["family", "node"]).select("family", "n", "node", "text")
-    links = _pairs_of_blocks(texts, "family", FAMILY_BLOCK).mapInArrow(_confirm_families, "a long, b long")
+    shared = materialize(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).where("n > 1"), "neardup-shared")
+    crowded = entries.join(shared, "bucket").join(nodes.select("node", F.col("sig").alias("payload")), "node")
+    crowded = crowded.select(F.unhex(F.hex("bucket")).alias("key"), "n", F.lit(0).alias("load"), "leader", "node", "payload")
+    stars = _stars(materialize(crowded, "neardup-crowded"), BUCKET_BLOCK, _signature, bucket_groups, _agree, "neardup-buckets")
+    families = materialize(connected_components(stars, "neardup-families").select("node", F.col("root").alias("key")), "neardup-members")
+    members = families.join(nodes.select("node", "n_shingles", "own"), "node")
+    sizes = materialize(members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("load")), "neardup-sizes")
+    members = materialize(members.select("key", "node", "own.k1", "own.k2"), "neardup-owners")
+    texts = split_by_keys(keyed, members.select("k2"))[0].join(members, ["k1", "k2"]).dropDuplicates(["key", "node"]).join(sizes, "key")
+    texts = materialize(texts.select("key", "n", "load", F.col("key").alias("leader"), "node", F.col("text").alias("payload")), "neardup-texts")
+    links = _stars(texts, FAMILY_BLOCK, _set, family_groups, _linked, "neardup-texts")
     roots = connected_components(links, "neardup-links")
     return signed.select("k1", "k2", "n_shingles", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
@@ -244,9 +292,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: that of the least (doc_id, text hash); documents without words all stay."""
-    found = components(docs).dropDuplicates(["k1", "k2"])
-    first = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct("k1", "k2")).alias("m")).select("m.k1", "m.k2")
-    wordless = found.where("n_shingles = 0").select("k1", "k2")
-    stay = first.union(wordless).distinct()
+    found = components(docs).where("n_shingles > 0").select("k1", "k2", "root")
+    first = found.groupBy("root").agg(F.min(F.struct("k1", "k2")).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", "m")
+    touched = materialize(found.join(first, "root").select("k1", "k2", (F.col("m") == F.struct("k1", "k2")).alias("stays")).distinct(), "neardup-touched")
     inner, back = sealed(docs)
-    return inner.select("*", *row_key()).join(stay, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select(*back)
+    some, rest = split_by_keys(inner.select("*", *row_key()), touched.select("k2"))
+    marked = some.join(touched, ["k1", "k2"], "left")
+    one_each = marked.where("stays").dropDuplicates(["k1", "k2"])
+    return marked.where("stays IS NULL").union(one_each).select(*back).union(rest.select(*back))

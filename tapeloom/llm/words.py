@@ -6,12 +6,11 @@ prefix sums modulo 2^64, so that cost is per byte and not per Python object.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 
-#: Bytes hashed in one go, which bounds the arrays a task holds; longer texts are cut at white space.
+#: Bytes hashed in one go, which bounds the arrays a task holds.
 CHUNK = 1 << 20
 SPACES = b" \t\n\r\x0b\x0c"
 ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -48,8 +47,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _hash_chunk(data: bytes, classes: np.ndarray = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Start offsets and hashes of the tokens of ``data``: its runs of one class other than 0."""
+def _tokens(data: bytes, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends, classes and polynomials (not yet mixed) of the tokens of ``data``: its runs of one class other than 0."""
     raw = np.frombuffer(data, np.uint8)
     kind = np.concatenate(([0], classes[raw], [0])).astype(np.uint8)
     edge = np.flatnonzero(kind[1:] != kind[:-1])
@@ -57,32 +56,38 @@ def _hash_chunk(data: bytes, classes: np.ndarray = WORDS) -> tuple[np.ndarray, n
     starts, ends = edge[opens], edge[1:][opens[:-1]]
     up, down = _powers_to(len(raw) + 1)
     sums = np.concatenate(([np.uint64(0)], np.cumsum(_VALUE[raw] * up[: len(raw)])))
-    return starts, mix((sums[ends] - sums[starts]) * down[starts])
+    return starts, ends, kind[1:][starts], (sums[ends] - sums[starts]) * down[starts]
 
 
-def _pieces(text: bytes) -> Iterator[bytes]:
-    """``text`` in pieces of about CHUNK bytes, cut at white space; a longer word is a piece by itself."""
-    at = 0
-    while len(text) - at > CHUNK:
-        window = text[at : at + CHUNK]
-        cut = max(window.rfind(s) for s in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
-        if cut < 0:
-            ends = [e for s in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c") if (e := text.find(s, at + CHUNK)) >= 0]
-            cut = min(ends, default=len(text)) - at
-        yield text[at : at + cut]
-        at += cut
-    yield text[at:]
+def _hash_chunk(data: bytes, classes: np.ndarray = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Start offsets and hashes of the tokens of ``data``."""
+    starts, _, _, sums = _tokens(data, classes)
+    return starts, mix(sums)
 
 
 def hash_words(text: bytes, classes: np.ndarray = WORDS) -> np.ndarray:
-    """The hashes of the tokens of one text of any length."""
-    out = []
-    for piece in _pieces(text):
-        if len(piece) > CHUNK and len(word := piece.split()) == 1:
-            out.append(np.frombuffer(hashlib.blake2b(word[0], digest_size=8).digest(), np.uint64))
+    """The hashes of the tokens of one text of any length, in pieces of CHUNK bytes; a token that a piece's end cuts goes on in the next."""
+    out, held, length, of = [], 0, 0, 0
+    for at in range(0, len(text), CHUNK):
+        piece = text[at : at + CHUNK]
+        starts, ends, kinds, sums = _tokens(piece, classes)
+        if length and len(starts) and not starts[0] and kinds[0] == of:
+            sums[0] = (held + int(sums[0]) * pow(int(_BASE), length, 1 << 64)) % (1 << 64)
+            length += int(ends[0])
+        else:
+            if length:
+                out.append(np.array([held], np.uint64))
+            length = int(ends[-1] - starts[-1]) if len(starts) else 0
+        if len(starts) > 1:
+            length = int(ends[-1] - starts[-1])
+        if len(starts) and ends[-1] == len(piece):
+            held, of, sums = int(sums[-1]), kinds[-1], sums[:-1]
         else:
-            out.append(_hash_chunk(piece, classes)[1])
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+            length = 0
+        out.append(sums)
+    if length:
+        out.append(np.array([held], np.uint64))
+    return mix(np.concatenate(out)) if out else np.empty(0, np.uint64)
 
 
 def hash_batches(texts: list[bytes | None], classes: np.ndarray = WORDS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
