@@ -71,13 +71,13 @@ def maybe_broadcast(df: DataFrame, size: Column, limit: int = BROADCAST_BYTES) -
 def split_by_keys(rows: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``rows`` in two by their column k2: those that may be among the rows of ``found`` (all that are, and few others), and the rest.
 
-    A bitmap of hashed keys is broadcast, of 64 bits a key and at most 32 MB, so that a join with ``found`` shuffles hardly more than the
+    A bitmap of hashed keys is broadcast, of 16 to 32 bits a key and at most 32 MB, so that a join with ``found`` shuffles hardly more than the
     rows it needs. Beyond ``FILTER_KEYS`` keys, where the bitmap would let most rows through, all rows are in the first part.
     """
     n = found.count()
     if n > FILTER_KEYS:
         return rows, rows.where("false")
-    bits = 1 << max(16, min(28, (64 * n).bit_length()))
+    bits = 1 << max(16, min(28, (16 * n).bit_length()))
     place = F.pmod(F.xxhash64("k2"), F.lit(bits)) + 1
     marked = found.select(place.alias("_place")).groupBy(F.bitmap_bucket_number("_place").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("_bits"))
     at = F.bitmap_bit_position(place)
@@ -91,7 +91,7 @@ def split_by_keys(rows: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFra
 def numbered(df: DataFrame, keys: list[str], order: list[str], out: str, salts: int = 256) -> DataFrame:
     """Gapless numbers from 0 within ``keys``, without bringing one key's rows together.
 
-    Rows of a key are dealt to ``salts`` sub-groups by a hash of ``order``. A window numbers each sub-group, and
+    Rows of a key are dealt to ``salts`` sub-groups by a hash of ``order``, which must tell rows apart. A window numbers each sub-group, and
     the sub-group sizes (at most ``salts`` rows a key) give the offsets.
     """
     dealt = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))

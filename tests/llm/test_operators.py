@@ -47,9 +47,14 @@ def test_word_hashes_agree_however_texts_are_cut(monkeypatch):
     whole = [words.hash_words(t) for t in texts]
     monkeypatch.setattr(words, "CHUNK", 1000)
     for t, w in zip(texts, whole, strict=True):
-        if len(t) < 1000 or b" " in t:
-            assert np.array_equal(words.hash_words(t), w)
-    got = [h[o[i] : o[i + 1]] for a, b, h, o in words.hash_batches(texts[:5]) for i in range(b - a)]
+        assert np.array_equal(words.hash_words(t), w)
+    mixed = ("ab12!!" * 700 + "é" * 900 + "x").encode()
+    want = words._hash_chunk(mixed, words.LETTERS_DIGITS_SIGNS)[1]
+    for size in (7, 1000, 5000, 10**6):
+        monkeypatch.setattr(words, "CHUNK", size)
+        assert np.array_equal(words.hash_words(mixed, words.LETTERS_DIGITS_SIGNS), want)
+    monkeypatch.setattr(words, "CHUNK", 1000)
+    got = [h[o[i] : o[i + 1]] for a, b, h, o in words.hash_batches(texts) for i in range(b - a)]
     assert all(np.array_equal(x, y) for x, y in zip(got, whole, strict=False))
     assert whole[0][1] == whole[4][0]
 
@@ -392,6 +397,40 @@ def test_shards_hold_equal_texts_together_and_are_near_equal(spark, docs):
     assert sharding.shard_documents(docs.where("false"), 4).count() == 0
 
 
+def test_repeated_rows_without_ids_are_cut_evenly(spark):
+    rows = [(None, "copies of one text, xxx", "en", "s", 1)] * 400 + [(i, f"text {i:03d}", "en", "s", 1) for i in range(200)] + [(5, None, "en", "s", 1)]
+    wide = spark.createDataFrame(rows, DOC).withColumns({"row": F.lit(1), "shard": F.lit("x"), "cut": F.lit(2)})
+    got = sharding.shard_documents(wide, 8).collect()
+    total = Counter()
+    for r in got:
+        total[r.shard] += r.size
+    assert len(got) == 601 and len(total) == 8 and max(total.values()) - min(total.values()) <= 0.05 * sum(total.values()) / 8
+    assert sum(r.cut for r in got) == 400 and all(r.doc_id is None for r in got if r.cut)
+    for s in total:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
+def test_a_giant_document_does_not_raise_the_others_capacity(spark):
+    rows = [(0, "x" * 50_000, "en", "s", 1)] + [(i, prose(i, 40), "en", "s", 1) for i in range(1, 200)]
+    total = Counter()
+    for r in sharding.shard_documents(spark.createDataFrame(rows, DOC), 4).collect():
+        total[r.shard] += r.size
+    rest = sorted(total.values())[:-1]
+    assert max(total.values()) == 50_001 and len(rest) == 3 and max(rest) - min(rest) <= 0.02 * sum(rest) / 3
+
+
+def test_small_groups_are_tied_into_bundles(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "FINE", 4)
+    monkeypatch.setattr(sharding, "BUNDLES", 16)
+    rows = [(i, prose(i % 300, 10 + i % 50), "en", "s", 1) for i in range(500)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, DOC), 4).collect()
+    shards, total = {}, Counter()
+    for r in got:
+        shards.setdefault(rows[r.doc_id][1], set()).add(r.shard)
+        total[r.shard] += r.size
+    assert len(got) == 500 and all(len(x) == 1 for x in shards.values()) and max(total.values()) <= 1.1 * sum(total.values()) / 4
+
+
 def test_rules_on_odd_rows(docs):
     wide = docs.withColumns({"t": F.lit(1), "w": F.lit(2), "kept": F.lit("old"), "classes": F.lit(3)})
     got = rules.judge(wide)

@@ -1,6 +1,7 @@
 """The pipeline against a plain version of its stages, and the guard of the entry module."""
 
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -143,13 +144,40 @@ def test_line_query_matches_a_plain_version(spark):
     assert got == left
 
 
-def test_shard_query_is_whole_and_even(spark):
+def test_shard_query_matches_a_plain_version(spark):
+    rows = [(r.doc_id, r.text or "") for r in table(spark, SF, "documents").select("doc_id", "text").collect()]
     got = QUERIES["op7_sharding"](spark, SF).collect()
-    assert len(got) == table(spark, SF, "documents").count() and {r.shard for r in got} <= set(range(16))
-    sizes = Counter()
+    assert sorted((r.doc_id, r.size, r.text_crc32) for r in got) == sorted((d, len(t.encode()) + 1, zlib.crc32(t.encode())) for d, t in rows)
+    groups = Counter()
+    for _, t in rows:
+        groups[t] += len(t.encode()) + 1
+    mean = sum(groups.values()) / 16
+    left, shards = sorted((n for n in groups.values()), reverse=True), []
+    assert all(n <= mean or sum(t == u for _, u in rows) == 1 for t, n in groups.items())  # no group of this table is cut
+    while len(shards) < 15 and left[0] > sum(left) / (16 - len(shards)):
+        shards.append(left.pop(0))
+    capacity = least = -(-sum(left) // (16 - len(shards)))
+    slack = 0
+    while True:
+        bins = []
+        for n in left:
+            fits = [(r, i) for i, r in enumerate(bins) if r >= n]
+            if fits:
+                bins[min(fits)[1]] -= n
+            else:
+                bins.append(capacity - n)
+        if len(bins) <= 16 - len(shards):
+            break
+        slack = slack * 2 or max(1, least // 10_000)
+        capacity = least + slack
+    sizes, where = Counter(), defaultdict(set)
+    texts = dict(rows)
     for r in got:
         sizes[r.shard] += r.size
-    assert max(sizes.values()) - min(sizes.values()) <= 0.02 * sum(sizes.values()) / 16 or max(sizes.values()) == max(r.size for r in got)
+        where[texts[r.doc_id]].add(r.shard)
+    assert sorted(sizes.values()) == sorted(shards + [capacity - r for r in bins]) and all(len(x) == 1 for x in where.values())
+    for s in sizes:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
 
 
 def test_language_accuracy_on_held_out_documents(spark):
