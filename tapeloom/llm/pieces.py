@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,15 +23,62 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-#: Characters of a batch; words and pairs of pieces that a task's process remembers, at about 200 bytes each.
-BATCH_CHARS, CACHE_WORDS, CACHE_PAIRS = 1 << 20, 300_000, 300_000
+#: Characters of a batch; bytes of the words and of the pairs of pieces that a task's process remembers; the longest word remembered.
+BATCH_CHARS, CACHE_BYTES, CACHE_WORD = 1 << 20, 64 << 20, 64
+#: An unknown character scores so much less than the least piece.
+UNKNOWN_PENALTY = 10.0
+UNIGRAM, BPE = 1, 2
+NORMAL, USER_DEFINED = 1, 4
+
+
+def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """The fields of a serialized protocol buffer message: numbers, and values as integers (varint, fixed) or bytes."""
+
+    def varint(at: int) -> tuple[int, int]:
+        value = shift = 0
+        while True:
+            value |= (message[at] & 127) << shift
+            at, shift = at + 1, shift + 7
+            if message[at - 1] < 128:
+                return value, at
+
+    at = 0
+    while at < len(message):
+        tag, at = varint(at)
+        if tag & 7 == 0:
+            value, at = varint(at)
+        else:
+            size, at = varint(at) if tag & 7 == 2 else (8 if tag & 7 == 1 else 4, at)
+            value = message[at : at + size]
+            at += size
+        yield tag >> 3, value
+
+
+class Remembered:
+    """A mapping of bounded size: when the newer half is full, it becomes the older half, which is forgotten."""
+
+    def __init__(self, limit: int):
+        self.half, self.used, self.new, self.old = limit // 2, 0, {}, {}
+
+    def get(self, key):
+        found = self.new.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if self.used > self.half:
+            self.old, self.new, self.used = self.new, {}, 0
+        self.new[key] = value
+        self.used += 250 + 4 * sum(map(len, key)) + (len(value) if isinstance(value, bytes) else 0)
 
 
 class Vocabulary:
     """Pieces with their scores, the ids of the 256 byte pieces, and the id of unknown characters."""
 
-    def __init__(self, pieces: dict[str, int], scores: dict[str, float], byte_ids: list[int] | None, unknown: int, names: list[str], bpe: bool):
-        self.pieces, self.scores, self.byte_ids, self.unknown, self.bpe = pieces, scores, byte_ids, unknown, bpe
+    def __init__(self, pieces: dict[str, int], scores: dict[str, float], byte_ids: list[int] | None, unknown: int, names: list[str], bpe: bool, prefix: bool = True):
+        self.pieces, self.scores, self.byte_ids, self.unknown, self.bpe, self.prefix = pieces, scores, byte_ids, unknown, bpe, prefix
+        self.floor = min(scores.values(), default=0.0) - UNKNOWN_PENALTY
         self.longest = max(map(len, pieces), default=1)
         self.texts = [n.replace(MARK, " ").encode() for n in names]
         for b, i in enumerate(byte_ids or ()):
@@ -38,8 +86,9 @@ class Vocabulary:
         #: Words can be cut before a mark and around line ends if no piece crosses there.
         self.cuts = not any("\n" in p or MARK in p.lstrip(MARK) for p in pieces)
         self.word = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+") if self.cuts else re.compile("(?s).+")
-        self._pairs: dict[tuple[str, str], bool] = {}
-        self._words: dict[str, bytes] = {}
+        self._pairs, self._words = Remembered(CACHE_BYTES), Remembered(CACHE_BYTES)
+        #: Neighbouring characters inside pieces; where two others meet, no merge can cross.
+        self._joints = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
         #: Each suffix of a piece, with whether it can be a piece of an encoding: it is one, and encodes to itself.
         self._suffixes: dict[str, bool] = {}
         for p in pieces:
@@ -51,20 +100,32 @@ class Vocabulary:
     @classmethod
     def load(cls, path: str) -> Vocabulary:
         """Read a model file; on the driver, since executors may not see the path."""
-        import sentencepiece
+        with open(path, "rb") as f:
+            return cls.parse(f.read())
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        names = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
-        plain = {n: i for i, n in enumerate(names) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
-        by = [i for i in range(len(names)) if sp.is_byte(i)]
-        # only a unigram model scores the pieces of one word by their sum; BPE scores are ranks, and so whole numbers
-        scores = {n: sp.get_score(i) for n, i in plain.items()}
-        bpe = all(float(s).is_integer() for s in scores.values())
-        return cls(plain, scores, by if len(by) == 256 else None, sp.unk_id(), names, bpe)
+    @classmethod
+    def parse(cls, model: bytes) -> Vocabulary:
+        """A serialized model: pieces, and what the trainer and the normaliser set. Settings that this class does not have are refused."""
+        listed, trainer, normaliser = [], {}, {}
+        for field, value in _fields(model):
+            if field == 1:
+                own = dict(_fields(value))
+                listed.append((own[1].decode(), struct.unpack("<f", own.get(2, bytes(4)))[0], own.get(3, NORMAL)))
+            elif field in (2, 3):
+                (trainer if field == 2 else normaliser).update(_fields(value))
+        kind = trainer.get(3, UNIGRAM)
+        unlike = {"model type": kind not in (UNIGRAM, BPE), "spaces as suffixes": trainer.get(24, 0), "user defined pieces": any(t == USER_DEFINED for *_, t in listed)}
+        unlike |= {"character map": normaliser.get(2, b""), "removal of spaces": normaliser.get(4, 1), "unescaped spaces": not normaliser.get(5, 1)}
+        if refused := [name for name, differs in unlike.items() if differs]:
+            raise ValueError(f"the model asks for {', '.join(refused)}")
+        plain = {n: i for i, (n, _, t) in enumerate(listed) if t == NORMAL}
+        by = [i for i, (*_, t) in enumerate(listed) if t == 6]
+        unknown = next((i for i, (*_, t) in enumerate(listed) if t == 2), 0)
+        return cls(plain, {n: listed[i][1] for n, i in plain.items()}, by if len(by) == 256 else None, unknown, [n for n, *_ in listed], kind == BPE, bool(normaliser.get(3, 1)))
 
     def __reduce__(self):
         names = [t.decode("utf-8", "replace").replace(" ", MARK) for t in self.texts]
-        return Vocabulary, (self.pieces, self.scores, self.byte_ids, self.unknown, names, self.bpe)
+        return Vocabulary, (self.pieces, self.scores, self.byte_ids, self.unknown, names, self.bpe, self.prefix)
 
     def merge(self, word: str) -> list[str]:
         """BPE by its definition: join the neighbours whose union scores best, the leftmost first, until none is a piece."""
@@ -79,32 +140,34 @@ class Vocabulary:
         return parts
 
     def _extends(self, last: str, piece: str) -> bool:
-        known = self._pairs[last, piece] = self.merge(last + piece) == [last, piece]
+        if last[-1] + piece[0] not in self._joints:
+            return True
+        known = self._pairs.get((last, piece))
+        if known is None:
+            known = self.merge(last + piece) == [last, piece]
+            self._pairs.put((last, piece), known)
         return known
 
     def _step_bpe(self, word: str, i: int, last: list[str]) -> str:
         """The last piece of the encoding of word[:i]."""
-        suffixes, pairs = self._suffixes, self._pairs
+        suffixes = self._suffixes
         for at in range(i - 1, -1, -1):
             piece = word[at:i]
             usable = suffixes.get(piece)
             if usable is None and at < i - 1:
                 break
             if usable or at == i - 1:
-                if not at:
-                    return piece
-                fits = pairs.get((last[at], piece))
-                if fits or (fits is None and self._extends(last[at], piece)):
+                if not at or self._extends(last[at], piece):
                     return piece
         raise AssertionError(word)
 
     def _step_viterbi(self, word: str, i: int, best: list[float]) -> tuple[float, str]:
         found = None
-        for size in range(1, min(self.longest, i) + 1):
+        for size in range(min(self.longest, i), 0, -1):  # the longest piece wins a tie
             piece = word[i - size : i]
             score = self.scores.get(piece)
             if score is None and size == 1:
-                score = min(self.scores.values(), default=0.0) - 10
+                score = self.floor
             if score is not None and (found is None or best[i - size] + score > found[0]):
                 found = (best[i - size] + score, piece)
         return found
@@ -144,22 +207,27 @@ class Vocabulary:
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes | None]:
-        """The ids of each text as packed 32-bit integers."""
-        cut = [None if t is None else self.word.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self._words) > CACHE_WORDS:
-            self._words.clear()
-        if len(self._pairs) > CACHE_PAIRS:
-            self._pairs.clear()
-        new = sorted({w for c in cut if c for w in c}.difference(self._words))
-        for word, parts in self.segment(new):
-            self._words[word] = np.array(self.ids(parts), np.int32).tobytes()
-        return [None if c is None else b"".join(map(self._words.__getitem__, c)) for c in cut]
+        """The ids of each text as packed 32-bit integers; without byte pieces a run of unknown characters is one id, also across words."""
+        head = MARK if self.prefix else ""
+        cut = [None if t is None else self.word.findall(head + t.replace(" ", MARK)) if t else [] for t in texts]
+        known = {w: self._words.get(w) for w in {w for c in cut if c for w in c}}
+        for word, parts in self.segment(sorted(w for w, ids in known.items() if ids is None)):
+            known[word] = np.array(self.ids(parts), np.int32).tobytes()
+            if len(word) <= CACHE_WORD:
+                self._words.put(word, known[word])
+        packed = [None if c is None else b"".join(map(known.__getitem__, c)) for c in cut]
+        return packed if self.byte_ids else [None if p is None else self._one_unknown_a_run(p) for p in packed]
+
+    def _one_unknown_a_run(self, packed: bytes) -> bytes:
+        ids = np.frombuffer(packed, np.int32)
+        unknown = ids == self.unknown
+        return ids[~(unknown & np.concatenate(([False], unknown[:-1])))].tobytes() if len(ids) else packed
 
     def decode(self, ids: bytes | None) -> str | None:
         if ids is None:
             return None
         text = b"".join(map(self.texts.__getitem__, np.frombuffer(ids, np.int32).tolist())).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+        return text[1:] if self.prefix and text.startswith(" ") else text
 
 
 def _runs(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -209,14 +277,17 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary, keep: list[str], d
 
 
 def decode_documents(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``encoded`` (with an ``ids array<int>`` column) with ``text``; null ids give a null text."""
+    """``encoded`` (with an ``ids array<int>`` column) with ``text``, which replaces a column of that name; null ids give a null text."""
     shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
+    rest = encoded.drop("text")
+    names = [f"c{i}" for i in range(len(rest.columns))]
+    at = rest.columns.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if i is None else shared.value.decode(np.array(i, np.int32).tobytes()) for i in batch.column("ids").to_pylist()]
-            yield batch.append_column("decoded", pa.array(texts, pa.string()))
+            texts = [None if i is None else shared.value.decode(np.array(i, np.int32).tobytes()) for i in batch.column(at).to_pylist()]
+            yield pa.record_batch([*batch.columns, pa.array(texts, pa.string())], names=[*names, "text"])
 
-    rest = encoded.drop("text")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields)
-    return rest.mapInArrow(run, f"{fields}, decoded string").withColumnRenamed("decoded", "text")
+    fields = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, rest.schema.fields, strict=True))
+    out = rest.toDF(*names).mapInArrow(run, f"{fields}, text string")
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, rest.columns, strict=True)], "text")
