@@ -5,8 +5,8 @@ kernel of two texts is the number of common bits over the geometric mean of thei
 into features, on which one-versus-rest kernel ridge regression is solved in closed form. A batch of texts is scored by two matrix
 products: presence by landmarks, and kernel values by coefficients.
 
-The model is fitted on a bounded sample: ``TRAIN_PER_LANGUAGE`` texts a language and ``MAX_TEXTS`` in all, of the
-``MAX_LANGUAGES`` most frequent languages, chosen by a hash of doc_id. Every text is scored, whole.
+The model is fitted on a bounded sample: ``TRAIN_PER_LANGUAGE`` texts a language, or fewer so that there are ``MAX_TEXTS`` in all, but one of each
+language at least, chosen by a hash of doc_id and text. Every language is learned. Every text is scored, whole.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from .common import row_key
 
 WIDTH_BITS, ORDERS = 14, 3
 WIDTH = 1 << WIDTH_BITS
-LANDMARKS, TRAIN_PER_LANGUAGE, MAX_LANGUAGES, MAX_TEXTS = 128, 500, 200, 20_000
+LANDMARKS, TRAIN_PER_LANGUAGE, MAX_TEXTS = 128, 500, 20_000
 RIDGE = 1e-2
 #: Hashes that choose training rows fall below this.
 RANGE = 1_000_000_000
@@ -79,7 +79,10 @@ class Model:
 
 
 def fit(bits: np.ndarray, names: list[str], rank: list[int]) -> Model | None:
-    """Closed-form one-versus-rest ridge regression on Nystroem features; ``rank`` orders the texts of a language."""
+    """Closed-form one-versus-rest ridge regression on Nystroem features; ``rank`` orders the texts of a language.
+
+    Landmarks are the first texts of each language, as many as make ``LANDMARKS`` in all, and one at least.
+    """
     languages = sorted(set(names))
     if not languages:
         return None
@@ -105,17 +108,17 @@ def has_letter(text: Column) -> Column:
 def train(docs: DataFrame) -> Model | None:
     """Fit on (doc_id, text, lang); rows without language or letters teach nothing. None if nothing is left."""
     usable = docs.where(F.col("lang").isNotNull() & has_letter(F.col("text")))
-    frequent = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    counts = [(r[0], r[1]) for r in frequent.collect()]  # at most MAX_LANGUAGES
+    counts = [(r[0], r[1]) for r in usable.groupBy("lang").agg(F.approx_count_distinct(row_key()[1])).collect()]  # a row a language
     if not counts:
         return None
-    each = min(TRAIN_PER_LANGUAGE, MAX_TEXTS // len(counts))
-    # the rows of least hash are taken: about four times as many pass a bound on the hash, and only these are ranked, without their texts
-    bounds = docs.sparkSession.createDataFrame([(name, 4 * each * RANGE // n if n > 4 * each else RANGE) for name, n in counts], "lang string, below long")
+    each = min(TRAIN_PER_LANGUAGE, max(1, MAX_TEXTS // len(counts)))
+    # the rows of least hash are taken: about four times as many (of repeated rows one) pass a bound on the hash, and only these are ranked, without their texts
+    enough = max(64, 4 * each)
+    bounds = docs.sparkSession.createDataFrame([(name, enough * RANGE // n if n > enough else RANGE) for name, n in counts], "lang string, below long")
     keyed = usable.select("doc_id", "text", "lang", *row_key()).join(F.broadcast(bounds), "lang")
     keyed = keyed.withColumn("u", F.pmod("k2", F.lit(RANGE))).where("u < below")
     order = Window.partitionBy("lang").orderBy("u", "k1", "k2")
-    ranked = keyed.select("lang", "u", "k1", "k2").withColumn("r", F.row_number().over(order)).where(F.col("r") <= each)
+    ranked = keyed.select("lang", "u", "k1", "k2").distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= each)
     chosen = keyed.join(F.broadcast(ranked.groupBy("k1", "k2").agg(F.min("r").alias("r"))), ["k1", "k2"])
     got = chosen.dropDuplicates(["k1", "k2"]).select("lang", "r", "text").mapInArrow(_presence_rows, "lang string, r int, bits binary").toArrow()
     bits = np.unpackbits(np.frombuffer(b"".join(got.column("bits").to_pylist()), np.uint8).reshape(got.num_rows, -1), axis=1).astype(bool)
