@@ -106,13 +106,18 @@ def fit(grades: np.ndarray, ids: list[np.ndarray]) -> Model | None:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
-    """Fit on about ``sample_rows`` labelled documents; a document labelled more than once takes its lowest grade."""
+    """Fit on about ``sample_rows`` labelled documents; a document labelled more than once takes its lowest grade.
+
+    A label without doc_id or quality teaches nothing, one without toxic counts as clean. Of rows that share a labelled doc_id one is taken, so the
+    sample is bounded in rows.
+    """
     grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
     rated = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min(grade).alias("grade"))
     n = rated.count()
     if n > sample_rows:
         rated = rated.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * sample_rows / n))
-    sample = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(rated), "doc_id").select("grade", "text")
+    named = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(rated), "doc_id")
+    sample = named.groupBy("doc_id", "grade").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("grade", "text")
     got = sample.mapInArrow(_extract, "grade int, ids array<int>").toArrow()
     if not got.num_rows:
         return None
