@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tapeloom.llm import lines, pieces, quality
@@ -198,6 +199,18 @@ def test_quality_on_labelled_documents(spark):
     assert np.isfinite(clean.agg({"expected_grade": "avg"}).first()[0])
 
 
+def test_quality_on_held_out_documents(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = table(spark, sf, "labels").withColumn("out", F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1)
+    graded_ = quality.grade_documents(table(spark, sf, "documents"), labels.where("NOT out"))
+    got = graded_.join(labels.where("out").select("doc_id", "quality", "toxic"), "doc_id").select("quality", "toxic", "kept", F.lower("text").alias("t")).cache()
+    share = lambda df: df.agg(F.avg(F.col("kept").cast("int"))).first()[0]
+    assert share(got.where("quality = 1 AND toxic = 0")) > 0.98 and share(got.where("quality = 0")) < 0.1
+    # about a tenth of the documents labelled toxic have none of the words that the others share
+    assert share(got.where("quality = 1 AND toxic = 1")) < 0.25
+    assert share(got.where("toxic = 1 AND t RLIKE '(idiot|moron|scum|loser|stupid).*(idiot|moron|scum|loser|stupid)'")) < 0.1
+
+
 def test_vocabulary_survives_pickling():
     import pickle
 
