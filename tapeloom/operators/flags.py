@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import CELL_FLAGS, floor_div, price_level
+from .indicators import row_blocks
 
 BAR = ["symbol", "bar_start"]
 
@@ -70,18 +71,22 @@ def flag_imbalance_diagonal(cells: DataFrame, scale: int, ratio: int = 3) -> Dat
     return _sided(near, "IMBALANCE", (F.col("level") < F.col("_hi")) & (F.col("bid_qty") > F.col("_up") * ratio), (F.col("level") > F.col("_lo")) & (F.col("ask_qty") > F.col("_down") * ratio))
 
 
+def _with_average(bars: DataFrame) -> DataFrame:
+    """``symbol, bar_start, _ma``: the previous row's volume average, where there is one."""
+    before = F.lag("ma_volume").over(Window.partitionBy("symbol", "_block").orderBy("_rank"))
+    return row_blocks(bars.select(*BAR, "session_no", "ma_volume"), 1).withColumn("_ma", before).where("_own AND _ma > 0").select(*BAR, "_ma")
+
+
 def flag_big_cluster(cells: DataFrame, bars: DataFrame, mult: float = 0.33) -> DataFrame:
     """Side volume above floor(the previous row's volume average x mult), mult to four decimals."""
-    before = F.lag("ma_volume").over(Window.partitionBy("symbol").orderBy("session_no", "bar_start"))
-    limits = bars.withColumn("_ma", before).where("_ma > 0").select(*BAR, floor_div(F.col("_ma") * round(mult * 10_000), 10_000).alias("_limit"))
+    limits = _with_average(bars).select(*BAR, floor_div(F.col("_ma") * round(mult * 10_000), 10_000).alias("_limit"))
     joined = cells.join(limits, BAR)
     return _sided(joined, "BIG_CLUSTER", F.col("bid_qty") > F.col("_limit"), F.col("ask_qty") > F.col("_limit"))
 
 
 def flag_level_delta(cells: DataFrame, bars: DataFrame) -> DataFrame:
     """The sign of the session's delta so far at each level that the bar traded; zero counts as ask. Only once there is a volume average."""
-    before = F.lag("ma_volume").over(Window.partitionBy("symbol").orderBy("session_no", "bar_start"))
-    ready = bars.withColumn("_ma", before).where("_ma > 0").select(*BAR)
+    ready = _with_average(bars).select(*BAR)
     over = Window.partitionBy("symbol", "session_no", "level").orderBy("bar_start").rowsBetween(Window.unboundedPreceding, 0)
     so_far = cells.withColumn("_delta", F.sum(F.col("ask_qty") - F.col("bid_qty")).over(over)).join(ready, BAR, "left_semi")
     return so_far.select(*BAR, "level", F.when(F.col("_delta") < 0, CELL_FLAGS["BID_DELTA_DOMINATION_FP"]).otherwise(0).cast("long").alias("bid_flags"), F.when(F.col("_delta") < 0, 0).otherwise(CELL_FLAGS["ASK_DELTA_DOMINATION_FP"]).cast("long").alias("ask_flags"))

@@ -1,7 +1,7 @@
 """Sessions, filled bars, and indicators in bar order.
 
-These run on bars, which are few beside trades (2,880 a day at 30 s). Windows are partitioned by (symbol, session); only the
-moving averages, which cross sessions, see a symbol's bars together.
+These run on bars, which are few beside trades (2,880 a day at 30 s). Windows are partitioned by (symbol, session), and those that cross
+sessions by blocks of a symbol's bars.
 """
 
 from __future__ import annotations
@@ -131,17 +131,32 @@ def parkinson(bars: DataFrame, period: int = 12, gap_mode: str = "carry") -> Dat
     return smoothed(parkinson_term(bars), "park_term", "parkinson", period, gap_mode)
 
 
+def row_blocks(bars: DataFrame, n: int, size: int = 4096) -> DataFrame:
+    """``bars`` with ``_block, _rank, _own``: their order in a symbol, in blocks of ``size``, each led by copies (not ``_own``) of the ``n`` rows before.
+
+    Ranks are those within the session and the sizes of the sessions before, so that no window sees more of a symbol than a row a session.
+    """
+    sizes = bars.groupBy(*SESSION).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("symbol").orderBy("session_no").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*SESSION, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    rank = F.col("_off") + F.row_number().over(Window.partitionBy(*SESSION).orderBy("bar_start")) - 1
+    ranked = bars.join(offsets, SESSION).withColumn("_rank", rank).drop("_off")
+    own = F.call_function("div", F.col("_rank"), F.lit(size).cast("long"))
+    places = F.when(F.col("_rank") % size >= size - n, F.array(own, own + 1)).otherwise(F.array(own))
+    return ranked.withColumn("_block", F.explode(places)).withColumn("_own", F.col("_block") == own)
+
+
 def moving_averages(bars: DataFrame, n: int = 21, bar_count: int | None = None) -> DataFrame:
     """Floor means over the ``n`` rows before each bar, once there are n: volume and trade count, with filled bars as 0, and average trade
     size over the bars with trades. They cross sessions."""
-    over = Window.partitionBy("symbol").orderBy("session_no", "bar_start").rowsBetween(-n, -1)
+    over = Window.partitionBy("symbol", "_block").orderBy("_rank").rowsBetween(-n, -1)
     enough = F.count(F.lit(1)).over(over) >= n
     size = F.when(F.col("n_trades") > 0, floor_div("volume", "n_trades"))
     mean = lambda c: floor_div(F.sum(c).over(over), F.count(c).over(over))
-    return bars.withColumn("_size", size).withColumns({
+    return row_blocks(bars, n).withColumn("_size", size).withColumns({
         "ma_volume": F.when(enough, mean("volume")), "ma_trades": F.when(enough, mean("n_trades")),
         "ma_trade_size": F.when(enough, mean("_size")),
-    }).drop("_size")
+    }).where("_own").drop("_size", "_block", "_rank", "_own")
 
 
 def ma_volume(bars: DataFrame, n: int = 21) -> DataFrame:

@@ -87,6 +87,10 @@ def _part(when, value="pnl"):
     return F.coalesce(F.sum(F.when(when, F.col(value))), F.lit(0.0))
 
 
+def sqn_grade(sqn):
+    return F.when(sqn >= 3, "excellent").when(sqn >= 2, "good").when(sqn >= 1.6, "average").otherwise("poor")
+
+
 def win_loss(closed: DataFrame) -> DataFrame:
     """Counts and sums of winners and the rest, win rate, averages, expectancy, payoff, Kelly, SQN and its grade, and the sides' figures."""
     won, long = F.col("pnl") > 0, F.col("is_long")
@@ -105,9 +109,8 @@ def win_loss(closed: DataFrame) -> DataFrame:
         "payoff_ratio": F.when(F.col("avg_loss") != 0, F.abs(F.col("avg_win") / F.col("avg_loss"))).otherwise(0.0),
         "sqn": F.when((F.col("n_closed") >= 5) & (F.col("_std") > 0), F.sqrt("n_closed") * F.col("_mean") / F.col("_std")).otherwise(0.0),
     })
-    grade = F.when(F.col("sqn") >= 3, "excellent").when(F.col("sqn") >= 2, "good").when(F.col("sqn") >= 1.6, "average").otherwise("poor")
     kelly = F.when(F.col("payoff_ratio") > 0, (w - (1 - w) / F.col("payoff_ratio")) * 100).otherwise(0.0)
-    return base.withColumns({"kelly_pct": kelly, "sqn_grade": grade}).drop("_lw", "_sw", "_mean", "_std")
+    return base.withColumns({"kelly_pct": kelly, "sqn_grade": sqn_grade(F.col("sqn"))}).drop("_lw", "_sw", "_mean", "_std")
 
 
 def profit_factor(sum_win, sum_loss, fees):
@@ -175,7 +178,7 @@ def recovery_factor(net, dynamic, static):
 
 
 def run_stats(fills: DataFrame, equity: DataFrame, runs: DataFrame, price_mult: int = 100, qty_mult: int = 1000) -> DataFrame:
-    """One wide row of statistics for each run."""
+    """One wide row of statistics for each run; a run without closed trades has zeros, and the grade that an SQN of 0 has."""
     ledger = stored(position_ledger(fills, runs, price_mult, qty_mult), "ledger")
     opened, closed = opened_trades(ledger, price_mult), closed_trades(ledger, price_mult, qty_mult)
     out = net_profit(ledger, runs).join(runs.drop("start_balance"), "run_id")
@@ -190,7 +193,7 @@ def run_stats(fills: DataFrame, equity: DataFrame, runs: DataFrame, price_mult:
     days = F.greatest(F.lit(1), F.datediff(c("end_date").cast("date"), c("start_date").cast("date")) + 1)
     return out.withColumns({
         "profit_factor": profit_factor(c("sum_win"), c("sum_loss"), c("fees")), "calmar": calmar(c("net_profit"), c("start_balance"), c("static_dd_pct"), days),
-        "recovery_factor": recovery_factor(c("net_profit"), c("dynamic_dd_val"), c("static_dd_val")),
+        "recovery_factor": recovery_factor(c("net_profit"), c("dynamic_dd_val"), c("static_dd_val")), "sqn_grade": sqn_grade(c("sqn")),
     })
 
 

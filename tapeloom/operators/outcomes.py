@@ -22,47 +22,65 @@ class OrderPolicy(Protocol):
     def __call__(self, candidate, size: int) -> int | None: ...
 
 
-def entry_fill(orders: DataFrame, trades: DataFrame, tf: int, latency: int = 100, slip_bps: int = 5) -> DataFrame:
-    """Market orders (``order_id, symbol, ts_ms, is_buy``) with ``fill_ts, fill_id, fill_price`` of the first trade from ts_ms + latency on.
+def _next(asks: DataFrame, points: DataFrame, keys: list[str], same: bool) -> DataFrame:
+    """``asks`` (keys, at, ask) with ``t`` of the first of ``points`` (keys, at, t) at or after ``at`` (after it, unless ``same``), null if there is none.
 
-    The trade is in the same bar, or it is the first of the next bar with trades.
+    An as-of join forward: both in one column, ordered from the end, where the last point passed is the next one.
     """
-    live = orders.withColumn("active_ts", F.col("ts_ms") + latency).withColumn("bar_start", bar_start("active_ts", tf))
-    t = trades.select("symbol", bar_start("ts_ms", tf).alias("bar_start"), F.struct(F.col("ts_ms").alias("fill_ts"), F.col("trade_id").alias("fill_id"), F.col("n_price").alias("px")).alias("t"))
-    same = live.join(t, AT).where("t.fill_ts >= active_ts").groupBy("order_id").agg(F.min("t").alias("same"))
-    # as-of forward over the bars: orders and bars in one ordered column, the next bar looked up from behind
-    firsts = t.groupBy(*AT).agg(F.min("t").alias("first"))
-    mixed = firsts.select("symbol", F.col("bar_start").alias("at"), "first", F.lit(None).cast(orders.schema["order_id"].dataType).alias("order_id")).unionByName(
-        live.select("symbol", F.col("bar_start").alias("at"), "order_id").withColumn("first", F.lit(None).cast(firsts.schema["first"].dataType))
+    kind = F.lit(0 if same else 2)
+    mixed = points.select(*keys, "at", F.lit(1).alias("kind"), "t", F.lit(None).cast(asks.schema["ask"].dataType).alias("ask")).unionByName(
+        asks.select(*keys, "at", kind.alias("kind"), F.lit(None).cast(points.schema["t"].dataType).alias("t"), "ask")
     )
-    ahead = Window.partitionBy("symbol").orderBy("at").rangeBetween(1, Window.unboundedFollowing)
-    later = mixed.withColumn("next", F.first("first", ignorenulls=True).over(ahead)).where("order_id IS NOT NULL").select("order_id", "next")
-    out = orders.join(same, "order_id", "left").join(later, "order_id", "left").withColumn("f", F.coalesce("same", "next"))
+    passed = Window.partitionBy(*keys).orderBy(F.desc("at"), F.desc("kind"), F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
+    return mixed.withColumn("t", F.last("t", ignorenulls=True).over(passed)).where("kind <> 1").select(*keys, "at", "ask", "t")
+
+
+def entry_fill(orders: DataFrame, trades: DataFrame, tf: int, latency: int = 100, slip_bps: int = 5, block: int = 4096) -> DataFrame:
+    """Market orders (``order_id, symbol, ts_ms, is_buy``) with ``fill_ts, fill_id, fill_price`` of the first trade from ts_ms + latency on.
+
+    The trade is in the same bar, or it is the first of the next bar with trades: in the same ``block`` of bars, or the first of the next block.
+    Each is an as-of join within its bar or block; only blocks are ordered across a whole symbol.
+    """
+    live = orders.select("symbol", bar_start(F.col("ts_ms") + latency, tf).alias("bar_start"), (F.col("ts_ms") + latency).alias("at"), F.col("order_id").alias("ask"))
+    t = trades.select("symbol", bar_start("ts_ms", tf).alias("bar_start"), F.col("ts_ms").alias("at"), F.struct(F.col("ts_ms").alias("fill_ts"), F.col("trade_id").alias("fill_id"), F.col("n_price").alias("px")).alias("t"))
+    wide = floor_div("at", tf * block).alias("block")
+    firsts = t.groupBy(*AT).agg(F.min("t").alias("t")).select("symbol", F.col("bar_start").alias("at"), "t").select("*", wide)
+    ends = firsts.groupBy("symbol", "block").agg(F.min("t").alias("t")).select("symbol", F.col("block").alias("at"), "t")
+    in_bar = _next(live, t, AT, True).select(F.col("ask").alias("order_id"), F.col("t").alias("same"))
+    in_block = _next(live.select("symbol", F.col("bar_start").alias("at"), "ask").select("*", wide), firsts, ["symbol", "block"], False)
+    asked = in_block.select("symbol", F.col("block").alias("at"), F.col("block").alias("ask")).distinct()
+    beyond = _next(asked, ends, ["symbol"], False).select("symbol", F.col("ask").alias("block"), F.col("t").alias("far"))
+    later = in_block.join(beyond, ["symbol", "block"]).select(F.col("ask").alias("order_id"), F.coalesce("t", "far").alias("next"))
+    out = orders.join(in_bar, "order_id", "left").join(later, "order_id", "left").withColumn("f", F.coalesce("same", "next"))
     return out.select(*orders.columns, "f.fill_ts", "f.fill_id", slipped_price(F.col("f.px"), "is_buy", slip_bps).alias("fill_price"))
 
 
-def first_touch(orders: DataFrame, trades: DataFrame, bars: DataFrame, tf: int, slip_bps: int = 5, fan: int = 64, levels: int = 2) -> DataFrame:
+def first_touch(orders: DataFrame, trades: DataFrame, bars: DataFrame, tf: int, slip_bps: int = 5, fan: int = 60, levels: int = 2) -> DataFrame:
     """Limit and stop orders with the first trade that meets them.
 
     ``orders``: order_id, symbol, active_ts, n_price, is_buy, is_stop. A limit buys at or below and sells at or above its price and fills there; a stop
-    is triggered the other way round and fills at the slipped trade price. The trade is sought in the bar of active_ts first, and then in
-    the earliest later bar whose high or low reaches the price. That bar is found in a tree over the bars: ``fan`` bars make a block, ``fan``
-    blocks the next larger one. An order climbs through the later siblings of its own bar and blocks, and descends from the first that
-    reaches, so it meets about fan rows a level; only the largest blocks are compared across a whole symbol.
+    is triggered the other way round and fills at the slipped trade price. Bars are cut into ``fan`` slots, if that is a whole number of milliseconds. The
+    trade is sought in the slot of active_ts first, and then in the earliest later slot whose high or low reaches the price. That slot is found
+    in a tree: ``fan`` slots make a bar, ``fan`` bars a block, ``fan`` blocks the next larger one. An order climbs through the later siblings of its own
+    slot, bar and blocks, and descends from the first that reaches, so it meets about fan rows a level and the trades of two slots; only
+    the largest blocks are compared across a whole symbol.
     """
+    base, fine = (tf // fan, 1) if tf % fan == 0 else (tf, 0)
     above = F.col("is_buy") == F.col("is_stop")  # met by prices at or above
-    live = orders.select("order_id", "symbol", "active_ts", "n_price", above.alias("above"), bar_start("active_ts", tf).alias("bar_start"))
-    t = trades.select("symbol", bar_start("ts_ms", tf).alias("bar_start"), F.col("ts_ms").alias("t_ms"), "trade_id", F.col("n_price").alias("px"))
+    live = orders.select("order_id", "symbol", "active_ts", "n_price", above.alias("above"), floor_div("active_ts", base).alias("slot"))
+    t = trades.select("symbol", floor_div("ts_ms", base).alias("slot"), F.col("ts_ms").alias("t_ms"), "trade_id", F.col("n_price").alias("px"))
     meets = "(above AND px >= n_price) OR (NOT above AND px <= n_price)"
     reaches = "(above AND high >= n_price) OR (NOT above AND low <= n_price)"
     pick = F.min(F.struct(F.col("t_ms").alias("touch_ts"), F.col("trade_id").alias("touch_id"), "px")).alias("t")
-    same = live.join(t, AT).where(f"t_ms >= active_ts AND ({meets})").groupBy("order_id").agg(pick)
-    widths = [tf * fan**k for k in range(levels + 1)]
-    traded = bars.where("n_trades > 0")
+    same = live.join(t, ["symbol", "slot"]).where(f"t_ms >= active_ts AND ({meets})").groupBy("order_id").agg(pick)
+    levels += fine
+    widths = [base * fan**k for k in range(levels + 1)]
+    traded = bars.where("n_trades > 0").select("symbol", F.col("bar_start").alias("at"), "high", "low")
+    slots = t.groupBy("symbol", "slot").agg(F.max("px").alias("high"), F.min("px").alias("low")).select("symbol", (F.col("slot") * base).alias("at"), "high", "low")
     nodes = [
-        traded.groupBy("symbol", floor_div("bar_start", w).alias("node"), floor_div("bar_start", w * fan).alias("parent")).agg(F.max("high").alias("high"), F.min("low").alias("low")) for w in widths
+        (traded if k >= fine else slots).groupBy("symbol", floor_div("at", w).alias("node"), floor_div("at", w * fan).alias("parent")).agg(F.max("high").alias("high"), F.min("low").alias("low")) for k, w in enumerate(widths)
     ]
-    pending = live.drop("bar_start").join(same, "order_id", "left_anti")
+    pending = live.drop("slot").join(same, "order_id", "left_anti")
     hit = None
     for k, w in enumerate(widths):
         asked = pending.withColumns({"own": floor_div("active_ts", w), "parent": floor_div("active_ts", w * fan)})
@@ -73,8 +91,8 @@ def first_touch(orders: DataFrame, trades: DataFrame, bars: DataFrame, tf: int,
             inside = live.join(found.withColumnRenamed("node", "parent"), "order_id").join(nodes[j], ["symbol", "parent"]).where(reaches)
             found = inside.groupBy("order_id").agg(F.min("node").alias("node"))
         hit = found if hit is None else hit.union(found)
-    where = live.drop("bar_start").join(hit, "order_id").withColumn("bar_start", F.col("node") * tf)
-    later = where.join(t, AT).where(meets).groupBy("order_id").agg(pick)
+    where = live.drop("slot").join(hit.withColumnRenamed("node", "slot"), "order_id")
+    later = where.join(t, ["symbol", "slot"]).where(meets).groupBy("order_id").agg(pick)
     out = orders.join(same.union(later), "order_id", "left")
     price = F.when(F.col("t").isNotNull(), F.when(F.col("is_stop"), slipped_price(F.col("t.px"), "is_buy", slip_bps)).otherwise(F.col("n_price")))
     return out.select(*orders.columns, "t.touch_ts", "t.touch_id", price.alias("touch_price"))

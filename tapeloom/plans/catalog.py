@@ -833,20 +833,19 @@ _GAPS = "gaps AS (SELECT 'all' AS symbol, trade_id AS after_id, n AS before_id,
 
 @query(with_(v.TRADES, _GAPS) + "SELECT * FROM gaps")
 def k3_trade_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # ids rise with time only in a feed; here the id itself stands for the time
-    t = _thinned(spark, sf_dir).withColumn("ts_ms", F.col("trade_id") * 600_000)
+    t = _thinned(spark, sf_dir)
     return st.trade_gaps(t)
 
 
 @query(with_(v.TRADES, _GAPS) + "SELECT symbol, after_id, f AS from_id, least(f + 1, before_id) AS to_id FROM (SELECT *, unnest(range(after_id, before_id, 1)) AS f FROM gaps)")
 def k4_gap_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _thinned(spark, sf_dir).withColumn("ts_ms", F.col("trade_id") * 600_000)
+    t = _thinned(spark, sf_dir)
     return st.gap_requests(st.trade_gaps(t), 2)
 
 
 @query(with_(v.TRADES, _GAPS) + "SELECT * FROM gaps WHERE before_id - after_id >= 4")
 def k6_gap_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _thinned(spark, sf_dir).withColumn("ts_ms", F.col("trade_id") * 600_000)
+    t = _thinned(spark, sf_dir)
     return st.gap_limit_alert(st.trade_gaps(t), 4)
 
 

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, label: str = "store") -> str:
-    """A new path in the session's ``spark.checkpoint.dir``; where that is unset, as in tests, a temporary folder is set."""
+    """A new path in the session's ``spark.checkpoint.dir``; where that is unset, a local session (as in tests) gets a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tapeloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -16,6 +16,8 @@ from ..sources.decoders import decode_agg_trades, scale_trades
 
 #: An id jump of at least this is fatal: 60,000 rounded up to a power of two.
 GAP_LIMIT = 65_536
+#: Ids of a block within which gaps are sought.
+ID_BLOCK = 1_000_000
 
 
 def stream_trades(messages: DataFrame, kind: str, price_mult: int, qty_mult: int) -> DataFrame:
@@ -39,15 +41,14 @@ def merge_backfill(stream: DataFrame, backfill: DataFrame, delay: str = "10 minu
 
 
 def trade_gaps(trades: DataFrame) -> DataFrame:
-    """``symbol, after_id, before_id, missing``: id ranges missing between consecutive trades.
+    """``symbol, after_id, before_id, missing``: id ranges missing between consecutive ids, whatever the times.
 
-    Windows run within a day, and a day's last id meets the next day's first, so that no symbol's history is in one task.
+    Windows run within blocks of ``ID_BLOCK`` ids, and a block's last id meets the next block's first, so that no symbol's history is in one task.
     """
-    day = floor_div("ts_ms", 86_400_000)
-    ids = trades.select("symbol", "trade_id", day.alias("day")).distinct()
-    within = ids.withColumn("next_id", F.lead("trade_id").over(Window.partitionBy("symbol", "day").orderBy("trade_id"))).where("next_id IS NOT NULL").select("symbol", "trade_id", "next_id")
-    ends = ids.groupBy("symbol", "day").agg(F.min("trade_id").alias("first"), F.max("trade_id").alias("last"))
-    across = ends.withColumn("next_id", F.lead("first").over(Window.partitionBy("symbol").orderBy("day"))).where("next_id IS NOT NULL").select("symbol", F.col("last").alias("trade_id"), "next_id")
+    ids = trades.select("symbol", "trade_id", floor_div("trade_id", ID_BLOCK).alias("block")).distinct()
+    within = ids.withColumn("next_id", F.lead("trade_id").over(Window.partitionBy("symbol", "block").orderBy("trade_id"))).where("next_id IS NOT NULL").select("symbol", "trade_id", "next_id")
+    ends = ids.groupBy("symbol", "block").agg(F.min("trade_id").alias("first"), F.max("trade_id").alias("last"))
+    across = ends.withColumn("next_id", F.lead("first").over(Window.partitionBy("symbol").orderBy("block"))).where("next_id IS NOT NULL").select("symbol", F.col("last").alias("trade_id"), "next_id")
     return within.union(across).where("next_id > trade_id + 1").select("symbol", F.col("trade_id").alias("after_id"), F.col("next_id").alias("before_id"), (F.col("next_id") - F.col("trade_id") - 1).alias("missing"))
 
 
