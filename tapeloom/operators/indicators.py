@@ -171,7 +171,8 @@ def ma_avg_trade_size(bars: DataFrame, n: int = 21) -> DataFrame:
     return moving_averages(bars, n).drop("ma_volume", "ma_trades")
 
 
-def _grow(v: np.ndarray, open_edges: bool) -> tuple[int, int, int]:
+def grow_area(v: np.ndarray, open_edges: bool) -> tuple[int, int, int]:
+    """Places of POC, upper and lower end of the value area of a profile, the highest level first."""
     c, total = int(v.argmax()), int(v.sum())
     u, d, have, n = c - 1, c + 1, int(v[c]), len(v)
     while have * 10 < total * 7:
@@ -199,7 +200,7 @@ def session_value_area(cells: DataFrame, scale: int) -> DataFrame:
         rows = []
         for a, b in _runs(bars):
             np.add.at(v, index[a:b], volume[a:b])
-            rows.append((bars[a], *(top - i * scale for i in _grow(v, True))))
+            rows.append((bars[a], *(top - i * scale for i in grow_area(v, True))))
         out = pd.DataFrame(rows, columns=["bar_start", "session_poc", "session_vah", "session_val"])
         return out.assign(symbol=pdf["symbol"].iloc[0], session_no=pdf["session_no"].iloc[0])[["symbol", "session_no", "bar_start", "session_poc", "session_vah", "session_val"]]
 

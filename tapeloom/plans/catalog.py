@@ -851,17 +851,67 @@ def k6_gap_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_(v.TRADES, v.BARS) + "SELECT symbol, bar_start, open, high, low, close, volume, delta, n_trades, open_time, last_trade_time FROM bars")
 def k1_k2_k5_k7_stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages, half of them also as a backfill, through a stream: decoded, deduplicated and aggregated; the last update of each bar."""
+    """Messages, half of them twice, and a backfill of the lost ones and some more, each a stream: decoded, merged, each trade once, and aggregated by a
+    second stream; the last update of each bar."""
     folder = shared_folder(spark)
     good = dec.split_bad_messages(v.trade_messages(spark, sf_dir, "object"), "object")[0]
     lost = v.event_trades(spark, sf_dir).where("trade_id % 50 = 7")
     one = F.struct((F.col("n_price") / 100).cast("decimal(18,2)").cast("string").alias("p"), F.col("n_qty").cast("string").alias("q"), F.col("ts_ms").alias("T"), F.col("is_sell").alias("m"), F.col("trade_id").alias("a"))
     backfill = lost.select("symbol", F.to_json(one).alias("message"))
-    good.unionByName(backfill).unionByName(good.sample(0.5, 1)).write.parquet(f"{folder}/messages")
-    stream = st.stream_trades(st.read_trade_files(spark, f"{folder}/messages", good.schema, 1000), "object", 100, 1)
-    w = st.dedupe_trades(stream, "60 days").writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{folder}/state")
-    w.foreachBatch(lambda df, n: df.write.mode("append").parquet(f"{folder}/trades")).start().awaitTermination()
-    return st.stream_bars(spark.read.parquet(f"{folder}/trades"), HOUR).drop("bar_end")
+    good.unionByName(good.sample(0.5, 1)).write.parquet(f"{folder}/messages")
+    backfill.unionByName(good.sample(0.1, 2)).write.parquet(f"{folder}/backfill")
+    live, late = (st.stream_trades(st.read_trade_files(spark, f"{folder}/{x}", good.schema, 1000), "object", 100, 1) for x in ("messages", "backfill"))
+    _written(st.merge_backfill(live, late, "60 days"), f"{folder}/trades")
+    schema = spark.read.parquet(f"{folder}/trades").schema
+    changes = _written(st.stream_bars(st.read_trade_files(spark, f"{folder}/trades", schema, 1000), HOUR, "60 days"), f"{folder}/bars", "update")
+    last = changes.groupBy(*BAR).agg(F.max_by(F.struct(*[x for x in changes.columns if x not in BAR]), "last_trade_time").alias("b"))
+    return last.select(*BAR, "b.*").drop("bar_end")
+
+
+def _written(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """What a stream gives for all that is there, through a table."""
+    w = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{path}-state")
+    w.foreachBatch(lambda df, n: df.write.mode("append").parquet(path)).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+def _closed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of closed bars with their profiles, read from files."""
+    t, folder = v.event_trades(spark, sf_dir), shared_folder(spark)
+    st.with_profiles(c.bars_ohlcv(t, HOUR), c.footprint_cells(t, HOUR, SCALE)).write.parquet(folder)
+    return spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
+
+
+@query(_EVERYTHING + "SELECT * FROM allbars")
+def k8_stream_close_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole bar table by per-symbol state; the end of a symbol's last session is open, as in the batch table."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return _written(st.stream_close_bars(_closed_bars(spark, sf_dir), HOUR, SCALE, N), shared_folder(spark))
+    finally:
+        spark.conf.set(name, before)
+
+
+@query(with_(v.TRADES, v.BARS) + "SELECT symbol, bar_start, close, delta FROM bars WHERE abs(delta) * 2 > volume")
+def k9_stream_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _written(st.stream_signals(_closed_bars(spark, sf_dir), F.abs("delta") * 2 > F.col("volume"), [*BAR, "close", "delta"]), shared_folder(spark))
+
+
+@query(with_(v.TRADES, v.BARS) + "SELECT symbol, bar_start, close, volume, n_trades FROM bars")
+def f5_on_bar_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hook that keeps what each trigger changed, four files at a time; the last state of each bar."""
+    t, folder = v.event_trades(spark, sf_dir).withColumn("ts", F.timestamp_millis("ts_ms")), shared_folder(spark)
+    t.repartition(8).write.parquet(f"{folder}/trades")
+    live = st.stream_bars(st.read_trade_files(spark, f"{folder}/trades", t.schema, 4), HOUR, "400 days")
+
+    def keep(changed: DataFrame, trigger: int) -> None:
+        changed.select(*BAR, "close", "volume", "n_trades", F.lit(trigger).alias("trigger")).write.mode("append").parquet(f"{folder}/changes")
+
+    sig.on_bar_update(live, keep).trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").start().awaitTermination()
+    changes = spark.read.parquet(f"{folder}/changes")
+    return changes.groupBy(*BAR).agg(F.max_by(F.struct("close", "volume", "n_trades"), "trigger").alias("b")).select(*BAR, "b.*")
 
 
 @query(with_(v.TRADES, v.BARS, _SIGNALS) + "SELECT symbol, count(*) AS n FROM sigs WHERE ts_ms > 1705000000000 - 60000 * 1440 GROUP BY symbol")

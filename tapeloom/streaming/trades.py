@@ -5,13 +5,17 @@ A stream of trades has ``symbol, trade_id, ts`` (TIMESTAMP, for the watermark),
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import floor_div, price_level, signed_qty
+from ..operators.indicators import grow_area
 from ..sources.decoders import decode_agg_trades, scale_trades
 
 #: An id jump of at least this is fatal: 60,000 rounded up to a power of two.
@@ -121,8 +125,6 @@ class _IndicatorState:
         self.state = handle.getValueState("s", "start long, cvd long, atr long, park long, close long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:  # noqa: N802
-        import math
-
         s = self.state.get() if self.state.exists() else None
         out = []
         for r in pd.concat(list(rows)).sort_values("bar_start").itertuples(index=False):
@@ -149,6 +151,118 @@ def stream_indicators(bars: DataFrame, tf_ms: int, bar_count: int) -> DataFrame:
     return bars.groupBy("symbol").transformWithStateInPandas(processor, "symbol string, bar_start long, session_start long, cvd long, atr long, parkinson long", "Append", "None")
 
 
+CLOSED = (
+    "symbol string, session_no long, session_start long, bar_start long, bar_idx long, open long, high long, low long, close long, volume long, delta long, n_trades long, open_time long, last_trade_time long, "
+    "is_filled boolean, cvd long, vwap long, vwap_up long, vwap_low long, true_range long, park_term long, atr long, parkinson long, ma_volume long, ma_trades long, ma_trade_size long, "
+    "poc long, vah long, val long, session_poc long, session_vah long, session_val long"
+)
+_CLOSED = [f.split()[0] for f in CLOSED.split(", ")]
+
+
+class _Session:
+    """A symbol's closing state: its session, the sums and recurrences of it, its profile, and the last rows for the averages."""
+
+    def __init__(self, settings: dict, kept: dict | None):
+        self.o, self.s = settings, kept
+        if kept:
+            kept["profile"] = {int(k): n for k, n in kept["profile"].items()}
+
+    def feed(self, bar: dict) -> Iterator[dict]:
+        """The rows that a closed bar gives: bars without trades up to it, and itself. Bars not after the last one give none."""
+        tf, length = self.o["tf"], self.o["tf"] * self.o["bar_count"]
+        at, s = bar["bar_start"], self.s
+        if s and at <= s["last"]:
+            return
+        if s and at >= s["start"] + length:
+            yield from self._empty(s["start"] + length)
+        if not s or at >= s["start"] + length:
+            self.s = {"no": s["no"] + 1 if s else 0, "start": at, "last": at - tf, "cvd": 0, "w": 0, "pq": 0, "ppq": 0, "atr": None, "park": None, "close": None, "profile": {}, "rows": s["rows"] if s else []}
+        yield from self._empty(at)
+        yield self._row(bar)
+
+    def _empty(self, until: int) -> Iterator[dict]:
+        for at in range(self.s["last"] + self.o["tf"], until, self.o["tf"]):
+            px = self.s["close"]
+            yield self._row({"bar_start": at, "open": px, "high": px, "low": px, "close": px, "volume": 0, "delta": 0, "n_trades": 0, "open_time": at, "last_trade_time": at, "pq": 0, "ppq": 0, "levels": [], "volumes": []})
+
+    def _row(self, bar: dict) -> dict:
+        s, o, scale = self.s, self.o, self.o["scale"]
+        filled, high, low, before = bar["n_trades"] == 0, bar["high"], bar["low"], s["close"]
+        spread = high - low if before is None else max(high - low, abs(high - before), abs(low - before))
+        term = round(math.log(high / low) ** 2 * 1_000_000_000) if low > 0 and high > 0 else 0
+        for name, value, period in (("atr", spread, o["atr_period"]), ("park", term, o["park_period"])):
+            if s[name] is None:
+                s[name] = value
+            elif not filled:
+                s[name] = (s[name] * (period - 1) + value) // period
+        for name, value in (("cvd", bar["delta"]), ("w", bar["volume"]), ("pq", int(bar["pq"])), ("ppq", int(bar["ppq"]))):
+            s[name] += value
+        row = {k: bar[k] for k in ("bar_start", "open", "high", "low", "close", "volume", "delta", "n_trades", "open_time", "last_trade_time")}
+        row |= {"session_no": s["no"], "session_start": s["start"], "bar_idx": (bar["bar_start"] - s["start"]) // o["tf"], "is_filled": filled, "cvd": s["cvd"], "true_range": spread, "park_term": term, "atr": s["atr"], "parkinson": s["park"]}
+        if s["w"]:
+            weight = float(s["w"])
+            mean = float(s["pq"]) / weight
+            spread_ = o["k"] * math.sqrt(max(0.0, float(s["ppq"]) / weight - mean * mean))
+            row |= {"vwap": round(mean), "vwap_up": round(mean + spread_), "vwap_low": round(mean - spread_)}
+        last = s["rows"]
+        if len(last) >= o["ma"]:
+            sizes = [x // n for x, n in last if n]
+            row |= {"ma_volume": sum(x for x, _ in last) // o["ma"], "ma_trades": sum(n for _, n in last) // o["ma"], "ma_trade_size": sum(sizes) // len(sizes) if sizes else None}
+        s["rows"] = [*last, (bar["volume"], bar["n_trades"])][-o["ma"] :]
+        if not filled:
+            own = dict(zip(map(int, bar["levels"]), map(int, bar["volumes"]), strict=True))
+            for level, volume in own.items():
+                s["profile"][level] = s["profile"].get(level, 0) + volume
+            for names, profile, open_edges in ((("poc", "vah", "val"), own, False), (("session_poc", "session_vah", "session_val"), s["profile"], True)):
+                top = max(profile)
+                v = np.zeros((top - min(profile)) // scale + 1, np.int64)
+                for level, volume in profile.items():
+                    v[(top - level) // scale] = volume
+                row |= {n: top - i * scale for n, i in zip(names, grow_area(v, open_edges), strict=True)}
+        s["last"], s["close"] = bar["bar_start"], bar["close"]
+        return row
+
+
+class _CloseState:
+    """Keeps each symbol's ``_Session`` between triggers."""
+
+    settings: dict = {}
+
+    def init(self, handle) -> None:
+        self.state = handle.getValueState("session", "kept string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:  # noqa: N802
+        own = _Session(self.settings, json.loads(self.state.get()[0]) if self.state.exists() else None)
+        bars = pd.concat(list(rows)).sort_values("bar_start").to_dict("records")
+        made = [row | {"symbol": key[0]} for bar in bars for row in own.feed(bar)]
+        self.state.update((json.dumps(own.s),))
+        out = pd.DataFrame(made, columns=_CLOSED)
+        yield out.astype({c: "Int64" for c in _CLOSED if c not in ("symbol", "is_filled")} | {"is_filled": bool})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_close_bars(bars: DataFrame, tf_ms: int, scale: int, bar_count: int, atr_period: int = 14, park_period: int = 12, ma: int = 21, k: int = 2) -> DataFrame:
+    """The full bar table of a stream of closed bars: bars without trades, CVD, VWAP bands, ATR, Parkinson, averages, value areas of bar and session.
+
+    ``bars`` are final (append mode), with ``pq, ppq`` and ``levels, volumes`` of their profile (``with_profiles``). A symbol's state is its session so
+    far and the last ``ma`` rows (needs the RocksDB state store).
+    """
+    from pyspark.sql.streaming import StatefulProcessor
+
+    settings = {"tf": tf_ms, "scale": scale, "bar_count": bar_count, "atr_period": atr_period, "park_period": park_period, "ma": ma, "k": k}
+    processor = type("CloseProcessor", (_CloseState, StatefulProcessor), {"settings": settings})()
+    asked = bars.select("symbol", "bar_start", "open", "high", "low", "close", "volume", "delta", "n_trades", "open_time", "last_trade_time", F.col("pq").cast("string").alias("pq"), F.col("ppq").cast("string").alias("ppq"), "levels", "volumes")
+    return asked.groupBy("symbol").transformWithStateInPandas(processor, CLOSED, "Append", "None")
+
+
+def with_profiles(bars: DataFrame, cells: DataFrame) -> DataFrame:
+    """Closed ``bars`` with ``levels`` and ``volumes`` of their cells."""
+    listed = cells.groupBy("symbol", "bar_start").agg(F.array_sort(F.collect_list(F.struct("level", (F.col("bid_qty") + F.col("ask_qty")).alias("v")))).alias("p"))
+    return bars.join(listed, ["symbol", "bar_start"]).withColumns({"levels": F.col("p.level"), "volumes": F.col("p.v")}).drop("p")
+
+
 def stream_signals(bars: DataFrame, rule, fields: list) -> DataFrame:
     """``fields`` of the closed bars (append mode) that meet ``rule``."""
     return bars.where(rule).select(*fields)
