@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
@@ -427,15 +427,34 @@ def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select(F.lit(0).cast("long").alias("run_id"), "order_id", "symbol", "is_long", "ts_ms", F.col("exit_ts").alias("end_ts"), "fill_ts", "fill_price", "exit_ts", "exit_price", (F.col("exit_leg") == "tp").alias("exit_is_maker"))
 
 
-@query(with_(v.TRADES, v.BARS, _SIGNALS, _ORDERS, _BRACKET, """cand AS (SELECT *, row_number() OVER (PARTITION BY symbol, is_long ORDER BY ts_ms, order_id) AS rn FROM brackets WHERE fill_ts IS NOT NULL),
- taken AS (SELECT order_id, symbol, is_long, rn, exit_ts FROM cand WHERE rn = 1 UNION ALL SELECT n.order_id, n.symbol, n.is_long, n.rn, n.exit_ts FROM taken t JOIN LATERAL (SELECT c.* FROM cand c WHERE c.symbol = t.symbol AND c.is_long = t.is_long AND c.rn > t.rn AND t.exit_ts IS NOT NULL AND c.ts_ms > t.exit_ts ORDER BY c.rn LIMIT 1) n ON true)""", recursive=True) + "SELECT order_id, symbol, is_long FROM taken")
+_TAKEN = """cand AS (SELECT *, row_number() OVER (PARTITION BY symbol, is_long ORDER BY ts_ms, order_id) AS rn FROM brackets WHERE fill_ts IS NOT NULL),
+ taken AS (SELECT order_id, symbol, is_long, rn, exit_ts FROM cand WHERE rn = 1 UNION ALL SELECT n.order_id, n.symbol, n.is_long, n.rn, n.exit_ts FROM taken t JOIN LATERAL (SELECT c.* FROM cand c WHERE c.symbol = t.symbol AND c.is_long = t.is_long AND c.rn > t.rn AND t.exit_ts IS NOT NULL AND c.ts_ms > t.exit_ts ORDER BY c.rn LIMIT 1) n ON true)"""
+
+
+@query(with_(v.TRADES, v.BARS, _SIGNALS, _ORDERS, _BRACKET, _TAKEN, recursive=True) + "SELECT order_id, symbol, is_long FROM taken")
 def g4_one_position_per_side(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.one_position_per_side(_candidates(spark, sf_dir)).select("order_id", "symbol", "is_long")
 
 
-@query()
+#: The walk of each run: signal after signal, with the balance and the open positions (end, result, margin) carried along.
+_WALK = """names AS (SELECT symbol, dense_rank() OVER (ORDER BY symbol) AS run_id FROM (SELECT DISTINCT symbol FROM bars)),
+ entered AS (SELECT n.run_id, b.*, row_number() OVER (PARTITION BY n.run_id ORDER BY b.fill_ts, b.order_id) AS i FROM brackets b JOIN taken USING (order_id) JOIN names n ON n.symbol = b.symbol),
+ walk AS (SELECT run_id, CAST(0 AS BIGINT) AS i, CAST(10000000000 AS BIGINT) AS balance, CAST([] AS STRUCT(x BIGINT, g BIGINT, m BIGINT)[]) AS held, false AS over, false AS taken, CAST(0 AS BIGINT) AS n_qty, CAST(0 AS BIGINT) AS fee, CAST(NULL AS BIGINT) AS pnl FROM (SELECT DISTINCT run_id FROM entered)
+ UNION ALL SELECT run_id, i, CASE WHEN takes THEN bal - f ELSE bal END, CASE WHEN takes THEN list_append(still, {'x': exit_ts, 'g': CASE WHEN exit_ts IS NULL THEN 0 ELSE gain - xf END, 'm': CAST(round_even(worth / 20 * 100000000, 0) AS BIGINT)}) ELSE still END,
+  ends, takes, q, f, CASE WHEN exit_ts IS NOT NULL THEN gain END
+ FROM (SELECT *, CAST(round_even(worth * 100000000 * 5 / 10000, 0) AS BIGINT) AS f, CAST(round_even(exit_price / 100 * q / 1000 * 100000000 * (CASE WHEN exit_leg = 'tp' THEN 2 ELSE 5 END) / 10000, 0) AS BIGINT) AS xf,
+   CAST(round_even((exit_price - fill_price) * (CASE WHEN is_long THEN 1 ELSE -1 END) / 100 * q / 1000 * 100000000, 0) AS BIGINT) AS gain
+  FROM (SELECT *, fill_price / 100 * q / 1000 AS worth FROM (SELECT *, over OR lost OR (NOT locked_out AND size <= 500000000) AS ends, NOT (over OR lost) AND NOT locked_out AND size > 500000000 AND fill_price <> 0 AS takes, CAST(round_even(size / 100000000 * 100 * 1000 / nullif(fill_price, 0), 0) AS BIGINT) AS q
+   FROM (SELECT *, bal <= 9000000000 AS lost, locked >= bal * 1000 // 10000 AS locked_out, (bal - locked) * 100 // 10000 * 20 AS size
+    FROM (SELECT e.*, w.over, w.balance + CAST(coalesce(list_sum(list_transform(list_filter(w.held, lambda h: h.x <= e.fill_ts), lambda h: h.g)), 0) AS BIGINT) AS bal, list_filter(w.held, lambda h: h.x IS NULL OR h.x > e.fill_ts) AS still,
+      CAST(coalesce(list_sum(list_transform(list_filter(w.held, lambda h: h.x IS NULL OR h.x > e.fill_ts), lambda h: h.m)), 0) AS BIGINT) AS locked FROM walk w JOIN entered e ON e.run_id = w.run_id AND e.i = w.i + 1))))))"""
+
+
+@query(with_(v.TRADES, v.BARS, _SIGNALS, _ORDERS, _BRACKET, _TAKEN, _WALK, recursive=True) + "SELECT e.run_id, CAST(e.order_id AS VARCHAR) AS order_id, e.symbol, e.is_long, e.fill_ts, e.fill_price, e.exit_ts, e.exit_price, w.n_qty, w.fee, w.pnl, w.balance FROM walk w JOIN entered e USING (run_id, i) WHERE w.taken")
 def g5_size_and_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = _candidates(spark, sf_dir).withColumn("run_id", F.pmod(F.xxhash64("symbol"), F.lit(1000)))
+    found = _candidates(spark, sf_dir).drop("run_id")
+    names = found.select("symbol").union(v.hourly_bars(spark, sf_dir).select("symbol")).distinct().withColumn("run_id", F.dense_rank().over(Window.orderBy("symbol")).cast("long"))
+    runs = found.join(F.broadcast(names), "symbol")
     return out.size_and_gate(out.one_position_per_side(runs).drop("end_ts", "ts_ms"))
 
 
