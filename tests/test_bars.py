@@ -118,3 +118,14 @@ def test_empty_input(spark):
     none = spark.createDataFrame([], TRADE)
     assert plan.close_bars(none, 60_000, 5, 24).count() == 0
     assert plan.flagged_cells(none, 60_000, 5, 24)[1].count() == 0
+
+
+def test_blocks_of_bars_carry_the_rows_before(spark):
+    bars = spark.createDataFrame([("X", s, s * 100 + i) for s in range(9) for i in range(1 + s % 4 * 3)] + [("Y", 0, 5)], "symbol string, session_no long, bar_start long")
+    got = ind.row_blocks(bars, 3, 8).collect()
+    own = sorted((r.symbol, r._rank, r.session_no, r.bar_start) for r in got if r._own)
+    want = {s: sorted((r.session_no, r.bar_start) for r in bars.collect() if r.symbol == s) for s in "XY"}
+    assert own == [(s, i, *row) for s in "XY" for i, row in enumerate(want[s])]
+    held = {(r.symbol, r._block, r._rank) for r in got}
+    assert all((s, i // 8, j) in held for s, i, *_ in own for j in range(max(0, i - 3), i))
+    assert len(got) - len(own) <= 3 * (len(own) // 8 + 1)

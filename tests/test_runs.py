@@ -100,3 +100,24 @@ def test_cancels_take_latency(spark):
 def test_pyramid_stops_at_the_first_short_enough(spark):
     bars = spark.range(400).select(F.lit("X").alias("symbol"), (F.col("id") * 3_600_000).alias("ts_ms"), *[(F.col("id") + i).alias(n) for i, n in enumerate(("open", "high", "low", "close"))])
     assert sorted(r.step for r in res.timeframe_pyramid(bars, 3_600_000).select("step").distinct().collect()) == [3_600_000, 14_400_000]
+
+
+def test_fills_and_touches_match_a_walk_over_trades(spark):
+    import random
+
+    rng = random.Random(4)
+    trades = sorted((rng.choice("AB"), rng.randrange(0, 40_000_000) // 1000 * 1000, i, rng.randrange(90, 110)) for i in range(300))
+    orders = [(f"o{i}", rng.choice("ABC"), rng.randrange(-10_000, 41_000_000), rng.random() < 0.5, rng.random() < 0.5, rng.randrange(88, 112)) for i in range(120)]
+    t = spark.createDataFrame([(s, i, ts, px) for s, ts, i, px in trades], "symbol string, trade_id long, ts_ms long, n_price long")
+    asked = spark.createDataFrame(orders, "order_id string, symbol string, ts_ms long, is_buy boolean, is_stop boolean, n_price long")
+    for block in (4096, 2):
+        got = {r.order_id: (r.fill_ts, r.fill_id) for r in out.entry_fill(asked, t, 60_000, latency=100, slip_bps=0, block=block).collect()}
+        for o, s, ts, *_ in orders:
+            first = min(((a, i) for x, a, i, _ in trades if x == s and a >= ts + 100), default=(None, None))
+            assert got[o] == first
+    bars = t.groupBy("symbol", F.expr("ts_ms - pmod(ts_ms, 60000)").alias("bar_start")).agg(F.max("n_price").alias("high"), F.min("n_price").alias("low"), F.count(F.lit(1)).alias("n_trades"))
+    for fan in (60, 7):
+        got = {r.order_id: (r.touch_ts, r.touch_id) for r in out.first_touch(asked.withColumnRenamed("ts_ms", "active_ts"), t, bars, 60_000, 0, fan).collect()}
+        for o, s, ts, buy, stop, px in orders:
+            meets = (lambda p: p >= px) if buy == stop else (lambda p: p <= px)  # noqa: B023
+            assert got[o] == min(((a, i) for x, a, i, p in trades if x == s and a >= ts and meets(p)), default=(None, None))

@@ -89,3 +89,25 @@ def test_messages_that_do_not_decode_are_set_apart(spark):
     assert [dec.scale_trades(modes, 100, 1, m).first().n_price for m in ("exact", "trunc", "round")] == [29, 28, 29]
     dec.register_decoder("mine", dec.TradeDecoder("array(from_json(message, 'struct<x:string>'))", "t.x", "t.x", "1L", "true", "2L"))
     assert dec.decode_agg_trades(spark.createDataFrame([('{"x":"7"}',)], "message string"), "mine").first().price == "7"
+
+
+def test_the_bar_table_of_a_stream_is_the_batch_table(spark, tmp_path):
+    t = v.event_trades(spark, SF)
+    bars = st.with_profiles(bars_ohlcv(t, v.HOUR), plan.c.footprint_cells(t, v.HOUR, v.SCALE)).cache()
+    cut = [1_706_000_000_000, 1_710_000_000_000]
+    for n, part in enumerate((bars.where(f"bar_start < {cut[0]}"), bars.where(f"bar_start >= {cut[0]} AND bar_start < {cut[1]}"), bars.where(f"bar_start >= {cut[1]}"))):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/b")
+        s = spark.readStream.schema(bars.schema).parquet(f"{tmp_path}/b")
+        st.run_available(st.stream_close_bars(s, v.HOUR, v.SCALE, v.BAR_COUNT), "", "append", f"{tmp_path}/cs", lambda df, i: df.write.mode("append").parquet(f"{tmp_path}/out"))
+    want = plan.close_bars(t, v.HOUR, v.SCALE, v.BAR_COUNT)
+    got = spark.read.parquet(f"{tmp_path}/out").select(want.columns)
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
+def test_a_backfill_fills_the_gaps_once(spark, tmp_path):
+    t = timed(v.event_trades(spark, SF)).select("symbol", "trade_id", "ts", "ts_ms", "n_price", "n_qty", "is_sell")
+    live = stream_of(spark, t.where("trade_id % 5 <> 2"), f"{tmp_path}/live", 2)
+    late = stream_of(spark, t.where("trade_id % 5 IN (1, 2)"), f"{tmp_path}/late", 2)
+    st.run_available(st.merge_backfill(live, late, "400 days"), "merged", "append", f"{tmp_path}/ms")
+    got = spark.table("merged").select(t.columns)
+    assert got.count() == t.count() and got.exceptAll(t).count() == 0
