@@ -734,6 +734,53 @@ def test_rounds_of_components_grow_with_the_logarithm(spark, monkeypatch):
         assert {r.root for r in got} == {0} and len(got) == n + 1 and len(written) <= most
 
 
+def test_named_documents_and_very_long_texts(spark):
+    """Ids that are no numbers, and a text of more than a megabyte with a copy of it and a passage from its middle."""
+    long = prose(21, 260_000, 10**6)
+    assert len(long) > 2 * words.CHUNK // 2 and len(long.encode()) > words.CHUNK
+    w = long.split()
+    passage = " ".join(w[150_000:150_060])
+    rows = [("a", long), ("b", long), ("c", prose(22, 90) + "\n" + passage), ("d", None), (None, "short one"), ("12", "")]
+    wide = spark.createDataFrame([(i, t, "en", 1, 2) for i, t in rows], "doc_id string, text string, lang string, k1 int, node int").cache()
+    by = lambda df: {r.doc_id: r for r in df.collect()}
+    got = by(substring.substring_summary(wide))
+    assert got["a"].n_words == got["a"].n_removed == got["b"].n_removed == 260_000 and got["c"].n_removed == 60 and got["d"].n_words == 0
+    assert substring.drop_substrings(wide).columns == wide.columns and by(substring.drop_substrings(wide))["c"].text == " ".join(prose(22, 90).split())
+    got = by(neardup.near_duplicates(wide))
+    assert got["b"].component_id == got["a"].component_id == "a" and got["c"].kept and not got["b"].kept and got["d"].n_shingles == 0
+    kept = by(neardup.drop_near_duplicates(wide))
+    assert len({"a", "b"} & set(kept)) == 1 and {"c", "d", None, "12"} <= set(kept)
+    bench = spark.createDataFrame([("x", passage), ("y", passage), (None, "short"), ("z", None)], "item_id string, text string")
+    got = by(decontaminate.contamination(wide, bench))
+    assert got["a"].n_hit == got["c"].n_hit == 60 and got["c"].n_items == 2 and got["c"].items_sha256 == hashlib.sha256(b"x,y").hexdigest()
+    assert got[None].contaminated and got[None].n_items == 0 and decontaminate.contamination(wide.where("false"), bench).count() == 0
+    assert by(decontaminate.remove_contamination(wide, bench))["c"].text == prose(22, 90)
+    assert {r.doc_id for r in decontaminate.remove_contamination(wide, bench, whole=True).collect()} == {"d", "12"}
+    got = by(lines.line_summary(wide))
+    assert {got["a"].n_removed, got["b"].n_removed} == {0, long.count("\n") + 1}
+    got = by(rules.judge(wide))
+    repeats = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    hit = {i + j for i in range(len(w) - 2) if repeats[tuple(w[i : i + 3])] > 1 for j in range(3)}
+    assert got["a"].n_words == 260_000 and got["a"].n_repeat_words == len(hit) and got["d"].base_failed
+    assert sharding.shard_documents(wide, 2).count() == 6
+    model = language.train(wide)
+    assert {r.lang_pred for r in language.identify(wide.where("text > ''"), model, ["doc_id", "k1"]).collect()} == {"en"}
+    labels = spark.createDataFrame([("a", 1, 0), ("c", 0, 0)], "doc_id string, quality int, toxic int")
+    assert quality.grade_documents(wide, labels).count() == 6
+
+
+def test_small_languages_are_judged_by_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(rules, "LEAST_REFERENCE", 3000)
+    rows = [(i, prose(i, 120), "en", "s", 1) for i in range(40)] + [(100 + i, "zzz " * 30 + prose(i, 40), "xx", "s", 1) for i in range(3)]
+    docs = spark.createDataFrame(rows, DOC)
+    refs = {r.lang: r for r in rules.references(docs.select("lang", "text")).collect()}
+    assert set(refs) == {"en", None} and "zzz" in refs[None].ref_words and "zzz" not in refs["en"].ref_words
+    assert len(refs["en"].ref_words) == rules.COMMON and sum(refs["en"].ref_word_n) == 4800
+    short = spark.createDataFrame([(1, "aaaa " * 59, "en", "s", 1), (2, "aaaa b" * 61 + " c", "en", "s", 1)], DOC)
+    got = {r.doc_id: r for r in rules.judge(docs.union(short)).collect()}
+    assert got[1].base_failed and got[100].word_js > 0
+
+
 def test_empty_tables_give_empty_results(docs):
     none = docs.where("false")
     assert substring.substring_summary(none).count() == 0 and substring.drop_substrings(none).columns == none.columns
