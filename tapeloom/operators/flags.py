@@ -5,6 +5,8 @@ Side flags are evaluated on final cells. Marks that bars put on levels without t
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,70 +28,121 @@ def _marks(bars: DataFrame, names: dict[str, Column], side: str) -> DataFrame:
     return rows.select(*BAR, "level", (F.col("bit") if side == "bid" else zero).alias("bid_flags"), (F.col("bit") if side == "ask" else zero).alias("ask_flags"))
 
 
+Rule = tuple[str, Column, Column]
+
+
+def _ohlc_levels(scale: int) -> dict[str, Column]:
+    return {n.upper(): price_level(n, scale) for n in ("open", "high", "low", "close")}
+
+
+def _bar_area_levels() -> dict[str, Column]:
+    return {"POC_BAR": F.col("poc"), "VAH_BAR": F.col("vah"), "VAL_BAR": F.col("val")}
+
+
+def _session_area_levels() -> dict[str, Column]:
+    return {"POC_FP": F.col("session_poc"), "VAH_FP": F.col("session_vah"), "VAL_FP": F.col("session_val")}
+
+
+def _vwap_levels(scale: int) -> dict[str, Column]:
+    return {"VWAP_FP": price_level("vwap", scale), "UPPER_BAND_FP": price_level("vwap_up", scale), "LOWER_BAND_FP": price_level("vwap_low", scale)}
+
+
 def flag_ohlc(bars: DataFrame, scale: int) -> DataFrame:
-    return _marks(bars.where("n_trades > 0"), {n.upper(): price_level(n, scale) for n in ("open", "high", "low", "close")}, "bid")
+    return _marks(bars.where("n_trades > 0"), _ohlc_levels(scale), "bid")
 
 
 def flag_bar_value_area(bars: DataFrame) -> DataFrame:
-    return _marks(bars.where("n_trades > 0"), {"POC_BAR": F.col("poc"), "VAH_BAR": F.col("vah"), "VAL_BAR": F.col("val")}, "bid")
+    return _marks(bars.where("n_trades > 0"), _bar_area_levels(), "bid")
 
 
 def flag_session_value_area(bars: DataFrame) -> DataFrame:
-    return _marks(bars.where("n_trades > 0"), {"POC_FP": F.col("session_poc"), "VAH_FP": F.col("session_vah"), "VAL_FP": F.col("session_val")}, "bid")
+    return _marks(bars.where("n_trades > 0"), _session_area_levels(), "bid")
 
 
 def flag_vwap(bars: DataFrame, scale: int) -> DataFrame:
-    return _marks(bars.where("n_trades > 0"), {"VWAP_FP": price_level("vwap", scale), "UPPER_BAND_FP": price_level("vwap_up", scale), "LOWER_BAND_FP": price_level("vwap_low", scale)}, "bid")
+    return _marks(bars.where("n_trades > 0"), _vwap_levels(scale), "bid")
 
 
-def _sided(cells: DataFrame, name: str, bid: Column, ask: Column) -> DataFrame:
-    return cells.select(*BAR, "level", _bit(name, bid).alias("bid_flags"), _bit(name, ask).alias("ask_flags")).where("bid_flags <> 0 OR ask_flags <> 0")
+def _sided(cells: DataFrame, *rules: Rule) -> DataFrame:
+    """The flags of the rules that a cell meets, one column a side."""
+    bid, ask = (reduce(Column.bitwiseOR, [_bit(rule[0], rule[side]) for rule in rules]) for side in (1, 2))
+    return cells.select(*BAR, "level", bid.alias("bid_flags"), ask.alias("ask_flags")).where("bid_flags <> 0 OR ask_flags <> 0")
 
 
-def flag_zero_print(cells: DataFrame) -> DataFrame:
+def _zero_print() -> Rule:
     b, a = F.col("bid_qty"), F.col("ask_qty")
-    return _sided(cells, "ZERO_PRINT", (b == 0) & (a > 0), (a == 0) & (b > 0))
+    return "ZERO_PRINT", (b == 0) & (a > 0), (a == 0) & (b > 0)
 
 
-def flag_delta_domination(cells: DataFrame) -> DataFrame:
-    b, a = F.col("bid_qty"), F.col("ask_qty")
-    return _sided(cells, "DELTA_DOMINATION", b > a, a > b)
+def _delta_domination() -> Rule:
+    return "DELTA_DOMINATION", F.col("bid_qty") > F.col("ask_qty"), F.col("ask_qty") > F.col("bid_qty")
 
 
-def flag_imbalance_horizontal(cells: DataFrame, ratio: int = 3) -> DataFrame:
-    b, a = F.col("bid_qty"), F.col("ask_qty")
-    return _sided(cells, "IMBALANCE", b > a * ratio, a > b * ratio)
+def _horizontal(ratio: int) -> Rule:
+    return "IMBALANCE", F.col("bid_qty") > F.col("ask_qty") * ratio, F.col("ask_qty") > F.col("bid_qty") * ratio
 
 
-def flag_imbalance_diagonal(cells: DataFrame, scale: int, ratio: int = 3) -> DataFrame:
-    """Bid against the ask one level up, ask against the bid one level down; not tested past the bar's high and low level."""
+def _diagonal(ratio: int) -> Rule:
+    """On cells with their neighbours."""
+    return "IMBALANCE", (F.col("level") < F.col("_hi")) & (F.col("bid_qty") > F.col("_up") * ratio), (F.col("level") > F.col("_lo")) & (F.col("ask_qty") > F.col("_down") * ratio)
+
+
+def _big_cluster() -> Rule:
+    """On cells with their bar's limit."""
+    return "BIG_CLUSTER", F.col("bid_qty") > F.col("_limit"), F.col("ask_qty") > F.col("_limit")
+
+
+def _level_delta() -> list[Rule]:
+    """On cells with the session's delta so far at their level."""
+    below, no = F.col("_delta") < 0, F.lit(False)
+    return [("BID_DELTA_DOMINATION_FP", below, no), ("ASK_DELTA_DOMINATION_FP", no, ~below)]
+
+
+def _with_neighbours(cells: DataFrame, scale: int) -> DataFrame:
     over = Window.partitionBy(*BAR).orderBy("level")
     whole = Window.partitionBy(*BAR)
     up = F.when(F.lead("level").over(over) == F.col("level") + scale, F.lead("ask_qty").over(over)).otherwise(0)
     down = F.when(F.lag("level").over(over) == F.col("level") - scale, F.lag("bid_qty").over(over)).otherwise(0)
-    near = cells.withColumns({"_up": up, "_down": down, "_hi": F.max("level").over(whole), "_lo": F.min("level").over(whole)})
-    return _sided(near, "IMBALANCE", (F.col("level") < F.col("_hi")) & (F.col("bid_qty") > F.col("_up") * ratio), (F.col("level") > F.col("_lo")) & (F.col("ask_qty") > F.col("_down") * ratio))
+    return cells.withColumns({"_up": up, "_down": down, "_hi": F.max("level").over(whole), "_lo": F.min("level").over(whole)})
+
+
+def _with_session_delta(cells: DataFrame) -> DataFrame:
+    over = Window.partitionBy("symbol", "session_no", "level").orderBy("bar_start").rowsBetween(Window.unboundedPreceding, 0)
+    return cells.withColumn("_delta", F.sum(F.col("ask_qty") - F.col("bid_qty")).over(over))
 
 
-def _with_average(bars: DataFrame) -> DataFrame:
-    """``symbol, bar_start, _ma``: the previous row's volume average, where there is one."""
+def _limits(bars: DataFrame, mult: float) -> DataFrame:
+    """``symbol, bar_start, _limit`` from the previous row's volume average, where there is one: floor(average x mult), mult to four decimals."""
     before = F.lag("ma_volume").over(Window.partitionBy("symbol", "_block").orderBy("_rank"))
-    return row_blocks(bars.select(*BAR, "session_no", "ma_volume"), 1).withColumn("_ma", before).where("_own AND _ma > 0").select(*BAR, "_ma")
+    known = row_blocks(bars.select(*BAR, "session_no", "ma_volume"), 1).withColumn("_ma", before).where("_own AND _ma > 0")
+    return known.select(*BAR, floor_div(F.col("_ma") * round(mult * 10_000), 10_000).alias("_limit"))
+
+
+def flag_zero_print(cells: DataFrame) -> DataFrame:
+    return _sided(cells, _zero_print())
+
+
+def flag_delta_domination(cells: DataFrame) -> DataFrame:
+    return _sided(cells, _delta_domination())
+
+
+def flag_imbalance_horizontal(cells: DataFrame, ratio: int = 3) -> DataFrame:
+    return _sided(cells, _horizontal(ratio))
+
+
+def flag_imbalance_diagonal(cells: DataFrame, scale: int, ratio: int = 3) -> DataFrame:
+    """Bid against the ask one level up, ask against the bid one level down; not tested past the bar's high and low level."""
+    return _sided(_with_neighbours(cells, scale), _diagonal(ratio))
 
 
 def flag_big_cluster(cells: DataFrame, bars: DataFrame, mult: float = 0.33) -> DataFrame:
     """Side volume above floor(the previous row's volume average x mult), mult to four decimals."""
-    limits = _with_average(bars).select(*BAR, floor_div(F.col("_ma") * round(mult * 10_000), 10_000).alias("_limit"))
-    joined = cells.join(limits, BAR)
-    return _sided(joined, "BIG_CLUSTER", F.col("bid_qty") > F.col("_limit"), F.col("ask_qty") > F.col("_limit"))
+    return _sided(cells.join(_limits(bars, mult), BAR), _big_cluster())
 
 
 def flag_level_delta(cells: DataFrame, bars: DataFrame) -> DataFrame:
     """The sign of the session's delta so far at each level that the bar traded; zero counts as ask. Only once there is a volume average."""
-    ready = _with_average(bars).select(*BAR)
-    over = Window.partitionBy("symbol", "session_no", "level").orderBy("bar_start").rowsBetween(Window.unboundedPreceding, 0)
-    so_far = cells.withColumn("_delta", F.sum(F.col("ask_qty") - F.col("bid_qty")).over(over)).join(ready, BAR, "left_semi")
-    return so_far.select(*BAR, "level", F.when(F.col("_delta") < 0, CELL_FLAGS["BID_DELTA_DOMINATION_FP"]).otherwise(0).cast("long").alias("bid_flags"), F.when(F.col("_delta") < 0, 0).otherwise(CELL_FLAGS["ASK_DELTA_DOMINATION_FP"]).cast("long").alias("ask_flags"))
+    return _sided(_with_session_delta(cells).join(_limits(bars, 1), BAR, "left_semi"), *_level_delta())
 
 
 def flag_auction(cells: DataFrame, bars: DataFrame, scale: int) -> DataFrame:
@@ -117,12 +170,10 @@ def flag_auction(cells: DataFrame, bars: DataFrame, scale: int) -> DataFrame:
 
 def cell_flags(cells: DataFrame, bars: DataFrame, scale: int, diagonal: bool = True, mult: float = 0.33) -> DataFrame:
     """All flags of each (bar, level); ``cells`` and ``bars`` carry session_no, ``bars`` all indicators."""
-    imbalance = flag_imbalance_diagonal(cells, scale) if diagonal else flag_imbalance_horizontal(cells)
-    parts = [
-        flag_ohlc(bars, scale), flag_bar_value_area(bars), flag_zero_print(cells), flag_delta_domination(cells), imbalance, flag_big_cluster(cells, bars, mult),
-        flag_level_delta(cells, bars), flag_auction(cells, bars, scale), flag_session_value_area(bars), flag_vwap(bars, scale),
-    ]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+    levels = _ohlc_levels(scale) | _bar_area_levels() | _session_area_levels() | _vwap_levels(scale)
+    near = _with_session_delta(_with_neighbours(cells, scale) if diagonal else cells).join(_limits(bars, mult), BAR, "left")
+    known = F.col("_limit").isNotNull()
+    so_far = [(name, known & bid, known & ask) for name, bid, ask in _level_delta()]
+    own = _sided(near, _zero_print(), _delta_domination(), _diagonal(3) if diagonal else _horizontal(3), _big_cluster(), *so_far)
+    rows = _marks(bars.where("n_trades > 0"), levels, "bid").unionByName(own).unionByName(flag_auction(cells, bars, scale))
     return rows.groupBy(*BAR, "level").agg(F.bit_or("bid_flags").alias("bid_flags"), F.bit_or("ask_flags").alias("ask_flags"))

@@ -101,34 +101,42 @@ def parkinson_term(bars: DataFrame) -> DataFrame:
     return bars.withColumn("park_term", F.bround(F.coalesce(ratio * ratio * 1_000_000_000, F.lit(0.0))).cast("long"))
 
 
-def smoothed(bars: DataFrame, source: str, out: str, period: int, gap_mode: str = "carry") -> DataFrame:
-    """x = floor((x_before * (period - 1) + source) / period) along each session, from its first value.
+def smoothed(bars: DataFrame, columns: dict[str, tuple[str, int]], gap_mode: str = "carry") -> DataFrame:
+    """``columns`` names outputs with their source and period: x = floor((x_before * (period - 1) + source) / period) along each session, from its
+    first value.
 
     Filled bars carry x; with ``gap_mode='zero'`` they hold 0 and the recurrence goes on from that.
     """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bar_start")
-        x, values = None, []
-        for value, filled in zip(pdf["value"], pdf["is_filled"], strict=True):
-            if filled and x is not None:
-                x = x if gap_mode == "carry" else 0
-            else:
-                x = int(value) if x is None else (x * (period - 1) + int(value)) // period
-            values.append(x)
-        return pdf.assign(out=values)[["symbol", "session_no", "bar_start", "out"]]
-
-    keyed = bars.select(*SESSION, "bar_start", "is_filled", F.col(source).alias("value"))
-    folded = keyed.groupBy(*SESSION).applyInPandas(fold, "symbol string, session_no long, bar_start long, out long")
-    return bars.join(folded.withColumnRenamed("out", out), [*SESSION, "bar_start"])
+        for name, (source, period) in columns.items():
+            x, values = None, []
+            for value, filled in zip(pdf[source], pdf["is_filled"], strict=True):
+                if filled and x is not None:
+                    x = x if gap_mode == "carry" else 0
+                else:
+                    x = int(value) if x is None else (x * (period - 1) + int(value)) // period
+                values.append(x)
+            pdf[name] = values
+        return pdf[["symbol", "session_no", "bar_start", *columns]]
+
+    keyed = bars.select(*SESSION, "bar_start", "is_filled", *[source for source, _ in columns.values()])
+    folded = keyed.groupBy(*SESSION).applyInPandas(fold, "symbol string, session_no long, bar_start long, " + ", ".join(f"{name} long" for name in columns))
+    return bars.join(folded, [*SESSION, "bar_start"])
 
 
 def atr(bars: DataFrame, period: int = 14, gap_mode: str = "carry") -> DataFrame:
-    return smoothed(true_range(bars), "true_range", "atr", period, gap_mode)
+    return smoothed(true_range(bars), {"atr": ("true_range", period)}, gap_mode)
 
 
 def parkinson(bars: DataFrame, period: int = 12, gap_mode: str = "carry") -> DataFrame:
-    return smoothed(parkinson_term(bars), "park_term", "parkinson", period, gap_mode)
+    return smoothed(parkinson_term(bars), {"parkinson": ("park_term", period)}, gap_mode)
+
+
+def atr_and_parkinson(bars: DataFrame, atr_period: int = 14, park_period: int = 12, gap_mode: str = "carry") -> DataFrame:
+    """Both in one pass over each session."""
+    return smoothed(parkinson_term(true_range(bars)), {"atr": ("true_range", atr_period), "parkinson": ("park_term", park_period)}, gap_mode)
 
 
 def row_blocks(bars: DataFrame, n: int, size: int = 4096) -> DataFrame:

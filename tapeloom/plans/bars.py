@@ -30,7 +30,7 @@ def close_bars(trades: DataFrame, tf: int, scale: int, bar_count: int, mode: str
     bars = stored(session_bars(trades, tf, bar_count, mode), "session-bars")
     cells = stored(session_cells(trades, bars, tf, scale), "session-cells")
     full = i.vwap_bands(i.cvd(i.fill_missing_bars(bars, tf, bar_count)), k)
-    full = i.moving_averages(i.parkinson(i.atr(full, atr_period, gap_mode), park_period, gap_mode), ma)
+    full = i.moving_averages(i.atr_and_parkinson(full, atr_period, park_period, gap_mode), ma)
     own = c.value_area(c.bar_volume_profile(cells), BAR, scale)
     session = i.session_value_area(cells, scale)
     return full.join(own, BAR, "left").join(session, ["symbol", "session_no", "bar_start"], "left").drop("pq", "ppq")
