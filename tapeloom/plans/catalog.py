@@ -720,9 +720,9 @@ def a1_a2_csv_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = t.select("trade_id", (F.col("n_price") / 100).cast("decimal(18,2)").alias("price"), "n_qty", F.lit(0).alias("first_id"), F.lit(0).alias("last_id"), "ts_ms", "is_sell", "symbol")
     rows.write.partitionBy("symbol").option("header", True).csv(path)
     read = spark.read.schema(stores.TRADE_CSV + ", symbol string").csv(path, header=True)
-    exact = dec.scale_trades(read, 100, 1000)
-    both = exact.withColumn("rounded", F.bround(F.col("price").cast("double") * 100).cast("long")).withColumn("truncated", ((F.col("n_price") / 100) * 100).cast("long"))
-    return both.select("symbol", "trade_id", "ts_ms", "n_price", "n_qty", "is_sell", "rounded", "truncated")
+    for mode, name in (("round", "rounded"), ("trunc", "truncated")):
+        read = dec.scale_trades(read, 100, 1000, mode).withColumnRenamed("n_price", name)
+    return dec.scale_trades(read, 100, 1000).select("symbol", "trade_id", "ts_ms", "n_price", "n_qty", "is_sell", "rounded", "truncated")
 
 
 @query(with_(v.TRADES) + "SELECT symbol, trade_id, ts_ms, n_price, n_qty, is_sell FROM trades WHERE symbol = (SELECT min(symbol) FROM trades) AND ts_ms >= 1704499200000 AND ts_ms < 1705017600000")
