@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bar_start, floor_div, pnl, slipped_price
+from ..sources.scratch import stored
 
 AT = ["symbol", "bar_start"]
 
@@ -76,24 +77,29 @@ def first_touch(orders: DataFrame, trades: DataFrame, bars: DataFrame, tf: int,
     levels += fine
     widths = [base * fan**k for k in range(levels + 1)]
     traded = bars.where("n_trades > 0").select("symbol", F.col("bar_start").alias("at"), "high", "low")
-    slots = t.groupBy("symbol", "slot").agg(F.max("px").alias("high"), F.min("px").alias("low")).select("symbol", (F.col("slot") * base).alias("at"), "high", "low")
+    slots = stored(t.groupBy("symbol", "slot").agg(F.max("px").alias("high"), F.min("px").alias("low")).select("symbol", (F.col("slot") * base).alias("at"), "high", "low"), "touch-slots")
     nodes = [
         (traded if k >= fine else slots).groupBy("symbol", floor_div("at", w).alias("node"), floor_div("at", w * fan).alias("parent")).agg(F.max("high").alias("high"), F.min("low").alias("low")) for k, w in enumerate(widths)
     ]
-    pending = live.drop("slot").join(same, "order_id", "left_anti")
-    hit = None
+    # each step is written, so that the next ones, which use it twice, do not compute it again
+    step = stored(live.drop("slot").join(same, "order_id", "left"), "touch-step")
+    done, pending, hit = step.where("t IS NOT NULL").select("order_id", "t"), step.where("t IS NULL").drop("t"), None
+    order = pending.columns
     for k, w in enumerate(widths):
         asked = pending.withColumns({"own": floor_div("active_ts", w), "parent": floor_div("active_ts", w * fan)})
         near = asked.join(nodes[k], ["symbol", "parent"]) if k < levels else asked.drop("parent").join(nodes[k].drop("parent"), "symbol")
         found = near.where(f"node > own AND ({reaches})").groupBy("order_id").agg(F.min("node").alias("node"))
-        pending = pending.join(found, "order_id", "left_anti")
+        step = stored(pending.join(found, "order_id", "left"), "touch-step")
+        reached, pending = step.where("node IS NOT NULL"), step.where("node IS NULL").drop("node")
         for j in range(k - 1, -1, -1):
-            inside = live.join(found.withColumnRenamed("node", "parent"), "order_id").join(nodes[j], ["symbol", "parent"]).where(reaches)
-            found = inside.groupBy("order_id").agg(F.min("node").alias("node"))
-        hit = found if hit is None else hit.union(found)
-    where = live.drop("slot").join(hit.withColumnRenamed("node", "slot"), "order_id")
-    later = where.join(t, ["symbol", "slot"]).where(meets).groupBy("order_id").agg(pick)
-    out = orders.join(same.union(later), "order_id", "left")
+            inside = reached.withColumnRenamed("node", "parent").join(nodes[j], ["symbol", "parent"]).where(reaches)
+            reached = inside.groupBy(*order).agg(F.min("node").alias("node"))
+        reached = reached.select(*order, "node")
+        hit = reached if hit is None else hit.union(reached)
+        if pending.isEmpty():
+            break
+    later = hit.withColumnRenamed("node", "slot").join(t, ["symbol", "slot"]).where(meets).groupBy("order_id").agg(pick)
+    out = orders.join(done.union(later), "order_id", "left")
     price = F.when(F.col("t").isNotNull(), F.when(F.col("is_stop"), slipped_price(F.col("t.px"), "is_buy", slip_bps)).otherwise(F.col("n_price")))
     return out.select(*orders.columns, "t.touch_ts", "t.touch_id", price.alias("touch_price"))
 
