@@ -31,8 +31,7 @@ def words_of(text: Column) -> Column:
 def measures(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns, the text ``t``, its words ``w``, ``word_chars`` and the class counts ``classes`` of every document."""
     out = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("t"))
-    out = out.select("*", words_of(F.col("t")).alias("w"))
-    out = out.withColumn("word_chars", F.length(F.array_join("w", "")))
+    out = out.withColumns({"w": words_of(F.col("t")), "word_chars": F.length(F.regexp_replace("t", SPACES, ""))})
     # white space and a-z, nearly all of a text, go first; each further class is removed from what the last one left
     patterns = (r"[a-z\x20\x09-\x0D]+", "[A-Z]+", "[0-9]+", r"[.,;:!?'\x22()-]+", r"[\x00-\x7F]+")
     names = ["t"]
@@ -48,15 +47,16 @@ def measures(docs: DataFrame, keep: list[str]) -> DataFrame:
 def references(docs: DataFrame) -> DataFrame:
     """``lang, ref_words, ref_word_n, ref_classes``: for each language with words enough, and for null as the language of all documents."""
     named = measures(docs, ["lang"])
-    classes = named.groupBy("lang").agg(F.sum(F.size("w")).alias("n_words"), *[F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(7)])
-    classes = materialize(classes, "rules-classes")
-    all_classes = classes.agg(F.lit(None).cast("string").alias("lang"), *[F.sum(c).alias(c) for c in classes.columns[1:]])
-    total = all_classes.first()["n_words"] or 0
-    own = classes.where(F.col("lang").isNotNull() & (F.col("n_words") >= max(LEAST_REFERENCE, -(-total // LEAST_SHARE))))
+    classes = materialize(named.groupBy("lang").agg(*[F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(7)]), "rules-classes")
     words = docs.select("lang", F.explode(words_of(F.coalesce(F.col("text"), F.lit("")))).alias("word"))
     counts = materialize(words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "rules-words")
+    sizes = materialize(counts.groupBy("lang").agg(F.sum("n").alias("n_words")), "rules-sizes")
+    total = sizes.agg(F.sum("n_words")).first()[0] or 0
+    enough = sizes.where(F.col("lang").isNotNull() & (F.col("n_words") >= max(LEAST_REFERENCE, -(-total // LEAST_SHARE))))  # at most LEAST_SHARE rows
+    own = classes.join(F.broadcast(enough), "lang").select("lang", "n_words", *classes.columns[1:])
+    all_classes = classes.agg(F.lit(None).cast("string").alias("lang"), F.lit(total).cast("long").alias("n_words"), *[F.sum(c).alias(c) for c in classes.columns[1:]])
     pooled = counts.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), "word", "n")
-    both = counts.join(F.broadcast(own.select("lang")), "lang", "left_semi").unionByName(pooled)
+    both = counts.join(F.broadcast(enough.select("lang")), "lang", "left_semi").unionByName(pooled)
     best = lambda *part: F.row_number().over(Window.partitionBy("lang", *part).orderBy(F.desc("n"), "word"))
     top = both.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(PARTS))).withColumn("r", best("part")).where(F.col("r") <= COMMON)
     top = top.withColumn("r", best()).where(F.col("r") <= COMMON)
@@ -92,8 +92,8 @@ def judge(docs: DataFrame) -> DataFrame:
     listed = F.broadcast(refs.where("ref_lang IS NOT NULL"))  # at most LEAST_SHARE languages
     every = refs.where("ref_lang IS NULL").selectExpr("ref_words AS all_words", "ref_word_n AS all_word_n", "ref_classes AS all_classes")
     m = measures(docs, docs.columns)
-    grams = F.expr("if(size(w) >= 3, transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2])), array())")
-    m = m.withColumn("g", grams)
+    m = m.withColumn("hw", F.expr("transform(w, x -> xxhash64(x))"))
+    m = m.withColumn("g", F.expr("if(size(hw) >= 3, transform(slice(hw, 1, size(hw) - 2), (h, i) -> xxhash64(h, hw[i + 1], hw[i + 2])), array())"))
     span = "(9223372036854775807 div size(g))"
     m = m.withColumn("o", F.expr(f"if(size(array_distinct(g)) = size(g), array(), sort_array(transform(g, (h, i) -> pmod(h, {span}) * size(g) + i)))"))
     m = m.withColumn("p", F.expr("transform(o, x -> cast(x % size(g) AS int))"))
@@ -104,8 +104,8 @@ def judge(docs: DataFrame) -> DataFrame:
     joined = m.join(listed, m.lang == listed.ref_lang, "left").crossJoin(F.broadcast(every.limit(1)))
     for c in ("words", "word_n", "classes"):
         joined = joined.withColumn(f"r_{c}", F.coalesce(f"ref_{c}", f"all_{c}"))
-    joined = joined.withColumn("at", F.expr("transform(w, x -> cast(array_position(r_words, x) AS int))"))
-    joined = joined.withColumn("hits", F.array(*[F.expr(f"cast(size(w) - size(array_remove(at, {i + 1})) AS bigint)") for i in range(COMMON)]))
+    joined = joined.withColumn("at", F.expr("filter(transform(w, x -> cast(array_position(r_words, x) AS int)), x -> x > 0)"))
+    joined = joined.withColumn("hits", F.array(*[F.expr(f"cast(size(at) - size(array_remove(at, {i + 1})) AS bigint)") for i in range(COMMON)]))
     hist = "concat(slice(hits, 1, size(r_words)), array(size(w) - aggregate(hits, 0L, (a, x) -> a + x)))"
     counted = joined.select(
         *docs.columns,
