@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-#: Characters of a batch; bytes of the words and of the pairs of pieces that a task's process remembers; the longest word remembered.
-BATCH_CHARS, CACHE_BYTES, CACHE_WORD = 1 << 20, 64 << 20, 64
+#: Characters of a batch; bytes of the words and of half of the pairs of pieces that a task's process remembers; the longest word remembered.
+BATCH_CHARS, CACHE_BYTES, CACHE_WORD = 1 << 20, 128 << 20, 64
 #: An unknown character scores so much less than the least piece.
 UNKNOWN_PENALTY = 10.0
 UNIGRAM, BPE = 1, 2
@@ -86,7 +86,10 @@ class Vocabulary:
         #: Words can be cut before a mark and around line ends if no piece crosses there.
         self.cuts = not any("\n" in p or MARK in p.lstrip(MARK) for p in pieces)
         self.word = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+") if self.cuts else re.compile("(?s).+")
-        self._pairs, self._words = Remembered(CACHE_BYTES), Remembered(CACHE_BYTES)
+        self._words = Remembered(CACHE_BYTES)
+        self._pairs: dict[tuple[str, str], bool] = {}
+        self._older: dict[tuple[str, str], bool] = {}
+        self._most = CACHE_BYTES // (250 + 8 * self.longest)
         #: Neighbouring characters inside pieces; where two others meet, no merge can cross.
         self._joints = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
         #: Each suffix of a piece, with whether it can be a piece of an encoding: it is one, and encodes to itself.
@@ -94,8 +97,14 @@ class Vocabulary:
         for p in pieces:
             for at in range(1, len(p)):
                 self._suffixes.setdefault(p[at:], False)
+        #: The merges that make each piece, in order: score, and the first and last part after it.
+        self._merges: dict[str, list[tuple[float, str, str]]] = {}
+        #: Each piece as packed ids.
+        self._packed = {p: np.int32(i).tobytes() for p, i in pieces.items()}
         for p in pieces:
-            self._suffixes[p] = len(p) == 1 or not bpe or self.merge(p) == [p]
+            steps: list[tuple[float, str, str]] = []
+            self._suffixes[p] = not bpe or self.merge(p, steps) == [p]
+            self._merges[p] = steps
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -127,39 +136,76 @@ class Vocabulary:
         names = [t.decode("utf-8", "replace").replace(" ", MARK) for t in self.texts]
         return Vocabulary, (self.pieces, self.scores, self.byte_ids, self.unknown, names, self.bpe, self.prefix)
 
-    def merge(self, word: str) -> list[str]:
-        """BPE by its definition: join the neighbours whose union scores best, the leftmost first, until none is a piece."""
+    def merge(self, word: str, steps: list[tuple[float, str, str]] | None = None) -> list[str]:
+        """BPE by its definition: join the neighbours whose union scores best, the leftmost first, until none is a piece; ``steps`` takes the merges."""
+        score, no = self.scores.get, float("-inf")
         parts = list(word)
-        while len(parts) > 1:
-            joined = [(self.scores.get(a + b), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False))]
-            best = max((s, -i) for s, i in joined if s is not None) if any(s is not None for s, _ in joined) else None
-            if best is None:
-                break
-            i = -best[1]
+        joined = [score(a + b, no) for a, b in zip(parts, parts[1:], strict=False)]
+        while joined and (best := max(joined)) > no:
+            i = joined.index(best)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del joined[i]
+            if steps is not None:
+                steps.append((best, parts[0], parts[-1]))
+            if i:
+                joined[i - 1] = score(parts[i - 1] + parts[i], no)
+            if i < len(joined):
+                joined[i] = score(parts[i] + parts[i + 1], no)
         return parts
 
+    def _stay_apart(self, last: str, piece: str) -> bool:
+        """Whether two encodings side by side are one: their merges are replayed in order of score until one across is better than the next of either.
+
+        Up to then neither side sees the other. Of equal scores the leftmost is first: the left side's, the one across, the right side's.
+        """
+        score, no = self.scores.get, float("-inf")
+        left, right = self._merges.get(last, ()), self._merges.get(piece, ())
+        x, y, i, j = last[-1], piece[0], 0, 0
+        while True:
+            across = score(x + y, no)
+            a = left[i][0] if i < len(left) else no
+            b = right[j][0] if j < len(right) else no
+            if across > a and across >= b:
+                return False
+            if a >= b:
+                if a == no:
+                    return True
+                x, i = left[i][2], i + 1
+            else:
+                y, j = right[j][1], j + 1
+
     def _extends(self, last: str, piece: str) -> bool:
-        if last[-1] + piece[0] not in self._joints:
-            return True
-        known = self._pairs.get((last, piece))
+        """Whether ``last`` and ``piece`` stay apart; answers are kept in two halves of bounded size, the older of which is forgotten."""
+        pair = (last, piece)
+        known = self._older.get(pair)
         if known is None:
-            known = self.merge(last + piece) == [last, piece]
-            self._pairs.put((last, piece), known)
+            known = self._stay_apart(last, piece)
+        if len(self._pairs) >= self._most:
+            self._older = self._pairs.copy()
+            self._pairs.clear()
+        self._pairs[pair] = known
         return known
 
-    def _step_bpe(self, word: str, i: int, last: list[str]) -> str:
-        """The last piece of the encoding of word[:i]."""
-        suffixes = self._suffixes
-        for at in range(i - 1, -1, -1):
-            piece = word[at:i]
-            usable = suffixes.get(piece)
-            if usable is None and at < i - 1:
-                break
-            if usable or at == i - 1:
-                if not at or self._extends(last[at], piece):
-                    return piece
-        raise AssertionError(word)
+    def _step_bpe(self, word: str, first: int, last: list[str]) -> None:
+        """Append the last pieces of the encodings of word[:i] to ``last``, for i from ``first``: the piece that extends the state at its own start."""
+        suffixes, pairs, joints = self._suffixes, self._pairs, self._joints
+        for i in range(first, len(word) + 1):
+            at, piece = i - 1, word[i - 1]
+            while at:
+                before = last[at]
+                if before[-1] + piece[0] not in joints:
+                    break
+                fits = pairs.get((before, piece))
+                if fits or (fits is None and self._extends(before, piece)):
+                    break
+                at -= 1
+                piece = word[at:i]
+                while not (usable := suffixes.get(piece)):
+                    if usable is None or not at:
+                        raise AssertionError(word)
+                    at -= 1
+                    piece = word[at:i]
+            last.append(piece)
 
     def _step_viterbi(self, word: str, i: int, best: list[float]) -> tuple[float, str]:
         found = None
@@ -182,10 +228,10 @@ class Vocabulary:
                     break
                 same += 1
             del last[same + 1 :], best[same + 1 :]
-            for i in range(same + 1, len(word) + 1):
-                if self.bpe:
-                    last.append(self._step_bpe(word, i, last))
-                else:
+            if self.bpe:
+                self._step_bpe(word, same + 1, last)
+            else:
+                for i in range(same + 1, len(word) + 1):
                     score, piece = self._step_viterbi(word, i, best)
                     best.append(score)
                     last.append(piece)
@@ -212,7 +258,8 @@ class Vocabulary:
         cut = [None if t is None else self.word.findall(head + t.replace(" ", MARK)) if t else [] for t in texts]
         known = {w: self._words.get(w) for w in {w for c in cut if c for w in c}}
         for word, parts in self.segment(sorted(w for w, ids in known.items() if ids is None)):
-            known[word] = np.array(self.ids(parts), np.int32).tobytes()
+            packed = list(map(self._packed.get, parts))
+            known[word] = np.array(self.ids(parts), np.int32).tobytes() if None in packed else b"".join(packed)
             if len(word) <= CACHE_WORD:
                 self._words.put(word, known[word])
         packed = [None if c is None else b"".join(map(known.__getitem__, c)) for c in cut]
