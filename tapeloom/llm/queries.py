@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, lines, neardup, pieces, quality, rules, sharding, substring, urls
+from . import decontaminate, language, lines, neardup, negatives, pieces, quality, rules, sharding, substring, urls
 from .common import table
 from .oracles import ORACLES as ORACLES
 
@@ -64,4 +64,8 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_sentencepiece, op3_substring_dedup, op4_language_id, op5_quality_classifier, op6_decontamination, op7_sharding, op8_quality_rules, op9_line_dedup, op10_minhash)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", negatives.turned_labels()))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_sentencepiece, op3_substring_dedup, op4_language_id, op5_quality_classifier, op6_decontamination, op7_sharding, op8_quality_rules, op9_line_dedup, op10_minhash, op11_hard_negatives)}
