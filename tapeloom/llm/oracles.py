@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import rules
+from . import licenses, rules
 
 OP1 = r"""WITH p AS (SELECT page_id, url, lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#]+)', 1), '\.+$', '')) AS host, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path, 1704067200 + (page_id * 7919 % 2160) * 3600 AS ts FROM pages),
  vs AS (SELECT 'domain' AS kind, host AS value FROM p WHERE host <> '' UNION SELECT 'path', host || '/' || lower(split_part(path, '/', 2)) FROM p WHERE host <> '' AND path NOT IN ('', '/')),
@@ -72,4 +72,32 @@ OP11 = r"""WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (CAST(l
  n AS (SELECT anchor_id, positive_id, id AS negative_id, positive_score, score AS negative_score, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
 SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10"""
 
-ORACLES = {"op1_url_filters": OP1, "op3_substring_dedup": OP3, "op6_decontamination": OP6, "op8_quality_rules": OP8, "op10_minhash": OP10, "op11_hard_negatives": OP11}
+OP12 = r"""WITH p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+ g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k) GROUP BY ALL HAVING count(*) >= 30),
+ n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+ c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE k > 1),
+ s AS (SELECT q.lang, q.phrase, a, cut, l.f AS l, r.f AS r, CAST(CAST(2000000 AS HUGEINT) * a // (l.f + r.f) AS BIGINT) AS score FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) q
+  JOIN g l ON l.lang = q.lang AND l.k = cut AND l.phrase = array_to_string(w[1:cut], ' ') JOIN g r ON r.lang = q.lang AND r.k = q.k - cut AND r.phrase = array_to_string(w[cut + 1:q.k], ' ')),
+ m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+ x AS (SELECT lang, phrase, max(a) AS f FROM (SELECT lang, a, array_to_string(w[i:i + z - 1], ' ') AS phrase FROM (SELECT lang, a, w, z, unnest(range(1, k - z + 2)) AS i FROM c, (SELECT unnest([2, 3]) AS z) WHERE z < k)) GROUP BY ALL),
+ y AS (SELECT m.* FROM m LEFT JOIN x USING (lang, phrase) WHERE f IS NULL OR CAST(100 AS HUGEINT) * f < CAST(80 AS HUGEINT) * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM y JOIN n USING (lang) QUALIFY rank <= 2000"""
+
+_NOTICES = ", ".join(f"({i}, '{text}', '{label}')" for i, (text, label) in enumerate(licenses.NOTICES))
+_PHRASES = ", ".join(f"('{text}', '{label}')" for text, label in licenses.PHRASES)
+OP13 = rf"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+ n AS (SELECT notice, label, string_split(text, ' ') AS w FROM (VALUES {_NOTICES}) v(notice, text, label)),
+ ng AS (SELECT notice, i - 1 AS t, array_to_string(w[i:i + {licenses.GRAM - 1}], ' ') AS g FROM (SELECT notice, w, unnest(range(1, len(w) - {licenses.GRAM - 2})) AS i FROM n)),
+ dg AS (SELECT doc_id, i - 1 AS d, array_to_string(w[i:i + {licenses.GRAM - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {licenses.GRAM - 2})) AS i FROM d WHERE len(w) >= {licenses.GRAM})),
+ v AS (SELECT DISTINCT doc_id, notice, d - t AS diagonal, t FROM dg JOIN ng USING (g)),
+ x AS (SELECT doc_id, notice, diagonal, sum(new) OVER (PARTITION BY doc_id, notice ORDER BY diagonal) AS grp FROM (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, notice ORDER BY diagonal) > {licenses.GAP} THEN 1 ELSE 0 END AS new FROM (SELECT DISTINCT doc_id, notice, diagonal FROM v))),
+ c AS (SELECT doc_id, notice, grp, count(DISTINCT t + j) AS covered FROM v JOIN x USING (doc_id, notice, diagonal), range({licenses.GRAM}) r(j) GROUP BY ALL),
+ s AS (SELECT doc_id, label, covered / len(w) AS cover FROM c JOIN n USING (notice) WHERE covered / len(w) >= {licenses.LEAST_COVER}),
+ p AS (SELECT label, string_split(text, ' ') AS pw FROM (VALUES {_PHRASES}) v(text, label)),
+ b AS (SELECT doc_id, label, i - 1 AS pl FROM (SELECT doc_id, w, label, pw, unnest(range(1, len(w) - len(pw) + 2)) AS i FROM d, p WHERE len(w) >= len(pw)) WHERE w[i:i + len(pw) - 1] = pw),
+ bs AS (SELECT doc_id, count(*) AS n, min(pl) AS lo, max(pl) AS hi, list(DISTINCT label) AS ls FROM b GROUP BY doc_id),
+ ss AS (SELECT doc_id, max(cover) AS m, list(DISTINCT label) AS ms FROM s GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, lo AS first_word, hi AS last_word, array_to_string(list_sort(coalesce(ls, [])), ',') AS base_labels,
+ array_to_string(list_sort(list_distinct(list_concat(coalesce(ls, []), coalesce(ms, [])))), ',') AS labels, coalesce(m, 0.0) AS score FROM d LEFT JOIN bs USING (doc_id) LEFT JOIN ss USING (doc_id)"""
+
+ORACLES = {"op1_url_filters": OP1, "op3_substring_dedup": OP3, "op6_decontamination": OP6, "op8_quality_rules": OP8, "op10_minhash": OP10, "op11_hard_negatives": OP11, "op12_collocations": OP12, "op13_license_scans": OP13}

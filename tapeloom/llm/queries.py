@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, lines, neardup, negatives, pieces, quality, rules, sharding, substring, urls
+from . import collocations, decontaminate, language, licenses, lines, neardup, negatives, pieces, quality, rules, sharding, substring, urls
 from .common import table
 from .oracles import ORACLES as ORACLES
 
@@ -68,4 +68,13 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", negatives.turned_labels()))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_sentencepiece, op3_substring_dedup, op4_language_id, op5_quality_classifier, op6_decontamination, op7_sharding, op8_quality_rules, op9_line_dedup, op10_minhash, op11_hard_negatives)}
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scanned.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_sentencepiece, op3_substring_dedup, op4_language_id, op5_quality_classifier, op6_decontamination, op7_sharding, op8_quality_rules, op9_line_dedup, op10_minhash, op11_hard_negatives, op12_collocations, op13_license_scans)}

@@ -1,11 +1,16 @@
 """Hard negatives, collocations and license scans against plain versions, with nulls, ties, repeats, empty tables and clashing names."""
 
 import math
+import random
+import re
+from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tapeloom.llm import negatives
+from tapeloom.llm import collocations, licenses, negatives
 
 VECTORS = "vec_id long, embedding array<float>, label int, a_bucket string, score double, id int"
 
@@ -95,3 +100,169 @@ def test_pruned_searches_lose_nothing_whatever_the_slabs_and_seeds(monkeypatch,
         want = sorted((-s[j], ids[j]) for j in range(len(ids)) if labels[j] == labels[i] and j != i)[:5]
         assert [(-a, b) for a, b in zip(score[slot == n], found[slot == n], strict=True)] == want
     assert sum(met) < 0.6 * len(who) * len(ids)  # coordinate ranges and lengths leave out the rest
+
+
+DOC = "doc_id long, text string, lang string, id int, n long, spans string"
+
+
+def lowered(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def plain_collocations(rows, least, top=2000):
+    f, n = Counter(), Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\n-\r]", lowered(text)):
+            w = [x for x in re.split(r"[ \t]+", piece) if x]
+            n[lang] += len(w)
+            f.update((lang, *w[i : i + k]) for k in (1, 2, 3, 4) for i in range(len(w) - k + 1))
+    cand = {p: a for p, a in f.items() if a >= least and len(p) > 2}
+    covered = Counter()
+    for p, a in cand.items():
+        for k in range(2, len(p) - 1):
+            for i in range(1, len(p) - k + 1):
+                sub = (p[0], *p[i : i + k])
+                covered[sub] = max(covered[sub], a)
+    found = {}
+    for p, a in cand.items():
+        if 100 * covered[p] >= 80 * a:
+            continue
+        cuts = [(2_000_000 * a // (f[p[:c]] + f[(p[0], *p[c:])]), c, f[p[:c]], f[(p[0], *p[c:])]) for c in range(2, len(p))]
+        score, _, left, right = min(cuts)
+        found.setdefault(p[0], []).append((-score, -a, " ".join(p[1:]).encode(), left, right))
+    return sorted((lang, r, p.decode(), -a, left, right, n[lang], -s) for lang, xs in found.items() for r, (s, a, p, left, right) in enumerate(sorted(xs)[:top], 1))
+
+
+def phrases_text(seed, n):
+    rng = random.Random(seed)
+    stock = ["New York", "of the", "machine learning model", "in spite of", "Éa ñu", "state-of the art thing", "x"]
+    words = [rng.choice(stock) if rng.random() < 0.4 else "w%d" % min(rng.randrange(60), rng.randrange(60)) for _ in range(n)]
+    return "".join(w + rng.choice([" ", " ", " ", "  ", "\t", ", ", ".\n", " \u00a0 "]) for w in words)
+
+
+TEXTS = [(phrases_text(i, 150), ("en", "fr", None, "und")[i % 4]) for i in range(24)] + [(None, "en"), ("", "en"), (" .\t\n", "xx"), ("alone", "yy"), (phrases_text(3, 150), None), ("Q" * 5000 + " " + "a b " * 400, "en")]
+
+
+def collocated(spark, rows, **how):
+    df = spark.createDataFrame([(i, t, lang, 7, 8, "z") for i, (t, lang) in enumerate(rows)], DOC)
+    got = collocations.collocations(df, **how)
+    assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+    return sorted(tuple(r) for r in got.collect())
+
+
+def test_collocations_match_a_plain_version(spark):
+    want = plain_collocations(TEXTS, 5)
+    assert len(want) > 100 and any(len(r[2].split(" ")) == 4 for r in want)
+    assert collocated(spark, TEXTS, least=5) == want
+    assert collocated(spark, TEXTS, least=5, top=7) == plain_collocations(TEXTS, 5, 7)
+
+
+def test_collocations_with_most_words_joined_and_phrases_in_many_passes(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "HEAD_WORDS", 5)
+    monkeypatch.setattr(collocations, "SLICE", 40)
+    rows = TEXTS + [(("long" * 30 + " tail ") * 9, "en")]  # a frequent word too long for the head
+    assert collocated(spark, rows, least=4) == plain_collocations(rows, 4)
+
+
+def test_collocations_of_tables_without_phrases(spark):
+    assert collocated(spark, []) == []
+    assert collocated(spark, [(None, None), ("a b", "en")]) == []
+
+
+@pytest.mark.parametrize(("chunk", "piece"), [(10, 7), (64, 50), (10**6, 10**6)])
+def test_streams_are_the_same_however_they_are_cut(monkeypatch, chunk, piece):
+    monkeypatch.setattr(collocations, "CHUNK", chunk)
+    monkeypatch.setattr(collocations, "CHUNK_BYTES", piece)
+    text = phrases_text(5, 300).encode()
+    assert b"".join(collocations.text_slices(text)) == text.translate(collocations._LOWER)
+    head = pa.table({"lang": ["en"] * 62, "word": pa.array([b"x", b"w1"] + [b"w%d" % i for i in range(2, 62)], pa.binary()), "id": list(range(62))})
+    batch = pa.record_batch([pa.array(["en", "fr", "en"]), pa.array([text, b"x x", None], pa.binary())], names=["lang", "text"])
+    counts, words = Counter(), 2
+    for out in collocations._count_level(words)(iter([next(iter([b])) for b in [
+        pa.record_batch([b.column("own"), b.column("ids"), b.column("ids")], names=["own", "ids", "gram"]) for b in collocations._encode(SimpleNamespace(value=(f"k{chunk}", head)))(iter([batch]))]])):
+        for a, b, n in zip(*(c.to_pylist() for c in out.columns), strict=True):
+            counts[a, b] += n
+    number = dict(zip(head["word"].to_pylist(), range(62), strict=True))
+    want = Counter()
+    for part in re.split(rb"[\n]", text.translate(collocations._LOWER)):
+        w = [number.get(x, -1) for x in part.split()]
+        want.update((w[i], w[i + 2]) for i in range(len(w) - 2) if min(w[i : i + 3]) >= 0)
+    assert counts == want
+
+
+def test_dense_and_sparse_tiles_count_alike(monkeypatch):
+    rng = np.random.default_rng(1)
+    a, b = (np.minimum(rng.zipf(1.3, 50000) - 1, 40000) for _ in range(2))
+    want = Counter(zip(a.tolist(), b.tolist(), strict=True))
+    for least in (1, 500, 10**9):
+        monkeypatch.setattr(collocations, "DENSE", least)
+        got = collocations.count_pairs(a, b)
+        assert {(x, y): n for x, y, n in zip(*(c.tolist() for c in got), strict=True)} == want and len(got[0]) == len(want)
+
+
+def test_cut_scores_are_exact_beyond_64_bits(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(9_000_000_000_000_000_000, 9_000_000_000_000_000_000, 9_100_000_000_000_000_000), (30, 31, 32), (7, 7, 7)]
+    df = spark.createDataFrame(rows, "a long, l long, r long").select(collocations.weakest_cut(F.col("a"), F.col("l"), F.col("r")).alias("s"))
+    assert [r.s for r in df.collect()] == [2_000_000 * a // (x + y) for a, x, y in rows]
+
+
+def plain_scan(text, notices, phrases):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(text))
+    places = [(i, label) for p, label in phrases for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+    labels, score = {label for _, label in places}, 0.0
+    for words, label in notices:
+        t, votes = words.split(), {}
+        for i in range(len(w) - 2):
+            for j in range(len(t) - 2):
+                if w[i : i + 3] == t[j : j + 3]:
+                    votes.setdefault(i - j, set()).add(j)
+        groups, last = [], None
+        for d in sorted(votes):
+            if last is None or d - last > 3:
+                groups.append(set())
+            last = d
+            groups[-1] |= {j + k for j in votes[d] for k in range(3)}
+        for g in groups:
+            if len(g) / len(t) >= 0.6:
+                labels.add(label)
+                score = max(score, len(g) / len(t))
+    at = [i for i, _ in places]
+    return len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places})), ",".join(sorted(labels)), score
+
+
+def license_texts():
+    rng = random.Random(4)
+    filler = lambda n: " ".join("w%d" % rng.randrange(50) for _ in range(n))
+    out = [None, "", " .,", "mit", "MIT License; mit-license! CC BY cc by cc", "GNU General Public License " * 3, filler(200)]
+    for words, _ in licenses.NOTICES:
+        w = words.split()
+        out.append(filler(30) + " " + words.title() + ". " + filler(5))
+        cut = w[: len(w) // 2] + ["inserted", "words"] + w[len(w) // 2 :]  # neighbouring diagonals
+        out.append(" ".join(cut) + "\n" + filler(40))
+        out.append(filler(10) + " " + " ".join(w[: len(w) // 2]) + " " + filler(80) + " " + " ".join(w[len(w) // 2 :]))  # far apart
+        out.append(" ".join([words] * 3))
+    return out + ["Released under the MIT License. " * 4000 + filler(60000)]
+
+
+def test_license_scans_match_a_plain_version(spark):
+    texts = license_texts()
+    rows = [(i, t, "en", 1, 2, "s") for i, t in enumerate(texts)] + [(None, texts[8], None, None, None, None), (3, "mit", "en", 1, 2, "s"), (9, texts[9], "en", 1, 2, "s"), (9, texts[9], "en", 1, 2, "s")]
+    got = licenses.scan(spark.createDataFrame(rows, DOC))
+    assert got.columns[:4] == ["doc_id", "text", "lang", "id"] and got.columns.count("spans") == 1
+    mine = sorted(((r.doc_id is None, r.doc_id or 0), (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score)) for r in got.collect())
+    want = sorted(((r[0] is None, r[0] or 0), plain_scan(r[1], licenses.NOTICES, licenses.PHRASES)) for r in rows)
+    assert str(mine) == str(want)
+    assert sum(w[1][6] > 0 for w in want) > 40 and any(w[1][6] == 0 and w[1][1] for w in want)
+
+
+def test_spans_say_where_a_notice_stands(spark):
+    text = "one two Released under the MIT License three"
+    (row,) = licenses.scan(spark.createDataFrame([(1, text, "en", 1, 2, "s")], DOC)).collect()
+    assert [(s.start, s.end, s.label, s.cover) for s in row.spans] == [(2, 7, "mit", 1.0)] and row.text == text
+
+
+def test_license_scans_of_an_empty_table(spark):
+    assert licenses.scan(spark.createDataFrame([], DOC)).collect() == []
