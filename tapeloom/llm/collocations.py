@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import discard, materialize, numbered
 
 #: Bytes of text split, and numbers written in a row, at once.
-CHUNK_BYTES, CHUNK = 4 << 20, 1 << 20
+CHUNK_BYTES, CHUNK = 1 << 20, 1 << 18
 #: Distinct words that a task counts before it hands them on.
 DISTINCT = 1 << 18
 #: Words sent to every task: so many of the most frequent, of at most so many bytes each. Others are joined.
@@ -29,7 +29,7 @@ HEAD_WORDS, HEAD_BYTES = 1 << 19, 64
 #: Frequent phrases sent to every task at once; more take more passes over the numbers.
 SLICE = 1 << 21
 #: Side of a tile, tiles a side of the head, and pairs that make a tile dense.
-TILE, HEAD_TILES, DENSE = 512, 32, 512 * 512 // 8
+TILE, HEAD_TILES, DENSE = 256, 64, 256 * 256 // 8
 #: Words of the longest phrase.
 LONGEST = 4
 
@@ -200,18 +200,15 @@ def _fill(words: int, codes, fresh: bool) -> Callable[[Iterator[pa.RecordBatch]]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, number = codes.value
         for batch in batches:
-            done = [None] * batch.num_rows if fresh else [np.frombuffer(x.as_py(), np.int32) for x in batch.column("done")]
-            out = []
-            for (_, ids, gram), before in zip(_arrays(batch), done, strict=True):
-                made = np.full(len(ids), -1, np.int32) if before is None else before.copy()
+            for i, (own, ids, gram) in enumerate(_arrays(batch)):
+                made = np.full(len(ids), -1, np.int32) if fresh else np.frombuffer(batch.column("done")[i].as_py(), np.int32).copy()
                 n = max(0, len(ids) - words + 1)
                 a, b = gram[:n].astype(np.int64), ids[words - 1 : words - 1 + n].astype(np.int64)
                 ask = np.flatnonzero((a >= 0) & (b >= 0) & (made[:n] < 0))
                 query = a[ask] << 32 | b[ask]
                 at = np.minimum(np.searchsorted(known, query), len(known) - 1)
                 made[ask] = np.where(known[at] == query, number[at], -1)
-                out.append(made.tobytes())
-            yield pa.record_batch([*[batch.column(c) for c in ("own", "ids", "gram")], pa.array(out, pa.binary())], names=["own", "ids", "gram", "done"])
+                yield pa.record_batch([pa.array([own], pa.int32()), *[pa.array([x.tobytes()]) for x in (ids, gram, made)]], names=["own", "ids", "gram", "done"])
 
     return run
 
