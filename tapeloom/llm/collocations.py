@@ -11,19 +11,20 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, numbered
 
 #: Bytes of text split, and numbers written in a row, at once.
 CHUNK_BYTES, CHUNK = 1 << 20, 1 << 18
-#: Distinct words that a task counts before it hands them on.
-DISTINCT = 1 << 18
+#: Distinct words that a task counts before it hands them on, and bytes of texts or streams handed to a task at once.
+DISTINCT, BATCH_BYTES = 1 << 17, 8 << 20
 #: Words sent to every task: so many of the most frequent, of at most so many bytes each. Others are joined.
 HEAD_WORDS, HEAD_BYTES = 1 << 19, 64
 #: Frequent phrases sent to every task at once; more take more passes over the numbers.
@@ -258,6 +259,18 @@ def number_phrases(stream: DataFrame, phrases: DataFrame, words: int) -> DataFra
     return stream.select("own", "ids", F.col("done").alias("gram"))
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, size: int) -> Iterator[None]:
+    """Batches of at most ``size`` bytes for the jobs run inside."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, f"{size}b")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def frequent_phrases(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``ids array<long>, n`` of all frequent phrases of one to LONGEST words, the vocabulary, and the words of each language."""
     vocabulary, totals = number_words(docs, least)
@@ -292,7 +305,8 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, cover_pct: i
     too, are read in slices cut between words. A repeated row counts again. An empty table gives no rows; columns beyond text and lang are not read.
     """
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
-    grams, vocabulary, totals = frequent_phrases(docs, least)
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        grams, vocabulary, totals = frequent_phrases(docs, least)
     candidates = grams.where(F.size("ids") > 1)
     cuts = candidates.withColumn("cut", F.explode(F.expr("sequence(1, size(ids) - 1)")))
     cuts = cuts.select("ids", F.col("n").alias("a"), "cut", F.expr("slice(ids, 1, cut)").alias("first"), F.expr("slice(ids, cut + 1, size(ids))").alias("last"))
