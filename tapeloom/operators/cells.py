@@ -93,24 +93,26 @@ def poc(profile: DataFrame, keys: list[str]) -> DataFrame:
 def value_area(profile: DataFrame, keys: list[str], scale: int, open_edges: bool = False) -> DataFrame:
     """``poc, vah, val`` of each group: from the POC towards the larger neighbour, both on a tie, until 70 % of the volume.
 
-    Levels without volume between the highest and lowest count as 0. With ``open_edges`` a tie moves both sides without a range test,
+    Levels without volume between the highest and lowest count as 0; they are passed in stretches, so work goes with the traded levels alone. With ``open_edges`` a tie moves both sides without a range test,
     as on a grid that extends beyond the traded levels.
     """
     listed = profile.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("level", "volume"))).alias("ls"))
-    # one entry a level, the highest first; the sparse list is ordered, so its gaps are filled between neighbours
-    gaps = f"transform(ls, (x, i) -> if(i = 0, array(x.volume), concat(array_repeat(0L, cast((x.level - ls[i - 1].level) div {scale} - 1 AS int)), array(x.volume))))"
-    dense = listed.select(*keys, F.expr("ls[size(ls) - 1].level").alias("top"), F.reverse(F.flatten(F.expr(gaps))).alias("v"))
-    dense = dense.withColumn("c", F.array_position("v", F.array_max("v")).cast("int") - 1).withColumn("tot", F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x))
-    up, down = "coalesce(if(s.u >= 0, get(v, s.u), 0L), 0L)", "coalesce(get(v, s.d), 0L)"
-    go_up = "named_struct('u', s.u - 1, 'd', s.d, 'cur', s.cur + UP)"
-    go_down = "named_struct('u', s.u, 'd', s.d + 1, 'cur', s.cur + DOWN)"
-    both = "named_struct('u', s.u - 1, 'd', s.d + 1, 'cur', s.cur + UP + DOWN)"
-    if not open_edges:
-        both = "named_struct('u', if(s.u >= 0, s.u - 1, s.u), 'd', if(s.d < size(v), s.d + 1, s.d), 'cur', s.cur + UP + DOWN)"
-    step = f"CASE WHEN s.cur * 10 >= tot * 7 THEN s WHEN UP > DOWN THEN {go_up} WHEN DOWN > UP THEN {go_down} ELSE {both} END".replace("UP", up).replace("DOWN", down)
-    found = dense.withColumn("s", F.expr(f"aggregate(sequence(1, size(v)), named_struct('u', c - 1, 'd', c + 1, 'cur', v[c]), (s, i) -> {step})"))
+    # the traded levels, the highest first, by their distance from the top; a stretch of untraded levels is passed in one step, however wide
+    sparse = listed.select(*keys, F.expr("ls[size(ls) - 1].level").alias("top"), F.expr(f"(ls[size(ls) - 1].level - ls[0].level) div {scale} + 1").alias("n"), "ls")
+    sparse = sparse.withColumn("p", F.expr(f"transform(filter(reverse(ls), x -> x.volume > 0), x -> named_struct('i', (top - x.level) div {scale}, 'q', x.volume))"))
+    sparse = sparse.withColumn("tot", F.expr("aggregate(p, 0L, (a, x) -> a + x.q)")).withColumn("c", F.expr("cast(coalesce(array_position(p.q, array_max(p.q)), 1) AS int) - 1"))
+    up, down = "if(s.iu >= 0 AND s.u = get(p, s.iu).i, get(p, s.iu).q, 0L)", "if(s.id < size(p) AND s.d = get(p, s.id).i, get(p, s.id).q, 0L)"
+    gap = "least(if(s.iu >= 0, s.u - get(p, s.iu).i, NULL), if(s.id < size(p), get(p, s.id).i - s.d, NULL))"
+    state = "named_struct('u', {}, 'd', {}, 'iu', {}, 'id', {}, 'cur', {})".format
+    jump = state("s.u - GAP", "s.d + GAP", "s.iu", "s.id", "s.cur") if open_edges else state("greatest(s.u - GAP, -1L)", "least(s.d + GAP, n)", "s.iu", "s.id", "s.cur")
+    go_up, go_down = state("s.u - 1", "s.d", "s.iu - 1", "s.id", "s.cur + UP"), state("s.u", "s.d + 1", "s.iu", "s.id + 1", "s.cur + DOWN")
+    both = state("s.u - 1", "s.d + 1", "s.iu - 1", "s.id + 1", "s.cur + UP + DOWN")
+    step = f"CASE WHEN s.cur * 10 >= tot * 7 THEN s WHEN UP > DOWN THEN {go_up} WHEN DOWN > UP THEN {go_down} WHEN UP > 0 THEN {both} ELSE {jump} END"
+    step = step.replace("GAP", gap).replace("UP", up).replace("DOWN", down)
+    first = state("coalesce(get(p, c).i, 0L) - 1", "coalesce(get(p, c).i, 0L) + 1", "c - 1", "c + 1", "coalesce(get(p, c).q, 0L)")
+    found = sparse.withColumn("s", F.expr(f"aggregate(sequence(1, greatest(1, 2 * size(p))), {first}, (s, i) -> {step})"))
     price = lambda index: (F.col("top") - index * scale).cast("long")
-    return found.select(*keys, price(F.col("c")).alias("poc"), price(F.col("s.u") + 1).alias("vah"), price(F.col("s.d") - 1).alias("val"))
+    return found.select(*keys, price(F.expr("coalesce(get(p, c).i, 0L)")).alias("poc"), price(F.col("s.u") + 1).alias("vah"), price(F.col("s.d") - 1).alias("val"))
 
 
 def qty_at(cells: DataFrame, bars: DataFrame, price_col: str) -> DataFrame:

@@ -179,36 +179,48 @@ def ma_avg_trade_size(bars: DataFrame, n: int = 21) -> DataFrame:
     return moving_averages(bars, n).drop("ma_volume", "ma_trades")
 
 
-def grow_area(v: np.ndarray, open_edges: bool) -> tuple[int, int, int]:
-    """Places of POC, upper and lower end of the value area of a profile, the highest level first."""
-    c, total = int(v.argmax()), int(v.sum())
-    u, d, have, n = c - 1, c + 1, int(v[c]), len(v)
+def grow_area(places: np.ndarray, volumes: np.ndarray, open_edges: bool) -> tuple[int, int, int]:
+    """Places of POC, upper and lower end of the value area of a profile: rising ``places`` of its levels, counted down from the highest, and their volumes.
+
+    Levels that are not listed have no volume; stretches of them are passed in one step.
+    """
+    last, at = int(places[-1]), np.flatnonzero(volumes > 0)
+    if not len(at):
+        return int(places[0]), int(places[0]), int(places[0])
+    place, volume = places[at].tolist(), volumes[at].tolist()
+    i = max(range(len(volume)), key=volume.__getitem__)
+    c, have, total = place[i], volume[i], sum(volume)
+    u, d, above, below = c - 1, c + 1, i - 1, i + 1
     while have * 10 < total * 7:
-        a = int(v[u]) if 0 <= u < n else 0
-        b = int(v[d]) if d < n else 0
+        a = volume[above] if above >= 0 and place[above] == u else 0
+        b = volume[below] if below < len(place) and place[below] == d else 0
+        if not a and not b:
+            step = min(([u - place[above]] if above >= 0 else []) + ([place[below] - d] if below < len(place) else []))
+            u, d = (u - step, d + step) if open_edges else (max(u - step, -1), min(d + step, last + 1))
+            continue
         if a >= b:
-            have, u = have + a, u - 1 if a > b or open_edges or u >= 0 else u
+            have, u, above = have + a, u - 1, above - 1
         if b >= a:
-            have, d = have + b, d + 1 if b > a or open_edges or d < n else d
+            have, d, below = have + b, d + 1, below + 1
     return c, u + 1, d - 1
 
 
 def session_value_area(cells: DataFrame, scale: int) -> DataFrame:
     """``session_poc, session_vah, session_val`` of the session's profile as of each bar with trades.
 
-    One array per (symbol, session) holds the profile while its bars pass, so nothing of size levels x bars is made.
+    One array per (symbol, session) holds the traded levels while its bars pass, so nothing of size levels x bars is made.
     """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bar_start")
         top = int(pdf["level"].max())
-        index = ((top - pdf["level"]) // scale).to_numpy()
-        v = np.zeros(int(index.max()) + 1, np.int64)
+        places, index = np.unique(((top - pdf["level"]) // scale).to_numpy(), return_inverse=True)
+        v = np.zeros(len(places), np.int64)
         volume, bars = pdf["volume"].to_numpy(), pdf["bar_start"].to_numpy()
         rows = []
         for a, b in _runs(bars):
             np.add.at(v, index[a:b], volume[a:b])
-            rows.append((bars[a], *(top - i * scale for i in grow_area(v, True))))
+            rows.append((bars[a], *(top - i * scale for i in grow_area(places, v, True))))
         out = pd.DataFrame(rows, columns=["bar_start", "session_poc", "session_vah", "session_val"])
         return out.assign(symbol=pdf["symbol"].iloc[0], session_no=pdf["session_no"].iloc[0])[["symbol", "session_no", "bar_start", "session_poc", "session_vah", "session_val"]]
 

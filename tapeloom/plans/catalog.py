@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -189,6 +190,23 @@ def c11_value_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.value_area(c.bar_volume_profile(c.footprint_cells(v.event_trades(spark, sf_dir), HOUR, SCALE)), BAR, SCALE)
 
 
+#: The same walk over the traded levels alone; a stretch of untraded levels is one step.
+_SPARSE_AREA = """wide AS (SELECT symbol, bar_start, level, bid_qty + ask_qty AS volume FROM cells UNION ALL SELECT DISTINCT symbol, bar_start, 10000000000000, 1 FROM cells),
+ listed AS (SELECT symbol, bar_start, list(level ORDER BY level DESC) AS lv, list(CAST(volume AS BIGINT) ORDER BY level DESC) AS vo, CAST(sum(volume) AS BIGINT) AS tot FROM wide GROUP BY ALL),
+ walked AS (SELECT *, lv[c] AS poc, lv[c] + 100 AS u, lv[c] - 100 AS d, c - 1 AS iu, c + 1 AS id, vo[c] AS cur FROM (SELECT *, CAST(list_position(vo, list_max(vo)) AS BIGINT) AS c FROM listed)
+ UNION ALL SELECT symbol, bar_start, lv, vo, tot, c, poc, CASE WHEN a > b OR (a = b AND a > 0) THEN u + 100 WHEN b > a THEN u ELSE least(u + gap, lv[1] + 100) END, CASE WHEN b > a OR (a = b AND a > 0) THEN d - 100 WHEN a > b THEN d ELSE greatest(d - gap, lv[len(lv)] - 100) END,
+  CASE WHEN a >= b AND a > 0 THEN iu - 1 ELSE iu END, CASE WHEN b >= a AND b > 0 THEN id + 1 ELSE id END, cur + CASE WHEN a >= b THEN a ELSE 0 END + CASE WHEN b >= a THEN b ELSE 0 END
+ FROM (SELECT *, CASE WHEN iu >= 1 AND lv[iu] = u THEN vo[iu] ELSE 0 END AS a, CASE WHEN id <= len(lv) AND lv[id] = d THEN vo[id] ELSE 0 END AS b, least(CASE WHEN iu >= 1 THEN lv[iu] - u END, CASE WHEN id <= len(lv) THEN d - lv[id] END) AS gap FROM walked WHERE cur * 10 < tot * 7))"""
+
+
+@query(with_(v.TRADES, v.CELLS, _SPARSE_AREA, recursive=True) + "SELECT symbol, bar_start, poc, u - 100 AS vah, d + 100 AS val FROM walked WHERE cur * 10 >= tot * 7")
+def c11_sparse_value_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every bar with one more unit traded a hundred billion levels away."""
+    profile = c.bar_volume_profile(c.footprint_cells(v.event_trades(spark, sf_dir), HOUR, SCALE))
+    outliers = profile.select(*BAR).distinct().select(*BAR, F.lit(10_000_000_000_000).alias("level"), F.lit(1).cast("long").alias("volume"))
+    return c.value_area(profile.union(outliers), BAR, SCALE)
+
+
 @query(with_(v.TRADES, v.CELLS) + "SELECT symbol, bar_start, arg_max(level, (bid_qty + ask_qty, level)) AS level, arg_max(bid_qty, (bid_qty + ask_qty, level)) AS bid, arg_max(ask_qty, (bid_qty + ask_qty, level)) AS ask, arg_max(bid_qty + ask_qty, (bid_qty + ask_qty, level)) AS sum, arg_max(ask_qty - bid_qty, (bid_qty + ask_qty, level)) AS delta FROM cells GROUP BY ALL")
 def c12_qty_at_poc(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = c.footprint_cells(v.event_trades(spark, sf_dir), HOUR, SCALE)
@@ -879,12 +897,13 @@ def k1_k2_k5_k7_stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     backfill = lost.select("symbol", F.to_json(one).alias("message"))
     good.unionByName(good.sample(0.5, 1)).write.parquet(f"{folder}/messages")
     backfill.unionByName(good.sample(0.1, 2)).write.parquet(f"{folder}/backfill")
-    live, late = (st.stream_trades(st.read_trade_files(spark, f"{folder}/{x}", good.schema, 1000), "object", 100, 1) for x in ("messages", "backfill"))
+    live, late = (st.stream_trades(st.read_trade_files(spark, f"{folder}/{x}", good.schema, 8), "object", 100, 1) for x in ("messages", "backfill"))
     _written(st.merge_backfill(live, late, "60 days"), f"{folder}/trades")
-    schema = spark.read.parquet(f"{folder}/trades").schema
-    changes = _written(st.stream_bars(st.read_trade_files(spark, f"{folder}/trades", schema, 1000), HOUR, "60 days"), f"{folder}/bars", "update")
-    last = changes.groupBy(*BAR).agg(F.max_by(F.struct(*[x for x in changes.columns if x not in BAR]), "last_trade_time").alias("b"))
-    return last.select(*BAR, "b.*").drop("bar_end")
+    written = spark.read.parquet(f"{folder}/trades")
+    each = max(1, -(-len(written.inputFiles()) // 4))  # four triggers: most bars are updated more than once
+    changes = _written(st.stream_bars(st.read_trade_files(spark, f"{folder}/trades", written.schema, each), HOUR, "60 days"), f"{folder}/bars", "update")
+    last = changes.groupBy(*BAR).agg(F.max_by(F.struct(*[x for x in changes.columns if x not in BAR]), "n_trades").alias("b"))
+    return last.select(*BAR, "b.*").drop("bar_end", "pq", "ppq")
 
 
 def _written(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
@@ -894,28 +913,74 @@ def _written(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-def _closed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stream of closed bars with their profiles, read from files."""
-    t, folder = v.event_trades(spark, sf_dir), shared_folder(spark)
-    st.with_profiles(c.bars_ohlcv(t, HOUR), c.footprint_cells(t, HOUR, SCALE)).write.parquet(folder)
-    return spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
+def _beat(like: DataFrame, at_ms: int) -> DataFrame:
+    """A heartbeat: a row without a symbol."""
+    return like.sparkSession.range(1).select(*[(F.lit(at_ms) if f.name == "ts_ms" else F.lit(None)).cast(f.dataType).alias(f.name) for f in like.schema])
 
 
-@query(_EVERYTHING + "SELECT * FROM allbars")
-def k8_stream_close_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole bar table by per-symbol state; the end of a symbol's last session is open, as in the batch table."""
+def _live(spark: SparkSession, sf_dir: str, slices: int = 6) -> tuple[DataFrame, str]:
+    """A stream of trades from files in time order, a slice a trigger and a heartbeat at the end, and the lateness within which files of two slices may change places."""
+    t, folder = v.event_trades(spark, sf_dir), shared_folder(spark)
+    first, last = t.agg(F.min("ts_ms"), F.max("ts_ms")).first()
+    first, last = first or 0, last or 0
+    width = (last - first) // slices + 1
+    for i in range(slices):
+        part = t.where(F.col("ts_ms").between(first + i * width, first + (i + 1) * width - 1)).repartition(4)
+        part = part.union(_beat(t, last + 1000 * width)) if i == slices - 1 else part
+        part.withColumn("ts", F.timestamp_millis("ts_ms")).write.mode("append").parquet(folder)
+    return st.read_trade_files(spark, folder, spark.read.parquet(folder).schema, 4), f"{2 * width} milliseconds"
+
+
+@contextmanager
+def _rocksdb(spark: SparkSession) -> Iterator[None]:
+    """The state store that per-symbol state needs."""
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name)
     spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        return _written(st.stream_close_bars(_closed_bars(spark, sf_dir), HOUR, SCALE, N), shared_folder(spark))
+        yield
     finally:
         spark.conf.set(name, before)
 
 
+@query(_EVERYTHING + "SELECT * FROM allbars")
+def k8_stream_close_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades to the whole bar table in one stream: cells, bars, and per-symbol state; the end of a symbol's last session is open, as in the batch table."""
+    live, delay = _live(spark, sf_dir)
+    with _rocksdb(spark):
+        return _written(st.stream_close_bars(st.stream_profiled_bars(live, HOUR, SCALE, delay), HOUR, SCALE, N), shared_folder(spark))
+
+
 @query(with_(v.TRADES, v.BARS) + "SELECT symbol, bar_start, close, delta FROM bars WHERE abs(delta) * 2 > volume")
 def k9_stream_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _written(st.stream_signals(_closed_bars(spark, sf_dir), F.abs("delta") * 2 > F.col("volume"), [*BAR, "close", "delta"]), shared_folder(spark))
+    live, delay = _live(spark, sf_dir)
+    return _written(st.stream_signals(st.stream_profiled_bars(live, HOUR, SCALE, delay), F.abs("delta") * 2 > F.col("volume"), [*BAR, "close", "delta"]), shared_folder(spark))
+
+
+@query(_EVERYTHING + "SELECT symbol, bar_start, close, vwap, atr, session_poc, CASE WHEN close < vwap_low THEN 1 ELSE 2 END AS side FROM allbars WHERE n_trades > 0 AND bar_idx > 2 AND high - low < 2 * atr AND (close < vwap_low OR close > vwap_up OR close = session_poc)")
+def k7_k9_trades_to_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades to signals in one stream, with a rule on session indicators and value areas."""
+    live, delay = _live(spark, sf_dir)
+    c_ = F.col
+    rule = (c_("n_trades") > 0) & (c_("bar_idx") > 2) & (c_("high") - c_("low") < 2 * c_("atr")) & ((c_("close") < c_("vwap_low")) | (c_("close") > c_("vwap_up")) | (c_("close") == c_("session_poc")))
+    side = F.when(c_("close") < c_("vwap_low"), 1).otherwise(2).alias("side")
+    with _rocksdb(spark):
+        closed = st.stream_close_bars(st.stream_profiled_bars(live, HOUR, SCALE, delay), HOUR, SCALE, N)
+        return _written(st.stream_signals(closed, rule, [*BAR, "close", "vwap", "atr", "session_poc", side]), shared_folder(spark))
+
+
+@query(with_(v.TRADES) + "SELECT 'all' AS symbol, trade_id AS after_id, n AS before_id, n - trade_id - 1 AS missing FROM (SELECT trade_id, lead(trade_id) OVER (ORDER BY trade_id) AS n FROM trades WHERE trade_id % 97 > 2 OR trade_id % 97 = 1 OR trade_id % 194 <= 2) WHERE n > trade_id + 1")
+def k3_k5_stream_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gaps that a stream has reported and not taken back: ids arrive in time order, then a backfill closes half of the gaps and splits the others."""
+    t, folder = v.event_trades(spark, sf_dir).select(F.lit("all").alias("symbol"), "trade_id", "ts_ms"), shared_folder(spark)
+    last = t.agg(F.max("ts_ms")).first()[0] or 0
+    live, late = F.expr("trade_id % 97 > 2"), F.expr("trade_id % 97 = 1 OR trade_id % 194 <= 2")
+    parts = [t.where(live), _beat(t, last + HOUR), t.where(late & ~live).withColumn("ts_ms", F.lit(last + 2 * HOUR)), _beat(t, last + DAY)]
+    with _rocksdb(spark):
+        for part in parts:  # the stream goes on where it stopped: report, then take back and split, then report what is left
+            part.withColumn("ts", F.timestamp_millis("ts_ms")).write.mode("append").parquet(f"{folder}/ids")
+            changes = _written(st.stream_gaps(st.read_trade_files(spark, f"{folder}/ids", spark.read.parquet(f"{folder}/ids").schema, 1000)), f"{folder}/changes")
+    return st.open_gaps(changes)
 
 
 @query(with_(v.TRADES, v.BARS) + "SELECT symbol, bar_start, close, volume, n_trades FROM bars")

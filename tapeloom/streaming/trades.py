@@ -5,13 +5,12 @@ A stream of trades has ``symbol, trade_id, ts`` (TIMESTAMP, for the watermark),
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import floor_div, price_level, signed_qty
@@ -66,33 +65,88 @@ def gap_limit_alert(gaps: DataFrame, limit: int = GAP_LIMIT) -> DataFrame:
     return gaps.where(F.col("before_id") - F.col("after_id") >= limit)
 
 
-class _GapState:
-    """Highest id seen of each symbol; emits a row when an id skips ahead of it."""
+class _GapSet:
+    """The ids seen of each symbol as merged ranges, and its gaps, each with the time it was noticed and whether it has been reported."""
+
+    delay_ms = 60_000
 
     def init(self, handle) -> None:
-        self.last = handle.getValueState("last", "id long")
+        self.handle = handle
+        self.ranges = handle.getMapState("ranges", "first long", "last long")
+        self.gaps = handle.getMapState("gaps", "after_id long, before_id long", "since long, told boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:  # noqa: N802
-        last = self.last.get()[0] if self.last.exists() else None
-        out = []
-        for i in sorted(int(i) for pdf in rows for i in pdf["trade_id"]):
-            if last is not None and i > last + 1:
-                out.append((key[0], last, i, i - last - 1))
-            last = i if last is None else max(last, i)
-        if last is not None:
-            self.last.update((last,))
-        yield pd.DataFrame(out, columns=["symbol", "after_id", "before_id", "missing"])
+        pdf = pd.concat(list(rows))
+        now = int(pdf["arrived"].max())
+        known = {int(k[0]): int(x[0]) for k, x in self.ranges.iterator()}
+        merged = merged_ranges(known, np.unique(pdf["trade_id"].to_numpy(np.int64)))
+        for first in known.keys() - merged.keys():
+            self.ranges.removeKey((first,))
+        for first, last in merged.items():
+            if known.get(first) != last:
+                self.ranges.updateValue((first,), (last,))
+        before = {(int(k[0]), int(k[1])): (int(x[0]), bool(x[1])) for k, x in self.gaps.iterator()}
+        edges = list(merged.items())
+        left = [(a[1], b[0]) for a, b in zip(edges, edges[1:], strict=False)]
+        out = [(*gap, -1) for gap in before.keys() - set(left) if before[gap][1]]
+        for gap in set(left) - before.keys():
+            parent = next((before[p] for p in before if p[0] <= gap[0] and gap[1] <= p[1]), (now, False))  # what is left of a gap is as old as it was
+            self.gaps.updateValue(gap, parent)
+            if parent[1]:
+                out.append((*gap, 1))
+            else:
+                self.handle.registerTimer(parent[0] + self.delay_ms)
+        for gap in before.keys() - set(left):
+            self.gaps.removeKey(gap)
+        yield self._rows(key, out, now)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        due = [(int(k[0]), int(k[1]), int(x[0])) for k, x in self.gaps.iterator() if not x[1] and x[0] + self.delay_ms <= at]
+        for after, before, since in due:
+            self.gaps.updateValue((after, before), (since, True))
+        yield self._rows(key, [(after, before, 1) for after, before, _ in due], at)
+
+    def _rows(self, key, out: list[tuple[int, int, int]], at: int) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], a, b, b - a - 1, change, at) for a, b, change in sorted(out)], columns=["symbol", "after_id", "before_id", "missing", "change", "at_ms"])
 
     def close(self) -> None:
         pass
 
 
-def stream_gaps(stream: DataFrame) -> DataFrame:
-    """Gaps by per-symbol state (needs the RocksDB state store)."""
+def merged_ranges(known: dict[int, int], ids: np.ndarray) -> dict[int, int]:
+    """``known`` ranges (first to last) with the rising ``ids``, neighbours joined, in order."""
+    cut = np.flatnonzero(np.diff(ids) > 1) + 1
+    firsts, lasts = ids[np.concatenate(([0], cut))].tolist() if len(ids) else [], ids[np.concatenate((cut - 1, [-1]))].tolist() if len(ids) else []
+    out: dict[int, int] = {}
+    at = None
+    for first, last in sorted([*known.items(), *zip(firsts, lasts, strict=True)]):
+        if at is not None and first <= out[at] + 1:
+            out[at] = max(out[at], last)
+        else:
+            at, out[first] = first, last
+    return out
+
+
+def stream_gaps(stream: DataFrame, delay_ms: int = 60_000, arrived: str = "ts", lateness: str = "0 seconds") -> DataFrame:
+    """Changes of the set of missing id ranges: ``symbol, after_id, before_id, missing, change, at_ms``; change 1 reports a gap, -1 takes one back.
+
+    A gap is reported once it is ``delay_ms`` old by the time of arrival (column ``arrived``, whose watermark drives the timers; a row without a symbol is a heartbeat).
+    Ids that arrive later, by a backfill say, close it, or leave smaller gaps of its age in its place. State is the ranges and gaps
+    of a symbol, not its ids (needs the RocksDB state store).
+    """
     from pyspark.sql.streaming import StatefulProcessor
 
-    processor = type("GapProcessor", (_GapState, StatefulProcessor), {})()
-    return stream.groupBy("symbol").transformWithStateInPandas(processor, "symbol string, after_id long, before_id long, missing long", "Append", "None")
+    marked = stream.withWatermark(arrived, lateness).where(F.when(F.col("symbol").isNotNull(), F.col(arrived)).isNotNull())
+    processor = type("GapProcessor", (_GapSet, StatefulProcessor), {"delay_ms": delay_ms})()
+    asked = marked.select("symbol", "trade_id", F.unix_millis(arrived).alias("arrived"), F.col(arrived).alias("_at"))
+    return asked.groupBy("symbol").transformWithStateInPandas(processor, "symbol string, after_id long, before_id long, missing long, change int, at_ms long", "Append", "EventTime")
+
+
+def open_gaps(changes: DataFrame) -> DataFrame:
+    """The gaps that are reported and not taken back."""
+    net = changes.groupBy("symbol", "after_id", "before_id", "missing").agg(F.sum("change").alias("n"))
+    return net.where("n > 0").drop("n")
 
 
 def stream_bars(stream: DataFrame, tf_ms: int, delay: str = "10 minutes") -> DataFrame:
@@ -103,52 +157,48 @@ def stream_bars(stream: DataFrame, tf_ms: int, delay: str = "10 minutes") -> Dat
         marked.groupBy(F.window("ts", f"{tf_ms} milliseconds").alias("w"), "symbol")
         .agg(
             F.min_by("n_price", at).alias("open"), F.max("n_price").alias("high"), F.min("n_price").alias("low"), F.max_by("n_price", at).alias("close"), F.sum("n_qty").alias("volume"),
-            F.sum(signed_qty("n_qty", "is_sell")).alias("delta"), F.count(F.lit(1)).alias("n_trades"), F.min("ts_ms").alias("open_time"), F.max("ts_ms").alias("last_trade_time"),
+            F.sum(signed_qty("n_qty", "is_sell")).alias("delta"), F.count(F.lit(1)).alias("n_trades"), F.min("ts_ms").alias("open_time"), F.max("ts_ms").alias("last_trade_time"), *_moments(),
         )
-        .select("symbol", F.unix_millis("w.start").alias("bar_start"), F.col("w.end").alias("bar_end"), "open", "high", "low", "close", "volume", "delta", "n_trades", "open_time", "last_trade_time")
+        .select("symbol", F.unix_millis("w.start").alias("bar_start"), F.col("w.end").alias("bar_end"), "open", "high", "low", "close", "volume", "delta", "n_trades", "open_time", "last_trade_time", "pq", "ppq")
     )
 
 
-def stream_cells(stream: DataFrame, tf_ms: int, scale: int, delay: str = "10 minutes") -> DataFrame:
-    marked = stream.withWatermark("ts", delay) if stream.isStreaming else stream
-    sell, qty = F.col("is_sell"), F.col("n_qty")
-    grouped = marked.groupBy(F.window("ts", f"{tf_ms} milliseconds").alias("w"), "symbol", price_level("n_price", scale).alias("level"))
-    return grouped.agg(F.sum(F.when(sell, qty).otherwise(0)).alias("bid_qty"), F.sum(F.when(sell, 0).otherwise(qty)).alias("ask_qty")).select("symbol", F.unix_millis("w.start").alias("bar_start"), "level", "bid_qty", "ask_qty")
-
-
-class _IndicatorState:
-    """CVD, ATR and Parkinson of each symbol, kept across triggers and restarted at each session (bar_count bars from its first)."""
-
-    tf, bar_count, atr_period, park_period = 3_600_000, 24, 14, 12
+def _moments() -> list[Column]:
+    """Exact sums of price x quantity and price^2 x quantity."""
+    price, qty = F.col("n_price").cast("decimal(19,0)"), F.col("n_qty").cast("decimal(9,0)")
+    return [F.sum(price * qty).alias("pq"), F.sum((price * price).cast("decimal(28,0)") * qty).alias("ppq")]
 
-    def init(self, handle) -> None:
-        self.state = handle.getValueState("s", "start long, cvd long, atr long, park long, close long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:  # noqa: N802
-        s = self.state.get() if self.state.exists() else None
-        out = []
-        for r in pd.concat(list(rows)).sort_values("bar_start").itertuples(index=False):
-            term = round(math.log(r.high / r.low) ** 2 * 1_000_000_000) if r.low > 0 else 0
-            if s is None or r.bar_start >= s[0] + self.tf * self.bar_count:
-                s = (int(r.bar_start), int(r.delta), int(r.high - r.low), term, int(r.close))
-            else:
-                tr = max(r.high - r.low, abs(r.high - s[4]), abs(r.low - s[4]))
-                s = (s[0], s[1] + int(r.delta), int((s[2] * (self.atr_period - 1) + tr) // self.atr_period), int((s[3] * (self.park_period - 1) + term) // self.park_period), int(r.close))
-            out.append((key[0], r.bar_start, *s[:4]))
-        if s is not None:
-            self.state.update(s)
-        yield pd.DataFrame(out, columns=["symbol", "bar_start", "session_start", "cvd", "atr", "parkinson"])
-
-    def close(self) -> None:
-        pass
+def stream_profiled_bars(stream: DataFrame, tf_ms: int, scale: int, delay: str = "10 minutes") -> DataFrame:
+    """Closed bars (append mode) with ``pq, ppq`` and ``levels, volumes`` of their profile, from trades in one streaming query.
 
+    Two windowed aggregations follow each other: cells by (bar, level), which carry their first and last trade, and bars over cells, so that no join of two
+    streams is needed. A bar is final once the watermark passes its end. Rows without a symbol are a feed's heartbeats: they move the watermark, and
+    so close bars of quiet markets, and nothing else.
+    """
+    # the condition reads ts, as one that does not would be moved below the watermark, which then misses the heartbeats
+    marked = (stream.withWatermark("ts", delay) if stream.isStreaming else stream).where(F.when(F.col("symbol").isNotNull(), F.col("ts")).isNotNull())
+    tick = F.struct("ts_ms", "trade_id", "n_price")
+    cells = marked.groupBy(F.window("ts", f"{tf_ms} milliseconds").alias("w"), "symbol", price_level("n_price", scale).alias("level")).agg(
+        F.min(tick).alias("first"), F.max(tick).alias("last"), F.max("n_price").alias("high"), F.min("n_price").alias("low"), F.sum("n_qty").alias("volume"),
+        F.sum(signed_qty("n_qty", "is_sell")).alias("delta"), F.count(F.lit(1)).alias("n_trades"), *_moments(),
+    )
+    again = F.window(F.window_time("w"), f"{tf_ms} milliseconds") if stream.isStreaming else F.col("w")
+    bars = cells.groupBy(again.alias("b"), "symbol").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), *[fn(x).alias(x) for fn, x in ((F.max, "high"), (F.min, "low"), (F.sum, "volume"), (F.sum, "delta"), (F.sum, "n_trades"), (F.sum, "pq"), (F.sum, "ppq"))],
+        F.array_sort(F.collect_list(F.struct("level", F.col("volume").alias("v")))).alias("p"),
+    )
+    return bars.select(
+        "symbol", F.unix_millis("b.start").alias("bar_start"), F.col("first.n_price").alias("open"), "high", "low", F.col("last.n_price").alias("close"), "volume", "delta", "n_trades",
+        F.col("first.ts_ms").alias("open_time"), F.col("last.ts_ms").alias("last_trade_time"), "pq", "ppq", F.col("p.level").alias("levels"), F.col("p.v").alias("volumes"),
+    )
 
-def stream_indicators(bars: DataFrame, tf_ms: int, bar_count: int) -> DataFrame:
-    """Session recurrences over closed bars of a stream (needs the RocksDB state store)."""
-    from pyspark.sql.streaming import StatefulProcessor
 
-    processor = type("IndicatorProcessor", (_IndicatorState, StatefulProcessor), {"tf": tf_ms, "bar_count": bar_count})()
-    return bars.groupBy("symbol").transformWithStateInPandas(processor, "symbol string, bar_start long, session_start long, cvd long, atr long, parkinson long", "Append", "None")
+def stream_cells(stream: DataFrame, tf_ms: int, scale: int, delay: str = "10 minutes") -> DataFrame:
+    marked = stream.withWatermark("ts", delay) if stream.isStreaming else stream
+    sell, qty = F.col("is_sell"), F.col("n_qty")
+    grouped = marked.groupBy(F.window("ts", f"{tf_ms} milliseconds").alias("w"), "symbol", price_level("n_price", scale).alias("level"))
+    return grouped.agg(F.sum(F.when(sell, qty).otherwise(0)).alias("bid_qty"), F.sum(F.when(sell, 0).otherwise(qty)).alias("ask_qty")).select("symbol", F.unix_millis("w.start").alias("bar_start"), "level", "bid_qty", "ask_qty")
 
 
 CLOSED = (
@@ -162,21 +212,21 @@ _CLOSED = [f.split()[0] for f in CLOSED.split(", ")]
 class _Session:
     """A symbol's closing state: its session, the sums and recurrences of it, its profile, and the last rows for the averages."""
 
-    def __init__(self, settings: dict, kept: dict | None):
-        self.o, self.s = settings, kept
-        if kept:
-            kept["profile"] = {int(k): n for k, n in kept["profile"].items()}
+    def __init__(self, settings: dict, kept: dict | None, profile: dict[int, int], recent: list[tuple[int, int]]):
+        self.o, self.s, self.profile, self.recent = settings, kept, profile, recent
+        self.fresh, self.changed = False, set()
 
     def feed(self, bar: dict) -> Iterator[dict]:
-        """The rows that a closed bar gives: bars without trades up to it, and itself. Bars not after the last one give none."""
+        """The rows that a closed bar gives: bars without trades up to it, and itself. A bar that is not after the last one is an error: its input was not in order."""
         tf, length = self.o["tf"], self.o["tf"] * self.o["bar_count"]
         at, s = bar["bar_start"], self.s
         if s and at <= s["last"]:
-            return
+            raise ValueError(f"bar {at} of {bar['symbol']} came after bar {s['last']}")
         if s and at >= s["start"] + length:
             yield from self._empty(s["start"] + length)
         if not s or at >= s["start"] + length:
-            self.s = {"no": s["no"] + 1 if s else 0, "start": at, "last": at - tf, "cvd": 0, "w": 0, "pq": 0, "ppq": 0, "atr": None, "park": None, "close": None, "profile": {}, "rows": s["rows"] if s else []}
+            self.s = {"no": s["no"] + 1 if s else 0, "start": at, "last": at - tf, "cvd": 0, "w": 0, "pq": 0, "ppq": 0, "atr": None, "park": None, "close": None}
+            self.profile, self.fresh, self.changed = {}, True, set()
         yield from self._empty(at)
         yield self._row(bar)
 
@@ -204,38 +254,52 @@ class _Session:
             mean = float(s["pq"]) / weight
             spread_ = o["k"] * math.sqrt(max(0.0, float(s["ppq"]) / weight - mean * mean))
             row |= {"vwap": round(mean), "vwap_up": round(mean + spread_), "vwap_low": round(mean - spread_)}
-        last = s["rows"]
+        last = self.recent
         if len(last) >= o["ma"]:
             sizes = [x // n for x, n in last if n]
             row |= {"ma_volume": sum(x for x, _ in last) // o["ma"], "ma_trades": sum(n for _, n in last) // o["ma"], "ma_trade_size": sum(sizes) // len(sizes) if sizes else None}
-        s["rows"] = [*last, (bar["volume"], bar["n_trades"])][-o["ma"] :]
+        self.recent = [*last, (int(bar["volume"]), int(bar["n_trades"]))][-o["ma"] :]
         if not filled:
             own = dict(zip(map(int, bar["levels"]), map(int, bar["volumes"]), strict=True))
             for level, volume in own.items():
-                s["profile"][level] = s["profile"].get(level, 0) + volume
-            for names, profile, open_edges in ((("poc", "vah", "val"), own, False), (("session_poc", "session_vah", "session_val"), s["profile"], True)):
-                top = max(profile)
-                v = np.zeros((top - min(profile)) // scale + 1, np.int64)
-                for level, volume in profile.items():
-                    v[(top - level) // scale] = volume
-                row |= {n: top - i * scale for n, i in zip(names, grow_area(v, open_edges), strict=True)}
+                self.profile[level] = self.profile.get(level, 0) + volume
+            self.changed |= own.keys()
+            for names, profile, open_edges in ((("poc", "vah", "val"), own, False), (("session_poc", "session_vah", "session_val"), self.profile, True)):
+                levels = sorted(profile, reverse=True)
+                places = np.array([(levels[0] - x) // scale for x in levels])
+                row |= {n: levels[0] - i * scale for n, i in zip(names, grow_area(places, np.array([profile[x] for x in levels]), open_edges), strict=True)}
         s["last"], s["close"] = bar["bar_start"], bar["close"]
         return row
 
 
+_SUMS = {"no": int, "start": int, "last": int, "cvd": int, "w": int, "pq": str, "ppq": str, "atr": int, "park": int, "close": int}
+
+
 class _CloseState:
-    """Keeps each symbol's ``_Session`` between triggers."""
+    """Keeps each symbol's ``_Session`` between triggers: its sums as one value, its profile as a map by level of which changed levels are written, the last rows as a list."""
 
     settings: dict = {}
 
     def init(self, handle) -> None:
-        self.state = handle.getValueState("session", "kept string")
+        self.sums = handle.getValueState("sums", ", ".join(f"{k} {'string' if t is str else 'long'}" for k, t in _SUMS.items()))
+        self.profile = handle.getMapState("profile", "level long", "volume long")
+        self.recent = handle.getListState("recent", "volume long, n_trades long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:  # noqa: N802
-        own = _Session(self.settings, json.loads(self.state.get()[0]) if self.state.exists() else None)
+        kept, profile, recent = None, {}, []
+        if self.sums.exists():
+            kept = {k: int(x) for k, x in zip(_SUMS, self.sums.get(), strict=True)}
+            profile = {int(k[0]): int(x[0]) for k, x in self.profile.iterator()}
+            recent = [(int(x[0]), int(x[1])) for x in self.recent.get()]
+        own = _Session(self.settings, kept, profile, recent)
         bars = pd.concat(list(rows)).sort_values("bar_start").to_dict("records")
         made = [row | {"symbol": key[0]} for bar in bars for row in own.feed(bar)]
-        self.state.update((json.dumps(own.s),))
+        if own.fresh:
+            self.profile.clear()
+        for level in own.changed:
+            self.profile.updateValue((level,), (own.profile[level],))
+        self.sums.update(tuple(t(own.s[k]) for k, t in _SUMS.items()))
+        self.recent.put(own.recent)
         out = pd.DataFrame(made, columns=_CLOSED)
         yield out.astype({c: "Int64" for c in _CLOSED if c not in ("symbol", "is_filled")} | {"is_filled": bool})
 
@@ -246,8 +310,8 @@ class _CloseState:
 def stream_close_bars(bars: DataFrame, tf_ms: int, scale: int, bar_count: int, atr_period: int = 14, park_period: int = 12, ma: int = 21, k: int = 2) -> DataFrame:
     """The full bar table of a stream of closed bars: bars without trades, CVD, VWAP bands, ATR, Parkinson, averages, value areas of bar and session.
 
-    ``bars`` are final (append mode), with ``pq, ppq`` and ``levels, volumes`` of their profile (``with_profiles``). A symbol's state is its session so
-    far and the last ``ma`` rows (needs the RocksDB state store).
+    ``bars`` are final (append mode), with ``pq, ppq`` and ``levels, volumes`` of their profile: those of ``stream_profiled_bars`` in the same query, or read from a
+    table (``with_profiles``). A symbol's state is its session so far and the last ``ma`` rows (needs the RocksDB state store). Bars out of order stop the stream.
     """
     from pyspark.sql.streaming import StatefulProcessor
 

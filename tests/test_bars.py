@@ -89,6 +89,31 @@ def test_value_area_matches_a_plain_model(spark, open_edges):
     assert {r.k: (r.poc, r.vah, r.val) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("open_edges", [False, True])
+def test_sparse_value_areas_are_the_dense_ones(spark, open_edges):
+    rng = np.random.default_rng(9)
+    rows, want = [], {}
+    for k in range(400):
+        places = np.unique(rng.integers(0, rng.choice([6, 40, 300]), rng.integers(1, 12)))
+        places -= places[0]
+        volumes = rng.integers(0, 5, len(places))
+        dense = np.zeros(places[-1] + 1, np.int64)
+        dense[places] = volumes
+        want[k] = tuple(1000 - 5 * int(i) for i in area(dense, open_edges))
+        assert tuple(1000 - 5 * i for i in ind.grow_area(places, volumes, open_edges)) == want[k]
+        rows += [(k, int(1000 - 5 * i), int(x)) for i, x in zip(places, volumes, strict=True)]
+    got = c.value_area(spark.createDataFrame(rows, "k long, level long, volume long"), ["k"], 5, open_edges)
+    assert {r.k: (r.poc, r.vah, r.val) for r in got.collect()} == want
+
+
+def test_one_outlier_tick_costs_no_levels(spark):
+    far = 10**13
+    ticks = [("X", 1, 0, 10_000, 5, False), ("X", 2, 1, 10_001, 9, True), ("X", 3, 2, far, 1, False), ("X", 4, 60_000, 10_000, 2, True), ("X", 5, 120_000, far, 1, True)]
+    bars = plan.close_bars(spark.createDataFrame(ticks, TRADE), 60_000, 1, 24).orderBy("bar_start").collect()
+    assert [(r.poc, r.vah, r.val) for r in bars] == [(10_001, 10_001, 10_000), (10_000, 10_000, 10_000), (far, far, far)]
+    assert [r.session_poc for r in bars] == [10_001, 10_001, 10_001]
+
+
 def test_known_value_areas():
     assert area(np.array([10, 0, 0, 50, 20, 20, 5]), False) == (3, 3, 5)
     assert area(np.array([5, 30, 30, 5]), False) == (1, 1, 2)

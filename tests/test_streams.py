@@ -1,8 +1,10 @@
 """Streams on files give what the batch operators give."""
 
+import numpy as np
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from tapeloom.operators import indicators as ind
 from tapeloom.operators.cells import bars_ohlcv
 from tapeloom.plans import bars as plan
 from tapeloom.plans import views as v
@@ -51,20 +53,40 @@ def test_gaps_in_batch_and_stream(spark, tmp_path):
     assert [r.after_id for r in st.gap_limit_alert(st.trade_gaps(ids)).collect()] == [6]
     requests = st.gap_requests(st.trade_gaps(ids).where("symbol = 'X' AND after_id = 6"), 1000).orderBy("from_id").collect()
     assert requests[0].from_id == 6 and requests[-1].to_id == 90000 and all(a.to_id == b.from_id for a, b in zip(requests, requests[1:], strict=False))
-    s = stream_of(spark, timed(ids), f"{tmp_path}/g")
-    st.run_available(st.stream_gaps(s), "gaps", "append", f"{tmp_path}/gs")
-    assert {tuple(r) for r in spark.table("gaps").collect()} == want
-
-
-def test_indicators_of_a_stream(spark, tmp_path):
-    bars = plan.session_bars(v.event_trades(spark, SF), v.HOUR, 24).select("symbol", "bar_start", "open", "high", "low", "close", "volume", "delta", "n_trades")
-    bars.coalesce(1).write.parquet(f"{tmp_path}/b")
-    s = spark.readStream.schema(bars.schema).parquet(f"{tmp_path}/b")
-    st.run_available(st.stream_indicators(s, v.HOUR, 24), "indicators", "append", f"{tmp_path}/is")
-    full = plan.session_bars(v.event_trades(spark, SF), v.HOUR, 24).withColumn("is_filled", F.lit(False))
-    want = ind.parkinson(ind.atr(ind.cvd(full))).select("symbol", "bar_start", "session_start", "cvd", "atr", "parkinson")
-    got = spark.table("indicators")
-    assert got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
+def test_gaps_of_a_stream_are_reported_split_and_taken_back(spark, tmp_path):
+    schema = "symbol string, trade_id long, ts_ms long"
+    minute = 60_000
+    steps = [
+        [("X", i, minute) for i in (1, 2, 9, 10, 20)] + [("Y", 5, minute), ("Y", 7, minute)],  # gaps 2-9, 10-20 and 5-7, too young to tell
+        [("Y", 6, minute + 1)],  # closed before anybody heard of it
+        [(None, None, 3 * minute)],
+        [("X", 5, 4 * minute), ("X", 11, 4 * minute), ("X", 15, 4 * minute), ("X", 15, 4 * minute), ("X", 21, 4 * minute)],  # split: 2-5, 5-9; shrunk and split: 11-15, 15-20
+        [("X", i, 5 * minute) for i in (3, 4, 0)] + [("X", 30, 5 * minute)],  # 2-5 closes, and 21-30 opens
+        [(None, None, 9 * minute)],
+    ]
+    want = [
+        set(), set(), {(2, 9, 1), (10, 20, 1)}, {(2, 9, -1), (10, 20, -1), (2, 5, 1), (5, 9, 1), (11, 15, 1), (15, 20, 1)}, {(2, 5, -1)}, {(21, 30, 1)},
+    ]
+    for step, expected in zip(steps, want, strict=True):
+        timed(spark.createDataFrame(step, schema)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/ids")
+        s = st.read_trade_files(spark, f"{tmp_path}/ids", timed(spark.createDataFrame([], schema)).schema)
+        got = []
+        st.run_available(st.stream_gaps(s, 60_000), "", "append", f"{tmp_path}/state", lambda df, i, got=got: got.extend(df.collect()))
+        assert {(r.after_id, r.before_id, r.change) for r in got} == expected and len(got) == len(expected)
+        assert all(r.missing == r.before_id - r.after_id - 1 and r.symbol == "X" for r in got)
+
+
+def test_merged_ranges_hold_all_ids():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        ids = [np.unique(rng.integers(-20, 40, rng.integers(1, 25))) for _ in range(3)]
+        known = {}
+        for x in ids:
+            known = st.merged_ranges(known, x)
+        assert [i for a, b in known.items() for i in range(a, b + 1)] == sorted({*map(int, np.concatenate(ids))})
+        assert all(b + 1 < a for (_, b), (a, _) in zip(list(known.items()), list(known.items())[1:], strict=False))
 
 
 def test_signals_and_lag(spark, tmp_path):
@@ -111,3 +133,44 @@ def test_a_backfill_fills_the_gaps_once(spark, tmp_path):
     st.run_available(st.merge_backfill(live, late, "400 days"), "merged", "append", f"{tmp_path}/ms")
     got = spark.table("merged").select(t.columns)
     assert got.count() == t.count() and got.exceptAll(t).count() == 0
+
+
+def heartbeat(trades, spark):
+    """One row without a symbol, long after all trades."""
+    return spark.createDataFrame([(None, None, 4_000_000_000_000, None, None, None)], trades.drop("ts").schema).withColumn("ts", F.timestamp_millis("ts_ms"))
+
+
+def in_slices(df, path, cuts):
+    """Files in time order, each written after the one before."""
+    edges = [0, *cuts, 5_000_000_000_000]
+    for a, b in zip(edges, edges[1:], strict=False):
+        df.where(f"ts_ms >= {a} AND ts_ms < {b}").coalesce(1).write.mode("append").parquet(path)
+
+
+def test_trades_to_signals_in_one_stream(spark, tmp_path):
+    t = v.event_trades(spark, SF)
+    timed_ = timed(t.union(heartbeat(timed(t), spark).drop("ts")))
+    in_slices(timed_, f"{tmp_path}/t", [1_704_600_000_000, 1_705_500_000_000, 1_706_500_000_000])
+    s = st.read_trade_files(spark, f"{tmp_path}/t", timed_.schema, 1)
+    closed = st.stream_close_bars(st.stream_profiled_bars(s, v.HOUR, v.SCALE, "2 hours"), v.HOUR, v.SCALE, v.BAR_COUNT)
+    triggers = []
+
+    def keep(df, i):
+        triggers.append(i)
+        df.write.mode("append").parquet(f"{tmp_path}/out")
+
+    st.run_available(closed, "", "append", f"{tmp_path}/cs", keep)
+    want = plan.close_bars(t, v.HOUR, v.SCALE, v.BAR_COUNT)
+    got = spark.read.parquet(f"{tmp_path}/out").select(want.columns)
+    assert len(triggers) >= 4
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
+def test_bars_out_of_order_stop_the_stream(spark, tmp_path):
+    t = v.event_trades(spark, SF)
+    bars = st.with_profiles(bars_ohlcv(t, v.HOUR), plan.c.footprint_cells(t, v.HOUR, v.SCALE)).cache()
+    for part in ("bar_start >= 1706000000000", "bar_start < 1706000000000"):
+        bars.where(part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/b")
+    s = spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/b")
+    with pytest.raises(StreamingQueryException, match="came after bar"):
+        st.run_available(st.stream_close_bars(s, v.HOUR, v.SCALE, v.BAR_COUNT), "late_bars", "append", f"{tmp_path}/cs")
