@@ -145,25 +145,40 @@ def flag_level_delta(cells: DataFrame, bars: DataFrame) -> DataFrame:
     return _sided(_with_session_delta(cells).join(_limits(bars, 1), BAR, "left_semi"), *_level_delta())
 
 
+def range_nodes(low: str, high: str) -> Column:
+    """The dyadic ranges of whole numbers that make up [low, high]: structs (k, i) for i * 2^k to (i + 1) * 2^k - 1, at most two a size."""
+    # an odd start and an even end are nodes of this size; what is left begins and ends with whole pairs, which are nodes of the next
+    odd, even = "if(pmod(s.a, 2) = 1, array(named_struct('k', k, 'i', s.a)), array())", "if(pmod(s.b, 2) = 0, array(named_struct('k', k, 'i', s.b)), array())"
+    step = f"named_struct('a', (s.a + pmod(s.a, 2)) div 2, 'b', (s.b - if(pmod(s.b, 2) = 0, 2, 1)) div 2, 'out', concat(s.out, {odd}, {even}))"
+    sizes = f"sequence(0, cast(ceil(log2({high} - {low} + 1)) AS int) + 1)"
+    start = f"named_struct('a', {low}, 'b', {high}, 'out', cast(array() AS array<struct<k:int,i:bigint>>))"
+    return F.expr(f"aggregate({sizes}, {start}, (s, k) -> if(s.a > s.b, s, {step}), s -> s.out)")
+
+
+def last_cover(points: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
+    """``points`` (keys, place, ..) with ``last``: the greatest ``at`` of the ``ranges`` (keys, low, high, at) that hold the place, null if none does.
+
+    A tree over places: a range is the at most 2 log(width) nodes that make it up, a node knows the greatest ``at`` of its ranges, and a place asks the node of each size above it.
+    No point meets a range, so work is n log n whatever the ranges are.
+    """
+    nodes = ranges.withColumn("n", F.explode(range_nodes("low", "high"))).groupBy(*keys, F.col("n.k").alias("_k"), F.col("n.i").alias("_i")).agg(F.max("at").alias("_at"))
+    top = nodes.groupBy(*keys).agg(F.max("_k").alias("_top"))
+    asked = points.select(*keys, "place").distinct().join(top, keys).withColumn("_k", F.explode(F.expr("sequence(0, _top)"))).withColumn("_i", F.expr("shiftright(place, _k)"))
+    found = asked.join(nodes, [*keys, "_k", "_i"]).groupBy(*keys, "place").agg(F.max("_at").alias("last"))
+    return points.join(found, [*keys, "place"], "left")
+
+
 def flag_auction(cells: DataFrame, bars: DataFrame, scale: int) -> DataFrame:
     """At close: the high is FINISHED if no ask volume traded there, the low if no bid volume did; else UNFINISHED.
 
-    A later bar of the session clears the marks on levels in its own range: a mark stays if the first later bar that covers its
-    level does not exist. Marks are joined to the later bars of their session only.
+    A later bar of the session clears the marks on levels in its own range, so a mark stays if its own bar is the last one of the session that covers its level.
     """
     ends = bars.where("n_trades > 0").select(*BAR, "session_no", price_level("high", scale).alias("hi"), price_level("low", scale).alias("lo"))
     at = cells.select(*BAR, "level", "bid_qty", "ask_qty")
     high = ends.join(at.withColumnRenamed("level", "hi"), [*BAR, "hi"]).select(*BAR, "session_no", F.col("hi").alias("level"), F.lit("ask").alias("side"), (F.col("ask_qty") == 0).alias("finished"))
     low = ends.join(at.withColumnRenamed("level", "lo"), [*BAR, "lo"]).select(*BAR, "session_no", F.col("lo").alias("level"), F.lit("bid").alias("side"), (F.col("bid_qty") == 0).alias("finished"))
-    marks = high.union(low)
-    later = ends.select("symbol", "session_no", F.col("bar_start").alias("_later"), "hi", "lo")
-    # the widest range after each bar, by running extremes from the end, rules most marks in or out without a join
-    after = Window.partitionBy("symbol", "session_no").orderBy("bar_start").rowsBetween(1, Window.unboundedFollowing)
-    reach = ends.select(*BAR, F.max("hi").over(after).alias("_top"), F.min("lo").over(after).alias("_bottom"))
-    doubt = marks.join(reach, BAR).withColumn("_open", F.col("_top").isNull() | (F.col("level") > F.col("_top")) | (F.col("level") < F.col("_bottom")))
-    maybe = doubt.where(~F.col("_open")).join(later, ["symbol", "session_no"]).where("_later > bar_start AND level BETWEEN lo AND hi")
-    cleared = maybe.select(*BAR, "level", "side").distinct()
-    left = marks.join(cleared, [*BAR, "level", "side"], "left_anti")
+    ranges = ends.select("symbol", "session_no", floor_div("lo", scale).alias("low"), floor_div("hi", scale).alias("high"), F.col("bar_start").alias("at"))
+    left = last_cover(high.union(low).withColumn("place", floor_div("level", scale)), ranges, ["symbol", "session_no"]).where("last = bar_start")
     bit = F.when(F.col("finished"), CELL_FLAGS["FINISHED_AUCTION"]).otherwise(CELL_FLAGS["UNFINISHED_AUCTION"]).cast("long")
     return left.select(*BAR, "level", F.when(F.col("side") == "bid", bit).otherwise(0).cast("long").alias("bid_flags"), F.when(F.col("side") == "ask", bit).otherwise(0).cast("long").alias("ask_flags"))
 

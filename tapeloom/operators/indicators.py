@@ -15,36 +15,38 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import floor_div
+from ..sources.scratch import stored
+from .scans import follow, next_point_by_blocks
 
+#: Session lengths of a block in which chained sessions are followed.
+SESSIONS = 64
 SESSION = ["symbol", "session_no"]
 
 
 def assign_sessions(bars: DataFrame, tf: int, bar_count: int, mode: str = "chained") -> DataFrame:
     """``session_no, session_start, bar_idx`` for bars with trades.
 
-    chained: a session opens at the first bar at or after the end of the last one, so that it depends on the data. anchored: sessions are whole
-    multiples of bar_count bars from a symbol's first bar.
+    chained: a session opens at the first bar at or after the end of the last one, so that it depends on the data: each bar points to the one that would
+    open the next session, and the chain from a symbol's first bar is followed by blocks of ``SESSIONS`` lengths. anchored: sessions are whole multiples of bar_count
+    bars from a symbol's first bar.
     """
     length = tf * bar_count
-    first = Window.partitionBy("symbol")
     if mode == "anchored":
-        number = floor_div(F.col("bar_start") - F.min("bar_start").over(first), length)
-        out = bars.withColumn("session_no", number).withColumn("session_start", F.min("bar_start").over(first) + F.col("session_no") * length)
+        first = bars.groupBy("symbol").agg(F.min("bar_start").alias("_first"))
+        number = floor_div(F.col("bar_start") - F.col("_first"), length)
+        out = bars.join(first, "symbol").withColumn("session_no", number).withColumn("session_start", F.col("_first") + F.col("session_no") * length).drop("_first")
     else:
-
-        def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("bar_start")
-            starts, numbers, now, no = [], [], None, -1
-            for at in pdf["bar_start"]:
-                if now is None or at >= now + length:
-                    now, no = at, no + 1
-                starts.append(now)
-                numbers.append(no)
-            return pdf.assign(session_no=numbers, session_start=starts)[["symbol", "bar_start", "session_no", "session_start"]]
-
-        keys = bars.select("symbol", "bar_start").distinct()
-        chained = keys.groupBy("symbol").applyInPandas(chain, "symbol string, bar_start long, session_no long, session_start long")
-        out = bars.join(chained, ["symbol", "bar_start"])
+        bars = stored(bars, "bars")
+        at = bars.select("symbol", "bar_start").distinct()
+        asks = at.select("symbol", (F.col("bar_start") + length).alias("at"), F.col("bar_start").alias("ask"))
+        to = next_point_by_blocks(asks, at.select("symbol", F.col("bar_start").alias("at"), F.struct("bar_start").alias("t")), ["symbol"], SESSIONS * length, True)
+        starts = follow(to.select("symbol", F.struct(F.col("ask").alias("bar_start")).alias("at"), F.col("ask").alias("place"), F.col("t").alias("next")), ["symbol"], SESSIONS * length)
+        starts = starts.select("symbol", F.col("at.bar_start").alias("session_start"), F.col("no").alias("session_no"))
+        near = floor_div("session_start", length)
+        starts = starts.withColumn("_near", F.explode(F.array(near, near + 1)))
+        within = (F.col("session_start") <= F.col("bar_start")) & (F.col("bar_start") < F.col("session_start") + length)
+        out = bars.withColumn("_near", floor_div("bar_start", length)).join(starts, ["symbol", "_near"]).where(within).drop("_near")
+        out = out.select(*[c for c in bars.columns if c not in ("session_no", "session_start")], "session_no", "session_start")
     return out.withColumn("bar_idx", F.call_function("div", F.col("bar_start") - F.col("session_start"), F.lit(tf).cast("long")))
 
 

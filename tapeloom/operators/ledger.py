@@ -7,11 +7,12 @@ Equity: ``run_id, ts_ms, open, high, low, close`` in money. Runs: ``run_id, star
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import MONEY, has_flag, is_open_order
 from ..sources.scratch import stored
+from .scans import ROWS, SPAN, scan
 
 LEDGER = (
     "run_id long, symbol string, seq long, ts_ms long, n_price long, n_qty long, is_long boolean, is_buy boolean, is_open boolean, n_entry long, "
@@ -49,9 +50,9 @@ def position_ledger(fills: DataFrame, runs: DataFrame, price_mult: int = 100, qt
         is_open_order("order_param").alias("is_open"), "n_commission", "n_mae", "n_mfe", "planned_tp", "planned_sl",
     )
     folded = filled.groupBy("run_id", "symbol", "is_long").applyInPandas(fold, LEDGER)
-    over = Window.partitionBy("run_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     start = F.bround(F.col("start_balance") * MONEY).cast("long")
-    return folded.join(runs.select("run_id", start.alias("_start")), "run_id").withColumn("n_balance", F.col("_start") + F.sum(F.col("n_pnl") - F.col("n_commission")).over(over)).drop("_start")
+    summed = scan(folded, ["run_id"], ["seq"], ROWS, {"_made": ("sum", F.col("n_pnl") - F.col("n_commission"))})
+    return summed.join(runs.select("run_id", start.alias("_start")), "run_id").withColumn("n_balance", F.col("_start") + F.col("_made")).drop("_start", "_made")
 
 
 def opened_trades(ledger: DataFrame, price_mult: int = 100) -> DataFrame:
@@ -121,15 +122,15 @@ def profit_factor(sum_win, sum_loss, fees):
 
 def avg_hold_minutes(opened: DataFrame, closed: DataFrame) -> DataFrame:
     """Mean minutes between the i-th opening and the i-th closing fill of a run, whatever their sides."""
-    nth = lambda df, name: df.select("run_id", F.col("ts_ms").alias(name), F.row_number().over(Window.partitionBy("run_id").orderBy("seq")).alias("i"))
-    pairs = nth(opened, "a").join(nth(closed, "b"), ["run_id", "i"])
+    nth = lambda df, name: scan(df.select("run_id", "seq", F.col("ts_ms").alias(name)), ["run_id"], ["seq"], ROWS, {"i": ("rank", "seq")})
+    pairs = nth(opened, "a").drop("seq").join(nth(closed, "b").drop("seq"), ["run_id", "i"])
     return pairs.groupBy("run_id").agg(F.avg((F.col("b") - F.col("a")) / 60_000).alias("avg_hold_minutes"))
 
 
 def sharpe_sortino(equity: DataFrame, runs: DataFrame) -> DataFrame:
     """Annualised mean over deviation of bar returns, and over the root mean square of the negative ones; rows with ts_ms = 0 are padding."""
-    before = F.lag("close").over(Window.partitionBy("run_id").orderBy("ts_ms"))
-    r = equity.where("ts_ms > 0").withColumn("r", F.col("close") / F.nullif(before, F.lit(0)) - 1).where("r IS NOT NULL AND NOT isnan(r)")
+    before = scan(equity.where("ts_ms > 0"), ["run_id"], ["ts_ms"], SPAN, {"_before": ("lag", "close")})
+    r = before.withColumn("r", F.col("close") / F.nullif(F.col("_before"), F.lit(0)) - 1).where("r IS NOT NULL AND NOT isnan(r)")
     agg = r.groupBy("run_id").agg(F.avg("r").alias("m"), F.stddev_samp("r").alias("s"), F.stddev_pop("r").alias("p"), F.sqrt(F.avg(F.when(F.col("r") < 0, F.col("r") * F.col("r")))).alias("d"))
     factor = F.sqrt(F.lit(365.0 * 86_400_000) / F.col("timeframe_ms"))
     sharpe = F.when(F.col("p") > 0, F.col("m") / F.col("s") * factor).otherwise(0.0)
@@ -139,16 +140,13 @@ def sharpe_sortino(equity: DataFrame, runs: DataFrame) -> DataFrame:
 
 def static_drawdown_series(closed: DataFrame, runs: DataFrame) -> DataFrame:
     """Running peak of the balance over closed trades, from the start balance, and the fall from it."""
-    over = Window.partitionBy("run_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    peak = F.greatest("start_balance", F.max("balance").over(over))
-    s = closed.join(runs.select("run_id", "start_balance"), "run_id").withColumn("peak", peak)
+    s = scan(closed.join(runs.select("run_id", "start_balance"), "run_id"), ["run_id"], ["seq"], ROWS, {"_peak": ("max", "balance")}).withColumn("peak", F.greatest("start_balance", "_peak"))
     return s.select("run_id", "seq", "balance", "peak", (F.col("peak") - F.col("balance")).alias("dd"), F.when(F.col("peak") > 0, (F.col("peak") - F.col("balance")) / F.col("peak") * 100).otherwise(0.0).alias("dd_pct"))
 
 
 def dynamic_drawdown_series(equity: DataFrame) -> DataFrame:
     """Running peak of the equity high against the equity low of each bar."""
-    over = Window.partitionBy("run_id").orderBy("ts_ms").rowsBetween(Window.unboundedPreceding, 0)
-    s = equity.where("ts_ms > 0").withColumn("peak", F.max("high").over(over))
+    s = scan(equity.where("ts_ms > 0"), ["run_id"], ["ts_ms"], SPAN, {"peak": ("max", "high")})
     return s.select("run_id", F.col("ts_ms").alias("seq"), "peak", (F.col("peak") - F.col("low")).alias("dd"), F.when(F.col("peak") > 0, (F.col("peak") - F.col("low")) / F.col("peak") * 100).otherwise(0.0).alias("dd_pct"))
 
 
@@ -160,9 +158,9 @@ def max_drawdown(series: DataFrame, prefix: str) -> DataFrame:
 
 def streaks(closed: DataFrame) -> DataFrame:
     """Longest runs of wins and of losses; a zero result ends both."""
-    side = F.signum("pnl")
-    all_, own = Window.partitionBy("run_id").orderBy("seq"), Window.partitionBy("run_id", "side").orderBy("seq")
-    islands = closed.withColumn("side", side).withColumn("island", F.row_number().over(all_) - F.row_number().over(own))
+    sided = scan(closed.select("run_id", "seq", F.signum("pnl").alias("side")), ["run_id"], ["seq"], ROWS, {"_before": ("lag", "side")})
+    turns = sided.withColumn("_turn", (F.col("_before").isNotNull() & (F.col("_before") != F.col("side"))).cast("long"))
+    islands = scan(turns, ["run_id"], ["seq"], ROWS, {"island": ("sum", "_turn")})
     runs = islands.groupBy("run_id", "side", "island").agg(F.count(F.lit(1)).alias("n"))
     longest = lambda s: F.coalesce(F.max(F.when(F.col("side") == s, F.col("n"))), F.lit(0).cast("long"))
     return runs.groupBy("run_id").agg(longest(1).alias("max_win_streak"), longest(-1).alias("max_loss_streak"))

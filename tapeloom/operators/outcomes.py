@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import bar_start, floor_div, pnl, slipped_price
 from ..sources.scratch import stored
+from .scans import ROWS, SPAN, follow, next_point, next_point_by_blocks, scan
 
 AT = ["symbol", "bar_start"]
 
@@ -23,19 +24,6 @@ class OrderPolicy(Protocol):
     def __call__(self, candidate, size: int) -> int | None: ...
 
 
-def _next(asks: DataFrame, points: DataFrame, keys: list[str], same: bool) -> DataFrame:
-    """``asks`` (keys, at, ask) with ``t`` of the first of ``points`` (keys, at, t) at or after ``at`` (after it, unless ``same``), null if there is none.
-
-    An as-of join forward: both in one column, ordered from the end, where the last point passed is the next one.
-    """
-    kind = F.lit(0 if same else 2)
-    mixed = points.select(*keys, "at", F.lit(1).alias("kind"), "t", F.lit(None).cast(asks.schema["ask"].dataType).alias("ask")).unionByName(
-        asks.select(*keys, "at", kind.alias("kind"), F.lit(None).cast(points.schema["t"].dataType).alias("t"), "ask")
-    )
-    passed = Window.partitionBy(*keys).orderBy(F.desc("at"), F.desc("kind"), F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
-    return mixed.withColumn("t", F.last("t", ignorenulls=True).over(passed)).where("kind <> 1").select(*keys, "at", "ask", "t")
-
-
 def entry_fill(orders: DataFrame, trades: DataFrame, tf: int, latency: int = 100, slip_bps: int = 5, block: int = 4096) -> DataFrame:
     """Market orders (``order_id, symbol, ts_ms, is_buy``) with ``fill_ts, fill_id, fill_price`` of the first trade from ts_ms + latency on.
 
@@ -47,10 +35,10 @@ def entry_fill(orders: DataFrame, trades: DataFrame, tf: int, latency: int = 100
     wide = floor_div("at", tf * block).alias("block")
     firsts = t.groupBy(*AT).agg(F.min("t").alias("t")).select("symbol", F.col("bar_start").alias("at"), "t").select("*", wide)
     ends = firsts.groupBy("symbol", "block").agg(F.min("t").alias("t")).select("symbol", F.col("block").alias("at"), "t")
-    in_bar = _next(live, t, AT, True).select(F.col("ask").alias("order_id"), F.col("t").alias("same"))
-    in_block = _next(live.select("symbol", F.col("bar_start").alias("at"), "ask").select("*", wide), firsts, ["symbol", "block"], False)
+    in_bar = next_point(live, t, AT, True).select(F.col("ask").alias("order_id"), F.col("t").alias("same"))
+    in_block = next_point(live.select("symbol", F.col("bar_start").alias("at"), "ask").select("*", wide), firsts, ["symbol", "block"], False)
     asked = in_block.select("symbol", F.col("block").alias("at"), F.col("block").alias("ask")).distinct()
-    beyond = _next(asked, ends, ["symbol"], False).select("symbol", F.col("ask").alias("block"), F.col("t").alias("far"))
+    beyond = next_point(asked, ends, ["symbol"], False).select("symbol", F.col("ask").alias("block"), F.col("t").alias("far"))
     later = in_block.join(beyond, ["symbol", "block"]).select(F.col("ask").alias("order_id"), F.coalesce("t", "far").alias("next"))
     out = orders.join(in_bar, "order_id", "left").join(later, "order_id", "left").withColumn("f", F.coalesce("same", "next"))
     return out.select(*orders.columns, "f.fill_ts", "f.fill_id", slipped_price(F.col("f.px"), "is_buy", slip_bps).alias("fill_price"))
@@ -120,23 +108,21 @@ def bracket_outcome(entries: DataFrame, trades: DataFrame, bars: DataFrame, tf:
     return entries.join(first.withColumnRenamed("parent", "order_id"), "order_id", "left").select(*entries.columns, F.col("x.leg").alias("exit_leg"), F.col("x.touch_ts").alias("exit_ts"), F.col("x.touch_id").alias("exit_id"), F.col("x.touch_price").alias("exit_price"))
 
 
-def one_position_per_side(candidates: DataFrame) -> DataFrame:
+def one_position_per_side(candidates: DataFrame, width: int = SPAN) -> DataFrame:
     """Candidates (``run_id, symbol, is_long, ts_ms, order_id, end_ts``) that open while their side is empty.
 
-    A greedy walk in time order per (run, symbol, side): signals up to the end of the open position are ignored; a null end never closes.
+    Signals up to the end of the open position are ignored; a null end never closes, and an end before its own signal counts as at it. Each candidate points to the first one after its
+    end, an as-of join, and the chain from a side's first candidate is followed by blocks of ``width`` milliseconds, so that no side is walked by one task.
     """
-
-    def walk(pdf):
-        pdf = pdf.sort_values(["ts_ms", "order_id"])
-        free, taken = None, []
-        for ts, end in zip(pdf["ts_ms"], pdf["end_ts"], strict=True):
-            ok = free is None or ts > free
-            taken.append(ok)
-            if ok:
-                free = float("inf") if end != end or end is None else end
-        return pdf[taken]
-
-    return candidates.groupBy("run_id", "symbol", "is_long").applyInPandas(walk, candidates.schema)
+    keys = ["run_id", "symbol", "is_long"]
+    own = stored(candidates, "candidates")
+    at = F.struct("ts_ms", "order_id")
+    asks = own.where("end_ts IS NOT NULL").select(*keys, F.greatest("end_ts", "ts_ms").alias("at"), at.alias("ask"))
+    to = next_point_by_blocks(asks, own.select(*keys, F.col("ts_ms").alias("at"), at.alias("t")), keys, width, False)
+    pointers = to.select(*keys, F.col("ask").alias("at"), F.col("ask.ts_ms").alias("place"), F.col("t").alias("next"))
+    last = own.where("end_ts IS NULL").select(*keys, at.alias("at"), F.col("ts_ms").alias("place"), F.lit(None).cast(pointers.schema["next"].dataType).alias("next"))
+    taken = follow(pointers.union(last), keys, width).select(*keys, "at.ts_ms", "at.order_id")
+    return own.join(taken, [*keys, "ts_ms", "order_id"]).select(*candidates.columns)
 
 
 def size_and_gate(candidates: DataFrame, policy: OrderPolicy | None = None, start: int = 100 * 10**8, leverage: int = 20, entry_bps: int = 100, max_loss_bps: int = 1000, max_lock_bps: int = 1000, min_size: int = 5 * 10**8, price_mult: int = 100, qty_mult: int = 1000, taker_bps: int = 5, maker_bps: int = 2, money: int = 10**8) -> DataFrame:
@@ -220,8 +206,7 @@ def mae_mfe(positions: DataFrame, trades: DataFrame, bars: DataFrame, tf: int, p
 
 def locked_margin(events: DataFrame) -> DataFrame:
     """Margin locked after each event: ``run_id, ts_ms, seq, amount`` with positive amounts on opening and negative on closing or cancelling."""
-    over = Window.partitionBy("run_id").orderBy("ts_ms", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("locked", F.sum("amount").over(over))
+    return scan(events, ["run_id"], ["ts_ms", "seq"], SPAN, {"locked": ("sum", "amount")})
 
 
 def equity_ohlc(states: DataFrame, trades: DataFrame, bars: DataFrame, tf: int, price_mult: int = 100, qty_mult: int = 1000) -> DataFrame:
@@ -245,8 +230,7 @@ def equity_ohlc(states: DataFrame, trades: DataFrame, bars: DataFrame, tf: int,
     found = sampled.union(quiet)
     ends = found.groupBy("run_id").agg(F.min("bar_start").alias("a"), F.max("bar_start").alias("b"))
     frame = ends.select("run_id", F.explode(F.sequence("a", "b", F.lit(tf).cast("long"))).alias("bar_start"))
-    before = F.last("close", ignorenulls=True).over(Window.partitionBy("run_id").orderBy("bar_start").rowsBetween(Window.unboundedPreceding, 0))
-    filled = frame.join(found, ["run_id", "bar_start"], "left").withColumn("_c", before)
+    filled = scan(frame.join(found, ["run_id", "bar_start"], "left"), ["run_id"], ["bar_start"], tf * ROWS, {"_c": ("fill", "close")})
     return filled.select("run_id", "bar_start", *[F.coalesce(c, "_c").alias(c) for c in ("open", "high", "low", "close")])
 
 

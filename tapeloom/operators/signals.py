@@ -9,10 +9,11 @@ from collections.abc import Callable
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import CELL_FLAGS, ORDER_FLAGS
+from .scans import SPAN, scan
 
 
 class Rule(Protocol):
@@ -38,7 +39,7 @@ def signals(bars: DataFrame, rule: Column, price: Column | str, is_long: Column
 
 def number_signals(df: DataFrame, run: list[str] | None = None) -> DataFrame:
     """``signal_id`` from 1 in time order within a run."""
-    return df.withColumn("signal_id", F.row_number().over(Window.partitionBy(*(run or ["symbol"])).orderBy("ts_ms", "n_price", "order_param")).cast("long"))
+    return scan(df, run or ["symbol"], ["ts_ms", "n_price", "order_param"], SPAN, {"signal_id": ("rank", "ts_ms")})
 
 
 def trapped_orders_rule(bars: DataFrame, flags: DataFrame, least_atr: float = 0.0025, least_bars: int = 22) -> DataFrame:
