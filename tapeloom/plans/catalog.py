@@ -13,12 +13,14 @@ from ..operators import cells as c
 from ..operators import flags as fl
 from ..operators import indicators as ind
 from ..operators import ledger as led
+from ..operators import lifecycle as life
 from ..operators import outcomes as out
 from ..operators import resample as res
 from ..operators import signals as sig
 from ..sources import decoders as dec
 from ..sources import stores
 from ..sources.scratch import shared_folder, stored
+from ..streaming import accounts as acc
 from ..streaming import trades as st
 from . import bars as plan
 from . import views as v
@@ -1009,3 +1011,31 @@ def k11_account_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = dec.decode_order_events(_order_messages(spark, sf_dir).drop("symbol")).withColumns({"account": F.lit(1), "seq": F.col("trade_id")})
     balances = dec.decode_balance_events(_balance_messages(spark, sf_dir)).withColumns({"account": F.lit(1), "seq": F.col("trade_id")})
     return st.account_state(orders, balances)[0].select("symbol", "side", "order_id", "state")
+
+
+@query(with_(v.TRADES) + """, l AS (SELECT CAST(trade_id % 50 AS VARCHAR) AS account, symbol, CASE WHEN trade_id % 2 = 0 THEN 'LONG' ELSE 'SHORT' END AS side, arg_max(trade_id, (ts_ms, trade_id)) AS i, arg_max(is_sell, (ts_ms, trade_id)) AS sells, max(ts_ms) AS at_ms FROM trades GROUP BY ALL),
+ m AS (SELECT *, (side = 'LONG') <> sells AS opens, i % 5 = 0 AND at_ms + 259200000 <= (SELECT max(ts_ms) FROM trades) AS lapsed FROM l)
+ SELECT account, symbol, side, i AS order_id, CASE WHEN i % 5 IN (1, 2) THEN CASE WHEN opens THEN 'OPEN' ELSE 'EMPTY' END WHEN i % 5 = 0 AND NOT lapsed THEN CASE WHEN opens THEN 'PENDING' ELSE 'CLOSE' END ELSE CASE WHEN opens THEN 'EMPTY' ELSE 'OPEN' END END AS state, lapsed FROM m""")
+def k11_stream_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order events of fifty accounts in three triggers, each with events older than those before; pending orders lapse after three days."""
+    orders = dec.decode_order_events(_order_messages(spark, sf_dir).drop("symbol")).withColumns({"account": (F.col("trade_id") % 50).cast("string"), "seq": F.col("trade_id"), "ts": F.timestamp_millis("ts_ms")})
+    last, folder = v.event_trades(spark, sf_dir).agg(F.max("ts_ms")).first()[0] or 0, shared_folder(spark)
+    beat = _beat(orders.drop("ts"), last + 400 * DAY).withColumn("ts", F.timestamp_millis("ts_ms"))
+    with _rocksdb(spark):
+        for part in (orders.where("seq % 3 = 1"), orders.where("seq % 3 = 2"), orders.where("seq % 3 = 0"), beat):
+            part.write.mode("append").parquet(f"{folder}/events")
+            live = st.read_trade_files(spark, f"{folder}/events", spark.read.parquet(f"{folder}/events").schema, 1000)
+            changes = _written(acc.stream_positions(live, 3 * DAY, "400 days"), f"{folder}/changes")
+    return acc.positions_now(changes).select("account", "symbol", "side", "order_id", "state", "lapsed")
+
+
+_AGAIN = "again AS (SELECT order_id, symbol, exit_ts AS ts_ms, n_price, is_long, tp_bps, sl_bps FROM brackets WHERE exit_leg = 'sl'),\n " + _ORDERS[_ORDERS.index("entries AS") :].replace("entries", "entries2").replace("orders_ o", "again o")
+_BRACKET2 = _BRACKET.replace("entries", "entries2").replace("legs", "legs2").replace("exits", "exits2").replace("brackets", "brackets2")
+
+
+@query(with_(v.TRADES, v.BARS, _SIGNALS, _ORDERS, _BRACKET, _AGAIN, _BRACKET2) + "SELECT order_id AS chain, CAST(0 AS INTEGER) AS step, symbol, is_long, fill_ts, fill_price, exit_leg, exit_ts, exit_price FROM brackets WHERE fill_ts IS NOT NULL UNION ALL SELECT order_id, 1, symbol, is_long, fill_ts, fill_price, exit_leg, exit_ts, exit_price FROM brackets2 WHERE fill_ts IS NOT NULL")
+def l2_reentry_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A policy with hooks: a bracket for each entry, and one new entry after a stop."""
+    t = v.event_trades(spark, sf_dir)
+    orders = life.run_orders(_orders(spark, sf_dir), t, stored(c.bars_ohlcv(t, HOUR), "bars"), HOUR, life.Bracket(reenter=1))
+    return life.round_trips(orders)

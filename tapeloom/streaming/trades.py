@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import floor_div, price_level, signed_qty
 from ..operators.indicators import grow_area
 from ..sources.decoders import decode_agg_trades, scale_trades
+from .accounts import position_side, position_state
 
 #: An id jump of at least this is fatal: 60,000 rounded up to a power of two.
 GAP_LIMIT = 65_536
@@ -346,15 +347,9 @@ def lag_warnings(signals: DataFrame, now_ms, max_lag_ms: int = 60_000) -> DataFr
 
 def account_state(order_events: DataFrame, balance_events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The latest order event of each (symbol, side), and the latest balances, of decoded events (``account, seq`` order them)."""
-    from ..functions.scalars import has_flag
-
-    side = F.when(has_flag("order_param", "LONG", "order"), "LONG").when(has_flag("order_param", "SHORT", "order"), "SHORT")
-    keyed = order_events.withColumn("side", side).where("side IS NOT NULL")
-    last = keyed.groupBy("account", "symbol", "side").agg(F.max_by(F.struct("ts_ms", "order_param", "order_id", "n_price", "n_qty"), F.struct("ts_ms", "seq")).alias("e"))
-    filled = (F.col("e.order_param").bitwiseAND(F.lit(512)) != 0)
-    opens = (F.col("e.order_param").bitwiseAND(F.lit(5)) == 5) | (F.col("e.order_param").bitwiseAND(F.lit(10)) == 10)
-    state = F.when(filled & opens, "OPEN").when(filled, "EMPTY").when(F.col("e.order_param").bitwiseAND(F.lit(1024)) != 0, F.when(opens, "EMPTY").otherwise("OPEN")).otherwise(F.when(opens, "PENDING").otherwise("CLOSE"))
-    positions = last.select("account", "symbol", "side", state.alias("state"), "e.*")
+    keyed = order_events.withColumn("side", position_side()).where("side IS NOT NULL")
+    last = keyed.groupBy("account", "symbol", "side").agg(F.max_by(F.struct("ts_ms", "order_param", "order_id", "n_price", "n_qty"), F.struct("ts_ms", "seq")).alias("e")).select("account", "symbol", "side", "e.*")
+    positions = last.select("account", "symbol", "side", position_state().alias("state"), "ts_ms", "order_param", "order_id", "n_price", "n_qty")
     balances = balance_events.groupBy("account").agg(F.max_by(F.struct("ts_ms", "n_balance", "n_available", "n_locked"), F.struct("ts_ms", "seq")).alias("b")).select("account", "b.*")
     return positions, balances
 
