@@ -55,12 +55,12 @@ class Bracket:
         move = lambda bps: floor_div(F.col("fill_price") * F.col(bps), 10_000)
         away = lambda bps, up: F.when(F.col("is_long") == F.lit(up), F.col("fill_price") + move(bps)).otherwise(F.col("fill_price") - move(bps))
         legs = [
-            entries.withColumns({"oco": F.col("order_id"), "order_id": F.concat("order_id", F.lit(f":{name}")), "kind": F.lit(kind), "n_price": away(bps, up), "ts_ms": F.col("event_ts"), "is_buy": ~F.col("is_long")})
+            entries.withColumns({"oco": F.col("order_id"), "order_id": F.concat("order_id", F.lit(f":{name}")), "kind": F.lit(kind), "n_price": away(bps, up), "ts_ms": F.col("event_ts"), "is_buy": ~F.col("is_long"), "until": F.lit(None)})
             for name, kind, bps, up in (("tp", "limit", "tp_bps", True), ("sl", "stop", "sl_bps", False))
         ]
         again = stops.withColumns({
             "step": F.col("step") + 1, "order_id": F.concat("chain", F.lit("/"), (F.col("step") + 1).cast("string")), "kind": F.lit("market"), "ts_ms": F.col("event_ts"), "is_buy": F.col("is_long"),
-            "n_price": F.lit(None), "oco": F.lit(None),
+            "n_price": F.lit(None), "oco": F.lit(None), "until": F.lit(None),
         })
         return reduce(DataFrame.union, [orders_of(x) for x in (*legs, again)])
 

@@ -748,12 +748,24 @@ def a1_a2_csv_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_(v.TRADES) + "SELECT symbol, trade_id, ts_ms, n_price, n_qty, is_sell FROM trades WHERE symbol = (SELECT min(symbol) FROM trades) AND ts_ms >= 1704499200000 AND ts_ms < 1705017600000")
 def a3_a4_trade_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, path = v.event_trades(spark, sf_dir), shared_folder(spark)
-    stores.append_trade_days(t.where(F.col("ts_ms") < 1_705_000_000_000 - 1_705_000_000_000 % DAY), path)
-    stores.append_trade_days(t, path)
+    stores.append_trades(t.where(F.col("ts_ms") < 1_705_000_000_000 - 1_705_000_000_000 % DAY), path)
+    stores.append_trades(t, path)
     first = t.agg(F.min("symbol")).first()[0]
     return stores.scan_trades(spark, path, first, "2024-01-06", "2024-01-11").select("symbol", "trade_id", "ts_ms", "n_price", "n_qty", "is_sell")
 
 
+@query(with_(v.TRADES) + "SELECT symbol, CAST(epoch_ms(ts_ms) AS DATE) AS trade_date, count(*) AS n, CAST(sum(n_qty) AS BIGINT) AS qty, min(trade_id) AS first_id, max(trade_id) AS last_id FROM trades GROUP BY ALL")
+def a3_partial_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days that arrive in parts which overlap, some in a commit that was never published: the store has each trade once, by day."""
+    t, path = v.event_trades(spark, sf_dir), shared_folder(spark)
+    stores.append_trades(t.where("trade_id % 3 = 0"), path)
+    t.where("trade_id % 5 = 1").withColumn("trade_date", F.to_date(s.utc_date_str("ts_ms"))).write.partitionBy("symbol", "trade_date").parquet(f"{path}/trades/commit=of-a-writer-that-died")
+    stores.append_trades(t.where("trade_id % 3 <> 1"), path)
+    stores.append_trades(t, path)
+    by_day = stores.read_store(spark, path).groupBy("symbol", "trade_date")
+    return by_day.agg(F.count(F.lit(1)).alias("n"), F.sum("n_qty").alias("qty"), F.min("trade_id").alias("first_id"), F.max("trade_id").alias("last_id"))
+
+
 _DECODED = "SELECT symbol, printf('%.2f', n_price / 100) AS price, CAST(n_qty AS VARCHAR) AS qty, ts_ms, is_sell, trade_id AS agg_id, n_price, n_qty * 1000 AS n_qty FROM trades WHERE trade_id % 50 <> 7"
 
 
@@ -823,7 +835,7 @@ def a11_bar_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, b = shared_folder(spark), v.hourly_bars(spark, sf_dir).drop("pq", "ppq")
     stores.write_bars(b.where(F.col("bar_start") < 1_704_931_200_000), path, HOUR)
     stores.write_bars(b, path, HOUR)
-    return spark.read.parquet(path).select("symbol", "bar_start", "open", "close")
+    return stores.read_store(spark, path, "bars").select("symbol", "bar_start", "open", "close")
 
 
 @query(with_(v.TRADES, v.BARS) + "SELECT symbol, CAST(3600000 AS BIGINT) AS timeframe_ms, CAST(epoch_ms(min(bar_start)) AS DATE) AS start_date, CAST(epoch_ms(max(bar_start)) AS DATE) AS end_date FROM bars GROUP BY symbol HAVING CAST(epoch_ms(min(bar_start)) AS DATE) <= DATE '2024-01-03' AND CAST(epoch_ms(max(bar_start)) AS DATE) >= DATE '2024-01-20'")
@@ -841,14 +853,19 @@ def a13_a14_bar_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_RUNS + "SELECT run_id, count(*) AS fills, CAST(sum(n_commission) AS BIGINT) AS fees FROM fills GROUP BY run_id")
 def a15_run_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, f = shared_folder(spark), v.run_fills(spark, sf_dir)
-    stores.write_run(f.drop("open", "high", "low", "close", "bar_start"), v.run_equity(f), path)
-    return spark.read.parquet(f"{path}/fills").withColumn("run_id", F.col("run_id").cast("long")).groupBy("run_id").agg(F.count(F.lit(1)).alias("fills"), F.sum("n_commission").alias("fees"))
+    fills, equity = f.drop("open", "high", "low", "close", "bar_start"), v.run_equity(f)
+    stores.write_run(fills.withColumn("n_commission", F.lit(1).cast("long")), equity, path)
+    stores.write_run(fills, equity, path)
+    return stores.read_run_table(spark, path, "fills").groupBy("run_id").agg(F.count(F.lit(1)).alias("fills"), F.sum("n_commission").alias("fees"))
 
 
 @query(_RUNS + "SELECT run_id, CASE WHEN run_id % 2 = 0 THEN 1234.57 ELSE 1000 END::DOUBLE AS start_balance FROM (SELECT DISTINCT run_id FROM fills)")
 def a16_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = v.runs_of(v.run_fills(spark, sf_dir)).select("run_id", "start_balance")
-    return stores.upsert_manifest(runs, runs.where("run_id % 2 = 0").withColumn("start_balance", F.lit(1234.567)))
+    path = shared_folder(spark)
+    stores.commit_manifest(runs, path)
+    stores.commit_manifest(runs.where("run_id % 2 = 0").withColumn("start_balance", F.lit(1234.567)), path)
+    return stores.read_store(spark, path, "manifest")
 
 
 @query(_RUNS + "SELECT run_id, ts_ms, round(open, 6) AS open, round(close, 6) AS close FROM equity")
@@ -1014,10 +1031,10 @@ def k11_account_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(with_(v.TRADES) + """, l AS (SELECT CAST(trade_id % 50 AS VARCHAR) AS account, symbol, CASE WHEN trade_id % 2 = 0 THEN 'LONG' ELSE 'SHORT' END AS side, arg_max(trade_id, (ts_ms, trade_id)) AS i, arg_max(is_sell, (ts_ms, trade_id)) AS sells, max(ts_ms) AS at_ms FROM trades GROUP BY ALL),
- m AS (SELECT *, (side = 'LONG') <> sells AS opens, i % 5 = 0 AND at_ms + 259200000 <= (SELECT max(ts_ms) FROM trades) AS lapsed FROM l)
+ m AS (SELECT *, (side = 'LONG') <> sells AS opens, i % 5 = 0 AND at_ms + 21600000 <= (SELECT max(ts_ms) FROM trades) AS lapsed FROM l)
  SELECT account, symbol, side, i AS order_id, CASE WHEN i % 5 IN (1, 2) THEN CASE WHEN opens THEN 'OPEN' ELSE 'EMPTY' END WHEN i % 5 = 0 AND NOT lapsed THEN CASE WHEN opens THEN 'PENDING' ELSE 'CLOSE' END ELSE CASE WHEN opens THEN 'EMPTY' ELSE 'OPEN' END END AS state, lapsed FROM m""")
 def k11_stream_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order events of fifty accounts in three triggers, each with events older than those before; pending orders lapse after three days."""
+    """Order events of fifty accounts in three triggers, each with events older than those before; pending orders lapse after six hours."""
     orders = dec.decode_order_events(_order_messages(spark, sf_dir).drop("symbol")).withColumns({"account": (F.col("trade_id") % 50).cast("string"), "seq": F.col("trade_id"), "ts": F.timestamp_millis("ts_ms")})
     last, folder = v.event_trades(spark, sf_dir).agg(F.max("ts_ms")).first()[0] or 0, shared_folder(spark)
     beat = _beat(orders.drop("ts"), last + 400 * DAY).withColumn("ts", F.timestamp_millis("ts_ms"))
@@ -1025,7 +1042,7 @@ def k11_stream_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
         for part in (orders.where("seq % 3 = 1"), orders.where("seq % 3 = 2"), orders.where("seq % 3 = 0"), beat):
             part.write.mode("append").parquet(f"{folder}/events")
             live = st.read_trade_files(spark, f"{folder}/events", spark.read.parquet(f"{folder}/events").schema, 1000)
-            changes = _written(acc.stream_positions(live, 3 * DAY, "400 days"), f"{folder}/changes")
+            changes = _written(acc.stream_positions(live, 6 * HOUR, "400 days"), f"{folder}/changes")
     return acc.positions_now(changes).select("account", "symbol", "side", "order_id", "state", "lapsed")
 
 

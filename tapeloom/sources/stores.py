@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import MONEY, utc_date_str
+from .snapshots import SnapshotStore, latest_of, missing_rows
 
 TRADE_CSV = "trade_id bigint, price decimal(38,12), qty decimal(38,12), first_id bigint, last_id bigint, ts_ms bigint, is_sell boolean"
 
@@ -15,39 +16,36 @@ def read_trades_csv(spark: SparkSession, path: str, schema: str = TRADE_CSV) ->
     return spark.read.schema(schema).csv(path, header=True).select("trade_id", "price", "qty", "ts_ms", "is_sell")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+def read_store(spark: SparkSession, path: str, table: str = "trades") -> DataFrame | None:
+    """A store's table as of its latest snapshot, or None before the first."""
+    return SnapshotStore(spark, path).read(table)
 
 
-def read_store(spark: SparkSession, path: str) -> DataFrame | None:
-    """A store's table with its partition columns, or None before the first write."""
-    return spark.read.parquet(path) if _exists(spark, path) else None
+def append_trades(df: DataFrame, path: str) -> int:
+    """Add the trades whose (symbol, id) the store lacks, days that it has in part included, as one snapshot.
 
-
-def append_trade_days(df: DataFrame, path: str) -> None:
-    """Append the (symbol, trade_date) days that the store does not have yet. Stored days are found from its folders only."""
+    Days are folders; a large day is spread over tasks (and files) by AQE and not written by one.
+    """
     dated = df.withColumn("trade_date", F.to_date(utc_date_str("ts_ms")))
-    stored = read_store(df.sparkSession, path)
-    if stored is not None:
-        days = stored.select("symbol", "trade_date").distinct()
-        dated = dated.join(days, ["symbol", "trade_date"], "left_anti")
-    dated.repartition("symbol", "trade_date").sortWithinPartitions("ts_ms", "trade_id").write.mode("append").partitionBy("symbol", "trade_date").parquet(path)
+    parts = ["symbol", "trade_date"]
+    made = lambda read: {"trades": missing_rows(dated, read("trades"), parts, ["trade_id"]).hint("rebalance", *parts)}
+    return SnapshotStore(df.sparkSession, path).commit(made, {"trades": parts})
 
 
 def scan_trades(spark: SparkSession, path: str, symbol: str, start: str, end: str) -> DataFrame:
     """A symbol's trades of the days from ``start`` to ``end``, both included; other folders are not read."""
-    return spark.read.parquet(path).where((F.col("symbol") == symbol) & F.col("trade_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    stored = read_store(spark, path)
+    if stored is None:
+        raise FileNotFoundError(f"no snapshot at {path}")
+    return stored.where((F.col("symbol") == symbol) & F.col("trade_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
 
 
-def write_bars(bars: DataFrame, path: str, timeframe_ms: int) -> None:
-    """Write bars by (symbol, timeframe, date), replacing only the dates written and skipping those stored already."""
+def write_bars(bars: DataFrame, path: str, timeframe_ms: int) -> int:
+    """Add the bars that the store lacks, by (symbol, timeframe, date), as one snapshot; stored ones stay as they are."""
     dated = bars.withColumns({"timeframe_ms": F.lit(timeframe_ms), "bar_date": F.to_date(utc_date_str("bar_start"))})
-    stored = read_store(bars.sparkSession, path)
-    if stored is not None:
-        dated = dated.join(stored.select("symbol", "timeframe_ms", "bar_date").distinct(), ["symbol", "timeframe_ms", "bar_date"], "left_anti")
-    dated.repartition("symbol", "bar_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol", "timeframe_ms", "bar_date").parquet(path)
+    parts = ["symbol", "timeframe_ms", "bar_date"]
+    made = lambda read: {"bars": missing_rows(dated, read("bars"), parts, ["bar_start"]).hint("rebalance", "symbol", "bar_date")}
+    return SnapshotStore(bars.sparkSession, path).commit(made, {"bars": parts})
 
 
 def find_bar_span(spans: DataFrame, start: str, end: str, symbol: str | None = None, timeframe_ms: int | None = None) -> DataFrame:
@@ -71,10 +69,25 @@ def bars_to_ohlc(bars: DataFrame, price_mult: int) -> DataFrame:
     return bars.select("symbol", F.col("open_time").alias("ts_ms"), *[(F.col(c) / price_mult).alias(c) for c in ("open", "high", "low", "close")])
 
 
-def write_run(fills: DataFrame, equity: DataFrame, path: str) -> None:
-    """A run's fills and equity, by run_id; only the runs written are replaced."""
-    for name, df in (("fills", fills), ("equity", equity)):
-        df.repartition("run_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{path}/{name}")
+def write_run(fills: DataFrame, equity: DataFrame, path: str) -> int:
+    """Fills and equity of runs as one snapshot, by run_id; readers see a run's last commit, of both tables or of neither."""
+    made = lambda read: {name: df.hint("rebalance", "run_id") for name, df in (("fills", fills), ("equity", equity))}
+    return SnapshotStore(fills.sparkSession, path).commit(made, {"fills": ["run_id"], "equity": ["run_id"]})
+
+
+def read_run_table(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """``fills`` or ``equity`` of all runs, each as it was last written."""
+    return latest_of(SnapshotStore(spark, path).read(table, order="_commit"), ["run_id"], "_commit")
+
+
+def commit_manifest(new: DataFrame, path: str) -> int:
+    """``upsert_manifest`` of the stored list of runs and ``new``, as one snapshot that replaces the list."""
+
+    def made(read) -> dict[str, DataFrame]:
+        runs = read("manifest")
+        return {"manifest": upsert_manifest(new.where("false") if runs is None else runs, new)}
+
+    return SnapshotStore(new.sparkSession, path).commit(made, replace=True)
 
 
 def upsert_manifest(runs: DataFrame, new: DataFrame) -> DataFrame:

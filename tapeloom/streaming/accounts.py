@@ -73,11 +73,12 @@ def stream_positions(order_events: DataFrame, expire_ms: int, delay: str = "10 m
     """
     from pyspark.sql.streaming import StatefulProcessor
 
-    marked = order_events.withWatermark("ts", delay).where(F.when(F.col("account").isNotNull(), F.col("ts")).isNotNull())
+    # one condition that reads ts: any other would be moved below the watermark, which then misses the heartbeats
+    marked = order_events.withWatermark("ts", delay).where(F.when(F.col("account").isNotNull() & position_side().isNotNull(), F.col("ts")).isNotNull())
     asked = marked.select(F.col("account").cast("string").alias("account"), "symbol", position_side().alias("side"), "ts_ms", F.col("seq").cast("long").alias("seq"), position_state().alias("state"), "order_param", "order_id", "n_price", "n_qty", "ts")
     processor = type("PositionProcessor", (_Position, StatefulProcessor), {"expire_ms": expire_ms})()
     schema = f"account string, symbol string, side string, {_EVENT}, version long, lapsed boolean"
-    return asked.where("side IS NOT NULL").groupBy("account", "symbol", "side").transformWithStateInPandas(processor, schema, "Append", "EventTime")
+    return asked.groupBy("account", "symbol", "side").transformWithStateInPandas(processor, schema, "Append", "EventTime")
 
 
 def positions_now(changes: DataFrame) -> DataFrame:

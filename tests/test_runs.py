@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.scalars import MONEY
 from tapeloom.operators import ledger as led
+from tapeloom.operators import lifecycle as life
 from tapeloom.operators import outcomes as out
 from tapeloom.operators import resample as res
 
@@ -121,3 +122,55 @@ def test_fills_and_touches_match_a_walk_over_trades(spark):
         for o, s, ts, buy, stop, px in orders:
             meets = (lambda p: p >= px) if buy == stop else (lambda p: p <= px)  # noqa: B023
             assert got[o] == min(((a, i) for x, a, i, p in trades if x == s and a >= ts and meets(p)), default=(None, None))
+
+
+class LimitFirst:
+    """Enters by a limit below the signal; a limit that is cancelled at its end is followed by a market order; brackets as usual, and no second entry."""
+
+    def on_signal(self, signals):
+        chain = F.col("order_id")
+        return signals.withColumns({"chain": chain, "step": F.lit(0), "order_id": F.concat(chain, F.lit("/limit")), "is_buy": F.col("is_long"), "kind": F.lit("limit"), "n_price": F.lit(95), "until": F.col("ts_ms") + 50_000})
+
+    def on_fill(self, fills):
+        entered = fills.withColumn("kind", F.when(F.col("oco").isNull(), "market").otherwise(F.col("kind")))
+        return life.Bracket().on_fill(entered)
+
+    def on_cancel(self, cancels):
+        late = cancels.where("oco IS NULL")
+        return late.withColumns({"order_id": F.concat("chain", F.lit("/market")), "kind": F.lit("market"), "n_price": F.lit(None), "until": F.lit(None), "ts_ms": F.col("event_ts")})
+
+
+def market(spark, prices):
+    trades = spark.createDataFrame([("X", i, i * 10_000, p) for i, p in enumerate(prices)], "symbol string, trade_id long, ts_ms long, n_price long")
+    bars = trades.groupBy("symbol", F.expr("ts_ms - pmod(ts_ms, 60000)").alias("bar_start")).agg(F.max("n_price").alias("high"), F.min("n_price").alias("low"), F.count(F.lit(1)).alias("n_trades"))
+    return trades, bars
+
+
+def test_hooks_answer_fills_and_cancels(spark):
+    trades, bars = market(spark, [100, 101, 99, 98, 97, 96, 100, 94, 100, 106, 120, 90, 80, 130])
+    signals = spark.createDataFrame([("a", "X", 0, True, 1000, 1000), ("b", "X", 30_000, True, 1000, 1000)], "order_id string, symbol string, ts_ms long, is_long boolean, tp_bps long, sl_bps long")
+    done = life.run_orders(signals, trades, bars, 60_000, LimitFirst(), slip_bps=0)
+    got = {r.order_id: (r.status, r.event_ts, r.fill_price) for r in done.collect()}
+    assert got == {
+        "a/limit": ("cancelled", 50_100, None), "a/market": ("filled", 60_000, 100), "a/market:tp": ("filled", 100_000, 110), "a/market:sl": ("cancelled", 100_000, None),
+        "b/limit": ("filled", 70_000, 95), "b/limit:tp": ("filled", 90_000, 104), "b/limit:sl": ("cancelled", 90_000, None),
+    }
+
+
+def test_a_stop_is_followed_by_so_many_entries(spark):
+    trades, bars = market(spark, [100, 100, 80, 100, 100, 80, 100, 100, 80, 80])
+    signals = spark.createDataFrame([("a", "X", 0, True, 1000, 1000), ("s", "X", 0, False, 1000, 1000), ("none", "Y", 0, True, 1, 1)], "order_id string, symbol string, ts_ms long, is_long boolean, tp_bps long, sl_bps long")
+    for most, want in ((0, 1), (1, 2), (9, 4)):
+        done = life.run_orders(signals, trades, bars, 60_000, life.Bracket(most), slip_bps=0)
+        trips = sorted((r.step, r.fill_ts, r.exit_leg, r.exit_ts) for r in life.round_trips(done).collect() if r.chain == "a")
+        assert len(trips) == want and trips[0] == (0, 10_000, "sl", 20_000)
+        assert [r.exit_leg for r in life.round_trips(done).collect() if r.chain == "s"] == ["tp"]
+        assert {r.status for r in done.collect() if r.chain == "none"} == {"open"}
+
+
+def test_a_policy_that_never_ends_is_an_error(spark):
+    trades, bars = market(spark, [100, 80] * 8)
+    signals = spark.createDataFrame([("a", "X", 0, True, 9000, 1)], "order_id string, symbol string, ts_ms long, is_long boolean, tp_bps long, sl_bps long")
+    with pytest.raises(RuntimeError, match="did not end"):
+        life.run_orders(signals, trades, bars, 60_000, life.Bracket(10**6), slip_bps=0, most_rounds=3)
+    assert life.run_orders(signals.where("false"), trades, bars, 60_000).count() == 0

@@ -9,6 +9,7 @@ from tapeloom.operators.cells import bars_ohlcv
 from tapeloom.plans import bars as plan
 from tapeloom.plans import views as v
 from tapeloom.sources import decoders as dec
+from tapeloom.streaming import accounts as acc
 from tapeloom.streaming import trades as st
 
 SF = "/root/testdata/sf0.001"
@@ -174,3 +175,31 @@ def test_bars_out_of_order_stop_the_stream(spark, tmp_path):
     s = spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/b")
     with pytest.raises(StreamingQueryException, match="came after bar"):
         st.run_available(st.stream_close_bars(s, v.HOUR, v.SCALE, v.BAR_COUNT), "late_bars", "append", f"{tmp_path}/cs")
+
+
+def test_positions_of_a_stream_in_any_order(spark, tmp_path):
+    long, short, buy, sell, new, filled, gone = 1, 2, 4, 8, 128, 512, 1024
+    schema = "account string, symbol string, order_param long, order_id long, n_price long, n_qty long, ts_ms long, seq long"
+    event = lambda account, param, ts, seq, order=1: (account, "X", param, order, 5, 6, ts, seq)
+    minute = 60_000
+    steps = [
+        [event("a", long | buy | new, minute, 1), event("b", short | sell | filled, 2 * minute, 9), event("c", long | sell | new, minute, 1), event("d", long | buy | new, minute, 1)],
+        [event("b", short | sell | new, minute, 3), event("d", long | buy | filled, minute, 2), event("e", 16, minute, 1)],  # older than what is known; the same time, later; no side
+        [(None, None, None, None, None, None, 30 * minute, None)],
+        [event("a", long | buy | filled, 31 * minute, 7, 2), event("b", short | buy | gone, 31 * minute, 8)],
+    ]
+    want = [
+        {("a", "LONG", "PENDING", False), ("b", "SHORT", "OPEN", False), ("c", "LONG", "CLOSE", False), ("d", "LONG", "PENDING", False)}, {("d", "LONG", "OPEN", False)},
+        {("a", "LONG", "EMPTY", True), ("c", "LONG", "OPEN", True)}, {("a", "LONG", "OPEN", False), ("b", "SHORT", "OPEN", False)},
+    ]
+    seen = []
+    for step, expected in zip(steps, want, strict=True):
+        part = timed(spark.createDataFrame(step, schema))
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/e")
+        got = []
+        s = st.read_trade_files(spark, f"{tmp_path}/e", part.schema)
+        st.run_available(acc.stream_positions(s, 10 * minute, "15 minutes"), "", "append", f"{tmp_path}/state", lambda df, i, got=got: got.extend(df.collect()))
+        assert {(r.account, r.side, r.state, r.lapsed) for r in got} == expected
+        seen += got
+    now = acc.positions_now(spark.createDataFrame(seen))
+    assert {(r.account, r.state, r.order_id) for r in now.collect()} == {("a", "OPEN", 2), ("b", "OPEN", 1), ("c", "OPEN", 1), ("d", "OPEN", 1)}
