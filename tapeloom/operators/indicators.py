@@ -18,8 +18,8 @@ from ..functions.scalars import floor_div
 from ..sources.scratch import stored
 from .scans import follow, next_point_by_blocks
 
-#: Session lengths of a block in which chained sessions are followed.
-SESSIONS = 64
+#: About so many bars make a block in which chained sessions are followed.
+BLOCK_BARS = 8192
 SESSION = ["symbol", "session_no"]
 
 
@@ -27,7 +27,7 @@ def assign_sessions(bars: DataFrame, tf: int, bar_count: int, mode: str = "chain
     """``session_no, session_start, bar_idx`` for bars with trades.
 
     chained: a session opens at the first bar at or after the end of the last one, so that it depends on the data: each bar points to the one that would
-    open the next session, and the chain from a symbol's first bar is followed by blocks of ``SESSIONS`` lengths. anchored: sessions are whole multiples of bar_count
+    open the next session, and the chain from a symbol's first bar is followed by blocks of about ``BLOCK_BARS`` bars. anchored: sessions are whole multiples of bar_count
     bars from a symbol's first bar.
     """
     length = tf * bar_count
@@ -37,10 +37,11 @@ def assign_sessions(bars: DataFrame, tf: int, bar_count: int, mode: str = "chain
         out = bars.join(first, "symbol").withColumn("session_no", number).withColumn("session_start", F.col("_first") + F.col("session_no") * length).drop("_first")
     else:
         bars = stored(bars, "bars")
-        at = bars.select("symbol", "bar_start").distinct()
+        at, width = bars.select("symbol", "bar_start").distinct(), max(1, BLOCK_BARS // bar_count) * length
         asks = at.select("symbol", (F.col("bar_start") + length).alias("at"), F.col("bar_start").alias("ask"))
-        to = next_point_by_blocks(asks, at.select("symbol", F.col("bar_start").alias("at"), F.struct("bar_start").alias("t")), ["symbol"], SESSIONS * length, True)
-        starts = follow(to.select("symbol", F.struct(F.col("ask").alias("bar_start")).alias("at"), F.col("ask").alias("place"), F.col("t").alias("next")), ["symbol"], SESSIONS * length)
+        to = next_point_by_blocks(asks, at.select("symbol", F.col("bar_start").alias("at"), F.struct("bar_start").alias("t")), ["symbol"], width, True)
+        pointers = to.select("symbol", F.struct(F.col("ask").alias("bar_start")).alias("at"), F.col("ask").alias("place"), F.col("t").alias("next"), F.col("t.bar_start").alias("next_place"))
+        starts = follow(pointers, ["symbol"], width)
         starts = starts.select("symbol", F.col("at.bar_start").alias("session_start"), F.col("no").alias("session_no"))
         near = floor_div("session_start", length)
         starts = starts.withColumn("_near", F.explode(F.array(near, near + 1)))

@@ -119,8 +119,8 @@ def one_position_per_side(candidates: DataFrame, width: int = SPAN) -> DataFrame
     at = F.struct("ts_ms", "order_id")
     asks = own.where("end_ts IS NOT NULL").select(*keys, F.greatest("end_ts", "ts_ms").alias("at"), at.alias("ask"))
     to = next_point_by_blocks(asks, own.select(*keys, F.col("ts_ms").alias("at"), at.alias("t")), keys, width, False)
-    pointers = to.select(*keys, F.col("ask").alias("at"), F.col("ask.ts_ms").alias("place"), F.col("t").alias("next"))
-    last = own.where("end_ts IS NULL").select(*keys, at.alias("at"), F.col("ts_ms").alias("place"), F.lit(None).cast(pointers.schema["next"].dataType).alias("next"))
+    pointers = to.select(*keys, F.col("ask").alias("at"), F.col("ask.ts_ms").alias("place"), F.col("t").alias("next"), F.col("t.ts_ms").alias("next_place"))
+    last = own.where("end_ts IS NULL").select(*keys, at.alias("at"), F.col("ts_ms").alias("place"), F.lit(None).cast(pointers.schema["next"].dataType).alias("next"), F.lit(None).cast("long").alias("next_place"))
     taken = follow(pointers.union(last), keys, width).select(*keys, "at.ts_ms", "at.order_id")
     return own.join(taken, [*keys, "ts_ms", "order_id"]).select(*candidates.columns)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -92,15 +92,29 @@ def _leaves(pdf: pd.DataFrame) -> Iterator[tuple]:
         yield at, *found[key]
 
 
+def _entries(cut: DataFrame, keys: list[str], ways_out: Callable[[pd.DataFrame], pd.DataFrame], schema: str, firsts: DataFrame) -> DataFrame:
+    """``firsts`` (keys, at, no) with the points by which their chains enter later blocks, by pointer doubling."""
+    group = [*keys, "_block"]
+    outs = stored(cut.select(*group, "at", "next").groupBy(*group).applyInPandas(ways_out, schema).where("leave IS NOT NULL").select(*keys, "at", "leave", "steps"), "chain-outs")
+    entries = firsts.select(*keys, "at").union(outs.select(*keys, F.col("leave").alias("at"))).distinct()
+    jumps, reached = stored(outs.join(entries, [*keys, "at"], "left_semi"), "chain-jumps"), firsts
+    while not jumps.isEmpty():
+        ahead = reached.join(jumps, [*keys, "at"]).select(*keys, F.col("leave").alias("at"), (F.col("no") + F.col("steps")).alias("no"))
+        reached = stored(reached.union(ahead), "chain-reached")
+        onward = jumps.select(*keys, F.col("at").alias("leave"), F.col("leave").alias("_leave"), F.col("steps").alias("_steps"))
+        jumps = stored(jumps.join(onward, [*keys, "leave"]).select(*keys, "at", F.col("_leave").alias("leave"), (F.col("steps") + F.col("_steps")).alias("steps")), "chain-jumps")
+    return reached
+
+
 def follow(pointers: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """The points that the chain from each key's first point visits, ``keys, at, no`` (from 0), of ``pointers(keys, at, place, next)``.
+    """The points that the chain from each key's first point visits, ``keys, at, no`` (from 0), of ``pointers(keys, at, place, next, next_place)``.
 
     ``at`` tells points of a key apart and orders them (a value or a struct), ``next`` is the point that follows one in its chain, later than it, or null; blocks are ranges of ``width`` of
     the places. Inside a block, chains are walked back once, which gives each point its way out; only points that some chain enters a block by take part in pointer doubling,
     in logarithmically many rounds, each written; a last walk lists what is visited in each block.
     """
     kind, names = pointers.schema["at"].dataType.simpleString(), ", ".join(f"`{k}` {pointers.schema[k].dataType.simpleString()}" for k in keys)
-    cut = stored(pointers.withColumn("_block", floor_div("place", width)), "chain-points")
+    cut = stored(pointers.withColumns({"_block": floor_div("place", width), "_to": floor_div("next_place", width)}), "chain-points")
     group = [*keys, "_block"]
 
     def ways_out(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -109,16 +123,10 @@ def follow(pointers: DataFrame, keys: list[str], width: int) -> DataFrame:
             out[k] = pdf[k].iloc[0]
         return out[[*group, "at", "leave", "steps"]].astype({"steps": "int64"})
 
-    outs = stored(cut.select(*group, "at", "next").groupBy(*group).applyInPandas(ways_out, f"{names}, _block long, at {kind}, leave {kind}, steps long"), "chain-outs")
     firsts = cut.groupBy(*keys).agg(F.min("at").alias("at"))
-    entries = firsts.union(outs.where("leave IS NOT NULL").select(*keys, F.col("leave").alias("at"))).distinct()
-    jumps = stored(outs.where("leave IS NOT NULL").join(entries, [*keys, "at"], "left_semi").select(*keys, "at", "leave", "steps"), "chain-jumps")
     reached = firsts.withColumn("no", F.lit(0).cast("long"))
-    while not jumps.isEmpty():
-        ahead = reached.join(jumps, [*keys, "at"]).select(*keys, F.col("leave").alias("at"), (F.col("no") + F.col("steps")).alias("no"))
-        reached = stored(reached.union(ahead), "chain-reached")
-        onward = jumps.select(*keys, F.col("at").alias("leave"), F.col("leave").alias("_leave"), F.col("steps").alias("_steps"))
-        jumps = stored(jumps.join(onward, [*keys, "leave"]).select(*keys, "at", F.col("_leave").alias("leave"), (F.col("steps") + F.col("_steps")).alias("steps")), "chain-jumps")
+    if not cut.where("_to <> _block").isEmpty():  # else all chains end in their first block
+        reached = _entries(cut, keys, ways_out, f"{names}, _block long, at {kind}, leave {kind}, steps long", reached)
 
     def visit(pdf: pd.DataFrame) -> pd.DataFrame:
         to = dict(zip(map(_plain, pdf["at"]), pdf["next"], strict=True))

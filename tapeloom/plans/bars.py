@@ -27,17 +27,22 @@ def close_bars(trades: DataFrame, tf: int, scale: int, bar_count: int, mode: str
     Trades are shuffled twice, by (symbol, bar) for bars and by (symbol, bar, level) for cells, both after partial aggregation; all else
     runs on bars.
     """
+    return bars_and_cells(trades, tf, scale, bar_count, mode, gap_mode, atr_period, park_period, ma, k)[0]
+
+
+def bars_and_cells(trades: DataFrame, tf: int, scale: int, bar_count: int, mode: str = "chained", gap_mode: str = "carry", atr_period: int = 14, park_period: int = 12, ma: int = 21, k: int = 2) -> tuple[DataFrame, DataFrame]:
+    """``close_bars``, and the written cells with their session_no that it is made from."""
     bars = stored(session_bars(trades, tf, bar_count, mode), "session-bars")
     cells = stored(session_cells(trades, bars, tf, scale), "session-cells")
     full = i.vwap_bands(i.cvd(i.fill_missing_bars(bars, tf, bar_count)), k)
     full = i.moving_averages(i.atr_and_parkinson(full, atr_period, park_period, gap_mode), ma)
     own = c.value_area(c.bar_volume_profile(cells), BAR, scale)
     session = i.session_value_area(cells, scale)
-    return full.join(own, BAR, "left").join(session, ["symbol", "session_no", "bar_start"], "left").drop("pq", "ppq")
+    return full.join(own, BAR, "left").join(session, ["symbol", "session_no", "bar_start"], "left").drop("pq", "ppq"), cells
 
 
 def flagged_cells(trades: DataFrame, tf: int, scale: int, bar_count: int, mult: float = 0.33) -> tuple[DataFrame, DataFrame]:
     """The full bars, and all flags of each (bar, level). Bars and cells feed ten flag rules, so each is written once."""
-    bars = stored(close_bars(trades, tf, scale, bar_count), "bars")
-    cells = stored(c.footprint_cells(trades, tf, scale).join(bars.select(*BAR, "session_no"), BAR), "cells")
+    bars, cells = bars_and_cells(trades, tf, scale, bar_count)
+    bars = stored(bars, "bars")
     return bars, cell_flags(cells, bars, scale, True, mult)

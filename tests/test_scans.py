@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tapeloom.operators import indicators
 from tapeloom.operators import outcomes as out
 from tapeloom.operators.flags import last_cover, range_nodes
 from tapeloom.operators.indicators import assign_sessions
@@ -49,16 +50,17 @@ def test_chains_are_followed_across_blocks(spark, width):
     for k in ("a", "b", "c"):
         places = sorted(rng.sample(range(-100, 400), 120)) if k != "c" else [5]
         to = {p: rng.choice([q for q in places if p < q <= p + 60] or [None]) for p in places}
-        rows += [(k, (p,), p, None if to[p] is None else (to[p],)) for p in places]
+        rows += [(k, (p,), p, None if to[p] is None else (to[p],), to[p]) for p in places]
         at, no = places[0], 0
         while at is not None:
             want.add((k, at, no))
             at, no = to[at], no + 1
-    df = spark.createDataFrame(rows, "k string, at struct<p:long>, place long, next struct<p:long>")
+    df = spark.createDataFrame(rows, "k string, at struct<p:long>, place long, next struct<p:long>, next_place long")
     assert {(r.k, r["at"].p, r.no) for r in follow(df, ["k"], width).collect()} == want
 
 
-def test_sessions_over_many_blocks(spark):
+def test_sessions_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(indicators, "BLOCK_BARS", 64)
     rng = random.Random(4)
     at = {s: sorted({rng.randrange(0, 40_000) * 10 for _ in range(1500)}) for s in "AB"}
     bars = spark.createDataFrame([(s, x, "kept") for s in at for x in at[s]], "symbol string, bar_start long, extra string")
@@ -69,7 +71,7 @@ def test_sessions_over_many_blocks(spark):
             if start is None or x >= start + 50:
                 start, no = x, no + 1
             want[s, x] = (no, start, (x - start) // 10)
-    got = assign_sessions(bars, 10, 5)  # blocks of 64 sessions
+    got = assign_sessions(bars, 10, 5)
     assert {(r.symbol, r.bar_start): (r.session_no, r.session_start, r.bar_idx) for r in got.collect()} == want and "extra" in got.columns
 
 
