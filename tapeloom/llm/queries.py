@@ -48,7 +48,8 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = sharding.shard_documents(table(spark, sf_dir, "documents"), 16)
-    return packed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+    packed = packed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+    return packed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "cut")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
