@@ -6,11 +6,13 @@ import re
 from collections import Counter
 from types import SimpleNamespace
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from tapeloom.llm import collocations, licenses, negatives
+from tapeloom.llm.queries import ORACLES, QUERIES
 
 VECTORS = "vec_id long, embedding array<float>, label int, a_bucket string, score double, id int"
 
@@ -266,3 +268,14 @@ def test_spans_say_where_a_notice_stands(spark):
 
 def test_license_scans_of_an_empty_table(spark):
     assert licenses.scan(spark.createDataFrame([], DOC)).collect() == []
+
+
+@pytest.mark.parametrize("name", ["op11_hard_negatives", "op12_collocations", "op13_license_scans"])
+def test_queries_match_their_sql(spark, name):
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    got = QUERIES[name](spark, sf)
+    want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({ORACLES[name]})").fetchall()
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)) and len(want) > 3
