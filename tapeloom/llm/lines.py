@@ -1,45 +1,43 @@
 """Line dedup by pairwise alignment.
 
-Two documents overlap when they share a rare line, one that few documents hold. The hashes found for that are of single lines of ``LEAST_CHARS``
-characters or more, and of runs: the shortest stretches of consecutive lines, from each line on and up to each line, that have ``RUN_CHARS`` characters
-together (a line as long is one), which chance does not repeat. A hash with at most ``RARE_HOLDERS`` holders pairs each later holder with the
-earliest. A pair's lines are aligned by patience diff, ranges without unique common lines by a longest common subsequence, and aligned blocks with a
-run or a rare line are deleted from the later document; so are runs that both hold but in another order, which a second alignment of what is left
-would bring together. So after one pass no run of a document stands in any earlier one: whichever holder it is paired with,
-the block around a run goes as far as that run's own, and the lines beside it are in runs with holders of their own.
-
-Two kinds need no alignment. Documents with equal lines are one class: its first member stands for it, all lines of the others go. A run with more
-than ``RARE_HOLDERS`` holders would make its first holder the hub of all others; its alignment with that one is known, the run itself, and it goes.
+Two documents overlap when they share a rare line, one that at most a share of ``RARE_SHARE`` of all documents holds (or ``RARE_LEAST`` documents, in
+small tables). Each rare line pairs every later holder with the earliest one, however many they are. A pair's lines with words are aligned by patience
+diff, ranges without lines unique on both sides by a longest common subsequence. A block, aligned lines that follow each other in both documents, is deleted
+from the later one if it has ``BLOCK_CHARS`` characters and holds a rare line of this pair: common and short lines inside it go too, the same lines elsewhere
+stay. What is left is aligned again until no block goes, so that blocks in another order go as well. Nothing else deletes lines.
+
+Documents with equal lines are one class: its first member stands for it, all lines of the others go. The earliest holder of a line that very many
+share meets them in groups of bounded size, to each of which its lines are sent once.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, row_key, sealed, split_by_keys
+from .common import discard, materialize, row_key, sealed, split_by_keys
 
-#: Characters of a run, and of a line that counts by itself where it is rare; shorter lines go only within a run.
-RUN_CHARS, LEAST_CHARS = 20, 8
-#: Most documents (classes of equal ones) that hold a rare line.
-RARE_HOLDERS = 64
+#: Characters that a block must have to go; those of one line are counted up to this number.
+BLOCK_CHARS = 20
+#: A line is rare if at most this share of all documents (classes of equal ones) holds it, or this many do.
+RARE_SHARE, RARE_LEAST = 0.5, 64
+#: Lines that a group of pairs has, apart from its last document.
+GROUP_LINES = 1 << 17
 _TRIMMED = r"trim(BOTH ' \t\r\u000B\u000C' FROM l)"
 _LINES = r"""transform(split(text, '\n'), l -> if(l RLIKE '[^\\x20\\x09-\\x0D]', xxhash64({seed}, {trimmed}) | 1L, 0L))"""
 
 
 def hashed_lines(docs: DataFrame) -> DataFrame:
     """``k1, k2, class, lines, checks, sizes`` of every document with words: two hashes of each line without surrounding white space (0 if it has
-    no word), its characters up to ``RUN_CHARS``, and 128 bits of all hashes."""
+    no word), its characters up to ``BLOCK_CHARS``, and 128 bits of all hashes."""
     keyed = docs.select(*row_key(), "text").where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     lines, checks = (F.expr(_LINES.format(seed=seed, trimmed=_TRIMMED)) for seed in (1, 2))
-    sizes = F.expr(rf"transform(split(text, '\n'), l -> least(length({_TRIMMED}), {RUN_CHARS}))")
+    sizes = F.expr(rf"transform(split(text, '\n'), l -> least(length({_TRIMMED}), {BLOCK_CHARS}))")
     hashed = keyed.select("k1", "k2", lines.alias("lines"), checks.alias("checks"), sizes.alias("sizes"))
     return hashed.withColumn("class", F.struct(F.xxhash64("lines"), F.xxhash64("checks"))).dropDuplicates(["k1", "k2"])
 
@@ -112,6 +110,7 @@ def repeated_pairs(a: list[int], b: list[int], i0: int, i1: int, j0: int, j1: in
 
 def patience_blocks(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Index pairs (i, j), increasing in both, of aligned equal lines."""
+    # of chains of unique lines that are equally long, the one that ends first in ``b``
     out: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
@@ -155,62 +154,30 @@ def patience_blocks(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def rare_runs(hashes: list[int], sizes: list[int]) -> set[tuple[int, int]]:
-    """Bounds (first, last + 1) of the shortest runs of lines, from each line on and up to each line, with ``RUN_CHARS`` characters.
-
-    A line as long is such a run; no run starts or ends with a line without a word.
-    """
-    total = [0, *accumulate(sizes)]
-    out = set()
-    for j, h in enumerate(hashes):
-        if not h:
-            continue
-        if sizes[j] >= RUN_CHARS:
-            out.add((j, j + 1))
-            continue
-        end = bisect_left(total, total[j] + RUN_CHARS)
-        if end < len(total):
-            out.add((j, end))
-        if total[j + 1] >= RUN_CHARS:
-            out.add((bisect_right(total, total[j + 1] - RUN_CHARS) - 1, j + 1))
-    return out
-
-
-def _signed(x: int) -> int:
-    return (x + (1 << 63)) % (1 << 64) - (1 << 63)
-
-
-def run_key(hashes: list[int]) -> int:
-    """The hash of a run, which is even."""
-    key = 0
-    for h in hashes:
-        key = (key * 0xD6E8FEB86659FD93 + h) % (1 << 64)
-    return _signed((key ^ key >> 29) << 1)
-
-
-def pairing_keys(hashes: list[int], sizes: list[int]) -> set[int]:
-    """The hashes by which a document is paired: of its runs (even), and its single lines of middle length (odd)."""
-    runs = {run_key(hashes[first:end]) for first, end in rare_runs(hashes, sizes)}
-    return runs | {h for h, n in zip(hashes, sizes, strict=True) if h and LEAST_CHARS <= n < RUN_CHARS}
-
-
-def lines_to_delete(early: list[int], early_sizes: list[int], late: list[int], sizes: list[int], rare: set[int]) -> set[int]:
-    """Line numbers of ``late`` that go: aligned blocks with ``RUN_CHARS`` characters, the lines ``rare`` that ``early`` holds, and runs that moved."""
+def lines_to_delete(early: list[int], late: list[int], sizes: list[int], rare: set[int]) -> set[int]:
+    """Line numbers of ``late`` that go, by alignment with ``early``; 0 is a line without a word, ``rare`` has line numbers of ``late``."""
+    early = [h for h in early if h]
+    worded = [j for j, h in enumerate(late) if h]
+    rank = {j: n for n, j in enumerate(worded)}  # lines without words between two lines do not part them
     gone: set[int] = set()
-    block, last = [], None
-    for i, j in [*patience_blocks(early, late), (-2, -2)]:
-        if last != (i - 1, j - 1):
-            if sum(sizes[x] for x in block) >= RUN_CHARS:
-                gone.update(block)
-            block = []
-        block.append(j)
-        last = (i, j)
-    held = set(early)
-    gone.update(j for j in rare if late[j] in held)
-    moved = [run for run in rare_runs(late, sizes) if not gone.issuperset(range(*run))]
-    if moved:
-        there = {run_key(early[first:end]) for first, end in rare_runs(early, early_sizes)}
-        gone.update(j for first, end in moved if run_key(late[first:end]) in there for j in range(first, end))
+    left = worded
+    while not gone.issuperset(rare):
+        found: set[int] = set()
+        block: list[int] = []
+        last = None
+        for i, at in [*patience_blocks(early, [late[j] for j in left]), (-2, -2)]:
+            here = (i, rank[left[at]]) if at >= 0 else None
+            if block and (here is None or last != (here[0] - 1, here[1] - 1)):
+                if sum(sizes[j] for j in block) >= BLOCK_CHARS and not rare.isdisjoint(block):
+                    found.update(block)
+                block = []
+            if here is not None:
+                block.append(left[at])
+            last = here
+        if not found:
+            break
+        gone |= found
+        left = [j for j in left if j not in found]
     return gone
 
 
@@ -228,34 +195,42 @@ def with_empty_lines(gone: set[int], hashes: list[int]) -> list[int]:
     return out + (held if open_ else [])
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = pa.array([list(pairing_keys(*x)) for x in zip(batch.column("lines").to_pylist(), batch.column("sizes").to_pylist(), strict=True)], pa.list_(pa.int64()))
-        at = pc.list_parent_indices(keys)
-        yield pa.record_batch([keys.flatten(), batch.column("k1").take(at), batch.column("k2").take(at)], names=["h", "k1", "k2"])
-
-
-def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        gone = []
-        for early, early_sizes, lines, late, sizes, via in zip(*(batch.column(c).to_pylist() for c in ("early", "early_sizes", "lines", "checks", "sizes", "via")), strict=True):
-            short = set(via)
-            gone.append(sorted(lines_to_delete(early, early_sizes, late, sizes, {j for j, h in enumerate(lines) if h in short})))
-        yield pa.record_batch([batch.column("k1"), batch.column("k2"), pa.array(gone, pa.list_(pa.int32()))], names=["k1", "k2", "gone"])
+def _align(early: pa.Table, late: pa.Table) -> pa.Table:
+    """The lines that go from the later documents of a group of pairs."""
+    hubs = dict(zip(zip(early.column("e1").to_pylist(), early.column("e2").to_pylist(), strict=True), early.column("early").to_pylist(), strict=True))
+    k1, k2, gone = [], [], []
+    for n in range(late.num_rows):
+        row = {c: late.column(c)[n].as_py() for c in ("e1", "e2", "k1", "k2", "lines", "checks", "sizes", "via")}
+        via = set(row["via"])
+        own = lines_to_delete(hubs[row["e1"], row["e2"]], row["checks"], row["sizes"], {j for j, h in enumerate(row["lines"]) if h in via})
+        if own:
+            k1.append(row["k1"])
+            k2.append(row["k2"])
+            gone.append(sorted(own))
+    return pa.table([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], names=["k1", "k2", "gone"])
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Aligned lines and common runs of a document to all its lines that go."""
+    """The lines that go with the lines without words between them."""
     for batch in batches:
-        out = []
-        for lines, sizes, aligned, common in zip(*(batch.column(c).to_pylist() for c in ("lines", "sizes", "aligned", "common")), strict=True):
-            gone, common = set(aligned), set(common)
-            if common:
-                gone.update(j for first, end in rare_runs(lines, sizes) if run_key(lines[first:end]) in common for j in range(first, end))
-            out.append(with_empty_lines(gone, lines))
+        out = [with_empty_lines(set(gone), lines) for lines, gone in zip(batch.column("lines").to_pylist(), batch.column("gone").to_pylist(), strict=True)]
         yield pa.record_batch([batch.column("k1"), batch.column("k2"), pa.array(out, pa.list_(pa.int32()))], names=["k1", "k2", "gone"])
 
 
+def overlapping_pairs(firsts: DataFrame) -> DataFrame:
+    """``k1, k2, e1, e2, n, via``: each document of ``firsts`` with the earliest holders of its rare lines, its number of lines and the rare lines."""
+    keys = materialize(firsts.select("k1", "k2", F.size("lines").alias("n"), F.explode(F.array_distinct("lines")).alias("h")).where("h <> 0"), "lines-keys")
+    most = max(RARE_LEAST, int(firsts.count() * RARE_SHARE))
+    held = keys.groupBy("h").agg(F.min(F.struct("k1", "k2")).alias("e"), F.count(F.lit(1)).alias("holders")).where(F.col("holders").between(2, most)).select("h", "e")
+    held = materialize(held, "lines-held")
+    later = keys.join(held, "h").where("e <> struct(k1, k2)")
+    pairs = later.groupBy("k1", "k2", F.col("e.k1").alias("e1"), F.col("e.k2").alias("e2")).agg(F.first("n").alias("n"), F.collect_set("h").alias("via"))
+    pairs = materialize(pairs, "lines-pairs")
+    discard(keys)
+    discard(held)
+    return pairs
+
+
 def find_copied_lines(docs: DataFrame) -> DataFrame:
     """``k1, k2, gone array<int>``: the line numbers to delete from each later document; null stands for all lines."""
     hashed = materialize(hashed_lines(docs), "lines-hashes")
@@ -263,19 +238,21 @@ def find_copied_lines(docs: DataFrame) -> DataFrame:
     classes = materialize(classes, "lines-classes")  # plain inputs let Spark split the partition of a large class or a very common line
     copies = materialize(hashed.select("class", "k1", "k2").join(classes, "class").where("e <> struct(k1, k2)").select("k1", "k2"), "lines-copies")
     firsts = materialize(hashed.join(copies, ["k1", "k2"], "left_anti").select("k1", "k2", "lines", "checks", "sizes"), "lines-firsts")
-    keys = materialize(firsts.select("k1", "k2", "lines", "sizes").mapInArrow(_keys, "h long, k1 long, k2 long"), "lines-keys")
-    held = keys.groupBy("h").agg(F.min(F.struct("k1", "k2")).alias("e"), F.count(F.lit(1)).alias("n")).where(f"n > 1 AND (n <= {RARE_HOLDERS} OR h & 1 = 0)")
-    held = materialize(held, "lines-held")
-    later = materialize(keys.join(held, "h").where("e <> struct(k1, k2)"), "lines-later")
-    pairs = later.where(F.col("n") <= RARE_HOLDERS).groupBy("k1", "k2", F.col("e.k1").alias("e1"), F.col("e.k2").alias("e2"))
-    pairs = materialize(pairs.agg(F.collect_set(F.expr("if(h & 1 = 1, h, NULL)")).alias("via")), "lines-pairs")
-    early = firsts.select(F.col("k1").alias("e1"), F.col("k2").alias("e2"), F.col("checks").alias("early"), F.col("sizes").alias("early_sizes"))
-    aligned = pairs.join(early, ["e1", "e2"]).join(firsts, ["k1", "k2"]).select("k1", "k2", "early", "early_sizes", "lines", "checks", "sizes", "via").mapInArrow(_align, "k1 long, k2 long, gone array<int>")
-    common = later.where(F.col("n") > RARE_HOLDERS).select("k1", "k2", F.expr("cast(NULL AS int)").alias("j"), "h")
-    found = aligned.select("k1", "k2", F.explode("gone").alias("j"), F.expr("cast(NULL AS long)").alias("h")).union(common)
-    found = found.groupBy("k1", "k2").agg(F.collect_set("j").alias("aligned"), F.collect_set("h").alias("common"))
-    gone = found.join(firsts, ["k1", "k2"]).select("k1", "k2", "lines", "sizes", "aligned", "common").mapInArrow(_settle, "k1 long, k2 long, gone array<int>")
-    return materialize(gone.union(copies.withColumn("gone", F.expr("cast(NULL AS array<int>)"))), "lines-gone")
+    pairs = overlapping_pairs(firsts)
+    hubs = pairs.groupBy("e1", "e2").agg(F.sum("n").alias("n")).join(firsts.select(F.col("k1").alias("e1"), F.col("k2").alias("e2"), F.col("checks").alias("early")), ["e1", "e2"])
+    hubs = materialize(hubs.withColumn("salts", F.ceil(F.col("n") / GROUP_LINES)), "lines-hubs")
+    total = hubs.agg(F.sum(F.col("n") + F.col("salts") * F.size("early"))).first()[0] or 0
+    group = F.pmod(F.xxhash64("e1", "e2", "salt"), F.lit(total // GROUP_LINES + 1)).alias("g")
+    early = hubs.select("e1", "e2", "early", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")).select(group, "e1", "e2", "early")
+    late = pairs.join(hubs.select("e1", "e2", "salts"), ["e1", "e2"]).withColumn("salt", F.pmod(F.xxhash64("k1", "k2"), F.col("salts")))
+    late = late.select(group, "e1", "e2", "k1", "k2", "via").join(firsts, ["k1", "k2"])
+    found = early.groupBy("g").cogroup(late.groupBy("g")).applyInArrow(_align, "k1 long, k2 long, gone array<int>")
+    found = found.groupBy("k1", "k2").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    gone = found.join(firsts, ["k1", "k2"]).select("k1", "k2", "lines", "gone").mapInArrow(_settle, "k1 long, k2 long, gone array<int>")
+    gone = materialize(gone.union(copies.withColumn("gone", F.expr("cast(NULL AS array<int>)"))), "lines-gone")
+    for written in (hashed, classes, copies, firsts, pairs, hubs):
+        discard(written)
+    return gone
 
 
 def with_deletions(inner: DataFrame) -> DataFrame:
@@ -295,7 +272,7 @@ def line_summary(docs: DataFrame) -> DataFrame:
     """``doc_id, n_lines, n_removed, kept_sha256`` of every document; null text has no lines and the digest of nothing.
 
     Documents are ordered by doc_id (null counts as 0, an id that is no whole number by its hash) and then by text hash; rows with equal doc_id and
-    text are one document and are treated alike. Lines are compared without surrounding white space, so line ends do not matter; lines without
+    text are one document and are treated alike. The earliest holder of a line keeps it. Lines are compared without surrounding white space, so line ends do not matter; lines without
     words go only between others that go. An empty table gives no rows.
     """
     found = with_deletions(docs.select("doc_id", "text"))

@@ -245,9 +245,13 @@ def test_repeated_lines_are_aligned(spark, monkeypatch):
 
 
 def brute_patience(a, b):
-    """Aligned index pairs, by recursion on the longest increasing chain of lines that are unique in both; other ranges by plain dynamic programming."""
+    """Aligned index pairs, by recursion: equal ends, then the longest increasing chain of lines unique in both (that which ends first in b); other ranges by plain dynamic programming."""
     if not a or not b:
         return []
+    if a[0] == b[0]:
+        return [(0, 0)] + [(i + 1, j + 1) for i, j in brute_patience(a[1:], b[1:])]
+    if a[-1] == b[-1]:
+        return brute_patience(a[:-1], b[:-1]) + [(len(a) - 1, len(b) - 1)]
     unique = [(i, b.index(x)) for i, x in enumerate(a) if a.count(x) == 1 and b.count(x) == 1]
     if not unique:
         best = [[()] * (len(b) + 1) for _ in range(len(a) + 1)]
@@ -255,11 +259,12 @@ def brute_patience(a, b):
             for j in range(len(b)):
                 best[i + 1][j + 1] = max((best[i][j] + ((i, j),)) if a[i] == b[j] else (), best[i][j + 1], best[i + 1][j], key=len)
         return list(best[-1][-1])
+    longest = lambda c: (len(c), -c[-1][1] if c else 0)
     chains = []
     for n, (i, j) in enumerate(unique):
-        chains.append(max((c for c in chains[:n] if c[-1][1] < j), key=len, default=()) + ((i, j),))
+        chains.append(max((c for c in chains[:n] if c[-1][1] < j), key=longest, default=()) + ((i, j),))
     out, at = [], (0, 0)
-    for i, j in [*max(chains, key=len), (len(a), len(b))]:
+    for i, j in [*max(chains, key=longest), (len(a), len(b))]:
         out += [(at[0] + x, at[1] + y) for x, y in brute_patience(a[at[0] : i], b[at[1] : j])]
         out += [(i, j)] if i < len(a) else []
         at = (i + 1, j + 1)
@@ -267,54 +272,88 @@ def brute_patience(a, b):
 
 
 def lines_by_force(rows):
-    """Each document against every earlier one: aligned blocks, rare lines and moved stretches of 20 characters go. Returns {id: text} of what stays."""
-    blank = lambda x: not x.strip(" \t\r\x0b\x0c")
+    """Each document against the earliest holder of each of its rare lines, in blocks, until none is left. Returns {id: text} of what stays."""
     cut = {d: [x.strip(" \t\r\x0b\x0c") for x in t.split("\n")] for d, t in rows}
     classes = {}
     for d in sorted(cut):
         classes.setdefault(tuple(cut[d]), d)
-    holders = Counter(x for c in classes for x in set(c))
-    size = lambda xs: sum(min(20, len(x)) for x in xs)
+    firsts = sorted(d for c, d in classes.items() if any(c))
+    holders = {}
+    for d in firsts:
+        for x in set(cut[d]) - {""}:
+            holders.setdefault(x, []).append(d)
+    rare = {x for x, ds in holders.items() if len(ds) <= max(lines.RARE_LEAST, int(len(firsts) * lines.RARE_SHARE))}
     out = {}
     for d, t in rows:
         own, gone = cut[d], set()
-        if classes[tuple(own)] != d and any(own):
+        if any(own) and classes[tuple(own)] != d:
             continue
-        for e in classes.values():
-            if e >= d:
-                continue
-            block, last = [], None
-            for i, j in [*brute_patience(cut[e], own), (-9, -9)]:
-                if last != (i - 1, j - 1):
-                    gone |= set(block) if size(own[x] for x in block) >= 20 else set()
-                    block = []
-                block, last = [*block, j], (i, j)
-            gone |= {j for j, x in enumerate(own) if len(x) >= 8 and x in cut[e] and holders[x] <= lines.RARE_HOLDERS}
-            for a in range(len(own)):
-                for b in range(a + 1, len(own) + 1):
-                    run = own[a:b]
-                    if run[0] and run[-1] and size(run) >= 20 and any(cut[e][p : p + b - a] == run for p in range(len(cut[e]))):
-                        gone |= set(range(a, b))
-        gone = {j for j in gone if not blank(own[j])}
-        worded = [j for j, x in enumerate(own) if not blank(x)]
+        for e in {holders[x][0] for x in own if x in rare} - {d}:
+            other = [x for x in cut[e] if x]
+            worded = [j for j, x in enumerate(own) if x]
+            left, more = worded, True
+            while more:
+                more, blocks = set(), [[]]
+                for i, at in brute_patience(other, [own[j] for j in left]):
+                    n = worded.index(left[at])
+                    if blocks[-1] and blocks[-1][-1] != (i - 1, n - 1):
+                        blocks.append([])
+                    blocks[-1].append((i, n))
+                for block in blocks:
+                    said = [own[worded[n]] for _, n in block]
+                    if sum(min(20, len(x)) for x in said) >= 20 and any(x in rare and holders[x][0] == e for x in said):
+                        more |= {worded[n] for _, n in block}
+                gone |= more
+                left = [j for j in left if j not in more]
+        worded = [j for j, x in enumerate(own) if x]
         if gone:
-            gone |= {j for j, x in enumerate(own) if blank(x) and all(k in gone for k in (max((w for w in worded if w < j), default=None), min((w for w in worded if w > j), default=None)) if k is not None)}
+            gone |= {j for j, x in enumerate(own) if not x and all(k in gone for k in (max((w for w in worded if w < j), default=None), min((w for w in worded if w > j), default=None)) if k is not None)}
         left = "\n".join(x for j, x in enumerate(t.split("\n")) if j not in gone)
         if not gone or left.split():
             out[d] = left
     return out
 
 
-def test_copied_lines_match_brute_force(spark, monkeypatch):
+def shared_lines():
+    """Documents of few lines without repeats within one: long and short ones, rare and common, in many orders."""
     rng = random.Random(12)
-    said = [f"sentence number {i} of the text" for i in range(9)] + ["so blue", "and deep", "a middle line", "", "  ", "x", "the short 15ch.", "the short 15ch.\r"]
-    rows = [(i, "\n".join(rng.choice(said) for _ in range(rng.randrange(1, 11)))) for i in range(60)]
-    rows += [(i + 100, "\n".join(rng.sample([f"verse {i // 8} {j}" for j in range(12)], 9))) for i in range(24)]
-    rows += [(i + 200, rows[i][1] + "\r") for i in range(0, 60, 7)]
+    said = [f"sentence number {i} of the text" for i in range(12)] + ["so blue", "and deep", "a middle line", "x", "the short 15ch."]
+    rows = [(i, "\n".join(rng.sample(said, rng.randrange(1, 11)) + [f"an own line of {i}"])) for i in range(60)]
+    rows += [(i + 100, "\n".join(rng.sample([f"verse {i // 8} {j}" for j in range(12)], 9) + ["so blue"])) for i in range(24)]
+    rows += [(i + 200, rows[i][1].replace("\n", "\n \n", 2) + "\r") for i in range(0, 60, 7)]
+    return rows
+
+
+def test_copied_lines_match_brute_force(spark, monkeypatch):
+    rows = shared_lines()
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOC)
+    want = []
+    for least, group in ((64, 1 << 17), (8, 40)):
+        monkeypatch.setattr(lines, "RARE_LEAST", least)
+        monkeypatch.setattr(lines, "RARE_SHARE", 0.01)
+        monkeypatch.setattr(lines, "GROUP_LINES", group)
+        want.append(lines_by_force(rows))
+        assert {r.doc_id: r.text for r in lines.drop_copied_lines(docs).collect()} == want[-1]
+    assert want[0] != want[1]
+
+
+def test_the_alignment_decides(spark, monkeypatch):
+    """A common line goes inside a block with a rare one and stays elsewhere; holders beyond any number are treated alike."""
+    rare, common = "a line that only some of the documents hold", "a line that most of the documents hold"
+    rows = [(1, f"first\n{rare}\n{common}\n}}")] + [(i, f"{common}\nown line of document {i}\n}}") for i in range(2, 80)]
+    rows += [(80 + i, f"top {i}\n{rare}\n{common}\n}}\nend {i}\n{common}\n}}\nlast {i}") for i in range(3)]
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOC)
-    for holders in (64, 3):
-        monkeypatch.setattr(lines, "RARE_HOLDERS", holders)
-        assert {r.doc_id: r.text for r in lines.drop_copied_lines(docs).collect()} == lines_by_force(rows)
+    got = {r.doc_id: r.text for r in lines.drop_copied_lines(docs).collect()}
+    assert got == {d: t if d < 80 else f"top {d - 80}\nend {d - 80}\n{common}\n}}\nlast {d - 80}" for d, t in rows}
+    assert got == lines_by_force(rows)
+    passage = [f"line {i} of a passage that many documents share" for i in range(5)]
+    for n in (64, 65, 150):
+        rows = [(i, "\n".join([f"own line of document {i}", *passage])) for i in range(n)] + [(1000 + i, f"only here {i}") for i in range(n + 1)]
+        docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOC)
+        got = {r.doc_id: r.text for r in lines.drop_copied_lines(docs).collect()}
+        assert got == {d: t if d == 0 or d >= 1000 else t.split("\n")[0] for d, t in rows}
+    monkeypatch.setattr(lines, "patience_blocks", lambda a, b: [])
+    assert lines.lines_to_delete([1, 2, 3], [1, 2, 3], [20, 20, 20], {0, 1, 2}) == set()
 
 
 def test_no_copy_is_shielded_by_another_order(spark):
@@ -343,7 +382,6 @@ def test_runs_of_short_lines_are_copied_lines(spark):
     got = {r.doc_id: r.text for r in lines.drop_copied_lines(docs).collect()}
     assert got == {1: "\n".join(verse), 2: "mine\nend", 4: f"first\n{one}", 5: f"other\n{two}", 6: "sixth\nso", 7: "seven\nand more", 8: "the sea\nso blue", 9: "now\ntail", 10: "then"}
     assert got == lines_by_force([(i, "\n".join(t)) for i, t in rows])
-    assert lines.rare_runs([3, 0, 5, 7, 9], [8, 0, 12, 20, 3]) == {(0, 3), (2, 4), (3, 4), (3, 5)}
 
 
 def test_lines_are_deleted_from_the_later_document(spark):

@@ -14,6 +14,8 @@ from tapeloom.llm.common import table
 from tapeloom.llm.queries import QUERIES
 from tapeloom.llm.words import ASCII_LOWER
 
+from test_operators import lines_by_force
+
 SF = "/root/testdata/sf0.001"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -24,52 +26,8 @@ def graded(rows, model):
 
 
 def without_copied_lines(rows):
-    """Every stretch of lines with 20 characters, and every line of 8 that few documents hold, goes from all its holders but the first."""
-    trim = lambda x: x.strip(" \t\r\x0b\x0c")
-    rows = sorted(rows)
-    first, classes = {}, {}
-    for d, t in rows:
-        classes.setdefault(tuple(map(trim, t.split("\n"))), d)
-    holders = Counter(x for c in classes for x in set(c))
-
-    def stretches(own):
-        for a, x in enumerate(own):
-            if x:
-                if len(x) >= 8 and holders[x] <= lines.RARE_HOLDERS:
-                    yield a, a + 1
-                n = 0
-                for b in range(a, len(own)):  # the shortest from here on
-                    n += min(20, len(own[b]))
-                    if n >= 20:
-                        yield a, b + 1
-                        break
-                n = 0
-                for b in range(a, -1, -1):  # and up to here
-                    n += min(20, len(own[b]))
-                    if n >= 20:
-                        yield b, a + 1
-                        break
-
-    out = []
-    for d, t in rows:
-        own = list(map(trim, t.split("\n")))
-        if any(own) and classes[tuple(own)] != d:
-            continue
-        gone = {j for a, b in stretches(own) if first.setdefault(tuple(own[a:b]), d) != d for j in range(a, b) if own[j]}
-        kept, held, before = [], [], True
-        for j, x in enumerate(own):
-            if not x:
-                held.append(t.split("\n")[j])
-                continue
-            if not (before and j in gone):
-                kept += held
-            held, before = [], j in gone
-            if j not in gone:
-                kept.append(t.split("\n")[j])
-        kept += held if not before or not gone else []
-        if not gone or any(x.split() for x in kept):
-            out.append((d, "\n".join(kept)))
-    return out
+    """The lines that stay, by the plain version of the operator's tests."""
+    return sorted(lines_by_force(sorted(rows)).items())
 
 
 def one_of_each(rows):
