@@ -1,21 +1,22 @@
 """Sharding by best-fit-decreasing bin packing.
 
 Indivisible groups (documents with equal texts) are sorted by size, and each enters the bin with the tightest remaining
-capacity that still holds it, found in a balanced tree. Groups below one in ``FINE`` of a shard are first tied into ``BUNDLES`` bundles a shard
-by a hash, so at most ``FINE + BUNDLES`` items a shard are packed, whatever the number of documents. The packing looks at sizes only, so the
-driver sees a histogram of item sizes. Items of one size are interchangeable; Spark ranks them and a range of ranks goes to each bin.
+capacity that still holds it, found in a balanced tree. The packing looks at sizes only, so the driver sees a histogram of group sizes, which are
+exact below 2^``BITS`` bytes and rounded up to ``BITS`` significant bits above: at most 2^BITS + (63 - BITS) * 2^(BITS - 1) classes, however many
+groups there are. Groups of one class are interchangeable; Spark ranks them and a range of ranks goes to each bin.
 """
 
 from __future__ import annotations
 
 import random
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, numbered
+from .common import discard, materialize, maybe_broadcast, numbered
 
-FINE, BUNDLES = 4096, 1024
+#: Significant bits of a size in the histogram; rounding adds less than 1 / 2^(BITS - 1) to it.
+BITS = 14
 
 
 class CapacityTree:
@@ -108,6 +109,31 @@ def fit_shards(classes: list[tuple[int, int]], shards: int) -> list[tuple[int, i
         slack = slack * 2 or max(1, least // 10_000)
 
 
+def size_class(size: Column) -> Column:
+    """``size`` rounded up to ``BITS`` significant bits."""
+    step = F.pow(F.lit(2.0), F.greatest(F.length(F.bin(size)) - BITS, F.lit(0))).cast("long")
+    return F.ceil(size / step) * step
+
+
+def blocks_of_ranks(runs: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int, list[tuple[int, int]]]]]:
+    """``(size, width)`` of each size, and ``(size, block, [(end of ranks, bin)])`` of each ``width`` ranks of it: at most twice as many ends as runs.
+
+    A rank finds its bin by an equality join on size and block, then among the few ends there, however many bins a size is spread over.
+    """
+    own: dict[int, list[tuple[int, int]]] = {}
+    for size, n, which in runs:
+        own.setdefault(size, []).append((n, which))
+    widths = [(size, max(1, sum(n for n, _ in parts) // len(parts))) for size, parts in own.items()]
+    blocks: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for size, width in widths:
+        start = 0
+        for n, which in own[size]:
+            for block in range(start // width, (start + n - 1) // width + 1):
+                blocks.setdefault((size, block), []).append((start + n, which))
+            start += n
+    return widths, [(size, block, ends) for (size, block), ends in blocks.items()]
+
+
 def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     """``doc_id, size, text_crc32, shard, slot, cut``: equal texts stay together and shard sizes are near equal.
 
@@ -129,19 +155,13 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     whole = base.join(F.broadcast(big), "digest", "left_anti").withColumns({"piece": F.lit(0), "cut": F.lit(False)}).select(*columns)
     rows = whole if big.isEmpty() else materialize(whole.union(parts.withColumn("cut", F.lit(True)).select(*columns)), "shard-rows")
     groups = rows.groupBy("digest", "piece").agg(F.sum("size").alias("gsize"))
-    tied = F.when(F.col("gsize") * (FINE * shards) < total, F.pmod(F.xxhash64("digest", "piece"), F.lit(BUNDLES * shards)))
-    groups = materialize(groups.withColumn("bundle", tied), "shard-groups")
-    alone = groups.where("bundle IS NULL").select("digest", "piece", "bundle", "gsize")
-    bundles = groups.where("bundle IS NOT NULL").groupBy("bundle").agg(F.sum("gsize").alias("gsize")).select(F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("int").alias("piece"), "bundle", "gsize")
-    items = materialize(alone.union(bundles), "shard-items")
-    classes = [(r[0], r[1]) for r in items.groupBy("gsize").count().collect()]  # at most (FINE + BUNDLES) * shards
-    ends: dict[int, list[tuple[int, int]]] = {}
-    for size, n, which in fit_shards(classes, shards):
-        own = ends.setdefault(size, [])
-        own.append(((own[-1][0] if own else 0) + n, which))
-    plan = docs.sparkSession.createDataFrame(list(ends.items()), "gsize long, runs array<struct<upto: long, shard: int>>")
-    ranked = numbered(items, ["gsize"], ["digest", "piece", "bundle"], "rank")
-    placed = materialize(ranked.join(F.broadcast(plan), "gsize").select("digest", "piece", "bundle", F.expr("filter(runs, r -> rank < r.upto)[0].shard").alias("shard")), "shard-placed")
-    tied = groups.where("bundle IS NOT NULL").join(F.broadcast(placed.where("bundle IS NOT NULL").select("bundle", "shard")), "bundle").select("digest", "piece", "shard")
-    units = materialize(placed.where("bundle IS NULL").select("digest", "piece", "shard").union(tied), "shard-units")
+    groups = materialize(groups.select("digest", "piece", size_class(F.col("gsize")).alias("fit")), "shard-groups")
+    classes = [(r[0], r[1]) for r in groups.groupBy("fit").count().collect()]  # bounded by BITS
+    widths, blocks = blocks_of_ranks(fit_shards(classes, shards))
+    make = docs.sparkSession.createDataFrame
+    plan = make(blocks, "fit long, block long, runs array<struct<upto: long, shard: int>>")
+    ranked = numbered(groups, ["fit"], ["digest", "piece"], "rank").join(F.broadcast(make(widths, "fit long, width long")), "fit")
+    ranked = ranked.withColumn("block", F.expr("rank div width")).join(maybe_broadcast(plan, F.size("runs") * 16), ["fit", "block"])
+    units = materialize(ranked.select("digest", "piece", F.expr("filter(runs, r -> rank < r.upto)[0].shard").alias("shard")), "shard-units")
+    discard(groups)
     return numbered(rows.join(units, ["digest", "piece"]), ["shard"], ["row"], "slot").select("doc_id", "size", "text_crc32", "shard", "slot", "cut")

@@ -457,16 +457,37 @@ def test_a_giant_document_does_not_raise_the_others_capacity(spark):
     assert max(total.values()) == 50_001 and len(rest) == 3 and max(rest) - min(rest) <= 0.02 * sum(rest) / 3
 
 
-def test_small_groups_are_tied_into_bundles(spark, monkeypatch):
-    monkeypatch.setattr(sharding, "FINE", 4)
-    monkeypatch.setattr(sharding, "BUNDLES", 16)
-    rows = [(i, prose(i % 300, 10 + i % 50), "en", "s", 1) for i in range(500)]
-    got = sharding.shard_documents(spark.createDataFrame(rows, DOC), 4).collect()
-    shards, total = {}, Counter()
-    for r in got:
-        shards.setdefault(rows[r.doc_id][1], set()).add(r.shard)
-        total[r.shard] += r.size
-    assert len(got) == 500 and all(len(x) == 1 for x in shards.values()) and max(total.values()) <= 1.1 * sum(total.values()) / 4
+def test_small_groups_enter_by_their_own_size(spark, monkeypatch):
+    rows = [(i, prose(i % 1500, 3 + i % 50), "en", "s", 1) for i in range(3000)]
+    for bits in (14, 4):
+        monkeypatch.setattr(sharding, "BITS", bits)
+        got = sharding.shard_documents(spark.createDataFrame(rows, DOC), 16).collect()
+        shards, total = {}, Counter()
+        for r in got:
+            shards.setdefault(rows[r.doc_id][1], set()).add(r.shard)
+            total[r.shard] += r.size
+        assert len(got) == 3000 and all(len(x) == 1 for x in shards.values()) and len(total) == 16
+        assert max(total.values()) <= (1.01 if bits == 14 else 1.2) * sum(total.values()) / 16
+
+
+def test_classes_of_sizes_are_bounded(spark):
+    sizes = [0, 1, 5, 16_383, 16_384, 16_385, 16_386, 32_767, 1 << 20, (1 << 20) + 1, (1 << 40) + 1]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in sizes], "n long").select(sharding.size_class(F.col("n"))).collect()]
+    assert got == [0, 1, 5, 16_383, 16_384, 16_386, 16_386, 32_768, 1 << 20, (1 << 20) + 128, (1 << 40) + (1 << 27)]
+    runs = [(9, 5, 0), (9, 1, 1), (9, 30, 2), (4, 7, 1), (9, 2, 0)]
+    widths, blocks = sharding.blocks_of_ranks(runs)
+    width, found = dict(widths), {(s, b): ends for s, b, ends in blocks}
+    want = {9: [0] * 5 + [1] + [2] * 30 + [0] * 2, 4: [1] * 7}
+    for size, bins in want.items():
+        assert [next(w for end, w in found[size, k // width[size]] if k < end) for k in range(len(bins))] == bins
+    assert sum(len(ends) for *_, ends in blocks) <= 2 * len(runs)
+    # a hundred thousand shards are packed from the histogram alone
+    rng = random.Random(3)
+    runs = sharding.fit_shards([(n, rng.randrange(1, 400)) for n in range(50, 8_000)], 100_000)
+    total = Counter()
+    for size, n, which in runs:
+        total[which] += size * n
+    assert len(total) <= 100_000 and max(total.values()) <= sum(total.values()) / 100_000 * 1.001 and len(runs) < 300_000
 
 
 def test_rules_on_odd_rows(docs):
