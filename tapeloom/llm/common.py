@@ -68,8 +68,8 @@ def maybe_broadcast(df: DataFrame, size: Column, limit: int = BROADCAST_BYTES) -
     return F.broadcast(df) if held <= limit else df
 
 
-def split_by_keys(rows: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``rows`` in two by their column k2: those that may be among the rows of ``found`` (all that are, and few others), and the rest.
+def split_by_keys(rows: DataFrame, found: DataFrame, key: str = "k2") -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two by their column ``key``: those that may be among the rows of ``found`` (all that are, and few others), and the rest.
 
     A bitmap of hashed keys is broadcast, of 16 to 32 bits a key and at most 32 MB, so that a join with ``found`` shuffles hardly more than the
     rows it needs. Beyond ``FILTER_KEYS`` keys, where the bitmap would let most rows through, all rows are in the first part.
@@ -78,7 +78,7 @@ def split_by_keys(rows: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFra
     if n > FILTER_KEYS:
         return rows, rows.where("false")
     bits = 1 << max(16, min(28, (16 * n).bit_length()))
-    place = F.pmod(F.xxhash64("k2"), F.lit(bits)) + 1
+    place = F.pmod(F.xxhash64(key), F.lit(bits)) + 1
     marked = found.select(place.alias("_place")).groupBy(F.bitmap_bucket_number("_place").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("_bits"))
     at = F.bitmap_bit_position(place)
     byte = F.conv(F.hex(F.expr("substring(_bits, cast(_at div 8 + 1 AS int), 1)")), 16, 10).cast("int")

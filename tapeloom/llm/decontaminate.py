@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_broadcast, row_key, sealed, split_by_keys
+from .common import BROADCAST_BYTES, materialize, maybe_broadcast, row_key, sealed, split_by_keys
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -62,6 +62,8 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, length: int = 10) -> DataFr
     words = keyed.select("k1", "k2", item_words(F.col("text")).alias("w"))
     # the outer form: a filter inferred for the inner one would tokenise every text a second time
     probed = words.select("k1", "k2", F.explode_outer(F.expr(f"concat({', '.join(probes)})")).alias("p")).select("k1", "k2", "p.*")
+    if hashes.count() * 40 > BROADCAST_BYTES:  # a bitmap of the grams leaves few other probes to shuffle
+        probed = split_by_keys(probed, hashes, "h")[0]
     found = probed.join(maybe_broadcast(hashes, F.lit(8)), "h")
     at = materialize(found.groupBy("k1", "k2").agg(F.collect_set(F.struct("n", "stride", "i")).alias("at")), "decon-found")
     near = split_by_keys(keyed, at.select("k2"))[0].join(at, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("k1", "k2", "at", item_words(F.col("text")).alias("w"))

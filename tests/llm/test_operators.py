@@ -205,7 +205,18 @@ def test_large_benchmarks_are_joined_without_broadcast(spark, docs, monkeypatch)
     bench = spark.createDataFrame([(1, prose(2, 60))], "item_id long, text string")
     want = Counter(map(tuple, decontaminate.contamination(docs, bench).collect()))
     monkeypatch.setattr(decontaminate, "maybe_broadcast", lambda df, size: df)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+    split, left = decontaminate.split_by_keys, []
+
+    def counted(rows, found, key="k2"):
+        parts = split(rows, found, key)
+        left.extend([(rows.count(), parts[0].count())] if key == "h" else [])
+        return parts
+
+    monkeypatch.setattr(decontaminate, "split_by_keys", counted)
     assert Counter(map(tuple, decontaminate.contamination(docs, bench).collect())) == want
+    (probes, shuffled), = left
+    assert 0 < shuffled < probes / 4
 
 
 def test_patience_blocks():
