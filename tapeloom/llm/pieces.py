@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 MARK = "▁"
 #: Characters of a batch; bytes of the words and of half of the pairs of pieces that a task's process remembers; the longest word remembered.
 BATCH_CHARS, CACHE_BYTES, CACHE_WORD = 1 << 20, 128 << 20, 64
+#: Pieces of a long word that are packed at once.
+PACKED_AT_ONCE = 4096
 #: An unknown character scores so much less than the least piece.
 UNKNOWN_PENALTY = 10.0
 UNIGRAM, BPE = 1, 2
@@ -99,6 +102,8 @@ class Vocabulary:
                 self._suffixes.setdefault(p[at:], False)
         #: The merges that make each piece, in order: score, and the first and last part after it.
         self._merges: dict[str, list[tuple[float, str, str]]] = {}
+        #: Each piece by itself, so that states refer to it instead of to a slice of the word.
+        self._own = {p: p for p in pieces}
         #: Each piece as packed ids.
         self._packed = {p: np.int32(i).tobytes() for p, i in pieces.items()}
         for p in pieces:
@@ -188,7 +193,7 @@ class Vocabulary:
 
     def _step_bpe(self, word: str, first: int, last: list[str]) -> None:
         """Append the last pieces of the encodings of word[:i] to ``last``, for i from ``first``: the piece that extends the state at its own start."""
-        suffixes, pairs, joints = self._suffixes, self._pairs, self._joints
+        suffixes, pairs, joints, own = self._suffixes, self._pairs, self._joints, self._own
         for i in range(first, len(word) + 1):
             at, piece = i - 1, word[i - 1]
             while at:
@@ -205,9 +210,9 @@ class Vocabulary:
                         raise AssertionError(word)
                     at -= 1
                     piece = word[at:i]
-            last.append(piece)
+            last.append(own.get(piece, piece))
 
-    def _step_viterbi(self, word: str, i: int, best: list[float]) -> tuple[float, str]:
+    def _step_viterbi(self, word: str, i: int, best: array) -> tuple[float, str]:
         found = None
         for size in range(min(self.longest, i), 0, -1):  # the longest piece wins a tie
             piece = word[i - size : i]
@@ -219,8 +224,11 @@ class Vocabulary:
         return found
 
     def segment(self, words: list[str]) -> Iterator[tuple[str, list[str]]]:
-        """The pieces of sorted distinct ``words``; the states of a common prefix are computed once."""
-        last, best, before = [""], [0.0], ""
+        """The pieces of sorted distinct ``words``; the states of a common prefix are computed once.
+
+        States of a character are a reference to one of the vocabulary's own pieces and, for Viterbi, a packed number, however long a word is.
+        """
+        last, best, before = [""], array("d", [0.0]), ""
         for word in words:
             same = 0
             for a, b in zip(word, before, strict=False):
@@ -234,12 +242,13 @@ class Vocabulary:
                 for i in range(same + 1, len(word) + 1):
                     score, piece = self._step_viterbi(word, i, best)
                     best.append(score)
-                    last.append(piece)
+                    last.append(self._own.get(piece, piece))
             before, parts, at = word, [], len(word)
             while at:
                 parts.append(last[at])
                 at -= len(last[at])
-            yield word, parts[::-1]
+            parts.reverse()
+            yield word, parts
 
     def ids(self, parts: list[str]) -> list[int]:
         out: list[int] = []
@@ -252,14 +261,17 @@ class Vocabulary:
                 out.append(self.unknown)
         return out
 
+    def _pack(self, parts: list[str]) -> bytes:
+        packed = list(map(self._packed.get, parts))
+        return np.array(self.ids(parts), np.int32).tobytes() if None in packed else b"".join(packed)
+
     def encode(self, texts: list[str | None]) -> list[bytes | None]:
         """The ids of each text as packed 32-bit integers; without byte pieces a run of unknown characters is one id, also across words."""
         head = MARK if self.prefix else ""
         cut = [None if t is None else self.word.findall(head + t.replace(" ", MARK)) if t else [] for t in texts]
         known = {w: self._words.get(w) for w in {w for c in cut if c for w in c}}
         for word, parts in self.segment(sorted(w for w, ids in known.items() if ids is None)):
-            packed = list(map(self._packed.get, parts))
-            known[word] = np.array(self.ids(parts), np.int32).tobytes() if None in packed else b"".join(packed)
+            known[word] = self._pack(parts) if len(parts) <= PACKED_AT_ONCE else b"".join(self._pack(parts[i : i + PACKED_AT_ONCE]) for i in range(0, len(parts), PACKED_AT_ONCE))
             if len(word) <= CACHE_WORD:
                 self._words.put(word, known[word])
         packed = [None if c is None else b"".join(map(known.__getitem__, c)) for c in cut]

@@ -3,6 +3,7 @@
 import datetime
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -172,6 +173,23 @@ def test_numbered_is_gapless(spark):
         assert sorted(r.n for r in got if r.k == k) == list(range(len([r for r in got if r.k == k])))
 
 
+def test_long_words_take_few_bytes_a_character():
+    rng = random.Random(1)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(200_000))
+    with open("/opt/tokenizers/piece_bpe_32k.model", "rb") as f:
+        model = f.read()
+    for bpe in (True, False):
+        vocabulary = pieces.Vocabulary.parse(model)
+        vocabulary.bpe = bpe
+        parts = next(vocabulary.segment([word]))[1]
+        tracemalloc.start()
+        packed = vocabulary.encode([word])[0]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert "".join(parts) == word and vocabulary.decode(packed) == word
+        assert peak < 64 * len(word)
+
+
 def test_decontamination_matches_brute_force(spark, docs):
     bench = spark.createDataFrame([(1, prose(2, 60)), (2, "one"), (3, None), (4, "..."), (5, prose(3, 12)), (6, prose(3, 12)), (7, "über straße")], "item_id long, text string")
     import re
