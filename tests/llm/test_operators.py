@@ -869,6 +869,17 @@ def test_small_languages_are_judged_by_all_documents(spark, monkeypatch):
     assert got[1].base_failed and got[100].word_js > 0
 
 
+def test_columns_of_labels_and_benchmark_may_clash(spark, docs):
+    bench = spark.createDataFrame([(1, prose(2, 60)), (2, None)], "item_id long, text string")
+    wide = bench.withColumns({"w": F.lit(1), "item": F.lit("x"), "k1": F.lit(2), "h": F.lit(3), "doc_id": F.lit(4)})
+    rows = lambda df: Counter(map(tuple, df.collect()))
+    assert rows(decontaminate.contamination(docs, wide)) == rows(decontaminate.contamination(docs, bench))
+    assert rows(decontaminate.remove_contamination(docs, wide)) == rows(decontaminate.remove_contamination(docs, bench))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    wide = labels.withColumns({"text": F.lit("other"), "grade": F.lit(9), "lang": F.lit(1), "kept": F.lit(True), "p_high": F.lit(0.5)})
+    assert rows(quality.grade_documents(docs.select("doc_id", "text"), wide)) == rows(quality.grade_documents(docs.select("doc_id", "text"), labels))
+
+
 def test_empty_tables_give_empty_results(docs):
     none = docs.where("false")
     assert substring.substring_summary(none).count() == 0 and substring.drop_substrings(none).columns == none.columns
