@@ -290,8 +290,8 @@ def _flagged(spark: SparkSession, sf_dir: str, mult: float = 0.33) -> tuple[Data
     return plan.flagged_cells(v.event_trades(spark, sf_dir), HOUR, SCALE, N, mult)
 
 
-@query(_EVERYTHING + """SELECT *, CASE WHEN n_trades > 0 THEN volume // n_trades END AS avg_trade_size, round(delta / nullif(volume, 0), 9) AS delta_ratio, high - low AS "range", round(high / low - 1, 9) AS range_percent, close - open AS change, round(close / open - 1, 9) AS change_percent,
- round((atr + close) / close - 1, 9) AS atr_percent, round(sqrt(parkinson / 1e9 / (4 * ln(2.0))), 9) AS parkinson_percent FROM allbars""")
+@query(_EVERYTHING + """SELECT *, CASE WHEN n_trades > 0 THEN volume // n_trades END AS avg_trade_size, round(delta / nullif(volume, 0), 9) AS delta_ratio, high - low AS "range", round(high / nullif(low, 0) - 1, 9) AS range_percent, close - open AS change, round(close / nullif(open, 0) - 1, 9) AS change_percent,
+ round((atr + close) / nullif(close, 0) - 1, 9) AS atr_percent, round(sqrt(parkinson / 1e9 / (4 * ln(2.0))), 9) AS parkinson_percent FROM allbars""")
 def d11_close_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _full(spark, sf_dir)
     return b.withColumns({k: F.round(x, 9) if k not in ("avg_trade_size", "range", "change") else x for k, x in s.bar_measures().items()})

@@ -34,3 +34,15 @@ def test_query_matches_sql(spark, duck, name):
 
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_bars_of_zero_prices_match_sql(spark, tmp_path):
+    """Prices that round to 0 open, close and bound bars; their percentages are null on both sides."""
+    spark.read.parquet(f"{SF}/events.parquet").selectExpr("event_id", "ts", "user_id", "event_type", "CASE WHEN event_id % 3 = 0 THEN 0.001 ELSE value END AS value", "props").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    got = entry.queries()["d11_close_bars"](spark, str(tmp_path))
+    names = ", ".join(f'"{c}"' for c in got.columns)
+    rows = got.collect()
+    assert any(r.low == 0 for r in rows) and any(r.open == 0 for r in rows) and any(r.close == 0 for r in rows)
+    assert plain(rows) == plain(con.sql(f"SELECT {names} FROM ({entry.oracle_sql()['d11_close_bars']})").fetchall())
