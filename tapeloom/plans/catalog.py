@@ -1036,6 +1036,7 @@ def k11_account_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 def k11_stream_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order events of fifty accounts in three triggers, each with events older than those before; pending orders lapse after six hours."""
     orders = dec.decode_order_events(_order_messages(spark, sf_dir).drop("symbol")).withColumns({"account": (F.col("trade_id") % 50).cast("string"), "seq": F.col("trade_id"), "ts": F.timestamp_millis("ts_ms")})
+    orders = stored(orders, "orders")  # decoded once for the three parts
     last, folder = v.event_trades(spark, sf_dir).agg(F.max("ts_ms")).first()[0] or 0, shared_folder(spark)
     beat = _beat(orders.drop("ts"), last + 400 * DAY).withColumn("ts", F.timestamp_millis("ts_ms"))
     with _rocksdb(spark):

@@ -1,6 +1,7 @@
 """Streams on files give what the batch operators give."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
@@ -203,3 +204,25 @@ def test_positions_of_a_stream_in_any_order(spark, tmp_path):
         seen += got
     now = acc.positions_now(spark.createDataFrame(seen))
     assert {(r.account, r.state, r.order_id) for r in now.collect()} == {("a", "OPEN", 2), ("b", "OPEN", 1), ("c", "OPEN", 1), ("d", "OPEN", 1)}
+
+
+def test_tasks_send_the_latest_event_of_each_side(monkeypatch):
+    """Many events of few sides come down to one row a side and the greatest time; with more sides than a task holds, every latest event still goes on."""
+    rng = np.random.default_rng(5)
+    for held, accounts in ((1 << 17, 3), (20, 40)):
+        monkeypatch.setattr(acc, "HELD_EVENTS", held)
+        rows = [(None if a == 0 else str(a), "XY"[s], None if d == 2 else ("LONG", "SHORT")[d], int(t), int(q), int(t) * 1000) for a, s, d, t, q in zip(*(rng.integers(0, n, 600) for n in (accounts, 2, 3, 50, 9)), strict=True)]
+        names = ["account", "symbol", "side", "ts_ms", "seq", "ts"]
+        table = pa.table([list(c) for c in zip(*rows, strict=True)], names=names).set_column(5, "ts", pa.array([r[5] for r in rows], pa.timestamp("us", "UTC")))
+        got = pa.Table.from_batches(acc.latest_events(iter(table.to_batches(max_chunksize=50)))).to_pylist()
+        want = {}
+        for a, s, d, t, q, _ in rows:
+            if a and d:
+                want[a, s, d] = max(want.get((a, s, d), (-1, -1)), (t, q))
+        best = {}
+        for r in got:
+            if r["account"]:
+                key = (r["account"], r["symbol"], r["side"])
+                best[key] = max(best.get(key, (-1, -1)), (r["ts_ms"], r["seq"]))
+        assert best == want and max(r["ts"] for r in got if not r["account"]) == max(r["ts"] for r in table.to_pylist())
+        assert held < 100 or len(got) == len(want) + 1
