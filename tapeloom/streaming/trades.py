@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +22,8 @@ from .accounts import position_side, position_state
 
 #: An id jump of at least this is fatal: 60,000 rounded up to a power of two.
 GAP_LIMIT = 65_536
-#: Ids of a block within which gaps are sought.
-ID_BLOCK = 1_000_000
+#: Ids of a block within which gaps are sought; ids whose gaps a stream's state keeps together; rows that a task makes runs of at once.
+ID_BLOCK, GAP_BLOCK, HELD_IDS = 1_000_000, 1 << 16, 1 << 20
 
 
 def stream_trades(messages: DataFrame, kind: str, price_mult: int, qty_mult: int) -> DataFrame:
@@ -67,54 +69,141 @@ def gap_limit_alert(gaps: DataFrame, limit: int = GAP_LIMIT) -> DataFrame:
 
 
 class _GapSet:
-    """The ids seen of each symbol as merged ranges, and its gaps, each with the time it was noticed and whether it has been reported."""
+    """The hull of the ids seen of each symbol, and the gaps in it, each with the time it was noticed and whether it has been reported.
+
+    The gaps that start in ``GAP_BLOCK`` ids are one packed value, so that a trigger reads and writes the blocks it meets, whatever else is known.
+    """
 
     delay_ms = 60_000
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.ranges = handle.getMapState("ranges", "first long", "last long")
-        self.gaps = handle.getMapState("gaps", "after_id long, before_id long", "since long, told boolean")
+        self.hull = handle.getValueState("hull", "first long, last long")
+        self.blocks = handle.getMapState("blocks", "block long", "gaps binary")
+        self.waiting = handle.getMapState("waiting", "block long", "oldest long")  # of the gaps not reported yet
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:  # noqa: N802
         pdf = pd.concat(list(rows))
         now = int(pdf["arrived"].max())
-        known = {int(k[0]): int(x[0]) for k, x in self.ranges.iterator()}
-        merged = merged_ranges(known, np.unique(pdf["trade_id"].to_numpy(np.int64)))
-        for first in known.keys() - merged.keys():
-            self.ranges.removeKey((first,))
-        for first, last in merged.items():
-            if known.get(first) != last:
-                self.ranges.updateValue((first,), (last,))
-        before = {(int(k[0]), int(k[1])): (int(x[0]), bool(x[1])) for k, x in self.gaps.iterator()}
-        edges = list(merged.items())
-        left = [(a[1], b[0]) for a, b in zip(edges, edges[1:], strict=False)]
-        out = [(*gap, -1) for gap in before.keys() - set(left) if before[gap][1]]
-        for gap in set(left) - before.keys():
-            parent = next((before[p] for p in before if p[0] <= gap[0] and gap[1] <= p[1]), (now, False))  # what is left of a gap is as old as it was
-            self.gaps.updateValue(gap, parent)
-            if parent[1]:
-                out.append((*gap, 1))
-            else:
-                self.handle.registerTimer(parent[0] + self.delay_ms)
-        for gap in before.keys() - set(left):
-            self.gaps.removeKey(gap)
-        yield self._rows(key, out, now)
+        first, last = merged_runs(pdf["first_id"].to_numpy(np.int64), pdf["last_id"].to_numpy(np.int64))
+        low, high = int(first[0]), int(last[-1])
+        if self.hull.exists():
+            at, to = map(int, self.hull.get())
+            beyond = [(a, b, now, 0) for a, b in ((low, at), (to, high)) if a < b]
+            low, high = min(low, at), max(high, to)
+        else:
+            beyond, to = [(low, high, now, 0)], low
+        self.hull.update((low, high))
+        kept = np.concatenate([*map(self._read, self._met(first, last, to)), np.array(beyond, np.int64).reshape(-1, 4)])
+        left, source, cut = without_runs(kept, first, last)
+        fresh = cut[source] | (source >= len(kept) - len(beyond))
+        for block in np.unique(np.concatenate((kept[: len(kept) - len(beyond)][cut[: len(kept) - len(beyond)], 0], left[fresh, 0])) // GAP_BLOCK).tolist():
+            self._write(block, left[left[:, 0] // GAP_BLOCK == block])
+        for since in np.unique(left[fresh & (left[:, 3] == 0), 2]).tolist():
+            self.handle.registerTimer(since + self.delay_ms)
+        yield self._rows(key, kept[cut & (kept[:, 3] == 1)], left[fresh & (left[:, 3] == 1)], now)
+
+    def _met(self, first: np.ndarray, last: np.ndarray, end: int) -> list[int]:
+        """The known blocks with gaps that may hold ids of the runs, and the one where the hull ended."""
+        known = np.array(sorted(int(k[0]) for k in self.blocks.keys()), np.int64)
+        until = (np.append(known[1:], np.iinfo(np.int64).max // GAP_BLOCK - 1) + 1) * GAP_BLOCK  # the gaps of a block end before those of the next
+        at = np.searchsorted(last, known * GAP_BLOCK)
+        met = (at < len(first)) & (first[np.minimum(at, len(first) - 1)] < until)
+        return known[met | (known == end // GAP_BLOCK)].tolist()
+
+    def _read(self, block: int) -> np.ndarray:
+        return np.frombuffer(bytes(self.blocks.getValue((block,))[0]), np.int64).reshape(-1, 4)
+
+    def _write(self, block: int, gaps: np.ndarray) -> None:
+        if len(gaps):
+            self.blocks.updateValue((block,), (gaps.tobytes(),))
+        else:
+            self.blocks.removeKey((block,))
+        untold = gaps[gaps[:, 3] == 0, 2]
+        if len(untold):
+            self.waiting.updateValue((block,), (int(untold.min()),))
+        else:
+            self.waiting.removeKey((block,))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         at = expiredTimerInfo.getExpiryTimeInMs()
-        due = [(int(k[0]), int(k[1]), int(x[0])) for k, x in self.gaps.iterator() if not x[1] and x[0] + self.delay_ms <= at]
-        for after, before, since in due:
-            self.gaps.updateValue((after, before), (since, True))
-        yield self._rows(key, [(after, before, 1) for after, before, _ in due], at)
-
-    def _rows(self, key, out: list[tuple[int, int, int]], at: int) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], a, b, b - a - 1, change, at) for a, b, change in sorted(out)], columns=["symbol", "after_id", "before_id", "missing", "change", "at_ms"])
+        told = [np.empty((0, 4), np.int64)]
+        for block in sorted(int(k[0]) for k, x in self.waiting.iterator() if int(x[0]) + self.delay_ms <= at):
+            gaps = self._read(block).copy()
+            due = (gaps[:, 3] == 0) & (gaps[:, 2] + self.delay_ms <= at)
+            gaps[due, 3] = 1
+            self._write(block, gaps)
+            told.append(gaps[due])
+        yield self._rows(key, told[0], np.concatenate(told), at)
+
+    def _rows(self, key, gone: np.ndarray, told: np.ndarray, at: int) -> pd.DataFrame:
+        both = np.concatenate((gone, told))
+        out = pd.DataFrame({"symbol": key[0], "after_id": both[:, 0], "before_id": both[:, 1], "missing": both[:, 1] - both[:, 0] - 1, "change": np.repeat([-1, 1], [len(gone), len(told)]), "at_ms": at}, columns=["symbol", "after_id", "before_id", "missing", "change", "at_ms"])
+        return out.sort_values(["after_id", "before_id", "change"])
 
     def close(self) -> None:
         pass
 
 
+def merged_runs(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ids, overlapping and neighbouring ones joined, in order."""
+    order = np.argsort(first, kind="stable")
+    first, reach = first[order], np.maximum.accumulate(last[order])
+    starts = np.append(True, first[1:] > reach[:-1] + 1)
+    return first[starts], reach[np.append(starts[1:], True)]
+
+
+def without_runs(gaps: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What merged runs leave of ``gaps`` (rows of after_id, before_id, and others), the gap that each piece is of, and whether a gap lost ids."""
+    after, before = gaps[:, 0], gaps[:, 1]
+    start = np.searchsorted(last, after + 1)
+    inside = np.maximum(np.searchsorted(first, before - 1, "right") - start, 0)
+    source = np.repeat(np.arange(len(gaps)), inside + 1)
+    nth = np.arange(len(source)) - np.repeat(np.cumsum(inside + 1) - inside - 1, inside + 1)
+    run = start[source] + nth
+    left = gaps[source]
+    left[:, 0] = np.where(nth == 0, after[source], last[np.clip(run - 1, 0, len(last) - 1)])
+    left[:, 1] = np.where(nth == inside[source], before[source], first[np.clip(run, 0, len(first) - 1)])
+    real = left[:, 1] - left[:, 0] > 1
+    return left[real], source[real], inside > 0
+
+
+def id_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (symbol, trade_id, time) of a task as runs of ids (symbol, first, last, time), ``HELD_IDS`` rows at once, with the latest time of the symbol's; and a heartbeat with the latest of all."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= HELD_IDS:
+            yield from _runs_of(pa.Table.from_batches(held))
+            held, size = [], 0
+    if size:
+        yield from _runs_of(pa.Table.from_batches(held))
+
+
+def _runs_of(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    names, (symbol, trade_id, time) = ["symbol", "first_id", "last_id", "_at"], rows.schema.names
+    rows = rows.filter(pc.field(time).is_valid())
+    if not len(rows):
+        return
+    kind = rows.schema.field(time).type
+    latest = int(rows[time].cast(pa.int64()).to_numpy().max())
+    yield pa.record_batch([pa.array([None], pa.string()), *[pa.array([None], pa.int64())] * 2, pa.array([latest], pa.int64()).cast(kind)], names=names)
+    rows = rows.filter(pc.field(symbol).is_valid() & pc.field(trade_id).is_valid())
+    if not len(rows):
+        return
+    coded = rows[symbol].combine_chunks().dictionary_encode()
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    code, ids, times = coded.indices.to_numpy(), rows[trade_id].to_numpy(), rows[time].cast(pa.int64()).to_numpy()
+    newest = np.full(len(coded.dictionary), np.iinfo(np.int64).min)
+    np.maximum.at(newest, code, times)
+    order = np.lexsort((ids, code))
+    code, ids = code[order], ids[order]
+    starts = np.append(True, (np.diff(code) != 0) | (np.diff(ids) > 1))
+    ends = np.append(starts[1:], True)
+    yield pa.record_batch([coded.dictionary.take(pa.array(code[starts])), pa.array(ids[starts]), pa.array(ids[ends]), pa.array(newest[code[starts]]).cast(kind)], names=names)
+
+
 def merged_ranges(known: dict[int, int], ids: np.ndarray) -> dict[int, int]:
     """``known`` ranges (first to last) with the rising ``ids``, neighbours joined, in order."""
     cut = np.flatnonzero(np.diff(ids) > 1) + 1
@@ -133,14 +222,15 @@ def stream_gaps(stream: DataFrame, delay_ms: int = 60_000, arrived: str = "ts",
     """Changes of the set of missing id ranges: ``symbol, after_id, before_id, missing, change, at_ms``; change 1 reports a gap, -1 takes one back.
 
     A gap is reported once it is ``delay_ms`` old by the time of arrival (column ``arrived``, whose watermark drives the timers; a row without a symbol is a heartbeat).
-    Ids that arrive later, by a backfill say, close it, or leave smaller gaps of its age in its place. State is the ranges and gaps
-    of a symbol, not its ids (needs the RocksDB state store).
+    Ids that arrive later, by a backfill say, close it, or leave smaller gaps of its age in its place. Tasks send runs of ids, not ids,
+    to the state of a symbol, which is its gaps, packed by blocks of ids (needs the RocksDB state store). Ids behind the watermark may count or not.
     """
     from pyspark.sql.streaming import StatefulProcessor
 
-    marked = stream.withWatermark(arrived, lateness).where(F.when(F.col("symbol").isNotNull(), F.col(arrived)).isNotNull())
+    runs = stream.select(F.col("symbol").cast("string"), F.col("trade_id").cast("long"), F.col(arrived).alias("_at")).mapInArrow(id_runs, "symbol string, first_id long, last_id long, _at timestamp")
+    marked = runs.withWatermark("_at", lateness).where(F.when(F.col("symbol").isNotNull(), F.col("_at")).isNotNull())
     processor = type("GapProcessor", (_GapSet, StatefulProcessor), {"delay_ms": delay_ms})()
-    asked = marked.select("symbol", "trade_id", F.unix_millis(arrived).alias("arrived"), F.col(arrived).alias("_at"))
+    asked = marked.select("symbol", "first_id", "last_id", F.unix_millis("_at").alias("arrived"), "_at")
     return asked.groupBy("symbol").transformWithStateInPandas(processor, "symbol string, after_id long, before_id long, missing long, change int, at_ms long", "Append", "EventTime")
 
 

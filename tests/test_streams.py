@@ -226,3 +226,48 @@ def test_tasks_send_the_latest_event_of_each_side(monkeypatch):
                 best[key] = max(best.get(key, (-1, -1)), (r["ts_ms"], r["seq"]))
         assert best == want and max(r["ts"] for r in got if not r["account"]) == max(r["ts"] for r in table.to_pylist())
         assert held < 100 or len(got) == len(want) + 1
+
+
+def test_runs_cut_gaps_as_sets_of_ids_do():
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        first = rng.integers(-20, 60, rng.integers(1, 9))
+        last = first + rng.integers(0, 6, len(first))
+        seen = {i for a, b in zip(first.tolist(), last.tolist(), strict=True) for i in range(a, b + 1)}
+        first, last = st.merged_runs(first, last)
+        assert {i for a, b in zip(first.tolist(), last.tolist(), strict=True) for i in range(a, b + 1)} == seen and (first[1:] > last[:-1] + 1).all()
+        edges = np.cumsum(rng.integers(1, 9, 10)) - 20
+        gaps = np.array([(a, b, 0, 0) for a, b in zip(edges[:-1:2].tolist(), edges[1::2].tolist(), strict=True) if b - a > 1], np.int64).reshape(-1, 4)
+        left, source, cut = st.without_runs(gaps, first, last)
+        assert [bool(set(range(a + 1, b)) & seen) for a, b, *_ in gaps.tolist()] == cut.tolist()
+        for i, (a, b, *_) in enumerate(gaps.tolist()):
+            pieces = left[source == i].tolist()
+            assert [x for p in pieces for x in range(p[0] + 1, p[1])] == [x for x in range(a + 1, b) if x not in seen]
+            assert all({p[0], p[1]} <= seen | {a, b} for p in pieces)
+
+
+def test_gaps_of_a_stream_across_blocks(spark, tmp_path):
+    """Gaps that start in one block of ids and end in another, an id far away and ids before the first, against sets of ids in a plain version."""
+    schema, minute, far = "symbol string, trade_id long, ts_ms long", 60_000, 10 * st.GAP_BLOCK
+    edge = st.GAP_BLOCK
+    steps = [[edge - 9, edge - 3, edge + 5, far, far + 2], [edge - 1, edge + 1, edge + 2, 3 * edge], [2, edge, far + 1, far + 9, 3 * edge + 1, 3 * edge - 5], [edge - 2, -edge, 7 * edge]]
+    seen, open_ = set(), set()
+    for n, ids in enumerate(steps):
+        rows = [[("X", i, (4 * n + 1) * minute) for i in ids], [(None, None, (4 * n + 3) * minute)]]
+        for part in rows:
+            timed(spark.createDataFrame(part, schema)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/ids")
+            s = st.read_trade_files(spark, f"{tmp_path}/ids", timed(spark.createDataFrame([], schema)).schema)
+            st.run_available(st.stream_gaps(s, minute), "", "append", f"{tmp_path}/state", lambda df, i: df.write.mode("append").parquet(f"{tmp_path}/out"))
+        seen |= set(ids)
+        order = sorted(seen)
+        open_ = {(a, b) for a, b in zip(order, order[1:], strict=False) if b - a > 1}
+        got = st.open_gaps(spark.read.parquet(f"{tmp_path}/out")).collect()
+        assert {(r.after_id, r.before_id) for r in got} == open_ and len(got) == len(open_)
+
+
+def test_tasks_send_runs_of_ids(spark):
+    ids = spark.createDataFrame([("X", i, 60_000 + i) for i in range(5000) if i % 97 > 2] + [("X", 7, 1), (None, None, 90_000)], "symbol string, trade_id long, ts_ms long").coalesce(1)
+    got = timed(ids).select("symbol", "trade_id", "ts").mapInArrow(st.id_runs, "symbol string, first_id long, last_id long, _at timestamp").collect()
+    runs = [r for r in got if r.symbol]
+    assert [i for r in runs for i in range(r.first_id, r.last_id + 1)] == [i for i in range(5000) if i % 97 > 2] and len(runs) == 52
+    assert [r._at.timestamp() for r in got if not r.symbol] == [90] and {r._at.timestamp() for r in runs} == {64.999}
