@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Upper bound, in counted bytes, of a table that may be broadcast.
 BROADCAST_BYTES = 64 << 20
+#: Rows of whole texts that a task's Python turns into objects at once.
+TEXT_ROWS = 1024
 #: Most keys that a broadcast bitmap is made of.
 FILTER_KEYS = 1 << 26
 
@@ -18,6 +23,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = TEXT_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``; freed memory is given back at the start and the end, since the process waits for later stages."""
+    release()
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+    release()
+
+
+def release() -> None:
+    """Give memory that this process has freed back to the system, where its C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder in ``spark.checkpoint.dir``; where it is unset, a local session (as in tests) gets a temporary one."""
     shared = spark.conf.get("spark.checkpoint.dir", None)

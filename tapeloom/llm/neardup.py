@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, row_key, sealed, split_by_keys
+from .common import connected_components, materialize, row_key, sealed, small_batches, split_by_keys
 from .words import ASCII_LOWER, gram_hashes, hash_batches, hash_words
 
 SHINGLE, PERCENT = 5, 75
@@ -72,7 +72,7 @@ _SIGNED = "k1 long, k2 long, node binary, n_shingles long, bands array<long>, si
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small_batches(batches):
         texts = [(t or b"").translate(ASCII_LOWER) for t in batch.column("text").to_pylist()]
         for first, last, words, offsets in hash_batches(texts):
             sets = [shingle_set(words[offsets[i] : offsets[i + 1]]) for i in range(last - first)]
@@ -187,7 +187,7 @@ def _within(read: Callable, groups_of: Callable) -> Callable:
             values = np.stack(values) if read is _signature else values
             return groups_of(values, np.array([a for *_, a in held], bool)).stars([n for n, *_ in held])
 
-        for batch in batches:
+        for batch in small_batches(batches):
             columns = [batch.column(c).to_pylist() for c in ("key", "bi", "bj", "node", "payload", "asked")]
             for key, bi, bj, node, payload, asked in zip(*columns, strict=True):
                 if (key, bi, bj) != now:
@@ -208,7 +208,7 @@ def _with_leader(read: Callable, agrees: Callable) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leader, own = None, None
-        for batch in batches:
+        for batch in small_batches(batches):
             out = []
             for key, follows, node, payload in zip(*(batch.column(c).to_pylist() for c in ("key", "follows", "node", "payload")), strict=True):
                 if not follows:

@@ -23,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 MARK = "▁"
 #: Characters of a batch; bytes of the words and of half of the pairs of pieces that a task's process remembers; the longest word remembered.
-BATCH_CHARS, CACHE_BYTES, CACHE_WORD = 1 << 20, 128 << 20, 64
+BATCH_CHARS, CACHE_BYTES, CACHE_WORD = 1 << 20, 32 << 20, 64
 #: Pieces of a long word that are packed at once.
 PACKED_AT_ONCE = 4096
 #: An unknown character scores so much less than the least piece.
@@ -312,7 +314,7 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary, keep: list[str], d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = batch.column("text").to_pylist()
             for first, last in _runs(texts):
                 part, mine = batch.slice(first, last - first), texts[first:last]
