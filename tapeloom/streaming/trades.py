@@ -96,9 +96,13 @@ class _GapSet:
         self.hull.update((low, high))
         kept = np.concatenate([*map(self._read, self._met(first, last, to)), np.array(beyond, np.int64).reshape(-1, 4)])
         left, source, cut = without_runs(kept, first, last)
-        fresh = cut[source] | (source >= len(kept) - len(beyond))
-        for block in np.unique(np.concatenate((kept[: len(kept) - len(beyond)][cut[: len(kept) - len(beyond)], 0], left[fresh, 0])) // GAP_BLOCK).tolist():
-            self._write(block, left[left[:, 0] // GAP_BLOCK == block])
+        known = len(kept) - len(beyond)
+        fresh = cut[source] | (source >= known)
+        changed = np.unique(np.concatenate((kept[:known][cut[:known], 0], left[fresh, 0])) // GAP_BLOCK)
+        ordered = left[np.argsort(left[:, 0])]
+        starts, ends = (np.searchsorted(ordered[:, 0], (changed + i) * GAP_BLOCK) for i in (0, 1))
+        for block, a, b in zip(changed.tolist(), starts, ends, strict=True):
+            self._write(block, ordered[a:b])
         for since in np.unique(left[fresh & (left[:, 3] == 0), 2]).tolist():
             self.handle.registerTimer(since + self.delay_ms)
         yield self._rows(key, kept[cut & (kept[:, 3] == 1)], left[fresh & (left[:, 3] == 1)], now)
