@@ -2,6 +2,8 @@
 
 Texts are cut into marked words: a run of marks (U+2581, for spaces) and what follows it. The distinct words of a batch are sorted, which
 is the depth-first order of their trie, and each word reuses the forward states of the prefix that it shares with the word before.
+For a BPE vocabulary, words of up to ``SHORT_WORD`` characters take a step together: level by level, the states of all nodes of a depth of
+the trie are found at once with numpy.
 
 For a unigram vocabulary the state at a position is the best score and last piece of any segmentation up to there (Viterbi). A BPE
 vocabulary has no such scores: the best-scoring segmentation is not what its merges give. There, the state is the last piece of the
@@ -20,16 +22,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
 
 MARK = "▁"
-#: Characters of a batch; bytes of the words and of half of the pairs of pieces that a task's process remembers; the longest word remembered.
+#: Characters of a batch; bytes of the words (unigram) and of half of the pairs of pieces in long words (BPE) that a task's process remembers, four times
+#: those of the pairs in short words; the longest word remembered.
 BATCH_CHARS, CACHE_BYTES, CACHE_WORD = 1 << 20, 32 << 20, 64
-#: Pieces of a long word that are packed at once.
-PACKED_AT_ONCE = 4096
+#: Pieces of a long word that are packed at once; ids that are put in place at once.
+PACKED_AT_ONCE, PLACED_AT_ONCE = 4096, 1 << 18
+#: Characters of a word, and words, that go through the levels of their trie together.
+SHORT_WORD, LEVEL_WORDS = 64, 1 << 14
+#: Multiplier of the pairs' places in their table.
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: An unknown character scores so much less than the least piece.
 UNKNOWN_PENALTY = 10.0
 UNIGRAM, BPE = 1, 2
@@ -112,6 +120,35 @@ class Vocabulary:
             steps: list[tuple[float, str, str]] = []
             self._suffixes[p] = not bpe or self.merge(p, steps) == [p]
             self._merges[p] = steps
+        if bpe:
+            self._number()
+
+    def _number(self) -> None:
+        """The pieces as arrays. A unit is a piece or a character inside pieces, by number; the last number stands for all other characters.
+
+        Suffixes of pieces are nodes of a tree, read from the end; a node and the character before it lead to the next node.
+        """
+        alphabet = sorted({c for p in self.pieces for c in p})
+        self._units = [*self.pieces, *(c for c in alphabet if c not in self.pieces)]
+        number = {u: i for i, u in enumerate(self._units)}
+        self._other = len(self._units)
+        self._unit_size = np.array([*map(len, self._units), 1], np.int32)
+        self._unit_id = np.array([*(self.pieces.get(u, -1) for u in self._units), -1], np.int32)
+        #: Characters as numbers, 0 for those that no piece has, by code point up to the largest.
+        self._char = np.zeros(ord(alphabet[-1]) + 2 if alphabet else 1, np.int32)
+        self._char[[ord(c) for c in alphabet]] = np.arange(1, len(alphabet) + 1)
+        if len(self._char) > ord(" "):  # in cut words a space stands for the mark
+            self._char[ord(" ")] = self._char[min(ord(MARK), len(self._char) - 1)]
+        self._char_unit = np.array([self._other, *(number[c] for c in alphabet)], np.int32)
+        node = {s: i for i, s in enumerate(self._suffixes)}
+        self._char_node = np.array([-1, *(node.get(c, -1) for c in alphabet)], np.int32)
+        self._node_unit = np.array([number[s] if usable else -1 for s, usable in self._suffixes.items()], np.int32)
+        longer = [s for s in node if len(s) > 1]
+        ways = np.array([node[s[1:]] for s in longer], np.int64) * len(self._char_unit) + np.array([self._char[ord(s[0])] for s in longer], np.int64)
+        order = np.argsort(ways)
+        self._ways, self._ends = np.append(ways[order], np.iinfo(np.int64).max), np.append(np.array([node[s] for s in longer], np.int32)[order], -1)
+        #: What is known of pairs of units: twice the pair's number, plus one if it stays apart. A pair has one place, where a later one replaces it.
+        self._held = np.full(1 << max(4, (CACHE_BYTES // 32).bit_length() - 1), -1, np.int64)
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -193,6 +230,109 @@ class Vocabulary:
         self._pairs[pair] = known
         return known
 
+    def _extend(self, last: np.ndarray, unit: np.ndarray) -> np.ndarray:
+        """Which units of ``last`` and ``unit`` stay apart, as ``_extends`` says of pieces."""
+        pair = last * np.int64(self._other + 1) + unit
+        place = (pair.view(np.uint64) * SPREAD) >> np.uint64(65 - len(self._held).bit_length())
+        held = self._held[place]
+        apart = (held & 1).astype(bool)
+        if len(new := np.flatnonzero(held >> 1 != pair)):
+            asked, back = np.unique(pair[new], return_inverse=True)
+            sides = [divmod(p, self._other + 1) for p in asked.tolist()]
+            known = np.array([self._other in (a, b) or (x := self._units[a])[-1] + (y := self._units[b])[0] not in self._joints or self._stay_apart(x, y) for a, b in sides])
+            apart[new] = known[back]
+            self._held[place[new]] = 2 * pair[new] + apart[new]
+        return apart
+
+    def _last_units(self, chars: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The last unit of the encoding of each prefix of sorted words: rows by length of the prefix, columns by word, as ``_step_bpe`` finds them.
+
+        ``chars`` has a row for each place of a character. Of words with one prefix the first finds its unit, the others take it over.
+        """
+        n = len(sizes)
+        shared = np.zeros(n, np.int32)
+        shared[1:] = np.logical_and.accumulate((chars[:, 1:] == chars[:, :-1]) & (chars[:, 1:] >= 0)).sum(axis=0)
+        last = np.zeros((len(chars) + 1, n), np.int32)
+        for i in range(1, len(chars) + 1):
+            first = shared < i
+            at = np.flatnonzero(first & (sizes >= i))
+            char = chars[i - 1, at]
+            node, unit = self._char_node[char], self._char_unit[char]
+            for size in range(1, i + 1):
+                if size > 1:
+                    way = node * np.int64(len(self._char_unit)) + chars[i - size, at]
+                    found = np.searchsorted(self._ways, way)
+                    if (self._ways[found] != way).any():
+                        raise AssertionError(i)
+                    node = self._ends[found]
+                    unit = self._node_unit[node]
+                fits = unit >= 0
+                if size < i:
+                    usable = np.flatnonzero(fits)
+                    fits[usable] = self._extend(last[i - size, at[usable]], unit[usable])
+                last[i, at[fits]] = unit[fits]
+                at, node = at[~fits], node[~fits]
+                if not len(at):
+                    break
+            else:
+                raise AssertionError(i)
+            last[i] = last[i, np.maximum.accumulate(np.where(first, np.arange(n), 0))]
+        return last
+
+    def _pack_short(self, words: pa.LargeBinaryArray, sizes: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The packed ids of sorted distinct words of at most ``SHORT_WORD`` characters one after the other, and how many each has; for BPE."""
+        codes = np.frombuffer(_joined(words).decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+        inside = np.arange(sizes.max()) < sizes[:, None]
+        chars = np.full(inside.shape, -1, np.int32)
+        chars[inside] = self._char[np.minimum(codes, len(self._char) - 1)]
+        last = self._last_units(np.ascontiguousarray(chars.T), sizes)
+        at, word, steps, count = sizes.copy(), np.arange(len(words)), [], np.zeros(len(words), np.int64)
+        while len(word := word[at[word] > 0]):
+            unit = last[at[word], word]
+            steps.append((word, unit))
+            at[word] -= self._unit_size[unit]
+            count[word] += 1
+        ends = np.cumsum(count)
+        units = np.empty(ends[-1], np.int32)
+        for back, (word, unit) in enumerate(steps, 1):
+            units[ends[word] - back] = unit
+        ids = self._unit_id[units]
+        packed, out, done = ids.tobytes(), [], 0
+        for i in np.unique(np.searchsorted(ends, np.flatnonzero(ids < 0), "right")).tolist():  # words with characters that are no pieces
+            end = int(ends[i])
+            first = end - int(count[i])
+            cuts = np.cumsum(self._unit_size[units[first:end]]).tolist()
+            text = _text(words[i])
+            own = self._pack([text[a:b] for a, b in zip([0, *cuts], cuts, strict=False)])
+            out += [packed[4 * done : 4 * first], own]
+            done, count[i] = end, len(own) // 4
+        return b"".join([*out, packed[4 * done :]]), count
+
+    def _pack_long(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        for word, parts in self.segment(words):
+            yield word, self._pack(parts) if len(parts) <= PACKED_AT_ONCE else b"".join(self._pack(parts[i : i + PACKED_AT_ONCE]) for i in range(0, len(parts), PACKED_AT_ONCE))
+
+    def _pack_words(self, words: pa.LargeBinaryArray) -> tuple[np.ndarray, bytes, np.ndarray]:
+        """The order in which distinct words are packed, their packed ids, and how many ids each has, in that order."""
+        order = pc.array_sort_indices(words)
+        words, order = words.take(order), _values(order, np.uint64).astype(np.int64)
+        if not self.bpe:
+            known = {w: self._words.get(w) for w in map(_text, words)}
+            for word, ids in self._pack_long([w for w, ids in known.items() if ids is None]):
+                known[word] = ids
+                if len(word) <= CACHE_WORD:
+                    self._words.put(word, ids)
+            return order, b"".join(known.values()), np.array([len(ids) // 4 for ids in known.values()], np.int64)
+        sizes = _characters(words)
+        short = sizes <= SHORT_WORD
+        some, long = (words, words.slice(0, 0)) if short.all() else (words.filter(_mask(m)) for m in (short, ~short))
+        size, runs = sizes[short], []
+        for i in range(0, len(some), LEVEL_WORDS):
+            runs.append(self._pack_short(some.slice(i, LEVEL_WORDS), size[i : i + LEVEL_WORDS]))
+        for _, ids in self._pack_long(list(map(_text, long))):
+            runs.append((ids, np.array([len(ids) // 4])))
+        return np.concatenate([order[short], order[~short]]), b"".join(ids for ids, _ in runs), np.concatenate([np.zeros(0, np.int64), *(n for _, n in runs)])
+
     def _step_bpe(self, word: str, first: int, last: list[str]) -> None:
         """Append the last pieces of the encodings of word[:i] to ``last``, for i from ``first``: the piece that extends the state at its own start."""
         suffixes, pairs, joints, own = self._suffixes, self._pairs, self._joints, self._own
@@ -267,16 +407,37 @@ class Vocabulary:
         packed = list(map(self._packed.get, parts))
         return np.array(self.ids(parts), np.int32).tobytes() if None in packed else b"".join(packed)
 
+    def _cut(self, texts: list[str | None]) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+        """The words of all texts as UTF-8, where a space stands for each mark, and which of them is the first of each text and after the last.
+
+        A word starts at a line end, after one, and at a mark that follows none; if pieces cross there, only where a text starts.
+        """
+        head = " " if self.prefix else ""
+        held = [(head + t.replace(MARK, " ")).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        ends = np.cumsum([0, *map(len, held)])
+        held = b"".join(held)
+        data = np.frombuffer(held, np.uint8)
+        starts = np.zeros(len(data) + 1, bool)
+        if self.cuts:
+            starts[:-1] = data == ord(" ")
+            starts[1:-1] &= data[:-1] != ord(" ")
+            line = data == ord("\n")
+            starts[:-1] |= line
+            starts[1:] |= line
+        starts[ends] = True
+        offsets = np.flatnonzero(starts)
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(held)]), np.searchsorted(offsets, ends)
+
     def encode(self, texts: list[str | None]) -> list[bytes | None]:
         """The ids of each text as packed 32-bit integers; without byte pieces a run of unknown characters is one id, also across words."""
-        head = MARK if self.prefix else ""
-        cut = [None if t is None else self.word.findall(head + t.replace(" ", MARK)) if t else [] for t in texts]
-        known = {w: self._words.get(w) for w in {w for c in cut if c for w in c}}
-        for word, parts in self.segment(sorted(w for w, ids in known.items() if ids is None)):
-            known[word] = self._pack(parts) if len(parts) <= PACKED_AT_ONCE else b"".join(self._pack(parts[i : i + PACKED_AT_ONCE]) for i in range(0, len(parts), PACKED_AT_ONCE))
-            if len(word) <= CACHE_WORD:
-                self._words.put(word, known[word])
-        packed = [None if c is None else b"".join(map(known.__getitem__, c)) for c in cut]
+        words, first = self._cut(texts)
+        words = words.dictionary_encode()
+        order, packed, count = self._pack_words(words.dictionary)
+        starts, sizes = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        starts[order], sizes[order] = np.cumsum(count) - count, count
+        ids, bounds = _placed(np.frombuffer(packed, np.int32), starts, sizes, _values(words.indices, np.int32))
+        bounds = bounds[first].tolist()
+        packed = [None if t is None else ids[a:b].tobytes() for t, a, b in zip(texts, bounds, bounds[1:], strict=False)]
         return packed if self.byte_ids else [None if p is None else self._one_unknown_a_run(p) for p in packed]
 
     def _one_unknown_a_run(self, packed: bytes) -> bytes:
@@ -291,6 +452,47 @@ class Vocabulary:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
+def _text(word: pa.LargeBinaryScalar) -> str:
+    """A cut word with its marks."""
+    return word.as_py().decode("utf-8", "surrogatepass").replace(" ", MARK)
+
+
+def _values(numbers: pa.Array, kind: type) -> np.ndarray:
+    """Numbers without nulls, as they are; Arrow's own way to numpy, and ``pa.array`` of numpy's, load pandas into the process."""
+    return np.frombuffer(numbers.buffers()[1], kind)[numbers.offset : numbers.offset + len(numbers)] if len(numbers) else np.zeros(0, kind)
+
+
+def _mask(marked: np.ndarray) -> pa.BooleanArray:
+    return pa.BooleanArray.from_buffers(pa.bool_(), len(marked), [None, pa.py_buffer(np.packbits(marked, bitorder="little"))])
+
+
+def _joined(words: pa.LargeBinaryArray) -> bytes:
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    return words.buffers()[2][offsets[0] : offsets[-1]].to_pybytes() if len(words) else b""
+
+
+def _characters(words: pa.LargeBinaryArray) -> np.ndarray:
+    """How many characters each word has, none of which is empty: its bytes that do not continue one."""
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words)] if len(words) else np.zeros(0, np.int64)
+    data = np.frombuffer(_joined(words), np.uint8)
+    return np.add.reduceat((data & 0xC0) != 0x80, offsets - offsets[0], dtype=np.int32) if len(words) else np.zeros(0, np.int32)
+
+
+def _placed(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the words ``which`` one after the other, and the bounds of the words in them; those of word i are ``ids[starts[i] : starts[i] + sizes[i]]``."""
+    bounds = np.concatenate([[0], np.cumsum(sizes[which])])
+    out, at = np.empty(bounds[-1], np.int32), 0
+    while at < len(which):
+        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + PLACED_AT_ONCE, "right")) - 1)
+        some, part = which[at:to], out[bounds[at] : bounds[to]]
+        if to == at + 1:
+            part[:] = ids[starts[some[0]] :][: len(part)]
+        else:
+            part[:] = ids[np.repeat(starts[some] - bounds[at:to] + bounds[at], sizes[some]) + np.arange(len(part))]
+        at = to
+    return out, bounds
+
+
 def _runs(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     first, length = 0, 0
     for i, t in enumerate(texts):

@@ -3,6 +3,7 @@
 import datetime
 import hashlib
 import random
+import sys
 import tracemalloc
 from collections import Counter
 
@@ -663,6 +664,38 @@ def test_caches_are_bounded_in_bytes(monkeypatch):
         assert all(sum(250 + 4 * sum(map(len, k)) for k in half) < 45_000 for half in (v._pairs, v._older))
 
 
+def test_words_of_a_batch_take_their_steps_together():
+    """Python is called for levels of the trie, not for words: hardly any call of the library's own a distinct word."""
+    v = pieces.Vocabulary.load("/opt/tokenizers/piece_bpe_32k.model")
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choice(("th", "er", "on", "an", "re", "é", "sch")) for _ in range(rng.randrange(1, 9))) for _ in range(500)) for _ in range(40)]
+    distinct = len({w for t in texts for w in t.split()})
+    first = v.encode(texts)  # decides the pairs
+    calls = []
+    sys.setprofile(lambda frame, event, _: calls.append(1) if event == "call" and frame.f_code.co_filename == pieces.__file__ else None)
+    try:
+        again = v.encode(texts)
+    finally:
+        sys.setprofile(None)
+    assert first == again and [v.decode(e) for e in first] == texts
+    assert distinct > 10_000 and len(calls) < distinct / 10
+
+
+def test_steps_together_give_the_merges(monkeypatch):
+    """Short and long words against merges by definition, with characters that no piece has, marks in texts, and hardly any pair remembered."""
+    monkeypatch.setattr(pieces, "CACHE_BYTES", 1024)
+    v = pieces.Vocabulary.load("/opt/tokenizers/piece_bpe_32k.model")
+    rng = random.Random(6)
+    held = ["the", "tion", "ing", "é", "日", "\U0001f600", "\x00", "▁", " ", "  ", "\n", "==", "a", "T"]
+    texts = [None, "", " ", "\n", *("".join(rng.choice(held) for _ in range(rng.randrange(1, 80))) for _ in range(300))]
+    texts += ["x" * n + " " + "ab" * n for n in (31, 32, 33, 62, 63, 64, 65)]
+    got = v.encode(texts)
+    assert got[0] is None and got[1] == b"" and v.encode([]) == [] and v.encode([None]) == [None]
+    for t, e in zip(texts[2:], got[2:], strict=True):
+        words_ = v.word.findall("▁" + t.replace(" ", "▁"))
+        assert np.frombuffer(e, np.int32).tolist() == [i for w in words_ for i in v.ids(v.merge(w))]
+
+
 def test_decoding_keeps_other_columns(spark):
     v = pieces.Vocabulary.load("/opt/tokenizers/piece_bpe_32k.model")
     rows = spark.createDataFrame([(1, "a b", "x"), (2, None, "y"), (3, "", None)], "doc_id long, text string, decoded string")
