@@ -458,7 +458,7 @@ def _text(word: pa.LargeBinaryScalar) -> str:
 
 
 def _values(numbers: pa.Array, kind: type) -> np.ndarray:
-    """Numbers without nulls, as they are; Arrow's own way to numpy, and ``pa.array`` of numpy's, load pandas into the process."""
+    """Numbers without nulls, as they are; ``pa.array`` would load pandas while a long word is encoded."""
     return np.frombuffer(numbers.buffers()[1], kind)[numbers.offset : numbers.offset + len(numbers)] if len(numbers) else np.zeros(0, kind)
 
 
